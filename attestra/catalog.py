@@ -1,0 +1,4 @@
+"""Registered queries over the reference workload and their SQL twins."""
+
+QUERIES = {}
+SQL = {}
