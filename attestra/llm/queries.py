@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, topk
+from attestra.llm import decontaminate, langid, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = langid.is_training(5)
+    found = langid.identify(docs.select("doc_id", "text"), langid.dictionaries(docs, training))
+    return found.select("doc_id", (~training).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_topk_search": op10_topk_search,
 }
 
