@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, langid, topk
+from attestra.llm import chat, decontaminate, langid, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,13 +32,88 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~training).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.domain_of_source(F.col("source")), mixing.SHARE, mixing.MAX_EPOCHS, mixing.WEIGHTS, mixing.SEED).drop("_t")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_chat_format": op3_chat_format,
     "op5_decontaminate": op5_decontaminate,
+    "op7_mix_sources": op7_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_topk_search": op10_topk_search,
 }
 
 SQL: dict[str, str] = {
+    "op7_mix_sources": """
+WITH r AS (
+  SELECT doc_id, coalesce(CASE CAST(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS INTEGER) % 4
+           WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forums' WHEN 3 THEN 'news' END, '(none)') AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+         md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS DOUBLE) AS cap FROM r GROUP BY ALL
+), n1 AS (
+  SELECT domain, sum(cap) AS c, CAST(CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'forums' THEN 2 ELSE 1 END AS DOUBLE) AS w,
+         floor((SELECT sum(tokens) FROM leaf) * CAST(0.6 AS DOUBLE)) AS g FROM leaf GROUP BY domain
+), m1 AS (
+  SELECT *, sum(w) OVER () AS aw, coalesce(sum(c) OVER b, 0) AS bc, coalesce(sum(w) OVER b, 0) AS bw
+  FROM n1 WINDOW b AS (ORDER BY c / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f1 AS (SELECT *, c * (aw - bw) <= (g - bc) * w AS full_ FROM m1),
+a1 AS (
+  SELECT domain, CASE WHEN full_ THEN c ELSE floor((g - sum(CASE WHEN full_ THEN c ELSE 0 END) OVER ()) * w / (aw - sum(CASE WHEN full_ THEN w ELSE 0 END) OVER ())) END AS g FROM f1
+), n2 AS (
+  SELECT domain, lang, sum(cap) AS c, CAST(CASE lang WHEN 'en' THEN 6 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END AS DOUBLE) AS w, any_value(g) AS g
+  FROM leaf JOIN a1 USING (domain) GROUP BY domain, lang
+), m2 AS (
+  SELECT *, sum(w) OVER p AS aw, coalesce(sum(c) OVER b, 0) AS bc, coalesce(sum(w) OVER b, 0) AS bw
+  FROM n2 WINDOW p AS (PARTITION BY domain), b AS (PARTITION BY domain ORDER BY c / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f2 AS (SELECT *, c * (aw - bw) <= (g - bc) * w AS full_ FROM m2),
+a2 AS (
+  SELECT domain, lang, CASE WHEN full_ THEN c ELSE floor((g - sum(CASE WHEN full_ THEN c ELSE 0 END) OVER p) * w / (aw - sum(CASE WHEN full_ THEN w ELSE 0 END) OVER p)) END AS g
+  FROM f2 WINDOW p AS (PARTITION BY domain)
+), n3 AS (
+  SELECT domain, lang, source, cap AS c, CAST(CASE source WHEN 'src0' THEN 3 ELSE 1 END AS DOUBLE) AS w, g FROM leaf JOIN a2 USING (domain, lang)
+), m3 AS (
+  SELECT *, sum(w) OVER p AS aw, coalesce(sum(c) OVER b, 0) AS bc, coalesce(sum(w) OVER b, 0) AS bw
+  FROM n3 WINDOW p AS (PARTITION BY domain, lang), b AS (PARTITION BY domain, lang ORDER BY c / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f3 AS (SELECT *, c * (aw - bw) <= (g - bc) * w AS full_ FROM m3),
+a3 AS (
+  SELECT domain, lang, source, CAST(CASE WHEN full_ THEN c ELSE floor((g - sum(CASE WHEN full_ THEN c ELSE 0 END) OVER p) * w / (aw - sum(CASE WHEN full_ THEN w ELSE 0 END) OVER p)) END AS BIGINT) AS budget
+  FROM f3 WINDOW p AS (PARTITION BY domain, lang)
+), q AS (
+  SELECT domain, lang, source, tokens, budget, CASE WHEN tokens > 0 THEN least(budget // tokens, 2) ELSE 0 END AS whole_ FROM leaf JOIN a3 USING (domain, lang, source)
+), s AS (
+  SELECT r.*, whole_, budget - whole_ * tokens AS rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
+  FROM r JOIN q USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(CASE WHEN n_tokens = 0 THEN 0 ELSE whole_ + CASE WHEN e <= rest THEN 1 ELSE 0 END END AS BIGINT) AS copies FROM s
+""",
+    "op3_chat_format": """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations
+), c AS (
+  SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id
+), e AS (
+  SELECT turns, n, min(conv_id) AS conv_id, count(*) AS n_equal FROM c GROUP BY turns, n
+), k AS (
+  SELECT * FROM e WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.n > e.n AND c.turns[1] = e.turns[1] AND list_slice(c.turns, 1, e.n) = e.turns)
+), l AS (
+  SELECT k.conv_id, k.n AS n_turns, k.n_equal, t.pos, CAST((t.pos - 1) // 512 AS INTEGER) AS part,
+         '<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS line
+  FROM k JOIN t USING (conv_id)
+)
+SELECT conv_id, n_turns, n_equal, part, CAST(ceil(n_turns / 512) AS INTEGER) AS n_parts, string_agg(line, '' ORDER BY pos) AS text
+FROM l GROUP BY conv_id, n_turns, n_equal, part
+""",
     "op5_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
