@@ -30,6 +30,7 @@ BLOCK = 4 << 10
 #: Relative size differences below this are too narrow to tell.
 MARGIN = 0.002
 LEVEL = 9
+SALTS = 64
 
 
 def is_training(modulus: int = 5) -> Column:
@@ -43,11 +44,13 @@ def dictionaries(docs: DataFrame, training: Column, sample: int = SAMPLE, size:
     A language's content is equal shares of its sampled texts, taken from
     their middle where a text is longer than its share.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
     share = max(64, size // sample)
     usable = docs.filter(training & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     cut = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - 4 * share) / 2).cast("int")), F.lit(4 * share))
-    picked = usable.select("lang", "doc_id", cut.alias("text")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
+    picked = usable.select("lang", "doc_id", cut.alias("text"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SALTS)).alias("_salt"))
+    for group in (["lang", "_salt"], ["lang"]):  # so that no task gets what every task has kept of a language
+        picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col("_n") <= sample)
     texts = defaultdict(list)
     for row in picked.orderBy("lang", "_n").collect():  # sample rows a language at most
         texts[row.lang].append(row.text)
