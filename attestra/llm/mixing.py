@@ -11,7 +11,8 @@ seeded.
 Scale: one aggregation gives the tree; budgets are windows over its nodes.
 The prefix of a leaf is found in two steps, first by buckets of the epoch
 order (about ``BUCKET_ROWS`` documents each, however large the leaf), then
-within a bucket, so that no task gets a whole leaf.  Texts aren't shuffled.
+within a bucket, so that no task gets a whole leaf.  Texts are read once and
+never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.llm.base import written
+
 BUCKET_ROWS = 4096
 NONE = "(none)"
 TREE = ("domain", "lang", "source")
@@ -92,12 +95,15 @@ def mix(docs: DataFrame, domain: Column, share: float, max_epochs: int = 2, weig
         token_count(F.col("text")).alias("n_tokens"),
         order.alias("_order"),
     )
+    rows = written(rows, "rows")  # without texts; each text is read once
     leaves = rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    leaves = written(leaves, "leaves")
     plan = budgets(leaves, share, max_epochs, weights or {})
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long")
     digits = F.ceil(F.log(F.greatest(F.col("docs") / BUCKET_ROWS, F.lit(1.0))) / F.log(F.lit(16.0))).cast("int")
     plan = plan.withColumn("_whole", whole).withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens")).withColumn("_digits", digits)
-    plan = plan.select(*TREE, "_whole", "_rest", "_digits")
+    # its written size decides whether Spark broadcasts it
+    plan = written(plan.select(*TREE, "_whole", "_rest", "_digits"), "plan")
     rows = rows.join(plan, [*TREE]).withColumn("_bucket", F.expr("left(_order, _digits)"))
     buckets = rows.groupBy(*TREE, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     ahead = Window.partitionBy(*TREE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
