@@ -256,7 +256,10 @@ def _compare(n: int, percent: int):
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, links for every row of ``docs``; ``_d`` and ``_t`` identify it.
+    """doc_id, n_shingles, component_id, links for every row of ``docs``.
+
+    ``_d`` and ``_t`` identify the row, ``comp`` its component (null for empty
+    sets) where ids are missing or repeated.
 
     Words are what ASCII white space separates, A-Z lower-cased.  A set holds
     the distinct ``n``-word shingles, or the whole text where it has fewer
@@ -311,7 +314,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         leaders *= LEADERS
     named = classes.select("s1", "s2", "node", "first_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "comp").select("s1", "s2", "node", "component_id")
+    named = named.join(names, "comp").select("s1", "s2", "node", "comp", "component_id")
     if links is not None:
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
         named = named.join(degree, "node", "left")
@@ -319,4 +322,18 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         named = named.withColumn("links", F.lit(None).cast("long"))
     out = rows.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "_d", "_t", "_r", "n_shingles", component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "_d", "_t", "_r", "comp", "n_shingles", component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one row of each component: of the smallest doc_id, then text hash.
+
+    Rows with empty sets stay.  Rows that agree in doc_id and text are one row.
+    """
+    names = docs.columns
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    found = join(rows, n, percent)
+    first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("_d", "_t")).alias("_k")).select("_k._d", "_k._t")
+    kept = first.unionByName(found.filter("comp is null").select("_d", "_t").distinct())
+    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_t"), "_row")
+    return keyed.join(kept, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select("_row.*")

@@ -114,6 +114,18 @@ def mix(docs: DataFrame, domain: Column, share: float, max_epochs: int = 2, weig
     return taken.select("doc_id", "_t", *TREE, "n_tokens", copies.alias("copies"))
 
 
+def select(docs: DataFrame, domain: Column, share: float, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 1) -> DataFrame:
+    """``docs`` that the mix takes, with ``copies`` added (in place of a column of that name).
+
+    Rows that agree in doc_id and text get the most copies that one of them has.
+    """
+    names = [c for c in docs.columns if c != "copies"]
+    taken = mix(docs, domain, share, max_epochs, weights, seed).filter("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_h")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_x"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return rows.join(taken, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h"))).select("_row.*", "copies")
+
+
 #: What the registered query and the pipeline mix with.
 SHARE, MAX_EPOCHS, SEED = 0.6, 2, 1
 WEIGHTS = {"domain": {"web": 4, "books": 3, "forums": 2, "news": 1}, "lang": {"en": 6, "fr": 2, "de": 2, "es": 1}, "source": {"src0": 3}}

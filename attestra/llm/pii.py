@@ -161,22 +161,26 @@ def _joined(columns: dict[str, Column]) -> Column:
     return F.array_join(F.concat(*parts), ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, all_spans (per kind), text for every document.
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, and per kind an array of base spans (email, ..) and of all spans (all_email, ..).
 
     Base spans are leftmost and don't overlap within a kind; matches that fail
     their check are dropped.  Null and empty texts have none.  Repeated rows are
     documents each.  Discovered spans touch no base span.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64("text").alias("_t"))
-    based = base_spans(rows)
+    key = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t": F.xxhash64("text")}
+    rows = docs.withColumns(key)
+    based = base_spans(rows.select("text", *{"doc_id", *keep} - {"text"}, "_d", "_t"))
     pure = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    spans = written(based.filter(F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))).select("_d", "_t", "text", *KINDS).distinct(), "spans")
+    marked = based.filter(F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)))
+    spans = written(marked.select("_d", "_t", "text", *KINDS).dropDuplicates(["_d", "_t"]), "spans")
     found = bootstrap(rows, spans).groupBy("_d", "_t").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end")))).alias(f"more_{k}") for k in KINDS])
-    out = based.select("doc_id", "_d", "_t", *[pure(k).alias(k) for k in KINDS]).join(found, ["_d", "_t"], "left")
+    # its written size decides whether Spark broadcasts it or shuffles both sides
+    found = written(found, "discovered")
+    out = based.select(*keep, "_d", "_t", *[pure(k).alias(k) for k in KINDS]).join(found, ["_d", "_t"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     both = [F.sort_array(F.concat(F.col(k), F.coalesce(f"more_{k}", none))).alias(f"all_{k}") for k in KINDS]
-    return out.select("doc_id", "_d", "_t", *KINDS, *both)
+    return out.select(*keep, *KINDS, *both)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -185,11 +189,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with every found span replaced by "[kind]"; overlapping spans count as the first kind's."""
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by "[kind]"; where spans overlap, the first one stands for both.
+
+    n_chars, if there, follows the text.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = find(rows, ("text", "_row"))
     spans = F.sort_array(F.concat(*[F.transform(f"all_{k}", _named(k)) for k in KINDS]))
-    found = found.select("_d", "_t", spans.alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_d", "_t"])
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t": F.xxhash64("text")})
     walked = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -198,6 +205,9 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    out = keyed.join(found, ["_d", "_t"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(walked)
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.withColumn("_spans", spans)
+    found = found.withColumn("_new", F.when(F.size("_spans") == 0, F.col("text")).otherwise(walked))
+    new = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
