@@ -35,8 +35,7 @@ from attestra.llm import hashing as H
 from attestra.llm.base import chunks, shuffle_partitions, text_bytes, written
 from attestra.llm.components import components
 
-BUCKETS_PER_PARTITION = 4
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 LEADERS = 32
 _LIMITS = [1]
 while _LIMITS[-1] < 1 << 40:
@@ -281,7 +280,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = written(identified.mapInArrow(_nodes(n), "_r long, doc_id long, _d long, _t long, n_shingles long, s1 long, s2 long"), "rows")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
-    buckets = shuffle_partitions(spark) * BUCKETS_PER_PARTITION
+    buckets = shuffle_partitions(spark)
     sent = docs.select("text").mapInArrow(_emit(n, percent, buckets), "bucket int, kind int, n int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long").distinct()
     members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node"), "members")

@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 from attestra.llm import hashing as H
 from attestra.llm.base import chunks, scratch_dir, shuffle_partitions, text_bytes, written
 
-BUCKETS_PER_PARTITION = 4
 #: Runs that a map task holds before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+#: Text bytes that numpy handles at once: a byte takes some fifteen 64-bit numbers.
+CHUNK = 1 << 19
 HIT, OPEN = 1, 2
 _RUN = np.dtype([("doc", "<u4"), ("lo", "<u4"), ("span", "<u2")])
 
@@ -90,12 +91,11 @@ def _runs(units, length: int, width: int, part: pa.RecordBatch, first: bool) ->
     n = int(rows[-1])
     undecided = H.window_starts(rows, width)
     if not first:
-        mark = np.zeros(n + 1, np.int32)
-        for base, blob in zip(rows[:-1].tolist(), part.column(part.schema.get_field_index("open")).to_pylist(), strict=True):
-            pairs = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
-            np.add.at(mark, base + pairs[:, 0], 1)
-            np.add.at(mark, base + pairs[:, 0] + pairs[:, 1] + 1, -1)
-        undecided &= np.cumsum(mark[:-1]) > 0
+        blobs = part.column(part.schema.get_field_index("open")).to_pylist()
+        pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+        start = np.repeat(rows[:-1], [len(x) // 8 for x in blobs]) + pairs[:, 0]
+        mark = np.bincount(start, minlength=n + 1) - np.bincount(start + pairs[:, 1] + 1, minlength=n + 1)
+        undecided &= np.cumsum(mark[:n]) > 0
     if not undecided.any():
         return np.zeros(0, H.U), np.zeros(0, H.U), np.zeros(0, _RUN)
     reach = width - length
@@ -173,7 +173,7 @@ def _emit(units, length: int, width: int, buckets: int, first: bool, both: bool)
             for x in held:
                 x.clear()
 
-        for part in chunks(batches):
+        for part in chunks(batches, limit=CHUNK):
             key, context, place = _runs(units, length, width, part, first)
             if not len(key):
                 continue
@@ -292,7 +292,7 @@ def find(home: DataFrame, units: Callable, width: int, levels: Sequence[int], fi
     ``first_stays``: the first occurrence (by doc_id, nulls last, then row, then
     place) of a window isn't covered by it; else all occurrences are.
     """
-    buckets = shuffle_partitions(home.sparkSession) * BUCKETS_PER_PARTITION
+    buckets = shuffle_partitions(home.sparkSession)
     undecided, lists = None, []
     for length in levels:
         first, last = undecided is None, length == width
