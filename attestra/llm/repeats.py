@@ -2,7 +2,7 @@
 
 Units are words or bytes.  Whether a window of W units occurs elsewhere is
 decided on samples that are taken by content: of the shorter windows (length L)
-inside it, the one with the smallest hash stands for it.  Equal W-windows have
+inside it, the first with the smallest hash stands for it.  Equal W-windows have
 equal L-windows at the same place, so nothing is lost, and one sampled L-window
 ("anchor") stands for a run of W-windows.  A level goes like this:
 
@@ -102,27 +102,18 @@ def _runs(units, length: int, width: int, part: pa.RecordBatch, first: bool) ->
     fits = np.flatnonzero(H.window_starts(rows, length))
     values = np.full(n, 2**64 - 1, H.U)
     values[fits] = H.slices(sums[0], fits, fits + length)
-    if reach:
-        least = np.where(undecided, H.sliding(values, reach + 1), H.U(0))
-        most = H.sliding(least[::-1], reach + 1, np.maximum)[::-1]
-        anchors = np.flatnonzero((most == values) & (values != H.U(2**64 - 1)))
-        # the first and last start whose smallest value is the anchor's, by looking back from it
-        lo, hi = anchors.copy(), np.full(len(anchors), -1)
-        row_start = rows[np.searchsorted(rows, anchors, "right") - 1]
-        for back in range(reach, -1, -1):
-            at = anchors - back
-            own = at >= row_start
-            own[own] = least[at[own]] == values[anchors[own]]
-            lo = np.where(own & (hi < 0), at, lo)
-            hi = np.where(own, at, hi)
-    else:
-        anchors = np.flatnonzero(undecided)
-        lo = hi = anchors
-    place = np.empty(len(anchors), _RUN)
-    doc = np.searchsorted(rows, anchors, "right") - 1
+    least = H.sliding(values, reach + 1) if reach else values
+    starts = np.flatnonzero(undecided)
+    # a run ends where the smallest value changes, or where its first place drops out (there may be an equal one further on)
+    new = np.ones(len(starts), bool)
+    before = starts[:-1]
+    new[1:] = (starts[1:] != before + 1) | (least[starts[1:]] != least[before]) | (values[before] == least[before])
+    at = np.flatnonzero(new)
+    lo, hi = starts[at], starts[np.append(at[1:], len(starts)) - 1]
+    place = np.empty(len(lo), _RUN)
+    doc = np.searchsorted(rows, lo, "right") - 1
     place["doc"], place["lo"], place["span"] = doc, lo - rows[doc], hi - lo
-    context = H.mix(H.slices(sums[1], lo, hi + width, 1) ^ (anchors - lo).astype(H.U))
-    return values[anchors], context, place
+    return least[lo], H.slices(sums[1], lo, hi + width, 1), place
 
 
 def _emit(units, length: int, width: int, buckets: int, first: bool, both: bool):
