@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         below = large.join(least, "u")
         small = below.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         small = written(small, "small")
-        changed = small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty()
+        settled = small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty()
         pairs = small
-        if changed:
+        if settled:
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -8,17 +8,19 @@ a key that linked nodes share.  A part with next to no shingles says little;
 there are spare parts, so such keys are left out, but by sets that have more of
 them than there are spares.
 
-Nodes that share a key are compared with the key's leader: bitmaps of hashed
-shingles, as wide as the tile's sizes ask for, bound the overlap from above by
-their bit counts, and what passes is intersected exactly as sorted arrays.
-Links give components; a key whose other members are in different components
-still is open, and goes on with more leaders (32 times as many each round)
-until none is open.  Comparing only across components loses no component, and
-a group of any number of near copies is done after the first round.
+Nodes that share a key are compared with the key's leader, the one that meets
+most others: bitmaps of hashed shingles, as wide as the sizes ask for, bound
+the overlap from above by their bit counts, and what passes is intersected
+exactly as sorted arrays.  Links give components.  A key whose other members
+are in different components still is open; what open keys connect is compared
+across components in tiles of two blocks, again by bitmaps, then exactly.
+Comparing only across components loses no component, and a group of any number
+of edited copies of one original is done after the leaders.
 
 Scale: keys travel packed (about ten bytes); a key that a map task sees in two
 nodes is known to matter there and sent once.  Only texts of nodes that share a
-key are shuffled.  Pairs are nodes times leaders, never all pairs of a group.
+key are shuffled.  Pairs that become rows are nodes times leaders; those of a
+tile are bit counts within a task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import hashing as H
@@ -36,7 +38,8 @@ from attestra.llm.base import chunks, shuffle_partitions, text_bytes, written
 from attestra.llm.components import components
 
 FLUSH = 1 << 19
-LEADERS = 32
+#: Nodes, and bytes of their texts, in a block of a tile.
+BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 _LIMITS = [1]
 while _LIMITS[-1] < 1 << 40:
     _LIMITS.append(max(_LIMITS[-1] + 1, _LIMITS[-1] * 3 // 2))
@@ -233,6 +236,71 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int, maps: dict[int, np.ndarr
     return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """key, leader: the node of each key that meets most others over all its keys; the original of a group of edited copies, say."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    score = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
+    return members.join(score, "node").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
+
+
+def _tiles(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among nodes that open keys connect; rest: key, node, comp, first.
+
+    What open keys connect is one cluster.  A cluster is cut into blocks, and
+    every pair of blocks is a tile, so a task holds two blocks however large
+    the cluster is.
+    """
+    cluster = written(components(rest.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "clusters").withColumnRenamed("comp", "cluster")
+    nodes = rest.select("node", "comp").distinct().join(cluster, "node").join(texts, "node")
+    nodes = written(nodes.select("cluster", "node", "comp", "text", F.length("text").alias("size")), "nodes")
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = nodes.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "text")
+
+    def tile(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c).to_numpy() for c in ("i", "j", "own", "node", "comp")}
+        values, offsets = shingle_sets(table.column("text").combine_chunks(), n)
+        found = _tile(values, offsets, column["own"], column["comp"], bool(column["i"][0] == column["j"][0]), percent)
+        return pa.table({"a": pa.array(column["node"][[x for x, _ in found]], pa.int64()), "b": pa.array(column["node"][[y for _, y in found]], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long")
+
+
+def _tile(values: np.ndarray, offsets: np.ndarray, own: np.ndarray, comp: np.ndarray, within: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, by size bands; two blocks are compared across, one within itself."""
+    sizes = np.diff(offsets)
+    order = np.argsort(sizes, kind="stable")
+    _, comp = np.unique(comp, return_inverse=True)
+    comp = comp.copy()
+    out, at = [], 0
+    while at < len(order):
+        # rows of a band, and all that may be similar to one of them and is no smaller
+        last = int(np.searchsorted(sizes[order], max(sizes[order[at]] * 5 // 4, 1), "right"))
+        last = min(max(last, at + 1), at + 256)
+        reach = int(np.searchsorted(sizes[order], 100 * sizes[order[last - 1]] // percent, "right"))
+        band = order[at:reach]
+        width = max(64, 1 << int(4 * max(int(sizes[band[-1]]), 1) - 1).bit_length())
+        maps = np.stack([_bitmap(values[offsets[x] : offsets[x + 1]], width) for x in band])
+        for r in range(last - at):
+            x = band[r]
+            y = band[r + 1 :]
+            differ = np.bitwise_count(maps[r] ^ maps[r + 1 :]).sum(1, dtype=np.int64)
+            most = (sizes[x] + sizes[y] - differ) // 2
+            fits = (100 * most >= percent * (sizes[x] + sizes[y] - most)) & (comp[y] != comp[x])
+            if not within:
+                fits &= own[y] != own[x]
+            for z in y[fits].tolist():
+                if comp[z] == comp[x]:
+                    continue  # linked by now
+                overlap = len(np.intersect1d(values[offsets[x] : offsets[x + 1]], values[offsets[z] : offsets[z + 1]], assume_unique=True))
+                if 100 * overlap >= percent * (int(sizes[x]) + int(sizes[z]) - overlap):
+                    out.append((int(x), z))
+                    comp[comp == comp[z]] = comp[x]
+        at = last
+    return out
+
+
 def _compare(n: int, percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, held, maps = None, None, {}
@@ -255,7 +323,7 @@ def _compare(n: int, percent: int):
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, links for every row of ``docs``.
+    """doc_id, n_shingles, component_id for every row of ``docs``.
 
     ``_d`` and ``_t`` identify the row, ``comp`` its component (null for empty
     sets) where ids are missing or repeated.
@@ -265,9 +333,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     words; null and blank texts have empty sets, which link with nothing.  Two
     rows link if their sets' overlap is at least ``percent`` % of their union.
     component_id is the smallest doc_id reachable, the row's own included; rows
-    without an id don't give a component its name.  links: how many other
-    distinct sets this row's was found linked with as or by a leader.
-    Repeated rows are rows each, with equal sets.
+    without an id don't give a component its name.  Repeated rows are rows
+    each, with equal sets.
     """
     spark = docs.sparkSession
     identified = docs.select(
@@ -287,41 +354,25 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     wanted = members.select("node").distinct().join(classes.select("node", "_d", "_t"), "node")
     # rows that agree in _d and _t have equal texts, so any of them will do
     texts = written(identified.select("_d", "_t", "text").join(wanted, ["_d", "_t"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    comp = members.select("node", F.col("node").alias("comp")).limit(0)
-    links, tested, leaders = None, None, 1
-    while not members.isEmpty():
-        state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        if leaders == 1:
-            heads = state.groupBy("key").agg(F.min("node").alias("leader")).withColumn("lead_comp", F.col("leader"))
-        else:
-            ranked = state.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-            heads = ranked.filter(F.col("_n") <= leaders).select("key", F.col("node").alias("leader"), F.col("comp").alias("lead_comp"))
-        pairs = state.join(heads, "key").filter("node > leader and comp <> lead_comp").select("leader", "node").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["leader", "node"], "left_anti")
-        pairs = written(pairs, "pairs")
-        with_text = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("lead_text")), "leader")
-        found = written(with_text.select("leader", "node", "text", "lead_text").mapInArrow(_compare(n, percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = written(components(links), "components")
-        # what is left of a key when its leaders, now compared with all of it, go
-        state = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        rest = state.join(heads.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-        members = written(rest.select("key", "node").join(open_keys, "key", "left_semi"), "members")
-        leaders *= LEADERS
+    heads = written(_leaders(members), "leaders")
+    met = members.join(heads, "key").filter("node <> leader")
+    pairs = met.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+    with_text = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("lead_text")), "leader")
+    links = written(with_text.select("leader", "node", "text", "lead_text").mapInArrow(_compare(n, percent), "a long, b long"), "links")
+    comp = written(components(links), "components")
+    # a key is done with when its members but the leader, now compared with all of them, are in one component
+    rest = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    ends = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).filter("low <> high").select("key", "first")
+    rest = written(rest.join(ends, "key"), "rest")
+    if not rest.isEmpty():
+        more = written(_tiles(rest, texts, n, percent), "links")
+        comp = written(components(links.unionByName(more)), "components")
     named = classes.select("s1", "s2", "node", "first_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = named.join(names, "comp").select("s1", "s2", "node", "comp", "component_id")
-    if links is not None:
-        degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-        named = named.join(degree, "node", "left")
-    else:
-        named = named.withColumn("links", F.lit(None).cast("long"))
     out = rows.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "_d", "_t", "_r", "comp", "n_shingles", component.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "_d", "_t", "_r", "comp", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
