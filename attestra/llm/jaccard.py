@@ -4,9 +4,10 @@ Documents with equal sets are one node.  Nodes of similar size share a tile
 (size bands, overlapping by what the threshold allows).  In a tile two linked
 sets differ in at most k shingles, so if hash space is cut into more than k
 parts, at least one part of both is the same: the hash of a part's shingles is
-a key that linked nodes share.  A part with next to no shingles says little;
-there are spare parts, so such keys are left out, but by sets that have more of
-them than there are spares.
+a key that linked nodes share.  There are spare parts, so they share several: a
+node that has too few keys in common with any others is linked with nothing.
+A part with next to no shingles says little; such keys are left out, but by
+sets that have more of them than there are spares.
 
 Nodes that share a key are compared with the key's leader, the one that meets
 most others: bitmaps of hashed shingles, as wide as the sizes ask for, bound
@@ -89,10 +90,16 @@ def _nodes(n: int):
     return nodes
 
 
-def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets, and the set of each: the hashes of the parts, tile by tile."""
+def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all sets, the set of each, and how many keys a set must share to be linked with anything.
+
+    In a tile, linked sets differ in k shingles at most, so of k + 1 + spare
+    parts they have 1 + spare in common.  A thin part isn't sent, unless a set
+    has more of those than spares; what isn't sent can't be asked for.
+    """
     sizes = np.diff(offsets)
     keys, owners = [], []
+    need = np.full(len(sizes), 1 << 30, np.int64)
     band = np.searchsorted(LIMITS, sizes, "right") - 1
     for up in (0, 1):  # the set's own tile, and the next one if a larger partner may be there
         tile = band + up
@@ -101,7 +108,7 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
             continue
         largest = LIMITS[tile[used] + 1] - 1
         k = 2 * largest * (100 - percent) // (100 + percent)
-        spare = np.where(k > 0, np.minimum(4, 1 + k // 10), 0)
+        spare = np.where(k > 0, 1 + k * (100 - percent) // 40, 0)
         parts = k + 1 + spare
         weak = np.where(parts >= 20, 2, 1)
         lens = sizes[used]
@@ -119,13 +126,15 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
         place = np.arange(slot[-1]) - slot[of]
         key = H.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ H.mix((tile[used][of] * (1 << 32) + place).astype(H.U)))
         thin = count < weak[of]
-        loose = np.bincount(of, thin, len(used)) > spare
-        send = ~thin | loose[of]
+        held_back = np.bincount(of, thin, len(used)).astype(np.int64)
+        held_back[held_back > spare] = 0
+        send = ~thin | (held_back[of] == 0)
+        need[used] = np.minimum(need[used], 1 + spare - held_back)
         keys.append(key[send])
         owners.append(used[of[send]])
     if not keys:
-        return np.zeros(0, H.U), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, H.U), np.zeros(0, np.int64), need
+    return np.concatenate(keys), np.concatenate(owners), need
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -135,9 +144,9 @@ def _pack(*arrays: np.ndarray) -> bytes:
 def _emit(n: int, percent: int, buckets: int):
     """bucket, kind, blobs of keys and nodes; kind 1: keys known to be shared, 0: to be looked up."""
 
-    def flush(keys, owners, s1, s2) -> Iterator[tuple]:
-        key, owner, s1, s2 = map(np.concatenate, (keys, owners, s1, s2))
-        both = np.stack([s1, s2], 1)
+    def flush(keys, owners, s1, s2, needs) -> Iterator[tuple]:
+        key, owner, s1, s2, need = map(np.concatenate, (keys, owners, s1, s2, needs))
+        both = np.stack([s1, s2, need], 1)
         nodes, node = np.unique(both, axis=0, return_inverse=True)
         owner = node.reshape(-1)[owner]
         order = np.lexsort((owner, key))
@@ -164,7 +173,7 @@ def _emit(n: int, percent: int, buckets: int):
             yield b, kind, z - a, _pack(np.array([len(used)], "<i8"), nodes[used], key[a:z], np.diff(local, prepend=0).astype("<u4"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, base = ([], [], [], []), 0, 0
+        held, count, base = ([], [], [], [], []), 0, 0
 
         def send() -> Iterator[pa.RecordBatch]:
             for row in flush(*held):
@@ -175,8 +184,8 @@ def _emit(n: int, percent: int, buckets: int):
         for part in chunks(batches):
             values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
             s1, s2 = _sums(values, offsets)
-            key, owner = part_keys(values, offsets, percent)
-            for x, y in zip(held, (key, owner + base, s1, s2), strict=True):
+            key, owner, need = part_keys(values, offsets, percent)
+            for x, y in zip(held, (key, owner + base, s1, s2, need), strict=True):
                 x.append(y)
             count, base = count + len(key), base + len(s1)
             if count >= FLUSH:
@@ -189,14 +198,14 @@ def _emit(n: int, percent: int, buckets: int):
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """key, s1, s2 of every key that two nodes at least have."""
+    """key, s1, s2, need of every key that two nodes at least have."""
     keys, kinds, nodes = [], [], []
     for r in table.to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(r["blob"])
         m, n = int(np.frombuffer(raw, "<i8", 1)[0]), r["n"]
-        own = np.frombuffer(raw, "<i8", 2 * m, 8).reshape(m, 2)
-        keys.append(np.frombuffer(raw, H.U, n, 8 + 16 * m))
-        nodes.append(own[np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 16 * m + 8 * n), dtype=np.int64)])
+        own = np.frombuffer(raw, "<i8", 3 * m, 8).reshape(m, 3)
+        keys.append(np.frombuffer(raw, H.U, n, 8 + 24 * m))
+        nodes.append(own[np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 24 * m + 8 * n), dtype=np.int64)])
         kinds.append(np.full(n, r["kind"], np.int8))
     key, kind, node = np.concatenate(keys), np.concatenate(kinds), np.concatenate(nodes)
     known = kind == 1
@@ -209,7 +218,7 @@ def _judge(table: pa.Table) -> pa.Table:
     alive = np.bincount(group, new)[group] > 1 if len(k) else np.zeros(0, bool)
     alive &= new
     key, node = np.concatenate([key[known], k[alive]]), np.concatenate([node[known], v[alive]])
-    return pa.table({"key": pa.array(key.view(np.int64)), "s1": pa.array(node[:, 0]), "s2": pa.array(node[:, 1])})
+    return pa.table({"key": pa.array(key.view(np.int64)), "s1": pa.array(node[:, 0]), "s2": pa.array(node[:, 1]), "need": pa.array(node[:, 2])})
 
 
 def _bitmap(values: np.ndarray, width: int) -> np.ndarray:
@@ -349,8 +358,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
     buckets = shuffle_partitions(spark)
     sent = docs.select("text").mapInArrow(_emit(n, percent, buckets), "bucket int, kind int, n int, blob binary")
-    shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long").distinct()
-    members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node"), "members")
+    shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long, need long").distinct()
+    members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node", "need"), "shared")
+    for _ in range(2):  # what shares too few keys is linked with nothing; keys that one node is left of go as well
+        enough = members.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
+        left = members.join(enough, "node", "left_semi")
+        keys = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        members = written(left.join(keys, "key", "left_semi"), "members")
+    members = members.select("key", "node")
     wanted = members.select("node").distinct().join(classes.select("node", "_d", "_t"), "node")
     # rows that agree in _d and _t have equal texts, so any of them will do
     texts = written(identified.select("_d", "_t", "text").join(wanted, ["_d", "_t"]).select("node", "text").dropDuplicates(["node"]), "texts")
