@@ -6,13 +6,15 @@ sets differ in at most k shingles, so if hash space is cut into more than k
 parts, at least one part of both is the same: the hash of a part's shingles is
 a key that linked nodes share.  There are spare parts, so they share several: a
 node that has too few keys in common with any others is linked with nothing.
-A part with next to no shingles says little; such keys are left out, but by
+A part with next to no shingles, or hardly any but common ones (a licence, a
+line that many documents repeat), says little; such keys are left out, but by
 sets that have more of them than there are spares.
 
 Nodes that share a key are compared with the key's leader, the one that meets
-most others: bitmaps of hashed shingles, as wide as the sizes ask for, bound
-the overlap from above by their bit counts, and what passes is intersected
-exactly as sorted arrays.  Links give components.  A key whose other members
+most others; a node with many leaders meets first the one that it shares most
+keys with, then those that are still in other components.  Bitmaps of hashed
+shingles, as wide as the sizes ask for, bound the overlap from above by their
+bit counts, and what passes is intersected exactly as sorted arrays.  Links give components.  A key whose other members
 are in different components still is open; what open keys connect is compared
 across components in tiles of two blocks, again by bitmaps, then exactly.
 Comparing only across components loses no component, and a group of any number
@@ -41,9 +43,11 @@ from attestra.llm.components import components
 FLUSH = 1 << 19
 #: Nodes, and bytes of their texts, in a block of a tile.
 BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
+#: A shingle in so many sets of one task's share is common; of these the most frequent are known everywhere.
+OFTEN, COMMON = 3, 200_000
 _LIMITS = [1]
 while _LIMITS[-1] < 1 << 40:
-    _LIMITS.append(max(_LIMITS[-1] + 1, _LIMITS[-1] * 3 // 2))
+    _LIMITS.append(max(_LIMITS[-1] + 1, _LIMITS[-1] * 5 // 4))
 LIMITS = np.array(_LIMITS, np.int64)  # size bands: LIMITS[i] <= size < LIMITS[i + 1]
 
 
@@ -78,25 +82,61 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _nodes(n: int):
-    """_r, doc_id, _t, n_shingles, s1, s2 of every row."""
+    """_r, doc_id, _d, _t, n_shingles, s1, s2 of every row; common: with some rows, the shingles that several sets since the last have."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def common() -> bytes:
+            values, offsets, s1 = (np.concatenate([h[i] for h in held]) for i in range(3))
+            _, first = np.unique(s1, return_index=True)  # equal sets count once
+            take = np.zeros(len(s1), bool)
+            take[first] = True
+            shingles, sets = np.unique(values[np.repeat(take, offsets)], return_counts=True)
+            often = sets >= OFTEN
+            return np.concatenate([shingles[often], sets[often].astype(H.U)]).tobytes()
+
         for part in chunks(batches):
             values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
             s1, s2 = _sums(values, offsets)
+            held.append((values, np.diff(offsets), s1))
+            count += len(values)
+            found = [None] * len(s1)
+            if count >= 2 * FLUSH:
+                found[-1] = common()
+                held.clear()
+                count = 0
             keep = [part.column(part.schema.get_field_index(c)) for c in ("_r", "doc_id", "_d", "_t")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(offsets), pa.int64()), pa.array(s1), pa.array(s2)], ["_r", "doc_id", "_d", "_t", "n_shingles", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(offsets), pa.int64()), pa.array(s1), pa.array(s2), pa.array(found, pa.binary())], [*_ROW, "common"])
+        if held:
+            nothing = [pa.nulls(1, t) for t in (pa.int64(),) * 7]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([common()], pa.binary())], [*_ROW, "common"])
 
     return nodes
 
 
-def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_ROW = ["_r", "doc_id", "_d", "_t", "n_shingles", "s1", "s2"]
+
+
+def _each_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            both = np.frombuffer(blob, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["shingle", "n"])
+
+
+def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all sets, the set of each, and how many keys a set must share to be linked with anything.
 
     In a tile, linked sets differ in k shingles at most, so of k + 1 + spare
-    parts they have 1 + spare in common.  A thin part isn't sent, unless a set
-    has more of those than spares; what isn't sent can't be asked for.
+    parts they have 1 + spare in common.  A part with next to no shingles but
+    common ones is thin, in both if they have it in common.  Thin parts aren't
+    sent, unless a set has more of those than spares; what isn't sent can't be
+    asked for.
     """
+    telling = np.ones(len(values), bool)
+    if len(common):
+        telling = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values
     sizes = np.diff(offsets)
     keys, owners = [], []
     need = np.full(len(sizes), 1 << 30, np.int64)
@@ -108,9 +148,9 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
             continue
         largest = LIMITS[tile[used] + 1] - 1
         k = 2 * largest * (100 - percent) // (100 + percent)
-        spare = np.where(k > 0, 1 + k * (100 - percent) // 40, 0)
+        spare = np.where(k > 0, 1 + k // 4, 0)
         parts = k + 1 + spare
-        weak = np.where(parts >= 20, 2, 1)
+        weak = np.where(largest >= 6 * parts, 2, 1)  # few parts of a set may be thin
         lens = sizes[used]
         at = np.repeat(offsets[used] - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
         own = np.repeat(np.arange(len(used)), lens)
@@ -121,7 +161,8 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np
         total = np.zeros(len(v) + 1, H.U)
         np.cumsum(H.mix(v ^ H.U(0xA0761D6478BD642F)), out=total[1:])
         cuts = np.searchsorted(cell, np.arange(slot[-1] + 1))
-        count = np.diff(cuts)
+        told = np.append(0, np.cumsum(telling[at]))
+        count = told[cuts[1:]] - told[cuts[:-1]]
         of = np.repeat(np.arange(len(used)), parts)
         place = np.arange(slot[-1]) - slot[of]
         key = H.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ H.mix((tile[used][of] * (1 << 32) + place).astype(H.U)))
@@ -141,7 +182,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _emit(n: int, percent: int, buckets: int):
+def _emit(n: int, percent: int, buckets: int, common):
     """bucket, kind, blobs of keys and nodes; kind 1: keys known to be shared, 0: to be looked up."""
 
     def flush(keys, owners, s1, s2, needs) -> Iterator[tuple]:
@@ -184,7 +225,7 @@ def _emit(n: int, percent: int, buckets: int):
         for part in chunks(batches):
             values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
             s1, s2 = _sums(values, offsets)
-            key, owner, need = part_keys(values, offsets, percent)
+            key, owner, need = part_keys(values, offsets, percent, common.value)
             for x, y in zip(held, (key, owner + base, s1, s2, need), strict=True):
                 x.append(y)
             count, base = count + len(key), base + len(s1)
@@ -252,6 +293,60 @@ def _leaders(members: DataFrame) -> DataFrame:
     return members.join(score, "node").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (leader, node)."""
+    text = texts.select("node", "text")
+    with_text = pairs.join(text, "node").join(text.toDF("leader", "lead_text"), "leader")
+    return with_text.select("leader", "node", "text", "lead_text").mapInArrow(_compare(n, percent), "a long, b long")
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    rows = pairs.join(comp.withColumnRenamed("comp", "c"), "node", "left").join(comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_c")), "leader", "left")
+    return rows.filter(F.coalesce("c", "node") != F.coalesce("lead_c", "leader")).select("leader", "node")
+
+
+def _bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave it open whether they are linked."""
+
+    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, lead_size = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("size", "lead_size"))
+            marks = zip(batch.column(batch.schema.get_field_index("bits")).to_pylist(), batch.column(batch.schema.get_field_index("lead_bits")).to_pylist(), strict=True)
+            differ = np.array([_differing(np.frombuffer(a, H.U), np.frombuffer(b, H.U)) for a, b in marks], np.int64)
+            most = (size + lead_size - differ) // 2
+            keep = 100 * most >= percent * (size + lead_size - most)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(keep)) for c in ("leader", "node")], ["leader", "node"])
+
+    bits = texts.select("node", "size", "bits")
+    rows = pairs.join(bits, "node").join(bits.toDF("leader", "lead_size", "lead_bits"), "leader")
+    rows = rows.filter(100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size"))
+    return rows.select("leader", "node", "size", "lead_size", "bits", "lead_bits").mapInArrow(open_pairs, "leader long, node long")
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded first."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _marked(n: int):
+    """node, text, size, bits: every node's bitmap, two bits a shingle or more."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            text = part.column(part.schema.get_field_index("text"))
+            values, offsets = shingle_sets(text, n)
+            sizes = np.diff(offsets)
+            bits = [_bitmap(values[a:b], max(64, 1 << int(2 * max(b - a, 1) - 1).bit_length())).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), text, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["node", "text", "size", "bits"])
+
+    return marked
+
+
 def _tiles(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between different components among nodes that open keys connect; rest: key, node, comp, first.
 
@@ -260,7 +355,7 @@ def _tiles(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
     the cluster is.
     """
     cluster = written(components(rest.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "clusters").withColumnRenamed("comp", "cluster")
-    nodes = rest.select("node", "comp").distinct().join(cluster, "node").join(texts, "node")
+    nodes = rest.select("node", "comp").distinct().join(cluster, "node").join(texts.select("node", "text"), "node")
     nodes = written(nodes.select("cluster", "node", "comp", "text", F.length("text").alias("size")), "nodes")
     blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = nodes.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -353,11 +448,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         F.xxhash64("text").alias("_t"),
         "text",
     )
-    rows = written(identified.mapInArrow(_nodes(n), "_r long, doc_id long, _d long, _t long, n_shingles long, s1 long, s2 long"), "rows")
+    rows = written(identified.mapInArrow(_nodes(n), "_r long, doc_id long, _d long, _t long, n_shingles long, s1 long, s2 long, common binary"), "rows")
+    often = rows.filter("common is not null").select("common").mapInArrow(_each_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = [r.shingle for r in often.orderBy(F.desc("n"), "shingle").select("shingle").limit(COMMON).collect()]
+    common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(H.U)))  # COMMON numbers at most; they only save work
+    rows = rows.filter("_r is not null").drop("common")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
     buckets = shuffle_partitions(spark)
-    sent = docs.select("text").mapInArrow(_emit(n, percent, buckets), "bucket int, kind int, n int, blob binary")
+    sent = docs.select("text").mapInArrow(_emit(n, percent, buckets, common), "bucket int, kind int, n int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long, need long").distinct()
     members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node", "need"), "shared")
     for _ in range(2):  # what shares too few keys is linked with nothing; keys that one node is left of go as well
@@ -368,12 +467,20 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     members = members.select("key", "node")
     wanted = members.select("node").distinct().join(classes.select("node", "_d", "_t"), "node")
     # rows that agree in _d and _t have equal texts, so any of them will do
-    texts = written(identified.select("_d", "_t", "text").join(wanted, ["_d", "_t"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = written(identified.select("_d", "_t", "text").join(wanted, ["_d", "_t"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(_marked(n), "node long, text string, size long, bits binary"), "texts")
     heads = written(_leaders(members), "leaders")
     met = members.join(heads, "key").filter("node <> leader")
-    pairs = met.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
-    with_text = pairs.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("lead_text")), "leader")
-    links = written(with_text.select("leader", "node", "text", "lead_text").mapInArrow(_compare(n, percent), "a long, b long"), "links")
+    pairs = written(met.groupBy("leader", "node").agg(F.count("*").alias("shared")), "pairs")
+    # each node first meets the leader that it shares most with; mostly that links it
+    best = pairs.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("b")).select(F.least("node", "b.leader").alias("leader"), F.greatest("node", "b.leader").alias("node")).distinct()
+    best = written(best, "best")
+    links = written(_verified(_bounded(best, texts, percent), texts, n, percent), "links")
+    comp = written(components(links), "components")
+    # then, across components, all its other leaders, if the bitmaps let it
+    across = pairs.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct().join(best, ["leader", "node"], "left_anti")
+    across = _across(across, comp)
+    bounded = written(_bounded(across, texts, percent), "bounded")
+    links = links.unionByName(written(_verified(bounded, texts, n, percent), "links"))
     comp = written(components(links), "components")
     # a key is done with when its members but the leader, now compared with all of them, are in one component
     rest = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
