@@ -78,6 +78,39 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS win FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+), c AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS pos FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM p) WHERE n > 1
+), t AS (
+  SELECT r, pos, w[pos] AS word FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS pos FROM d)
+), k AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM t ANTI JOIN c USING (r, pos) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+""",
+    "op8_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS win FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) AS i FROM d WHERE len(h) >= 200)
+), l AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(win) ORDER BY doc_id, i) AS n FROM p) WHERE n > 1
+), g AS (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM l
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM g) GROUP BY doc_id, span
+), x AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS last FROM s
+), k AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans, string_agg(substring(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || any_value(CASE WHEN last THEN substring(h, 2 * b + 1) END) AS kept
+  FROM x JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
     "op6_ngram_jaccard": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
