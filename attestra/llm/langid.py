@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 #: Bounds of the sample that the classifier is fitted on.
 SAMPLE, DICTIONARY_BYTES = 400, 96 << 10
 #: Text is scored in blocks of so many bytes, so that all of a long text is compared with the dictionary.
-BLOCK = 4 << 10
+BLOCK = 2 << 10
+#: Each block follows so many bytes of the dictionary itself, so that the shortest text is encoded rather than stored; what they take is subtracted.
+LEAD = 128
 #: Relative size differences below this are too narrow to tell.
 MARGIN = 0.002
 LEVEL = 9
@@ -66,11 +68,13 @@ def dictionaries(docs: DataFrame, training: Column, sample: int = SAMPLE, size:
 def _score(trained: list[tuple[str, bytes]], margin: float):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs = [lang for lang, _ in trained]
-        models = []
+        models, leads = [], []
         for _, content in trained:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
+            leads.append(content[len(content) // 2 : len(content) // 2 + LEAD])
             models.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        alone = [len(m.compress(lead)) for m, lead in zip(models, leads, strict=True)]
         for texts in batches:
             found = []
             for text in texts:
@@ -79,7 +83,7 @@ def _score(trained: list[tuple[str, bytes]], margin: float):
                     continue
                 data = text.lower().encode("utf-8", "surrogatepass")
                 cuts = range(0, len(data), BLOCK)
-                sizes = np.array([sum(len(m.compress(data[c : c + BLOCK])) for c in cuts) for m in models], float) - 9 * len(cuts)
+                sizes = np.array([sum(len(m.compress(lead + data[c : c + BLOCK])) - n for c in cuts) for m, lead, n in zip(models, leads, alone, strict=True)], float)
                 best = int(sizes.argmin())
                 smallest = max(sizes[best], 1.0)
                 gap = (np.partition(sizes, 1)[1] - smallest) / smallest if len(sizes) > 1 else 1.0
