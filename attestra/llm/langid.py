@@ -18,7 +18,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,8 +65,11 @@ def dictionaries(docs: DataFrame, training: Column, sample: int = SAMPLE, size:
     return out
 
 
+_RESULT = [("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]
+
+
 def _score(trained: list[tuple[str, bytes]], margin: float):
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs = [lang for lang, _ in trained]
         models, leads = [], []
         for _, content in trained:
@@ -77,8 +80,8 @@ def _score(trained: list[tuple[str, bytes]], margin: float):
         alone = [len(m.compress(lead)) for m, lead in zip(models, leads, strict=True)]
         for texts in batches:
             found = []
-            for text in texts:
-                if not isinstance(text, str) or not langs or not any(map(str.isalpha, text)):
+            for text in (x.as_py() for x in texts):  # one at a time: a batch of texts isn't held twice
+                if text is None or not langs or not any(map(str.isalpha, text)):
                     found.append(("und", 0.0, 0.0, True))
                     continue
                 data = text.lower().encode("utf-8", "surrogatepass")
@@ -89,7 +92,8 @@ def _score(trained: list[tuple[str, bytes]], margin: float):
                 gap = (np.partition(sizes, 1)[1] - smallest) / smallest if len(sizes) > 1 else 1.0
                 share = np.exp2(-(sizes - sizes[best]))
                 found.append((langs[best], float(1 / share.sum()), float(gap), bool(gap < margin)))
-            yield pd.DataFrame(found, columns=["lang_pred", "score", "margin", "rejected"])
+            columns = [pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(_RESULT)]
+            yield pa.StructArray.from_arrays(columns, [n for n, _ in _RESULT])
 
     return score
 
@@ -101,7 +105,7 @@ def identify(docs: DataFrame, trained: dict[str, bytes], margin: float = MARGIN)
     rejected; so is everything if nothing was learned.  Ties go to the language
     that sorts first.  Only the text is looked at.
     """
-    udf = F.pandas_udf(_score(sorted(trained.items()), margin), "lang_pred string, score double, margin double, rejected boolean")
+    udf = F.arrow_udf(_score(sorted(trained.items()), margin), "lang_pred string, score double, margin double, rejected boolean")
     made = ["lang_pred", "score", "margin", "rejected"]
     kept = docs.drop(*made, "_id")
     return kept.withColumn("_id", udf("text")).select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"_id.{c}") for c in made])
