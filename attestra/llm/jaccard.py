@@ -43,6 +43,7 @@ from attestra.llm.components import components
 FLUSH = 1 << 19
 #: Nodes, and bytes of their texts, in a block of a tile.
 BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
+LED = 256
 #: A shingle in so many sets of one task's share is common; of these the most frequent are known everywhere.
 OFTEN, COMMON = 3, 200_000
 _LIMITS = [1]
@@ -294,10 +295,20 @@ def _leaders(members: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (leader, node)."""
+    """The links (a, b) among pairs (leader, node).
+
+    A leader's nodes are dealt to groups of about ``LED``; each group gets the
+    leader's text once, ahead of the nodes' texts.
+    """
     text = texts.select("node", "text")
-    with_text = pairs.join(text, "node").join(text.toDF("leader", "lead_text"), "leader")
-    return with_text.select("leader", "node", "text", "lead_text").mapInArrow(_compare(n, percent), "a long, b long")
+    groups = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LED).cast("int").alias("groups"))
+    led = pairs.join(groups, "leader").withColumn("group", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    led = led.join(text, "node").select("leader", "group", F.lit(False).alias("leads"), "node", "text")
+    leads = groups.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("node", F.col("leader"))
+    leads = leads.join(text, "node").select("leader", "group", F.lit(True).alias("leads"), "node", "text")
+    dealt = led.unionByName(leads).repartition(shuffle_partitions(pairs.sparkSession), "leader", "group")
+    ordered = dealt.sortWithinPartitions("leader", "group", F.desc("leads"))
+    return ordered.select("leader", "leads", "node", "text").mapInArrow(_compare(n, percent), "a long, b long")
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -406,22 +417,21 @@ def _tile(values: np.ndarray, offsets: np.ndarray, own: np.ndarray, comp: np.nda
 
 
 def _compare(n: int, percent: int):
+    """Rows come leader by leader, its own text first."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, held, maps = None, None, {}
-        for whole in batches:
-            for part in chunks(iter([whole])):
-                values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
-                names = [part.column(part.schema.get_field_index(c)).to_numpy() for c in ("leader", "node")]
-                leads = part.column(part.schema.get_field_index("lead_text"))
-                found = []
-                for i, lead in enumerate(names[0].tolist()):
-                    if lead != leader:
-                        leader, held = lead, shingle_sets(leads.slice(i, 1), n)[0]
-                        maps = {}
-                    own = values[offsets[i] : offsets[i + 1]]
-                    found.append(similar(held, own, percent, maps))
-                found = np.array(found, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(x[found], pa.int64()) for x in names], ["a", "b"])
+        held, maps = None, {}
+        for part in chunks(batches):
+            values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
+            leader, node, leads = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("leader", "node", "leads"))
+            found = np.zeros(len(node), bool)
+            for i in range(len(node)):
+                own = values[offsets[i] : offsets[i + 1]]
+                if leads[i]:
+                    held, maps = own.copy(), {}
+                else:
+                    found[i] = similar(held, own, percent, maps)
+            yield pa.RecordBatch.from_arrays([pa.array(leader[found], pa.int64()), pa.array(node[found], pa.int64())], ["a", "b"])
 
     return compare
 
