@@ -49,12 +49,14 @@ def dictionaries(docs: DataFrame, training: Column, sample: int = SAMPLE, size:
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     share = max(64, size // sample)
     usable = docs.filter(training & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    cut = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - 4 * share) / 2).cast("int")), F.lit(4 * share))
-    picked = usable.select("lang", "doc_id", cut.alias("text"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SALTS)).alias("_salt"))
+    picked = usable.select("lang", "doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SALTS)).alias("_salt")).distinct()
     for group in (["lang", "_salt"], ["lang"]):  # so that no task gets what every task has kept of a language
         picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col("_n") <= sample)
+    # texts of the picked ids only: sample rows a language at most, small enough to broadcast
+    cut = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - 4 * share) / 2).cast("int")), F.lit(4 * share))
+    picked = usable.select("lang", "doc_id", cut.alias("text")).join(F.broadcast(picked.select("lang", "doc_id", "_n")), ["lang", "doc_id"])
     texts = defaultdict(list)
-    for row in picked.orderBy("lang", "_n").collect():  # sample rows a language at most
+    for row in picked.groupBy("lang", "doc_id", "_n").agg(F.min("text").alias("text")).orderBy("lang", "_n").collect():  # sample rows a language at most
         texts[row.lang].append(row.text)
     out = {}
     for lang, rows in sorted(texts.items()):
