@@ -241,26 +241,36 @@ def _emit(n: int, percent: int, buckets: int, common):
 
 def _judge(table: pa.Table) -> pa.Table:
     """key, s1, s2, need of every key that two nodes at least have."""
-    keys, kinds, nodes = [], [], []
-    for r in table.to_pylist():
-        raw = zstandard.ZstdDecompressor().decompress(r["blob"])
-        m, n = int(np.frombuffer(raw, "<i8", 1)[0]), r["n"]
-        own = np.frombuffer(raw, "<i8", 3 * m, 8).reshape(m, 3)
-        keys.append(np.frombuffer(raw, H.U, n, 8 + 24 * m))
-        nodes.append(own[np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 24 * m + 8 * n), dtype=np.int64)])
-        kinds.append(np.full(n, r["kind"], np.int8))
-    key, kind, node = np.concatenate(keys), np.concatenate(kinds), np.concatenate(nodes)
-    known = kind == 1
-    k, v = key[~known], node[~known]
-    order = np.lexsort((v[:, 1], v[:, 0], k))
-    k, v = k[order], v[order]
-    group = np.cumsum(np.append(0, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1]).any(1)
-    alive = np.bincount(group, new)[group] > 1 if len(k) else np.zeros(0, bool)
-    alive &= new
-    key, node = np.concatenate([key[known], k[alive]]), np.concatenate([node[known], v[alive]])
-    return pa.table({"key": pa.array(key.view(np.int64)), "s1": pa.array(node[:, 0]), "s2": pa.array(node[:, 1]), "need": pa.array(node[:, 2])})
+    keys, known, places, nodes, base = [], [], [], [], 0
+    for kind, n, blob in zip(*(table.column(c) for c in ("kind", "n", "blob")), strict=True):
+        raw, n = zstandard.ZstdDecompressor().decompress(blob.as_py()), n.as_py()
+        m = int(np.frombuffer(raw, "<i8", 1)[0])
+        nodes.append(np.frombuffer(raw, "<i8", 3 * m, 8).reshape(m, 3))
+        keys.append(np.frombuffer(raw, H.U, n, 8 + 24 * m).copy())
+        places.append(np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 24 * m + 8 * n), dtype=np.int32) + np.int32(base))
+        known.append(np.full(n, kind.as_py() == 1))
+        base += m
+    key, known, place, nodes = map(np.concatenate, (keys, known, places, nodes))
+    del keys, places
+    # nodes that several tasks have sent are one
+    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (nodes[order[1:], :2] != nodes[order[:-1], :2]).any(1)
+    one = np.empty(len(order), np.int32)
+    one[order] = np.cumsum(new, dtype=np.int32) - 1
+    nodes = nodes[order[new]]
+    node = one[place]
+    open_ = np.flatnonzero(~known)
+    open_ = open_[np.lexsort((node[open_], key[open_]))]
+    first = np.ones(len(open_), bool)
+    first[1:] = key[open_[1:]] != key[open_[:-1]]
+    new = first.copy()
+    new[1:] |= node[open_[1:]] != node[open_[:-1]]
+    group = np.cumsum(first, dtype=np.int32) - 1
+    shared = new & (np.bincount(group, new)[group] > 1) if len(open_) else new
+    picked = np.concatenate([np.flatnonzero(known), open_[shared]])
+    of = nodes[node[picked]]
+    return pa.table({"key": pa.array(key[picked].view(np.int64)), "s1": pa.array(of[:, 0]), "s2": pa.array(of[:, 1]), "need": pa.array(of[:, 2])})
 
 
 def _bitmap(values: np.ndarray, width: int) -> np.ndarray:
