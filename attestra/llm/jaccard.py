@@ -475,7 +475,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = rows.filter("_r is not null").drop("common")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
-    buckets = shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)
     sent = docs.select("text").mapInArrow(_emit(n, percent, buckets, common), "bucket int, kind int, n int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long, need long").distinct()
     members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node", "need"), "shared")
