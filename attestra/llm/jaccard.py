@@ -133,7 +133,8 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.
     parts they have 1 + spare in common.  A part with next to no shingles but
     common ones is thin, in both if they have it in common.  Thin parts aren't
     sent, unless a set has more of those than spares; what isn't sent can't be
-    asked for.
+    asked for, nor what a partner may not have sent: a set that sends its thin
+    parts may share but one key with a partner that has no more than spares.
     """
     telling = np.ones(len(values), bool)
     if len(common):
@@ -169,9 +170,8 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.
         key = H.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ H.mix((tile[used][of] * (1 << 32) + place).astype(H.U)))
         thin = count < weak[of]
         held_back = np.bincount(of, thin, len(used)).astype(np.int64)
-        held_back[held_back > spare] = 0
-        send = ~thin | (held_back[of] == 0)
-        need[used] = np.minimum(need[used], 1 + spare - held_back)
+        send = ~thin | (held_back > spare)[of]
+        need[used] = np.minimum(need[used], 1 + spare - np.minimum(held_back, spare))
         keys.append(key[send])
         owners.append(used[of[send]])
     if not keys:

@@ -102,6 +102,45 @@ def test_tiles_of_blocks_find_all_links(frame, docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.join(frame, 5, 80).collect()} == whole
 
 
+def _small_sets(seed, pairs):
+    """Texts of 12 to 16 words (8 to 12 shingles of 5), each with a second one that has a few words more, or one other word."""
+    r = random.Random(seed)
+    out = []
+    for i in range(pairs):
+        own = [f"p{i}x{j}" for j in range(r.randint(12, 16))]
+        other = [*own, *(f"q{i}x{j}" for j in range(r.randint(0, 2)))] if r.random() < 0.8 else [f"q{i}", *own[1:]]
+        out.append((" ".join(own), " ".join(other)))
+    return out
+
+
+@pytest.mark.parametrize("listed", [0, 0.3])
+def test_linked_sets_share_the_keys_that_they_need(listed):
+    import numpy as np
+    import pyarrow as pa
+
+    r, linked = random.Random(11), 0
+    values, offsets = jaccard.shingle_sets(pa.array([t for pair in _small_sets(5, 6000) for t in pair]), 5)
+    common = np.array(sorted(x for x in set(values.tolist()) if r.random() < listed), np.uint64)
+    keys, owners, need = jaccard.part_keys(values, offsets, 80, common)
+    of = collections.defaultdict(set)
+    for key, owner in zip(keys.tolist(), owners.tolist(), strict=True):
+        of[owner].add(key)
+    for i in range(0, len(need), 2):
+        a, b = (set(values[offsets[x] : offsets[x + 1]].tolist()) for x in (i, i + 1))
+        if a != b and 100 * len(a & b) >= 80 * len(a | b):
+            linked += 1
+            assert len(of[i] & of[i + 1]) >= max(need[i], need[i + 1])
+    assert linked > 3000
+
+
+def test_a_pair_of_small_sets_is_linked(spark):
+    """Alone, as keys of empty parts are shared by chance among many."""
+    own = [f"p84x{j}" for j in range(12)]
+    rows = [(1, " ".join(own)), (2, " ".join([*own, "q84x0", "q84x1"]))]  # 8 of 10 shingles
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 8, 1), (2, 10, 1)]
+
+
 def test_decontamination(spark, frame, docs, monkeypatch):
     long, short = docs[0][1] or "", "One two"
     items = [(1, " ".join(words(dict(docs)[5])[2:30])), (2, short), (3, None), (4, "  --  "), (5, "w1"), (5, "w2 w3"), (None, long)]
