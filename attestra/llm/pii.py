@@ -14,9 +14,9 @@ All of it is DataFrame functions.
 Scale: base spans are computed row by row; only mentions (a pattern word, a
 value, a kind) are shuffled, aggregated by pattern and by value before any
 join, so a frequent word is one row.  Words are counted over all documents
-with partial sums, after a join with the few pattern words that enough
-distinct seeds share; Spark broadcasts those only if their written size is
-below its threshold.
+with partial sums; Spark joins with the words in front of enough distinct
+values before the sums only if those words' written size is below its
+broadcast threshold, and after them otherwise.
 """
 
 from __future__ import annotations
@@ -136,14 +136,14 @@ def bootstrap(docs: DataFrame, spans: DataFrame) -> DataFrame:
         mentions = mentions.unionByName(_candidates(spans, kind))
     for kind in KINDS:
         mentions = mentions.unionByName(_mentions(seeds, kind, True))
-    mentions = written(mentions.filter("left <> ''"), "mentions")
-    edges = mentions.groupBy("kind", "left", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    # a pattern needs distinct seeds; the others can't ever be trusted in the first round
-    lefts = mentions.filter("seed").groupBy("kind", "left").agg(F.count_distinct("value").alias("support")).filter(F.col("support") >= SUPPORT)
+    mentions = written(mentions, "mentions")
+    edges = mentions.filter("left <> ''").groupBy("kind", "left", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    # a pattern needs distinct trusted instances, seeds or discovered ones; words in front of fewer values can't be one in any round
+    lefts = edges.groupBy("kind", "left").agg(F.count("*").alias("values")).filter(F.col("values") >= SUPPORT).select("kind", "left")
     patterns = written(lefts.select("left").distinct(), "patterns")
     words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("left"))
-    total = words.join(patterns, "left", "left_semi").groupBy("left").agg(F.count("*").alias("total"))
-    edges = written(edges.join(total, "left"), "edges").withColumn("score", F.col("seed").cast("double"))
+    total = words.groupBy("left").agg(F.count("*").alias("total")).join(patterns, "left", "left_semi")
+    edges = written(edges.join(lefts, ["kind", "left"], "left_semi").join(total, "left"), "edges").withColumn("score", F.col("seed").cast("double"))
     for round_ in range(ROUNDS):
         confidence = edges.groupBy("kind", "left").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.count_if(F.col("score") > 0).alias("support"))
         confidence = confidence.filter(F.col("support") >= SUPPORT).withColumn("confidence", F.least("confidence", F.lit(0.999)))
@@ -151,8 +151,8 @@ def bootstrap(docs: DataFrame, spans: DataFrame) -> DataFrame:
         edges = edges.join(chance, ["kind", "value"], "left")
         score = F.when(F.col("seed"), 1.0).when(F.coalesce("chance", F.lit(0.0)) >= TRUST, F.col("chance")).otherwise(0.0)
         edges = written(edges.withColumn("score", score).drop("chance"), f"edges{round_}")
-    trusted = edges.filter("score > 0 and not seed").select("kind", "left", "value")
-    return mentions.filter("not seed").join(trusted, ["kind", "left", "value"]).select("_d", "_t", "kind", "start", "end").distinct()
+    trusted = edges.filter("score > 0 and not seed").select("kind", "value").distinct()
+    return mentions.filter("not seed").join(trusted, ["kind", "value"]).select("_d", "_t", "kind", "start", "end").distinct()
 
 
 def _joined(columns: dict[str, Column]) -> Column:

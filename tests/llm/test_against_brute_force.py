@@ -212,6 +212,16 @@ def test_pii_bootstrap_and_redaction(spark):
     assert text[50] == ("reach callme: [phone] now", 25) and text[0][0] == "write to callme: [phone] today" and text[51][0] == rows[13][1]
 
 
+def test_pii_patterns_grow_from_what_they_discover(spark):
+    rows = [(i, f"write to callme: +1 (555) 000-{1000 + i} today") for i in range(40)]
+    rows += [(100 + i, f"reach callme: 555 0100 44{10 + i} now") for i in range(8)]  # found behind a pattern of the seeds
+    rows += [(200 + i, f"or dial: 555 0100 44{10 + i} now") for i in range(8)]  # make a pattern of "dial:"
+    rows += [(300, "or dial: 555 0100 9977 now"), (301, "555 0100 9977"), (302, "year 555 0100 8866")]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(found[100 + i] == "phone:14:27" and found[200 + i] == "phone:9:22" for i in range(8))
+    assert found[300] == "phone:9:22" and found[301] == "phone:0:13" and found[302] == ""
+
+
 def test_chat_snapshots(spark):
     full = [("user", "a"), ("assistant", "b"), ("user", "c")]
     talks = {1: full[:1], 2: full[:2], 3: full, 4: full, 5: [("user", "a"), ("assistant", "x")], 6: [("assistant", "a")], 7: [("user", None)], 8: [("user", "")], 9: [(None, "<|end|>")]}
