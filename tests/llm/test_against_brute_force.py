@@ -275,6 +275,19 @@ def test_attention_model_sums_to_one_and_scores_each_place_once():
     assert np.allclose(two[:49], whole, atol=1e-4) and np.allclose(two[49:], whole, atol=1e-4)
 
 
+def test_attention_reads_ids_and_not_classes_alone():
+    import numpy as np
+    from attestra.llm import attention as A
+
+    r = np.random.default_rng(2)
+    ids = [np.append(np.stack([first := r.integers(0, 2, 24), first + 2], 1).ravel(), 4) for _ in range(40)]  # 0 is followed by 2, 1 by 3
+    streams = [np.array([0, 0, 1, 2, 3])[x] for x in ids]  # 0 and 1 are of one class
+    m = A.train(streams, 3, steps=200, ids=ids, size=4)
+    assert A.score(m, streams[0], np.array([0, 49]), ids[0])[1:48:2].mean() > -0.1  # a coin's, by class alone: -0.3
+    long = b"internationalisation" * 20 + b"xq"
+    assert lmscore.leading_ids([long], lmscore.RANKS)[0] == lmscore._encoding(lmscore.RANKS).encode_ordinary(" " + long.decode())[0]
+
+
 def test_language_id(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     training = langid.is_training(5)
