@@ -1,8 +1,7 @@
 """Deduplication of repeated byte strings: all but the first occurrence go.
 
-See the README for how this stands to a suffix array: suffixes are compared in
-buckets, one at a time, and long ties are resolved by the ranks of a sample of
-positions that covers every string; the sample is taken by content.
+Content-sampled level-wise hashing stands in place of a suffix array: no suffix
+is sorted and there are no ranks; windows are equal if their hashed runs are.
 :mod:`attestra.llm.repeats` has the levels and how they scale.
 """
 
