@@ -112,21 +112,35 @@ def retriever_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _Q = f"""q AS (SELECT doc_id, d.text AS document, b.text AS quote FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
-  UNION ALL SELECT doc_id, text, substring(text, 11, 60) FROM documents UNION ALL SELECT doc_id, text, 'too short' FROM documents UNION ALL SELECT doc_id, text, ' ' FROM documents),
+  UNION ALL SELECT doc_id, text, substring(text, 11, 60) FROM documents UNION ALL SELECT doc_id, text, substring(text, len(text) // 3 + 1, 60) FROM documents UNION ALL SELECT doc_id, text, 'too short' FROM documents UNION ALL SELECT doc_id, text, ' ' FROM documents),
 n AS (SELECT doc_id, quote, trim(quote) = '' AS blank, {NORMAL.format('quote')} AS qn, {NORMAL.format('document')} AS dn FROM q),
 v AS (SELECT doc_id, md5(quote) AS quote_key, CASE WHEN blank THEN 'empty' WHEN len(qn) < 25 THEN 'too short' WHEN instr(dn, qn) > 0 THEN 'exact' ELSE 'not found' END AS reason, CAST(instr(dn, qn) - 1 AS INTEGER) AS pos FROM n)"""
 
 
-@C.add("quote_exact", f"WITH {_Q} SELECT doc_id, quote_key, reason = 'exact' AS valid, reason, CASE WHEN reason = 'exact' THEN pos ELSE -1 END AS position FROM v")
-def quote_exact(spark: SparkSession, sf: str) -> DataFrame:
+def _quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, text and all quotations that are looked for in it, as an array."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     n = items.agg(F.count("*").alias("n"))
-    keyed = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
-    whole = keyed.join(items.select("item_id", F.col("text").alias("quote")), "item_id").select("doc_id", "text", "quote")
-    more = docs.select("doc_id", "text", F.explode(F.array(F.substring("text", 11, 60), F.lit("too short"), F.lit(" "))).alias("quote"))
-    check = verification.verify(F.col("quote"), F.col("text"))
-    rows = whole.unionByName(more).select("doc_id", F.md5(F.col("quote").cast("binary")).alias("quote_key"), check.alias("c"))
-    return rows.select("doc_id", "quote_key", "c.valid", "c.reason", "c.position")
+    keyed = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one row
+    middle = F.substr("text", (F.length("text") / 3).cast("int") + 1, F.lit(60))
+    quotes = F.array(F.col("quote"), F.substring("text", 11, 60), middle, F.lit("too short"), F.lit(" "))
+    return keyed.join(items.select("item_id", F.col("text").alias("quote")), "item_id").select("doc_id", "text", quotes.alias("quotes"))
+
+
+@C.add("quote_exact", f"WITH {_Q} SELECT doc_id, quote_key, reason = 'exact' AS valid, reason, CASE WHEN reason = 'exact' THEN pos ELSE -1 END AS position FROM v")
+def quote_exact(spark: SparkSession, sf: str) -> DataFrame:
+    checks = verification.verify_each(F.col("quotes"), F.col("text"))
+    rows = _quotes(spark, sf).select("doc_id", F.inline(F.arrays_zip(F.col("quotes").alias("quote"), checks.alias("c"))))
+    return rows.select("doc_id", F.md5(F.col("quote").cast("binary")).alias("quote_key"), "c.valid", "c.reason", "c.position")
+
+
+@C.add("quote_tiers")
+def quote_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotations from the middle of every document: as they are, with letters changed every 20 and every 9 characters, and from elsewhere."""
+    d = table(spark, sf, "documents").filter("length(text) >= 200").select("doc_id", "text", F.substr("text", (F.length("text") / 2).cast("int") + 1, F.lit(90)).alias("q"))
+    quotes = F.array(F.col("q"), F.regexp_replace("q", "(?s)(.{19}).", "$1#"), F.regexp_replace("q", "(?s)(.{8}).", "$1#"), F.lit("nothing of this kind stands in any of the texts at all"))
+    found = verification.checked(d, quotes, F.col("text"), tolerance="fixed")
+    return found.select("doc_id", F.posexplode("checks").alias("kind", "c")).select("doc_id", "kind", "c.valid", "c.reason", F.round("c.similarity", 4).alias("similarity"), "c.position")
 
 
 @C.add("quote_reject_rate", f"WITH {_Q} SELECT count(*) AS n, round(avg(CASE WHEN reason <> 'exact' THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS reject_rate FROM v")
@@ -145,15 +159,15 @@ y AS (SELECT doc_id, i, s, len(list_intersect(words, string_split({NORMAL.format
 SELECT doc_id, CAST(n AS INTEGER) AS overlap, s AS sentence FROM y WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1""",
 )
 def sentence_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.substring("text", 21, 300)
-    best = table(spark, sf, "documents").select("doc_id", verification.best_sentence(title, F.col("text")).alias("b")).filter("b is not null")
-    return best.select("doc_id", F.col("b.n").alias("overlap"), F.col("b.s").alias("sentence"))
+    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 21, 300).alias("title"), F.col("text").alias("document"))
+    return verification.best_sentences(rows, "doc_id").select("doc_id", F.col("n").alias("overlap"), "sentence")
 
 
 @C.add("fuzzy_quotes")
 def fuzzy_quotes(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("d"))
-    quote = F.concat(F.substring("d", 20, 40), F.lit("x"), F.substring("d", 61, 40))
+    at = (F.length("d") / 2).cast("int")
+    quote = F.concat(F.substr("d", at + 1, F.lit(40)), F.lit("x"), F.substr("d", at + 42, F.lit(40)))
     return d.select("doc_id", F.round(verification.fuzzy_similarity("fixed")(quote, F.col("d")), 4).alias("similarity"))
 
 
@@ -208,8 +222,7 @@ u AS (SELECT *, round(CASE WHEN article IN ('37', '35', '22') THEN least(c0, 0.6
 
 def _verdicts(spark: SparkSession) -> DataFrame:
     found = _evidence(spark)
-    proof = verification.verify(F.col("quote"), F.lit(DOCUMENT), verification.SHORTEST_EXCLUSION)["valid"]
-    exemptions = CLAIMED.df(spark).join(KNOWN.df(spark), ["article", "reference"]).filter(proof)
+    exemptions = verdicts.exemptions(CLAIMED.df(spark).withColumn("document", F.lit(DOCUMENT)), KNOWN.df(spark))
     diagnostics = found.filter("rejected").groupBy("article").agg(F.count("*").alias("n"))
     return verdicts.article_verdicts(found, exemptions, diagnostics)
 

@@ -213,12 +213,14 @@ def upload_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add(
     "password_policy",
-    """WITH p AS (SELECT page_id, left(url, CAST(8 + page_id % 20 AS INTEGER)) || CASE WHEN page_id % 2 = 0 THEN 'X' ELSE '' END AS pw FROM pages)
-SELECT page_id, len(pw) BETWEEN 12 AND 128 AND CAST(regexp_matches(pw, '[a-z]') AS INTEGER) + CAST(regexp_matches(pw, '[A-Z]') AS INTEGER) + CAST(regexp_matches(pw, '[0-9]') AS INTEGER) + CAST(regexp_matches(pw, '[^a-zA-Z0-9]') AS INTEGER) >= 3
-  AND lower(pw) NOT IN ('password', 'motdepasse', '123456789012', 'administrateur') AS accepted FROM p""",
+    r"""WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Abcdefghijk ' WHEN 1 THEN 'Abcdefghij_k' WHEN 2 THEN 'QwertyUiop' ELSE left(url, CAST(8 + page_id % 20 AS INTEGER)) END || CASE WHEN page_id % 2 = 0 THEN 'X' ELSE '' END AS pw FROM pages)
+SELECT page_id, len(pw) BETWEEN 12 AND 128 AND CAST(regexp_matches(pw, '[a-z]') AS INTEGER) + CAST(regexp_matches(pw, '[A-Z]') AS INTEGER) + CAST(regexp_matches(pw, '\p{Nd}') AS INTEGER) + CAST(regexp_matches(pw, '[^\p{L}\p{N}_\s]') AS INTEGER) >= 3
+  AND lower(pw) NOT IN ('password', 'motdepasse', 'azertyuiop', '123456789012', 'qwertyuiop') AS accepted FROM p""",
 )
 def password_policy(spark: SparkSession, sf: str) -> DataFrame:
-    pw = F.concat(F.left("url", (F.col("page_id") % 20 + 8).cast("int")), F.when(F.col("page_id") % 2 == 0, "X").otherwise(""))
+    kind = F.col("page_id") % 7
+    word = F.when(kind == 0, "Abcdefghijk ").when(kind == 1, "Abcdefghij_k").when(kind == 2, "QwertyUiop").otherwise(F.left("url", (F.col("page_id") % 20 + 8).cast("int")))
+    pw = F.concat(word, F.when(F.col("page_id") % 2 == 0, "X").otherwise(""))
     return table(spark, sf, "pages").select("page_id", T.password_accepted(pw).alias("accepted"))
 
 

@@ -56,12 +56,12 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GREEDY = r"""
-SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(trim(text), chr(10)), lambda p: trim(p)), lambda p: p <> ''), lambda p: [p]),
+SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(regexp_replace(trim(replace(text, chr(10), repeat(chr(10), 3)), W), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda p: trim(p, W)), lambda p: p <> ''), lambda p: [p]),
   lambda acc, x: CASE
     WHEN len(acc[-1]) + len(x[1]) + 2 <= 700 THEN list_append(list_slice(acc, 1, len(acc) - 1), CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || chr(10) || chr(10) || x[1] END)
     WHEN acc[-1] <> '' THEN list_append(acc, right(acc[-1], 150) || chr(10) || chr(10) || x[1])
     ELSE list_append(list_concat(list_slice(acc, 1, len(acc) - 1), list_transform(generate_series(0, CAST(ceil(len(x[1]) / 700.0) AS BIGINT) - 1), lambda i: substring(x[1], i * 700 + 1, 700))), '') END,
-  ['']) AS c FROM documents"""
+  ['']) AS c FROM documents""".replace(", W)", ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
 
 @C.add(
@@ -71,18 +71,26 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, c[i] AS chunk
 FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM ({_GREEDY})) WHERE NOT (i = len(c) AND c[i] = '')""",
 )
 def chunk_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_rows(table(spark, sf, "documents"), chunking.greedy_chunks(F.col("text"), delimiter="\n"))
+    # the tables' texts have single line ends: three of each make paragraphs of them
+    return chunking.chunk_rows(table(spark, sf, "documents"), chunking.greedy_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n\n"))))
 
 
 @C.add(
     "chunk_stats",
     """
-WITH c AS (SELECT greatest(1, len(substring(text, i * 700 + 1, 700)) // 4) AS t
-  FROM (SELECT text, unnest(generate_series(0, CAST(ceil(len(text) / 700.0) AS BIGINT) - 1)) AS i FROM documents WHERE len(text) > 0))
-SELECT count(*) AS n_passages, CAST(1 AS BIGINT) AS n_sections, min(t) AS min_tokens, CAST(sum(t) // count(*) AS BIGINT) AS avg_tokens, max(t) AS max_tokens FROM c""",
+WITH c AS (SELECT source, greatest(1, len(substring(text, i * 700 + 1, 700)) // 4) AS t
+  FROM (SELECT source, text, unnest(generate_series(0, CAST(ceil(len(text) / 700.0) AS BIGINT) - 1)) AS i FROM documents WHERE len(text) > 0))
+SELECT count(*) AS n_passages, count(DISTINCT source) AS n_sections, min(t) AS min_tokens, CAST(sum(t) // count(*) AS BIGINT) AS avg_tokens, max(t) AS max_tokens FROM c""",
 )
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_stats(chunk_fixed(spark, sf))
+    """Of slices, a document's source standing for their section; :func:`section_stats` has real ones."""
+    chunks = table(spark, sf, "documents").select("source", F.explode(chunking.hard_split(F.col("text"))).alias("chunk"))
+    return chunking.chunk_stats(chunks, section="source")
+
+
+@C.add("section_stats")
+def section_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk_stats(section_passages(spark, sf), "text", "section")
 
 
 @C.add("section_passages")
@@ -243,7 +251,7 @@ def prompt_excerpts(spark: SparkSession, sf: str) -> DataFrame:
 @C.add(
     "escape_and_redact",
     r"""
-SELECT page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
+SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
   trim(regexp_replace('Subject' || chr(13) || chr(10) || url, '[\r\n]+', ' ', 'g')) AS header, '[REDACTED]' AS password, url AS kept,
   CASE page_id % 3 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN NULL ELSE '2001:db8::1' END AS ip
 FROM pages""",
@@ -252,7 +260,7 @@ def escape_and_redact(spark: SparkSession, sf: str) -> DataFrame:
     payload = T.redact(F.create_map(F.lit("password"), F.col("url"), F.lit("page"), F.col("url")))
     raw = F.when(F.col("page_id") % 3 == 0, "10.0.0.1, 10.9.9.9").when(F.col("page_id") % 3 == 1, "300.1.1.1").otherwise("2001:db8::1")
     return table(spark, sf, "pages").select(
-        "page_id", T.html_escape(F.left("html", F.lit(200))).alias("escaped"), T.header_safe(F.concat(F.lit("Subject\r\n"), "url")).alias("header"),
+        "page_id", T.html_escape(F.col("html")).alias("escaped"), T.header_safe(F.concat(F.lit("Subject\r\n"), "url")).alias("header"),
         payload["password"].alias("password"), payload["page"].alias("kept"), T.valid_ip(raw).alias("ip"),
     )
 
@@ -261,4 +269,4 @@ def escape_and_redact(spark: SparkSession, sf: str) -> DataFrame:
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     from attestra.functions.vectors import hashing_embedder
 
-    return table(spark, sf, "documents").select("doc_id", hashing_embedder()(F.left("text", F.lit(8000))).alias("embedding"))
+    return table(spark, sf, "documents").select("doc_id", hashing_embedder()(F.col("text")).alias("embedding"))

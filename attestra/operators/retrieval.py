@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.functions import vectors as V
 
 RRF = 60  # fixed value of reciprocal rank fusion
+#: Vectors in a block of queries and of candidates, and candidate blocks that one copy of the queries meets.
+QUERY_BLOCK, BLOCK, BLOCKS_A_SALT = 256, 1024, 64
 
 
 def terms(query: Column) -> Column:
@@ -45,18 +50,80 @@ def lexical_topk(passages: DataFrame, requirements: DataFrame, k: Column, by: st
     return ranked.filter((F.col("rank") <= k) & ((F.col("score") > 0) | (F.col("best") <= 0))).drop("words", "body", "best")
 
 
+def _packed(rows: DataFrame, key: str, on: list[str], size: int, prefix: str) -> DataFrame:
+    """Blocks of up to ``size`` vectors of one length and one value of ``on``: numbers, and unit vectors as a matrix, in bytes.
+
+    Vectors that are null, hold null or no number, or have no length are in none.
+    """
+    schema = f"{prefix}dim int, " + "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in on) + f"{prefix}ids binary, {prefix}unit binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            lens = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null is no number
+            starts = np.cumsum(lens) - lens
+            keys = [batch.column(2 + i).to_pylist() for i in range(len(on))]
+            groups: dict[tuple, list[int]] = {}
+            for i, n in enumerate(lens.tolist()):
+                if n and ids[i].is_valid:
+                    groups.setdefault((n, *(k[i] for k in keys)), []).append(i)
+            for group, members in groups.items():
+                at = np.array(members)
+                matrix = flat[starts[at][:, None] + np.arange(group[0])]
+                with np.errstate(invalid="ignore"):
+                    length = np.sqrt((matrix * matrix).sum(1))
+                usable = np.isfinite(length) & (length > 0)
+                matrix, at = matrix[usable] / length[usable, None], at[usable]
+                numbers = ids.take(pa.array(at)).to_numpy(zero_copy_only=False).astype("<i8")
+                for low in range(0, len(at), size):
+                    made = [group[0], *group[1:], numbers[low : low + size].tobytes(), np.ascontiguousarray(matrix[low : low + size]).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, [pa.int32(), *(batch.schema.field(2 + i).type for i in range(len(on))), pa.binary(), pa.binary()], strict=True)], names)
+
+    names = [f"{prefix}dim", *on, f"{prefix}ids", f"{prefix}unit"]
+    return rows.select(F.col(key).cast("long").alias(key), "vector", *on).mapInArrow(pack, schema)
+
+
+def _best(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest of each query in each pair of blocks."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q_ids, q_unit, c_ids, c_unit = (batch.column(batch.schema.get_field_index(c)) for c in ("q_ids", "q_unit", "c_ids", "c_unit"))
+            for i in range(batch.num_rows):  # a pair of blocks a record
+                q, c = np.frombuffer(q_ids[i].as_buffer(), "<i8"), np.frombuffer(c_ids[i].as_buffer(), "<i8")
+                a, b = np.frombuffer(q_unit[i].as_buffer()).reshape(len(q), -1), np.frombuffer(c_unit[i].as_buffer()).reshape(len(c), -1)
+                by_id = np.argsort(c, kind="stable")
+                distance = np.round(1 - a @ b[by_id].T, 6)
+                distance[q[:, None] == c[by_id][None, :]] = np.inf
+                near = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(distance, near, 1)
+                real = np.isfinite(found)
+                rows = [np.repeat(q, real.sum(1)), c[by_id][near][real], found[real] + 0.0]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["query_id", "id", "distance"])
+
+    return best
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
     """query_id, rank, id, distance: exact cosine neighbours, ties by id.
 
-    ``on``: columns that must be equal (tenant, document) and are joined on
-    before any distance is computed.  Spark prunes to the k best of each query
-    within a task before the shuffle.
+    ``on``: columns that must be equal (tenant, document); blocks of vectors
+    that agree in them (and in length) meet.  Both sides travel as blocks of
+    unit vectors, so a row of the join is a pair of blocks and one product of
+    matrices; what leaves it are the k best of each query.  Candidate blocks
+    are dealt over salts, so that a hot value of ``on`` is no single task, and
+    the queries' blocks are copied once for every ``BLOCKS_A_SALT`` of those.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"), *(on or []))
-    pairs = candidates.join(q, on) if on else candidates.crossJoin(F.broadcast(q))
-    pairs = pairs.filter("id <> query_id").withColumn("distance", F.round(V.cosine_distance(F.col("_q"), F.col("vector")), 6)).filter("distance is not null")
+    on = on or []
+    asked, offered = _packed(queries, "query_id", on, QUERY_BLOCK, "q_"), _packed(candidates, "id", on, BLOCK, "c_")
+    many = offered.groupBy(F.col("c_dim").alias("n_dim"), *on).agg(F.ceil(F.count("*") / BLOCKS_A_SALT).cast("int").alias("salts"))
+    salted = offered.join(many.withColumnRenamed("n_dim", "c_dim"), ["c_dim", *on]).withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.col("salts")).cast("int")).drop("salts")
+    copies = asked.join(many.withColumnRenamed("n_dim", "q_dim"), ["q_dim", *on]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = copies.join(salted.withColumnRenamed("c_dim", "q_dim"), ["q_dim", *on, "salt"])
+    found = pairs.select("q_ids", "q_unit", "c_ids", "c_unit").mapInArrow(_best(k), "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def fuse(rankings: list[DataFrame], k: int) -> DataFrame:

@@ -71,13 +71,14 @@ def propagate(verdicts: DataFrame) -> DataFrame:
     ).drop("_out", "master")
 
 
-def applicability(answers: DataFrame) -> DataFrame:
+def applicability(answers: DataFrame, tolerance: str | None = None) -> DataFrame:
     """applicable, diagnostic for rows (failed, condition_met, applicable_said, quote, needs_proof, document).
 
     A failed or contradictory answer keeps the article in scope, and so does an
     exclusion whose quotation isn't found, unless the article needs no proof.
     """
-    proof = Q.verify(F.col("quote"), F.col("document"), Q.SHORTEST_EXCLUSION)["valid"]
+    answers = Q.checked(answers, F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof")
+    proof = F.get("_proof", 0)["valid"]
     said = F.coalesce("applicable_said", F.lit(True))
     diagnostic = (
         F.when(F.col("failed"), "no answer")
@@ -87,7 +88,13 @@ def applicability(answers: DataFrame) -> DataFrame:
         .when(F.coalesce(F.trim("quote"), F.lit("")) == "", "exclusion without quotation")
         .when(~proof, "exclusion quotation not found")
     )
-    return answers.withColumns({"diagnostic": diagnostic, "applicable": said | diagnostic.isNotNull()})
+    return answers.withColumns({"diagnostic": diagnostic, "applicable": said | diagnostic.isNotNull()}).drop("_proof")
+
+
+def exemptions(claims: DataFrame, known: DataFrame, tolerance: str | None = None) -> DataFrame:
+    """article, reference, effect of the claims (article, reference, quote, document) that the catalogue knows and a verified quotation proves."""
+    proven = Q.checked(claims, F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof").filter(F.get("_proof", 0)["valid"])
+    return proven.join(known, ["article", "reference"]).select("article", "reference", "effect")
 
 
 def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -15,13 +15,51 @@ from attestra.functions import text as T
 SHORTEST, SHORTEST_EXCLUSION, SIMILAR = 25, 15, 0.90
 
 
+CHECK = "struct<valid:boolean,reason:string,similarity:double,position:int>"
+
+
+CHECK = "struct<valid:boolean,reason:string,similarity:double,position:int>"
+
+
+def _placed(quotes: Column, document: Column, shortest: int) -> Column:
+    """The normalised document (d) and of each quotation (m) what it is normalised (n), why it is rejected unseen (reason), and its place in d (at)."""
+    plain = F.transform(quotes, lambda q: F.struct(q.alias("q"), T.normalize(q).alias("n")))
+    marked = F.transform(plain, lambda x: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.trim(x["q"]), F.lit("")) == "", "empty").when(F.length(x["n"]) < shortest, "too short").alias("reason")))
+    place = lambda d: lambda x: F.struct(x["n"].alias("n"), x["reason"].alias("reason"), F.when(x["reason"].isNull(), F.instr(d, x["n"]) - 1).alias("at"))
+    # through a one-element array: what lambdas refer to is computed once
+    made = F.array(F.struct(T.normalize(document).alias("d"), marked.alias("m")))
+    return F.get(F.transform(made, lambda r: F.struct(r["d"].alias("d"), F.transform(r["m"], place(r["d"])).alias("m"))), 0)
+
+
+def _exact(x: Column) -> Column:
+    found = F.coalesce(x["at"] >= 0, F.lit(False))
+    reason = F.coalesce(x["reason"], F.when(found, "exact").otherwise("not found"))
+    return F.struct(found.alias("valid"), reason.alias("reason"), F.when(found, 1.0).otherwise(0.0).alias("similarity"), F.when(found, x["at"]).otherwise(-1).cast("int").alias("position"))
+
+
 def verify(quote: Column, document: Column, shortest: int = SHORTEST) -> Column:
     """valid, reason, similarity, position (in the normalised document, from 0) of one quotation, the exact tier."""
-    q, d = T.normalize(quote), T.normalize(document)
-    at = F.instr(d, q) - 1
-    reason = F.when(F.coalesce(F.trim(quote), F.lit("")) == "", "empty").when(F.length(q) < shortest, "too short").when(at >= 0, "exact").otherwise("not found")
-    valid = reason == "exact"
-    return F.struct(valid.alias("valid"), reason.alias("reason"), F.when(valid, 1.0).otherwise(0.0).alias("similarity"), F.when(valid, at).otherwise(-1).alias("position"))
+    return F.get(verify_each(F.array(quote), document, shortest), 0)
+
+
+def verify_each(quotes: Column, document: Column, shortest: int = SHORTEST) -> Column:
+    """The same for an array of quotations; the document is normalised once for all of them."""
+    return F.transform(_placed(quotes, document, shortest)["m"], _exact)
+
+
+def checked(rows: DataFrame, quotes: Column, document: Column, shortest: int = SHORTEST, tolerance: str | None = None, name: str = "checks") -> DataFrame:
+    """``rows`` with the checks of an array of quotations, as the column ``name``.
+
+    Tiers, strictest first: blank and short quotations are rejected, exact ones
+    (after normalising) accepted; with ``tolerance`` ("fixed" or "parity", see
+    :func:`_windows`) one that isn't found is accepted as "approximate" if a
+    window is similar enough, and tells its similarity if not.
+    """
+    if tolerance is None:
+        return rows.withColumn(name, verify_each(quotes, document, shortest))
+    # a Python function takes no lambdas' results directly: they are a column first
+    placed = rows.withColumn("_placed", _placed(quotes, document, shortest))
+    return placed.withColumn(name, graded(tolerance)(F.col("_placed.m"), F.col("_placed.d"))).drop("_placed")
 
 
 def quotations(many: Column, single: Column) -> Column:
@@ -31,14 +69,14 @@ def quotations(many: Column, single: Column) -> Column:
     return F.filter(joined, lambda x: x.isNotNull() & (F.trim(x) != ""))
 
 
-def evidence(elements: DataFrame) -> DataFrame:
+def evidence(elements: DataFrame, tolerance: str | None = None) -> DataFrame:
     """element rows (blocking, claimed, quotes, document) with verified, similarity, reason, retained, rejected.
 
     An element that is claimed without a quotation is rejected; with several,
     all must verify, and the lowest similarity counts.
     """
-    checks = F.transform("quotes", lambda q: verify(q, F.col("document")))
-    rows = elements.withColumn("checks", F.when(F.col("claimed"), checks))
+    asked = F.when(F.col("claimed"), F.col("quotes"))
+    rows = checked(elements, asked, F.col("document"), SHORTEST, tolerance)
     some = F.size("quotes") > 0
     verified = F.col("claimed") & some & F.forall("checks", lambda c: c["valid"])
     wrong = F.get(F.filter("checks", lambda c: ~c["valid"]), 0)["reason"]
@@ -59,43 +97,96 @@ def latest_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
     return answers.groupBy(*keys).agg(*[F.max_by(c, "position").alias(c) for c in answers.columns if c not in (*keys, "position")])
 
 
-def best_sentence(title: Column, document: Column) -> Column:
-    """The first of the document's sentences (40 characters or more) that shares most words over five letters with the title; two at least."""
-    words = F.array_distinct(F.filter(F.split(T.normalize(title), " "), lambda w: F.length(w) > 5))
-    marked = F.regexp_replace(document, r"([.!?])\s+", "$1\n")
-    sentences = F.filter(F.transform(F.split(marked, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= 40)
-    scored = F.transform(sentences, lambda s: F.struct(F.size(F.array_intersect(words, F.split(T.normalize(s), " "))).alias("n"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("s"))
-    best = F.aggregate(scored, start, lambda acc, x: F.when(x["n"] > acc["n"], x).otherwise(acc))
-    return F.when(best["n"] >= 2, best)
+def best_sentences(rows: DataFrame, by: str) -> DataFrame:
+    """by, n, sentence: of each document the first sentence (40 characters or more) that shares most words over five letters with the title; two at least.
+
+    rows: by, title, document.  Sentences become rows of their own, so each is
+    normalised once, and the best one is an aggregate with partial results.
+    """
+    asked = rows.select(by, F.array_distinct(F.filter(F.split(T.normalize(F.col("title")), " "), lambda w: F.length(w) > 5)).alias("words"), "document")
+    cut = asked.filter(F.size("words") >= 2).select(by, "words", F.posexplode(F.split("document", r"(?<=[.!?])\s+|\n")).alias("i", "s"))
+    plain = cut.withColumn("s", F.trim("s")).filter(F.length("s") >= 40).withColumn("own", F.split(T.normalize(F.col("s")), " "))
+    scored = plain.select(by, "i", "s", F.size(F.array_intersect("words", "own")).alias("n"))
+    # an extra step between: the count isn't taken anew for each use below
+    best = scored.groupBy(by).agg(F.max(F.struct("n", (-F.col("i")).alias("first"), "s")).alias("b"))
+    return best.filter("b.n >= 2").select(by, "b.n", F.col("b.s").alias("sentence"))
+
+
+def _windows(q: str, d: str, mode: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the stretches of d that may be q: around every place of a piece of q, or all along d if there is none.
+
+    "fixed": windows are as long as q.  If q and a window are SIMILAR, less than
+    one character in ten is changed, so a piece of q of a certain length is
+    whole; every place of every such piece counts.  "parity" (fixed values):
+    pieces of 12 characters, 40 places and some 400 steps of the scan at most, and margins
+    of 20 characters or a fifth on both sides.
+    """
+    n = len(q)
+    if mode == "parity":
+        size, step, most, margin = 12, max(12, n // 8), 40, max(20, n // 5)
+        offsets = range(0, max(1, n - size), step)
+    else:
+        changed = int(n * (1 - SIMILAR) + 1e-9)
+        size, most, margin = max(1, (n - changed) // (changed + 1)), None, 0
+        offsets = range(0, n - size + 1)
+    places: dict[int, None] = {}
+    seen = 0
+    for i in offsets:
+        piece, at = q[i : i + size], -1
+        while (at := d.find(piece, at + 1)) >= 0 and (most is None or seen < most):
+            places[max(0, at - i)] = None
+            seen += 1
+    starts = sorted(places) or range(0, max(1, len(d) - n + 1), max(1, (len(d) - n) // 400))
+    for at in starts:
+        low = max(0, at - margin)
+        yield low, min(len(d), low + n + 2 * margin)
+
+
+def closest_window(q: str | None, d: str | None, mode: str = "fixed") -> tuple[float, int] | None:
+    """(similarity, start) of the window of d that is most similar to q, the first of equals; None without a quotation."""
+    if q is None or d is None:
+        return None
+    if not q or not d:
+        return 0.0, -1
+    best = (0.0, -1)
+    for low, high in _windows(q, d, mode):
+        own = difflib.SequenceMatcher(None, q, d[low:high], autojunk=mode == "parity")
+        if own.real_quick_ratio() <= best[0] or own.quick_ratio() <= best[0]:
+            continue
+        if (found := own.ratio()) > best[0]:
+            best = found, low
+        if found >= 0.99:
+            break
+    return best
+
+
+def graded(mode: str = "fixed"):
+    """A column function of (array of quotations: n, reason, at; normalised document): the checks of :func:`checked`, with the fuzzy tier."""
+
+    def check(x: dict, d: str) -> dict:
+        if x["reason"] is not None:
+            return {"valid": False, "reason": x["reason"], "similarity": 0.0, "position": -1}
+        if x["at"] is None or x["at"] >= 0:
+            found = x["at"] is not None
+            return {"valid": found, "reason": "exact" if found else "not found", "similarity": float(found), "position": x["at"] if found else -1}
+        similarity, at = closest_window(x["n"], d, mode)
+        similar = similarity >= SIMILAR
+        return {"valid": similar, "reason": "approximate" if similar else "not found", "similarity": similarity, "position": at if similar else -1}
+
+    @F.pandas_udf(f"array<{CHECK}>")
+    def checks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for quotes, documents in batches:
+            yield pd.Series([None if many is None else [check(x, d) for x in many] for many, d in zip(quotes, documents, strict=True)])
+
+    return checks.asNondeterministic()  # so that the optimiser neither repeats it nor moves it into a filter
 
 
 def fuzzy_similarity(mode: str = "fixed"):
-    """A column function of (quotation, document): the best similarity of a window to the quotation, both normalised.
-
-    "fixed" windows are as long as the quotation; "parity" ones have a margin
-    of 20 characters or a fifth on both sides, which keeps the ratio below
-    the threshold but at a document's end.
-    """
+    """A column function of (quotation, document), both normalised: the best similarity of a window to the quotation."""
 
     @F.pandas_udf("double")
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for quotes, documents in batches:
-            out = []
-            for q, d in zip(quotes, documents, strict=True):
-                if not q or not d:
-                    out.append(0.0)
-                    continue
-                if q in d:
-                    out.append(1.0)
-                    continue
-                margin = max(20, len(q) // 5) if mode == "parity" else 0
-                anchors = sorted({d.find(q[i : i + 12]) - i for i in range(0, max(1, len(q) - 11), 6)} - {-1 - i for i in range(0, len(q), 6)})
-                best = 0.0
-                for at in [a for a in anchors if a > -len(q)][:40]:
-                    window = d[max(0, at - margin) : at + len(q) + margin]
-                    best = max(best, difflib.SequenceMatcher(None, q, window, autojunk=mode == "parity").ratio())
-                out.append(best)
-            yield pd.Series(out)
+            yield pd.Series([(closest_window(q, d, mode) or (0.0, -1))[0] for q, d in zip(quotes, documents, strict=True)])
 
     return similarity
