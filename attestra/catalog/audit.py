@@ -171,104 +171,123 @@ def fuzzy_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.round(verification.fuzzy_similarity("fixed")(quote, F.col("d")), 4).alias("similarity"))
 
 
-#: What a model said about elements of articles: quotations by "|".
-ANSWERS = Literal(
-    "article VARCHAR, criticality INTEGER, element VARCHAR, blocking BOOLEAN, claimed BOOLEAN, quotes VARCHAR",
-    (
-        ("30", 4, "register", True, True, "The register is kept up to date by the officer"), ("30", 4, "purposes", True, True, "Each purpose is written down in the register|Retention is written down for every purpose"),
-        ("30", 4, "extra", False, True, "This sentence is nowhere in the document at all"), ("32", 5, "encryption", True, True, "Backups are encrypted with keys kept elsewhere"),
-        ("32", 5, "tests", True, True, "Invented quotation about yearly penetration tests"), ("32", 5, "access", True, False, ""), ("33", 4, "notice", True, True, ""), ("33", 4, "log", True, True, "short"),
-        ("9", 5, "basis", True, False, ""), ("14", 2, "notice", True, False, ""), ("37", 4, "officer", True, True, "An officer has been appointed and is published"), ("22", 4, "none", False, True, "The register is kept up to date by the officer"),
-    ),
+#: Answers of a model about each document: elements of articles, claimed or not, with quotations from the text or from nowhere.
+ELEMENTS = Literal(
+    "idx INTEGER, article VARCHAR, criticality INTEGER, element VARCHAR, blocking BOOLEAN",
+    ((0, "30", 4, "register", True), (1, "30", 4, "purposes", True), (2, "30", 4, "extra", False), (3, "32", 5, "encryption", True), (4, "32", 5, "tests", True), (5, "37", 4, "officer", True), (6, "9", 5, "basis", True), (7, "14", 2, "notice", True), (8, "22", 4, "none", False)),
 )
-DOCUMENT = "The register is kept up to date by the officer. Each purpose is written down in the register; retention is written down for every purpose. Backups are encrypted with keys kept elsewhere. An officer has been appointed, and is published."
 KNOWN = Literal("article VARCHAR, reference VARCHAR, effect VARCHAR", (("9", "9(2)(h)", "compliant"), ("14", "14(5)(b)", "out_of_scope"), ("30", "30(5)", "out_of_scope")))
-CLAIMED = Literal(
-    "article VARCHAR, reference VARCHAR, quote VARCHAR",
-    (("9", "9(2)(h)", "keys kept elsewhere"), ("14", "14(5)(z)", "keys kept elsewhere"), ("14", "14(5)(b)", "Backups are encrypted"), ("32", "32(9)", "Backups are encrypted"), ("33", "33(1)", None)),
-)
+INVENTED = "Invented quotation that is nowhere in any document of the tables"
 
-_EV = f"""a AS (SELECT *, list_filter(string_split(quotes, '|'), lambda q: trim(q) <> '') AS qs FROM {ANSWERS.sql()}), d AS (SELECT {NORMAL.format("'" + DOCUMENT + "'")} AS dn),
-k AS (SELECT a.*, list_transform(qs, lambda q: CASE WHEN len({NORMAL.format('q')}) < 25 THEN 'too short' WHEN contains(d.dn, {NORMAL.format('q')}) THEN 'exact' ELSE 'not found' END) AS ck FROM a, d),
+_EV = f"""a AS (SELECT doc_id, coalesce(text, '') AS document, article, criticality, element, blocking, (doc_id + idx) % 5 <> 0 AS claimed,
+  list_filter(CASE (doc_id * 3 + idx) % 6 WHEN 0 THEN [substring(text, 11, 60)] WHEN 1 THEN [substring(text, len(text) // 3 + 1, 80), substring(text, len(text) // 2 + 1, 40)] WHEN 2 THEN [' '] WHEN 3 THEN ['{INVENTED}'] WHEN 4 THEN ['short'] ELSE [left(text, 200)] END,
+    lambda q: q IS NOT NULL AND trim(q) <> '') AS qs FROM documents CROSS JOIN {ELEMENTS.sql()}),
+n AS (SELECT doc_id, text, {NORMAL.format("coalesce(text, '')")} AS dn FROM documents),
+k AS (SELECT a.*, list_transform(qs, lambda q: CASE WHEN len({NORMAL.format('q')}) < 25 THEN 'too short' WHEN contains(n.dn, {NORMAL.format('q')}) THEN 'exact' ELSE 'not found' END) AS ck FROM a JOIN n USING (doc_id)),
 e AS (SELECT *, claimed AND len(qs) > 0 AND len(list_filter(ck, lambda c: c <> 'exact')) = 0 AS verified FROM k)"""
 
 
-def _evidence(spark: SparkSession) -> DataFrame:
-    quotes = F.filter(F.split("quotes", r"\|"), lambda q: F.trim(q) != "")
-    return verification.evidence(ANSWERS.df(spark).withColumn("quotes", quotes).withColumn("document", F.lit(DOCUMENT)))
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    text, n = F.col("text"), F.length("text")
+    piece = lambda start, size: F.substr(text, start.cast("int") + 1, F.lit(size))
+    kind = (F.col("doc_id") * 3 + F.col("idx")) % 6
+    said = (
+        F.when(kind == 0, F.array(F.substring(text, 11, 60))).when(kind == 1, F.array(piece(F.floor(n / 3), 80), piece(F.floor(n / 2), 40))).when(kind == 2, F.array(F.lit(" ")))
+        .when(kind == 3, F.array(F.lit(INVENTED))).when(kind == 4, F.array(F.lit("short"))).otherwise(F.array(F.left(text, F.lit(200))))
+    )
+    rows = table(spark, sf, "documents").crossJoin(F.broadcast(ELEMENTS.df(spark)))  # nine rows
+    quotes = verification.quotations(said, F.lit(None).cast("string"))
+    return rows.select("doc_id", "article", "criticality", "element", "blocking", ((F.col("doc_id") + F.col("idx")) % 5 != 0).alias("claimed"), quotes.alias("quotes"), F.coalesce(text, F.lit("")).alias("document"))
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return verification.evidence(_answers(spark, sf))
 
 
 @C.add(
     "evidence_check",
     f"""
-WITH {_EV} SELECT article, element, verified, CASE WHEN verified THEN 1.0::DOUBLE ELSE 0.0 END AS similarity,
+WITH {_EV} SELECT doc_id, article, element, verified, CASE WHEN verified THEN 1.0::DOUBLE ELSE 0.0 END AS similarity,
   CASE WHEN claimed AND len(qs) = 0 THEN 'no quotation' WHEN claimed THEN list_filter(ck, lambda c: c <> 'exact')[1] END AS reason,
   CASE WHEN len(qs) > 0 THEN array_to_string(qs, ' […] ') END AS quotation, claimed AND verified AS retained, claimed AND NOT verified AS rejected FROM e""",
 )
 def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark).select("article", "element", "verified", "similarity", "reason", "quotation", "retained", "rejected")
+    return _evidence(spark, sf).select("doc_id", "article", "element", "verified", "similarity", "reason", "quotation", "retained", "rejected")
 
 
-_VERDICTS = f"""{_EV}, x AS (SELECT c.article, k2.effect FROM {CLAIMED.sql()} c JOIN {KNOWN.sql()} k2 USING (article, reference), d
-  WHERE c.quote IS NOT NULL AND len({NORMAL.format('c.quote')}) >= 15 AND contains(d.dn, {NORMAL.format('c.quote')})),
-g AS (SELECT article, criticality, count(*) FILTER (blocking) AS blocking, count(*) FILTER (blocking AND claimed AND verified) AS proven, count(*) FILTER (claimed AND NOT verified) AS unverified,
+_CLAIMED = f"""(SELECT doc_id, '9' AS article, '9(2)(h)' AS reference, substring(text, 11, 60) AS quote FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, '14', CASE WHEN doc_id % 2 = 0 THEN '14(5)(b)' ELSE '14(5)(z)' END, substring(text, 11, 60) FROM documents
+  UNION ALL SELECT doc_id, '30', '30(5)', CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '{INVENTED}' END FROM documents)"""
+_VERDICTS = f"""{_EV}, x AS (SELECT c.doc_id, c.article, k2.effect FROM {_CLAIMED} c JOIN {KNOWN.sql()} k2 USING (article, reference) JOIN n USING (doc_id)
+  WHERE c.quote IS NOT NULL AND trim(c.quote) <> '' AND len({NORMAL.format('c.quote')}) >= 15 AND contains(n.dn, {NORMAL.format('c.quote')})),
+g AS (SELECT doc_id, article, criticality, count(*) FILTER (blocking) AS blocking, count(*) FILTER (blocking AND claimed AND verified) AS proven, count(*) FILTER (claimed AND NOT verified) AS unverified,
   count(*) FILTER (NOT blocking AND NOT (claimed AND verified)) AS missing_minor FROM e GROUP BY ALL),
 w AS (SELECT g.*, CASE WHEN blocking > 0 AND proven = blocking THEN 'compliant' WHEN f.effect = 'compliant' THEN 'compliant' WHEN f.effect IS NOT NULL THEN 'out_of_scope' ELSE 'breach' END AS verdict
-  FROM g LEFT JOIN (SELECT article, min(effect) AS effect FROM x GROUP BY article) f USING (article)),
+  FROM g LEFT JOIN (SELECT doc_id, article, min(effect) AS effect FROM x GROUP BY doc_id, article) f USING (doc_id, article)),
 z AS (SELECT *, greatest(0, least(1, 0.9::DOUBLE - 0.2::DOUBLE * least(unverified, 3) - 0.1::DOUBLE * least(unverified, 3) - CASE WHEN verdict = 'compliant' THEN 0.05::DOUBLE * missing_minor ELSE 0 END)) AS c0 FROM w),
 u AS (SELECT *, round(CASE WHEN article IN ('37', '35', '22') THEN least(c0, 0.6::DOUBLE) ELSE c0 END, 4) AS confidence,
   CASE WHEN verdict = 'compliant' THEN 1.0::DOUBLE WHEN verdict = 'breach' AND blocking > 0 THEN least(0.5::DOUBLE, proven / blocking) ELSE 0.0::DOUBLE END AS credit FROM z)"""
 
 
-def _verdicts(spark: SparkSession) -> DataFrame:
-    found = _evidence(spark)
-    exemptions = verdicts.exemptions(CLAIMED.df(spark).withColumn("document", F.lit(DOCUMENT)), KNOWN.df(spark))
-    diagnostics = found.filter("rejected").groupBy("article").agg(F.count("*").alias("n"))
-    return verdicts.article_verdicts(found, exemptions, diagnostics)
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    found, docs = _evidence(spark, sf), table(spark, sf, "documents")
+    quote, odd = F.substring("text", 11, 60), F.col("doc_id") % 2 != 0
+    made = F.array(
+        F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("9").alias("article"), F.lit("9(2)(h)").alias("reference"), quote.alias("quote"))),
+        F.struct(F.lit("14").alias("article"), F.when(odd, "14(5)(z)").otherwise("14(5)(b)").alias("reference"), quote.alias("quote")),
+        F.struct(F.lit("30").alias("article"), F.lit("30(5)").alias("reference"), F.when(F.col("doc_id") % 4 != 0, INVENTED).alias("quote")),
+    )
+    claims = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("document"), F.inline(F.filter(made, lambda x: x.isNotNull())))
+    diagnostics = found.filter("rejected").groupBy("doc_id", "article").agg(F.count("*").alias("n"))
+    return verdicts.article_verdicts(found, verdicts.exemptions(claims, KNOWN.df(spark), by=("doc_id",)), diagnostics, by=("doc_id",))
 
 
-@C.add("article_verdicts", f"WITH {_VERDICTS} SELECT article, criticality, blocking, proven, verdict, credit, confidence, CASE WHEN confidence < 0.70 THEN 'low confidence' WHEN unverified > 0 THEN 'diagnostics' END AS review FROM u")
+@C.add("article_verdicts", f"WITH {_VERDICTS} SELECT doc_id, article, criticality, blocking, proven, verdict, credit, confidence, CASE WHEN confidence < 0.70 THEN 'low confidence' WHEN unverified > 0 THEN 'diagnostics' END AS review FROM u")
 def article_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark).select("article", "criticality", "blocking", "proven", "verdict", "credit", "confidence", "review")
+    return _verdicts(spark, sf).select("doc_id", "article", "criticality", "blocking", "proven", "verdict", "credit", "confidence", "review")
 
 
 @C.add(
     "weighted_score",
     f"""
-WITH {_VERDICTS}, f AS (SELECT 'doc' AS document, round(100.0::DOUBLE * sum(criticality * credit) / sum(criticality), 1) AS score, count(*) AS n_scored FROM u WHERE verdict IN ('compliant', 'breach'))
+WITH {_VERDICTS}, f AS (SELECT doc_id, coalesce(round(100.0::DOUBLE * sum(criticality * credit) FILTER (verdict IN ('compliant', 'breach')) / sum(criticality) FILTER (verdict IN ('compliant', 'breach')), 1), 0) AS score, count(*) FILTER (verdict IN ('compliant', 'breach')) AS n_scored FROM u GROUP BY doc_id)
 SELECT *, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'satisfactory' WHEN score >= 50 THEN 'partial' WHEN score >= 30 THEN 'low' ELSE 'critical' END AS level FROM f""",
 )
 def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.weighted(_verdicts(spark).withColumn("document", F.lit("doc")), "document")
+    return scoring.weighted(_verdicts(spark, sf), "doc_id")
 
 
-@C.add("loss_top5", f"WITH {_VERDICTS}, l AS (SELECT 'doc' AS document, article, round(criticality * (1 - credit), 2) AS lost FROM u WHERE verdict IN ('compliant', 'breach')) SELECT document, CAST(row_number() OVER (ORDER BY lost DESC, article) AS INTEGER) AS rank, article, lost FROM l WHERE lost > 0 QUALIFY rank <= 5")
+@C.add("loss_top5", f"WITH {_VERDICTS}, l AS (SELECT doc_id, article, round(criticality * (1 - credit), 2) AS lost FROM u WHERE verdict IN ('compliant', 'breach')) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lost DESC, article) AS INTEGER) AS rank, article, lost FROM l WHERE lost > 0 QUALIFY rank <= 5")
 def loss_top5(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.losses(_verdicts(spark).withColumn("document", F.lit("doc")), "document")
+    return scoring.losses(_verdicts(spark, sf), "doc_id")
 
 
-@C.add("verdict_synopsis", f"WITH {_VERDICTS} SELECT 'doc' AS document, count(*) AS n, count(*) FILTER (verdict = 'compliant') AS compliant, count(*) FILTER (verdict = 'breach') AS breach, count(*) FILTER (verdict = 'out_of_scope') AS out_of_scope, count(*) FILTER (verdict = 'undetermined') AS undetermined FROM u")
+@C.add("verdict_synopsis", f"WITH {_VERDICTS} SELECT doc_id, count(*) AS n, count(*) FILTER (verdict = 'compliant') AS compliant, count(*) FILTER (verdict = 'breach') AS breach, count(*) FILTER (verdict = 'out_of_scope') AS out_of_scope, count(*) FILTER (verdict = 'undetermined') AS undetermined FROM u GROUP BY doc_id")
 def verdict_synopsis(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.synopsis(_verdicts(spark).withColumn("document", F.lit("doc")), "document")
+    return scoring.synopsis(_verdicts(spark, sf), "doc_id")
 
 
+#: Kinds of answers about an article's condition; "there" quotes the document, "no" is nowhere.
 GATE = Literal(
-    "article VARCHAR, failed BOOLEAN, condition_met BOOLEAN, applicable_said BOOLEAN, quote VARCHAR, needs_proof BOOLEAN",
-    (("1", True, None, False, None, True), ("2", False, True, False, "keys kept elsewhere", True), ("3", False, False, False, None, True), ("4", False, False, False, "nowhere to be found", True),
-     ("5", False, False, False, "keys kept elsewhere", True), ("6", False, None, False, None, False), ("7", False, True, True, None, True), ("8", False, None, None, None, True)),
+    "article VARCHAR, failed BOOLEAN, condition_met BOOLEAN, applicable_said BOOLEAN, quoted VARCHAR, needs_proof BOOLEAN",
+    (("1", True, None, False, None, True), ("2", False, True, False, "there", True), ("3", False, False, False, None, True), ("4", False, False, False, "no", True),
+     ("5", False, False, False, "there", True), ("6", False, None, False, None, False), ("7", False, True, True, None, True), ("8", False, None, None, None, True)),
 )
 
 
 @C.add(
     "applicability_gate",
     f"""
-WITH d AS (SELECT {NORMAL.format("'" + DOCUMENT + "'")} AS dn), g AS (SELECT *, coalesce(applicable_said, TRUE) AS said FROM {GATE.sql()}, d),
+WITH g AS (SELECT doc_id, {NORMAL.format("coalesce(text, '')")} AS dn, t.*, CASE quoted WHEN 'there' THEN substring(text, 11, 40) WHEN 'no' THEN '{INVENTED}' END AS quote, coalesce(applicable_said, TRUE) AS said FROM documents CROSS JOIN {GATE.sql()} t),
 x AS (SELECT *, CASE WHEN failed THEN 'no answer' WHEN condition_met <> said THEN 'contradiction' WHEN said THEN NULL WHEN NOT needs_proof THEN NULL WHEN coalesce(trim(quote), '') = '' THEN 'exclusion without quotation'
   WHEN NOT (len({NORMAL.format('quote')}) >= 15 AND contains(dn, {NORMAL.format('quote')})) THEN 'exclusion quotation not found' END AS diagnostic FROM g)
-SELECT article, diagnostic, said OR diagnostic IS NOT NULL AS applicable FROM x""",
+SELECT doc_id, article, diagnostic, said OR diagnostic IS NOT NULL AS applicable FROM x""",
 )
 def applicability_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts.applicability(GATE.df(spark).withColumn("document", F.lit(DOCUMENT))).select("article", "diagnostic", "applicable")
+    quote = F.when(F.col("quoted") == "there", F.substring("text", 11, 40)).when(F.col("quoted") == "no", INVENTED)
+    rows = table(spark, sf, "documents").crossJoin(F.broadcast(GATE.df(spark)))  # eight rows
+    rows = rows.withColumns({"quote": quote, "document": F.coalesce("text", F.lit(""))})
+    return verdicts.applicability(rows).select("doc_id", "article", "diagnostic", "applicable")
 
 
 _HEUR = f"""{_VECTORS}, p AS (SELECT q.vec_id AS query_id, min({_DIST.format('q', 'c')}) AS best FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.label = c.label WHERE q.vec_id % 20 = 0 GROUP BY ALL),
@@ -338,15 +357,28 @@ def severity_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.severity_counts(_findings(spark, sf), "audit_id")
 
 
+_SAFE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def _group_sql(kind: str, heading: str) -> str:
+    return f"""'<h2>{heading} (' || count(*) FILTER (kind = '{kind}') || ')</h2>' || CASE WHEN count(*) FILTER (kind = '{kind}') = 0 THEN '<p>Nothing to report.</p>' ELSE
+  string_agg(card, '' ORDER BY rk, reference, title, card) FILTER (kind = '{kind}') END"""
+
+
 @C.add(
     "report_html",
     f"""
-WITH {_FINDINGS}, h AS (SELECT audit_id, '<ul>' || string_agg('<li class="' || severity || '">' || replace(title, '&', '&amp;') || '</li>', '' ORDER BY
-  CASE kind WHEN 'non_conformity' THEN 0 WHEN 'improvement' THEN 1 ELSE 2 END, CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, reference, title) || '</ul>' AS html FROM k GROUP BY audit_id)
-SELECT audit_id, sha256(html) AS sha256, CAST(len(html) AS INTEGER) AS n FROM h""",
+WITH {_FINDINGS}, c AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END AS rk,
+  '<article class="' || severity || '"><span>' || reference || '</span><h3>' || {_SAFE.format("title")} || '</h3><p>' || {_SAFE.format("description")} || '</p>' || CASE WHEN status = 'not_applicable' THEN '' ELSE '<blockquote>' || {_SAFE.format("left(evidence, 400)")} || '</blockquote><aside>' || {_SAFE.format("recommendation")} || '</aside>' END
+  || '<small>' || model_used || '</small></article>' AS card FROM k JOIN (SELECT DISTINCT audit_id AS a2, reference AS r2, left(reference || ' — ' || title, 300) AS t2, title || ' <b>' AS description, 'see "' || title || '" & ' || repeat('more ', 100) AS evidence, 'fix ' || reference AS recommendation FROM l) ON a2 = audit_id AND r2 = reference AND t2 = title),
+h AS (SELECT audit_id, '<html><body><header>' || audit_id || ' v2</header><section>' || {" || ".join(f"CASE WHEN count(*) FILTER (status <> 'not_applicable' AND severity = '{x}') > 0 THEN '<b class=\"{x}\">{x} ' || count(*) FILTER (status <> 'not_applicable' AND severity = '{x}') || '</b>' ELSE '' END" for x in R.SEVERITIES)}
+  || '</section>' || {" || ".join(_group_sql(k, t) for k, t in scoring.GROUPS)} || '</body></html>' AS html FROM c GROUP BY audit_id)
+SELECT audit_id, 2 AS version, sha256(html) AS sha256, CAST(len(html) AS INTEGER) AS n FROM h""",
 )
 def report_html(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.html_report(_findings(spark, sf), "audit_id").select("audit_id", "sha256", F.length("html").alias("n"))
+    extra = {"statement": F.concat("title", F.lit(" <b>")), "recommendation": F.concat(F.lit("fix "), "reference"), "evidence": F.concat(F.lit('see "'), "title", F.lit('" & '), F.repeat(F.lit("more "), F.lit(100))), "model": F.lit("model-x"), "document_id": F.lit(None).cast("string")}
+    found = verdicts.findings(_lines(spark, sf).withColumns(extra))
+    return scoring.html_report(found, "audit_id", F.lit(2)).select("audit_id", "version", "sha256", F.length("html").alias("n"))
 
 
 @C.add(

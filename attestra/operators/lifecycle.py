@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import dates as D
+from attestra.operators import ingestion
 
 
 def due(schedules: DataFrame, now: Column) -> DataFrame:
@@ -24,6 +25,51 @@ def advance(schedules: DataFrame, now: Column) -> DataFrame:
     return schedules.withColumns({"next_run_at": F.when(is_due & ~gone, D.next_run(now, F.col("cadence"))).otherwise(F.col("next_run_at")), "is_active": F.col("is_active") & ~(is_due & gone)})
 
 
+def rerun(schedules: DataFrame, audits: DataFrame, documents: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """One run of what is due: cloned audits with their documents, schedules as they are afterwards, notifications.
+
+    schedules: schedule_id, org_id, source_audit_id, title, cadence, next_run_at,
+    is_active.  A schedule whose source is gone is switched off and says so; the
+    others get an audit of their own (its key is the schedule's and the time's,
+    so that running again gives the same), whose documents are rows that refer
+    to the same contents, and move on.
+    """
+    ready = due(schedules, now).join(audits.select(F.col("audit_id").alias("source_audit_id"), F.lit(True).alias("_there")), "source_audit_id", "left")
+    run = ready.filter("_there")
+    stamp = F.date_format(now, "yyyy-MM-dd")
+    clone_id = F.concat_ws("@", F.col("schedule_id").cast("string"), stamp)
+    clones = run.select(clone_id.alias("audit_id"), "schedule_id", "org_id", F.concat_ws(" — ", "title", stamp).alias("title"), "source_audit_id")
+    copies = documents.join(clones.select(F.col("audit_id").alias("clone_id"), "source_audit_id"), documents["audit_id"] == F.col("source_audit_id"))
+    copies = copies.select(F.col("clone_id").alias("audit_id"), *[c for c in documents.columns if c != "audit_id"])
+    done = ready.select("schedule_id", F.col("_there").isNull().alias("_gone"))
+    after = schedules.join(done, "schedule_id", "left").withColumns(
+        {
+            "next_run_at": F.when(F.col("_gone"), F.col("next_run_at")).when(F.col("_gone").isNotNull(), D.next_run(now, F.col("cadence"))).otherwise(F.col("next_run_at")),
+            "is_active": F.col("is_active") & ~F.coalesce("_gone", F.lit(False)),
+            "source_audit_id": F.when(~F.coalesce("_gone", F.lit(False)), F.col("source_audit_id")),
+        }
+    )
+    kind = F.when(F.col("_there").isNull(), "audit_schedule.disabled").otherwise("audit_schedule.completed")
+    return {"audits": clones, "documents": copies, "schedules": after.drop("_gone"), "notifications": ready.select("org_id", "schedule_id", kind.alias("kind"))}
+
+
+def tick(frameworks: DataFrame, fetched: DataFrame, versions: DataFrame, audits: DataFrame, schedules: DataFrame, documents: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """One turn of the scheduler: first the watch over regulations, then the schedules that are due.
+
+    frameworks: code, is_active, checked_at.  Those that are stale are compared
+    with what was fetched (a fetch that failed has a null digest: it counts as
+    checked, and stops nothing else); every organisation that has audited a
+    changed one is told.  An exception of one part is that part's: both are
+    separate results, written by themselves.
+    """
+    checked = stale(frameworks.filter("is_active"), now).select("code")
+    found = ingestion.status(versions, fetched.join(checked, "code", "left_semi").filter("digest is not null"))
+    told = audits.join(found.filter("status = 'updated'").select(F.col("code").alias("framework")), "framework").select("org_id", "framework").distinct().withColumn("kind", F.lit("framework.updated"))
+    seen = frameworks.join(checked.withColumn("_due", F.lit(True)), "code", "left").withColumn("checked_at", F.when(F.col("_due"), now).otherwise(F.col("checked_at"))).drop("_due")
+    runs = rerun(schedules, audits, documents, now)
+    return {"frameworks": seen, "versions": ingestion.next_versions(versions, found), "watch_notifications": told} | runs
+
+
 def purge(passages: DataFrame, now: Column, record: str = "document") -> DataFrame:
     """Contents whose time is over become null; the rows stay."""
     over = D.is_due(F.col("created_at"), F.lit(record), now)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import dates as D
 from attestra.functions import rules as R
 from attestra.functions import text as T
 
@@ -111,9 +112,105 @@ def revoke(sessions: DataFrame, which: Column, now: Column) -> DataFrame:
 
 
 def anonymise(users: DataFrame, which: Column, now: Column) -> DataFrame:
+    """Accounts that are picked lose e-mail, name and, if they have one, credential (``password_hash``: "!", which no password has); logs stay."""
     gone = F.concat(F.lit("deleted-"), F.col("user_id").cast("string"), F.lit("@invalid"))
     pick = lambda new, old: F.when(which, new).otherwise(F.col(old))
-    return users.withColumns({"email": pick(gone, "email"), "name": pick(F.lit("deleted account"), "name"), "is_active": F.col("is_active") & ~which, "deleted_at": pick(now, "deleted_at")})
+    credential = {"password_hash": pick(F.lit("!"), "password_hash")} if "password_hash" in users.columns else {}
+    return users.withColumns({"email": pick(gone, "email"), "name": pick(F.lit("deleted account"), "name"), "is_active": F.col("is_active") & ~which, "deleted_at": pick(now, "deleted_at")} | credential)
+
+
+def credential_changed(users: DataFrame, tokens: DataFrame, sessions: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accounts, tokens and sessions after changes (user_id, token_id, password_hash) of credentials.
+
+    The credential is replaced and the failure counter and lock reset, the token
+    that allowed it marked used, and every session of the account revoked.
+    """
+    new = changes.select("user_id", F.col("password_hash").alias("_new"))
+    accounts = users.join(new, "user_id", "left")
+    hit = F.col("_new").isNotNull()
+    reset = {"password_hash": F.coalesce("_new", "password_hash"), "failures": F.when(hit, 0).otherwise(F.col("failures")), "locked_until": F.when(~hit, F.col("locked_until"))}
+    used = tokens.join(changes.select("token_id", F.lit(True).alias("_used")), "token_id", "left")
+    open_ = sessions.join(new.select("user_id", F.lit(True).alias("_hit")), "user_id", "left")
+    return (
+        accounts.withColumns(reset).drop("_new"),
+        used.withColumn("used_at", F.when(F.col("_used") & F.col("used_at").isNull(), now).otherwise(F.col("used_at"))).drop("_used"),
+        open_.withColumn("revoked_at", F.when(F.col("_hit") & F.col("revoked_at").isNull(), now).otherwise(F.col("revoked_at"))).drop("_hit"),
+    )
+
+
+def notifications(events: DataFrame, users: DataFrame, memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is appended for events (org_id, kind, title, body): a notification each, and the mail that active members get."""
+    kept = events.withColumn("notification_id", F.sha2(F.concat_ws("\x00", "org_id", "kind", "title", "body"), 256))
+    return kept, kept.join(recipients(users, memberships), "org_id").select("notification_id", "org_id", "user_id", "email", "title", "body")
+
+
+def status_updated(findings: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings after requests (request, audit_id, finding_id, status), and each request's outcome.
+
+    A request changes the finding only within its audit; of several for one
+    finding the last (by request) counts.  Outcome: changed or not_found.
+    """
+    keys = ["audit_id", "finding_id"]
+    last = requests.groupBy(*keys).agg(F.max_by("status", "request").alias("_new"))
+    after = findings.join(last, keys, "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+    there = requests.join(findings.select(*keys, F.lit(True).alias("_there")), keys, "left")
+    return after, there.select("request", F.when(F.col("_there"), "changed").otherwise("not_found").alias("outcome"))
+
+
+def schedules_set(schedules: DataFrame, requests: DataFrame, audits: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Schedules after requests (source_audit_id, cadence; null cancels), and each request's outcome.
+
+    One schedule at most for each source audit: a first request creates it, a
+    later one changes its cadence and switches it on again, a cancellation
+    switches it off.  Only completed audits are scheduled.
+    """
+    asked = requests.join(audits.select(F.col("audit_id").alias("source_audit_id"), "org_id", "status"), "source_audit_id", "left")
+    known = schedules.select("source_audit_id", F.lit(True).alias("_known"))
+    asked = asked.join(known, "source_audit_id", "left")
+    outcome = F.when(F.col("cadence").isNull(), F.when(F.col("_known"), "cancelled").otherwise("not_found")).when(F.col("status").isNull(), "not_found").when(F.col("status") != "completed", "conflict")
+    asked = asked.withColumn("outcome", outcome.when(F.col("_known"), "updated").otherwise("created"))
+    set_ = asked.filter(F.col("outcome").isin("updated", "cancelled")).select("source_audit_id", F.col("cadence").alias("_cadence"), "outcome")
+    rows = schedules.join(set_, "source_audit_id", "left")
+    on = F.col("outcome") == "updated"
+    kept = rows.select(
+        "source_audit_id", "org_id", F.when(on, F.col("_cadence")).otherwise(F.col("cadence")).alias("cadence"),
+        F.when(on, D.next_run(now, F.col("_cadence"))).otherwise(F.col("next_run_at")).alias("next_run_at"),
+        F.when(on, True).when(F.col("outcome") == "cancelled", False).otherwise(F.col("is_active")).alias("is_active"),
+    )
+    fresh = asked.filter("outcome = 'created'").select("source_audit_id", "org_id", "cadence", D.next_run(now, F.col("cadence")).alias("next_run_at"), F.lit(True).alias("is_active"))
+    return kept.unionByName(fresh), asked.select("source_audit_id", "outcome")
+
+
+def registered(requests: DataFrame, users: DataFrame, organizations: DataFrame) -> dict[str, DataFrame]:
+    """What registrations (email, name, password_hash, organization) append: users, organizations, memberships, consents, tokens; and each outcome.
+
+    An e-mail that is known, or comes a second time, is refused ("taken"), and
+    terms have to be accepted.  Each account owns a new organisation, whose slug
+    gets the account's key if another has it.
+    """
+    first = Window.partitionBy(F.lower("email")).orderBy("request")
+    rows = requests.withColumn("_nth", F.row_number().over(first)).join(users.select(F.lower("email").alias("_mail"), F.lit(True).alias("_known")), F.lower("email") == F.col("_mail"), "left")
+    outcome = F.when(~F.col("accepts_terms"), "terms").when(F.col("_known") | (F.col("_nth") > 1), "taken").otherwise("created")
+    rows = rows.withColumn("outcome", outcome)
+    new = rows.filter("outcome = 'created'").withColumns({"user_id": F.sha2(F.lower("email"), 256), "slug": T.slug(F.col("organization"))})
+    same = Window.partitionBy("slug").orderBy("request")
+    new = new.withColumn("_same", F.row_number().over(same)).join(organizations.select("slug", F.lit(True).alias("_slug")).distinct(), "slug", "left")
+    slug = F.when(F.col("_slug") | (F.col("_same") > 1), F.concat("slug", F.lit("-"), F.left("user_id", F.lit(8)))).otherwise(F.col("slug"))
+    new = new.withColumn("slug", slug)
+    return {
+        "outcomes": rows.select("request", "outcome"),
+        "users": new.select("user_id", F.lower("email").alias("email"), "name", "password_hash"),
+        "organizations": new.select(F.concat(F.lit("org-"), "user_id").alias("org_id"), F.col("organization").alias("name"), "slug"),
+        "memberships": new.select("user_id", F.concat(F.lit("org-"), "user_id").alias("org_id"), F.lit("owner").alias("role")),
+        "consents": new.select("user_id", F.lit("terms").alias("consent")),
+        "tokens": new.select("user_id", F.lit("verify_email").alias("purpose")),
+    }
+
+
+def by_rank(rows: DataFrame, ranks: dict[str, int], column: str, *then: str) -> DataFrame:
+    """``rows`` with position: their place in the order of a ranked column, then others; unknown values last."""
+    rank = R.lookup(F.col(column), ranks, len(ranks))
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(rank, *then)))
 
 
 def delete_cascading(parents: DataFrame, children: DataFrame, which: Column, key: str, set_null: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import rules as R
@@ -49,14 +49,37 @@ def severity_counts(findings: DataFrame, by: str) -> DataFrame:
     return findings.groupBy(by).agg(F.count_if(real).alias("findings"), F.count_if(~real).alias("not_applicable"), *counts)
 
 
-def html_report(findings: DataFrame, by: str) -> DataFrame:
-    """One page for each ``by``: findings grouped by kind and ordered by severity, and the page's digest."""
-    kind = R.lookup(F.col("kind"), {"non_conformity": 0, "improvement": 1, "not_applicable": 2})
-    row = F.concat(F.lit('<li class="'), F.col("severity"), F.lit('">'), T.html_escape(F.col("title")), F.lit("</li>"))
-    key = F.struct(kind.alias("kind"), R.severity_rank(F.col("severity")).alias("rank"), "reference", row.alias("row"))
-    rows = findings.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("rows"))
-    page = F.concat(F.lit("<ul>"), F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</ul>"))
-    return rows.select(by, page.alias("html")).withColumn("sha256", F.sha2("html", 256))
+# Headings of a report's groups, in order.
+GROUPS = (("non_conformity", "Non-conformities"), ("improvement", "Improvements"), ("not_applicable", "Out of scope"))
+EVIDENCE_CHARS = 400
+
+
+def html_report(findings: DataFrame, by: str, version: Column | None = None) -> DataFrame:
+    """by, version, html, sha256: one page for each ``by``.
+
+    Findings stand in three groups under headings with their numbers, ordered
+    by severity, then reference and title; severities of what counts are summed
+    up first.  Everything is escaped; evidence is cut to 400 characters, which
+    is what the page shows.  A page is a row, so its size is that of its findings.
+    """
+    kind = R.lookup(F.col("kind"), {k: i for i, (k, _) in enumerate(GROUPS)})
+    safe = lambda c: T.html_escape(F.coalesce(F.col(c), F.lit("")))
+    wrap = lambda tag, c: F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")))
+    evidence = T.html_escape(F.left(F.coalesce("evidence", F.lit("")), F.lit(EVIDENCE_CHARS)))
+    card = F.concat(F.lit('<article class="'), F.col("severity"), F.lit('"><span>'), safe("reference"), F.lit("</span>"), wrap("h3", safe("title")), wrap("p", safe("description")), wrap("blockquote", evidence), wrap("aside", safe("recommendation")), wrap("small", safe("model_used")), F.lit("</article>"))
+    key = F.struct(kind.alias("kind"), R.severity_rank(F.col("severity")).alias("rank"), "reference", F.col("title").alias("by_title"), card.alias("card"))
+    counts = [F.count_if((F.col("status") != "not_applicable") & (F.col("severity") == s)).alias(f"_{s}") for s in R.SEVERITIES]
+    rows = findings.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("rows"), *counts)
+    pills = F.concat(*[F.when(F.col(f"_{s}") > 0, F.concat(F.lit(f'<b class="{s}">{s} '), F.col(f"_{s}").cast("string"), F.lit("</b>"))).otherwise("") for s in R.SEVERITIES])
+
+    def group(i: int, heading: str) -> Column:
+        own = F.filter("rows", lambda x: x["kind"] == i)
+        body = F.when(F.size(own) == 0, "<p>Nothing to report.</p>").otherwise(F.array_join(F.transform(own, lambda x: x["card"]), ""))
+        return F.concat(F.lit(f"<h2>{heading} ("), F.size(own).cast("string"), F.lit(")</h2>"), body)
+
+    number = F.lit(1) if version is None else version
+    page = F.concat(F.lit("<html><body><header>"), F.col(by).cast("string"), F.lit(" v"), number.cast("string"), F.lit("</header><section>"), pills, F.lit("</section>"), *[group(i, h) for i, (_, h) in enumerate(GROUPS)], F.lit("</body></html>"))
+    return rows.select(by, number.cast("int").alias("version"), page.alias("html")).withColumn("sha256", F.sha2("html", 256))
 
 
 def synopsis(verdicts: DataFrame, by: str) -> DataFrame:

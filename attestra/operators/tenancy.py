@@ -31,6 +31,11 @@ class TenantScope:
         own: Column = F.col(column).isNull() | (F.col(column) == F.lit(self.tenant))
         return rows.withColumn(column, F.when(own, F.col(column)).otherwise(F.raise_error(F.lit("row of another tenant")).cast(dict(rows.dtypes)[column])))
 
+    def append(self, rows: DataFrame, path: str, column: str = "tenant_id") -> None:
+        """Rows added to a table's folder; one without a tenant gets this one, one of another tenant fails the write."""
+        owned = rows.withColumn(column, F.coalesce(F.col(column), F.lit(self.tenant).cast(dict(rows.dtypes)[column])))
+        self.checked(owned, column).write.mode("append").parquet(path)
+
     def erase(self, tables: dict[str, DataFrame], now: Column, column: str = "tenant_id") -> dict[str, DataFrame]:
         """Every table without the tenant's rows, and "journal": what was deleted, table by table."""
         out = {n: t.filter(F.col(column).isNull() | (F.col(column) != F.lit(self.tenant))) for n, t in tables.items()}

@@ -91,14 +91,14 @@ def applicability(answers: DataFrame, tolerance: str | None = None) -> DataFrame
     return answers.withColumns({"diagnostic": diagnostic, "applicable": said | diagnostic.isNotNull()}).drop("_proof")
 
 
-def exemptions(claims: DataFrame, known: DataFrame, tolerance: str | None = None) -> DataFrame:
-    """article, reference, effect of the claims (article, reference, quote, document) that the catalogue knows and a verified quotation proves."""
+def exemptions(claims: DataFrame, known: DataFrame, tolerance: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, article, reference, effect of the claims (article, reference, quote, document) that the catalogue knows and a verified quotation proves."""
     proven = Q.checked(claims, F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof").filter(F.get("_proof", 0)["valid"])
-    return proven.join(known, ["article", "reference"]).select("article", "reference", "effect")
+    return proven.join(known, ["article", "reference"]).select(*by, "article", "reference", "effect")
 
 
-def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """One row an article: verdict, credit, confidence, review.
+def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row an article (of each ``by``: a document, say): verdict, credit, confidence, review.
 
     evidence: article, criticality, blocking, claimed, verified, retained.
     exemptions: article, effect of exemptions known to the catalogue and proven
@@ -106,14 +106,15 @@ def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: Da
     Compliant only if there are blocking elements and all are retained; an
     exemption turns a breach into compliant or out of scope.
     """
-    n = evidence.groupBy("article", "criticality").agg(
+    keys = [*by, "article"]
+    n = evidence.groupBy(*keys, "criticality").agg(
         F.count_if("blocking").alias("blocking"),
         F.count_if(F.col("blocking") & F.col("retained")).alias("proven"),
         F.count_if(F.col("claimed") & ~F.col("verified")).alias("unverified"),
         F.count_if(~F.col("blocking") & ~F.col("retained")).alias("missing_minor"),
     )
-    first = exemptions.groupBy("article").agg(F.min("effect").alias("effect"))
-    rows = n.join(first, "article", "left").join(diagnostics, "article", "left")
+    first = exemptions.groupBy(*keys).agg(F.min("effect").alias("effect"))
+    rows = n.join(first, keys, "left").join(diagnostics, keys, "left")
     proven = (F.col("blocking") > 0) & (F.col("proven") == F.col("blocking"))
     verdict = F.when(proven, "compliant").when(F.col("effect") == "compliant", "compliant").when(F.col("effect").isNotNull(), "out_of_scope").otherwise("breach")
     diag = F.coalesce("n", F.lit(0))
