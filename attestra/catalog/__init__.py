@@ -1,8 +1,8 @@
-"""Registered queries over the reference workload and their SQL twins."""
+"""Registered queries and their SQL twins."""
 
-from attestra.catalog import audit, records, streams, text
+from attestra.catalog import audit, records, streams, text, work
 
-_PARTS = (text, audit, records, streams)
+_PARTS = (text, audit, records, streams, work)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.C.queries.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.C.sql.items()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +12,19 @@ from attestra.streaming import limits
 C = Catalog()
 
 
-def _events(spark: SparkSession, sf: str, files: int) -> DataFrame:
+def _events(spark: SparkSession, sf: str, files: int, closed: bool = False) -> DataFrame:
     events = table(spark, sf, "events")
-    return limits.event_stream(spark, land(events), events.schema, files)
+    path = land(events)
+    if closed:  # lands after the others, so that no batch is late for it
+        last = events.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"))
+        nobody = {"user_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("")}
+        last.withColumns(nobody).select(*events.columns).write.mode("append").parquet(path)
+    return limits.event_stream(spark, path, events.schema, files)
 
 
 @C.add("rate_window_stream", "SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY ALL")
 def rate_window_stream(spark: SparkSession, sf: str) -> DataFrame:
-    found = limits.drain(limits.rate_windows(_events(spark, sf, 1), limit=2), f"rates_{uuid.uuid4().hex}", "complete")
+    found = limits.drain(limits.rate_windows(_events(spark, sf, 1), limit=2), "complete")
     return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -32,6 +35,7 @@ r AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS locked_at FROM r WHERE failed AND run % 5 = 0""",
 )
 def lockout_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _events(spark, sf, 1000).select("user_id", "ts", F.col("event_type").isin("error", "click").alias("failed"))
-    found = limits.drain(limits.lockouts(rows), f"locks_{uuid.uuid4().hex}")
+    """Four files, one a batch; they may come in any order, and a last event of nobody, long after, lets the watermark pass them all."""
+    rows = _events(spark, sf, 1, closed=True).select("user_id", "ts", "event_id", F.col("event_type").isin("error", "click").alias("failed"))
+    found = limits.drain(limits.lockouts(rows, late="90 days"))
     return found.select("user_id", F.date_format("locked_at", "yyyy-MM-dd HH:mm:ss").alias("locked_at"))

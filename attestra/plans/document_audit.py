@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.operators import chunking, retrieval, scoring, verdicts
+from attestra.operators import chunking, retrieval, scoring
+from attestra.operators import verdicts as credits
 
 PASSAGES = 3
 
@@ -15,11 +16,19 @@ def bodies(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", F.col("chunk_index").alias("position"), T.normalize(F.col("chunk")).alias("body"))
 
 
-def audit(docs: DataFrame, grid: DataFrame) -> DataFrame:
-    """doc_id, score, n_scored, level: a requirement is met if its three best passages all score 1 or more."""
-    chunks = chunking.chunk_rows(docs, chunking.hard_split(F.col("text")))
-    best = retrieval.lexical_topk(bodies(chunks), grid, F.lit(PASSAGES))
+def verdicts_of(best: DataFrame) -> DataFrame:
+    """doc_id, requirement, criticality, verdict, credit from ranked passages (score)."""
     proven = best.groupBy("doc_id", "requirement").agg(F.first("criticality").alias("criticality"), F.count_if(F.col("score") >= 1).alias("proven"))
     verdict = F.when(F.col("proven") == PASSAGES, "compliant").otherwise("breach")
-    rows = proven.withColumn("verdict", verdict).withColumn("credit", verdicts.credit(F.col("verdict"), F.col("proven"), F.lit(PASSAGES)))
-    return scoring.weighted(rows, "doc_id")
+    return proven.withColumn("verdict", verdict).withColumn("credit", credits.credit(F.col("verdict"), F.col("proven"), F.lit(PASSAGES)))
+
+
+def verdicts(docs: DataFrame, grid: DataFrame) -> DataFrame:
+    """A requirement is met if its three best passages all score 1 or more."""
+    chunks = chunking.chunk_rows(docs, chunking.hard_split(F.col("text")))
+    return verdicts_of(retrieval.lexical_topk(bodies(chunks), grid, F.lit(PASSAGES)))
+
+
+def audit(docs: DataFrame, grid: DataFrame) -> DataFrame:
+    """doc_id, score, n_scored, level."""
+    return scoring.weighted(verdicts(docs, grid), "doc_id")

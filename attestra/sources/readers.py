@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_CHARS = 20_000  # fixed value: a regulation page that is shorter isn't the regulation
@@ -92,28 +93,68 @@ def regulations(spark: SparkSession, folder: str) -> DataFrame:
     return pages.filter(F.length("value") >= LEAST_CHARS).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("html"))
 
 
-def evaluate(prompts: DataFrame, client: Callable[[str, str], str], retries: int = 2, failures: int = 3) -> DataFrame:
-    """prompt_hash, answer, error for every distinct prompt; ``client`` takes (system, user).
+class TryLater(Exception):
+    """What a client raises when it is asked too often; the next attempt waits three times as long."""
 
-    Equal prompts are asked once.  A task stops asking after ``failures``
-    failures in a row, and says so.  prompts: system, user.
+
+class Refused(Exception):
+    """What a client raises when asking again is no use (a request that isn't accepted)."""
+
+
+def evaluate(
+    prompts: DataFrame, client: Callable[[str, str], str], model: str = "", temperature: float = 0.0,
+    attempts: int = 4, failures: int = 3, wait: float = 0.0, deadline: float | None = None, cache: DataFrame | None = None,
+) -> DataFrame:
+    """prompt_hash, answer, error, cached for every distinct prompt; ``client`` takes (system, user).
+
+    The hash is of model, temperature, system and user.  Prompts that ``cache``
+    (prompt_hash, answer) has aren't asked; equal ones are asked once.  Between
+    attempts a task waits ``wait`` seconds, twice as long each time, three times
+    after :class:`TryLater`; :class:`Refused` isn't tried again.  A task stops
+    asking after ``failures`` failures in a row, or ``deadline`` seconds, and
+    says so.  prompts: system, user.
     """
 
+    def answer_of(system: str, user: str) -> tuple[str | None, str | None]:
+        pause, error = wait, None
+        for attempt in range(attempts):
+            try:
+                return client(system, user), None
+            except Refused as e:
+                return None, f"{type(e).__name__}: {e}"[:200]
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"[:200]
+                if attempt + 1 < attempts:
+                    time.sleep(pause)
+                pause *= 3 if isinstance(e, TryLater) else 2
+        return None, error
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        broken = 0
+        broken, began = 0, time.monotonic()
         for batch in batches:
             out = []
             for key, system, user in zip(batch["prompt_hash"], batch["system"], batch["user"], strict=True):
-                answer, error = None, "not asked: breaker open"
-                for _ in range(retries + 1 if broken < failures else 0):
-                    try:
-                        answer, error = client(system, user), None
-                        break
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"[:200]
-                broken = 0 if error is None else broken + 1
+                if broken >= failures:
+                    answer, error = None, "not asked: breaker open"
+                elif deadline is not None and time.monotonic() - began > deadline:
+                    answer, error = None, "not asked: deadline"
+                else:
+                    answer, error = answer_of(system, user)
+                    broken = 0 if error is None else broken + 1
                 out.append((key, answer, error))
             yield pd.DataFrame(out, columns=["prompt_hash", "answer", "error"])
 
-    keyed = prompts.select(F.sha2(F.concat_ws("\x00", "system", "user"), 256).alias("prompt_hash"), "system", "user").dropDuplicates(["prompt_hash"])
-    return keyed.mapInPandas(ask, "prompt_hash string, answer string, error string")
+    parts = F.concat_ws("\x00", F.lit(model), F.lit(str(temperature)), "system", "user")
+    keyed = prompts.select(F.sha2(parts, 256).alias("prompt_hash"), "system", "user").dropDuplicates(["prompt_hash"])
+    if cache is None:
+        return keyed.mapInPandas(ask, "prompt_hash string, answer string, error string").withColumn("cached", F.lit(False))
+    known = keyed.select("prompt_hash").join(cache.select("prompt_hash", "answer"), "prompt_hash").select("prompt_hash", "answer", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
+    asked = keyed.join(cache, "prompt_hash", "left_anti").select("prompt_hash", "system", "user").mapInPandas(ask, "prompt_hash string, answer string, error string")
+    return known.unionByName(asked.withColumn("cached", F.lit(False)))
+
+
+def evaluated_or_heuristic(rows: DataFrame, answers: DataFrame, heuristic: Column) -> DataFrame:
+    """``rows`` (prompt_hash, ..) with answer, source and verdict: the model's, or where it failed or wasn't asked ``heuristic`` (a struct)."""
+    joined = rows.join(answers.select("prompt_hash", "answer", "error"), "prompt_hash", "left")
+    failed = F.col("answer").isNull()
+    return joined.withColumns({"source": F.when(failed, "heuristic").otherwise("llm"), "fallback": F.when(failed, heuristic)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from attestra.sources.landing import shared_dir
+
 
 def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """Event files as they land; times become instants, which watermarks need."""
@@ -22,34 +25,58 @@ def rate_windows(events: DataFrame, by: str = "user_id", window: str = "1 hour",
     return counted.select(by, F.col("w.start").alias("start"), "n", (F.col("n") > limit).alias("limited"))
 
 
-def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
+def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15, late: str = "10 minutes") -> DataFrame:
     """user_id, locked_at, locked_until: every ``failures`` failures in a row lock an account.
 
-    events: user_id, ts, failed.  A success and a lock start the count again.
-    State is a number for each account with open failures.
+    events: user_id, ts, event_id, failed.  A success and a lock start the count
+    again.  Events wait until the watermark, ``late`` behind the newest, is past
+    them, and then count in the order of ts and event_id, whatever batches they
+    came in; what comes later than that is dropped.  State is the count and the
+    waiting events of each account.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        count, waiting = (state.get[0], list(zip(*state.get[1:], strict=True))) if state.exists else (0, [])
+        mark = state.getCurrentWatermarkMs()
+        for batch in batches:
+            at = batch["ts"].astype("datetime64[us]").astype("int64")
+            waiting += [e for e in zip(at.tolist(), batch["event_id"].tolist(), batch["failed"].tolist(), strict=True) if e[0] // 1000 >= mark]
+        waiting.sort()
+        ready = [e for e in waiting if e[0] // 1000 < mark or state.hasTimedOut]
+        waiting = waiting[len(ready) :]
         locked = []
-        for at, failed in zip(rows["ts"], rows["failed"], strict=True):
+        for at, _, failed in ready:
             count = count + 1 if failed else 0
             if count == failures:
                 locked.append(at)
                 count = 0
-        if count:
-            state.update((count,))
+        if waiting or count:
+            state.update((count, [e[0] for e in waiting], [e[1] for e in waiting], [bool(e[2]) for e in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(max(waiting[-1][0] // 1000, mark) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"user_id": [key[0]] * len(locked), "locked_at": locked, "locked_until": [x + pd.Timedelta(minutes=minutes) for x in locked]})
+        times = pd.to_datetime(pd.Series(locked, dtype="int64"), unit="us")
+        yield pd.DataFrame({"user_id": [key[0]] * len(locked), "locked_at": times, "locked_until": times + pd.Timedelta(minutes=minutes)})
 
     schema = "user_id long, locked_at timestamp, locked_until timestamp"
-    return events.groupBy("user_id").applyInPandasWithState(step, schema, "failures int", "append", "NoTimeout")
+    kept = "failures int, ts array<long>, event_id array<long>, failed array<boolean>"
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")
+
 
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that the stream gives for what has landed, as a table in the shared folder; for tests and backfills.
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that the stream gives for what has landed, as a table; for tests and backfills."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    The sink is Parquet with a checkpoint; a stream in complete mode overwrites
+    its table batch by batch.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -184,7 +184,7 @@ def test_model_is_asked_once_and_stops(spark):
         raise RuntimeError("down")
 
     many = spark.createDataFrame([("s", str(i)) for i in range(8)], "system string, user string").coalesce(1)
-    errors = [r.error for r in readers.evaluate(many, broken, retries=0, failures=2).collect()]
+    errors = [r.error for r in readers.evaluate(many, broken, attempts=1, failures=2).collect()]
     assert all(errors) and any("breaker" in e for e in errors)
 
 
