@@ -394,11 +394,11 @@ def dependency_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.propagate(rows).groupBy("audit_id", "number", "outcome", "severity", "reclassified").agg(F.count("*").alias("n"))
 
 
-SCOPES = Literal(
-    "framework VARCHAR, reference VARCHAR, body VARCHAR",
-    (("rgpd", "Article 5", ""), ("rgpd", "article  4", ""), ("rgpd", "Article 68", ""), ("nis2", "Article 21", ""), ("nis2", "Article 6", ""), ("nis2", "Article 9", ""), ("csrd", "Article 19 bis", ""), ("csrd", "Article 2", ""),
-     ("dora", "Article 5", "Les entreprises et l'entreprise; la commission"), ("dora", "Article 6", "la commission et les etats membres"), ("ai_act", "Article 7", "rien"), ("rgpd", "Annexe", "le comite et l'autorite de controle, les entreprises")),
-)
+#: Documents stand for articles of six frameworks; sentences with the markers' words are put behind some.
+_SAYS = ("", " Les entreprises et l'entreprise; la commission", " la commission et les etats membres", " le comite et l'autorite de controle, les entreprises")
+_SCOPES = f"""(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'rgpd' WHEN 1 THEN 'nis2' WHEN 2 THEN 'csrd' WHEN 3 THEN 'dora' WHEN 4 THEN 'ai_act' ELSE 'rgpd' END AS framework,
+  CASE WHEN doc_id % 13 = 0 THEN 'Annexe' ELSE 'Article ' || (doc_id // 6 % 100) || CASE WHEN doc_id % 5 = 0 THEN ' bis' ELSE '' END END AS reference,
+  lower(coalesce(text, '')) || CASE doc_id % 4 {" ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(_SAYS))} END AS body FROM documents)"""
 
 
 def _count(pattern: str) -> str:
@@ -408,20 +408,38 @@ def _count(pattern: str) -> str:
 @C.add(
     "scope_classify",
     f"""
-WITH s AS (SELECT *, TRY_CAST(nullif(regexp_extract(reference, '(?i)Article\\s+(\\d+)', 1), '') AS INTEGER) AS number FROM {SCOPES.sql()}),
+WITH s AS (SELECT *, TRY_CAST(nullif(regexp_extract(reference, '(?i)Article\\s+(\\d+)', 1), '') AS INTEGER) AS number FROM {_SCOPES}),
 m AS (SELECT *, {", ".join(f"{_count(p)} AS c_{n}" for n, p in verdicts.MARKERS.items())} FROM s),
 g AS (SELECT *, greatest(c_entity, c_member_state, c_authority, c_commission) AS top FROM m),
-a AS (SELECT framework, reference, number, CASE
+a AS (SELECT doc_id, framework, reference, number, CASE
   WHEN framework = 'csrd' THEN CASE WHEN regexp_matches(lower(reference), 'bis|ter|quater|quinquies|sexies|septies') THEN 'entity' ELSE 'member_state' END
   WHEN framework = 'rgpd' AND number IS NOT NULL THEN CASE WHEN number BETWEEN 5 AND 49 THEN 'entity' WHEN number BETWEEN 1 AND 4 THEN 'structural' ELSE 'authority' END
   WHEN framework = 'nis2' AND number IS NOT NULL THEN CASE WHEN number IN (20, 21, 23, 24, 27, 28, 29, 30) THEN 'entity' WHEN number BETWEEN 1 AND 6 THEN 'structural' ELSE 'authority' END
   WHEN top = 0 THEN 'structural' WHEN c_entity = top THEN 'entity' WHEN c_member_state = top THEN 'member_state' WHEN c_authority = top THEN 'authority' ELSE 'commission' END AS audience FROM g)
-SELECT framework, reference, audience, audience = 'entity' AS auditable FROM a""",
+SELECT doc_id, framework, reference, audience, audience = 'entity' AS auditable FROM a""",
 )
 def scope_classify(spark: SparkSession, sf: str) -> DataFrame:
-    rows = SCOPES.df(spark)
+    key = F.col("doc_id")
+    of = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    number = F.concat(F.lit("Article "), (F.floor(key / 6) % 100).cast("string"), F.when(key % 5 == 0, " bis").otherwise(""))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", of(("rgpd", "nis2", "csrd", "dora", "ai_act", "rgpd"), key % 6).alias("framework"), F.when(key % 13 == 0, "Annexe").otherwise(number).alias("reference"),
+        F.concat(F.lower(F.coalesce("text", F.lit(""))), of(_SAYS, key % 4)).alias("body"),
+    )
     who = verdicts.audience(F.col("framework"), F.col("reference"), T.article_number(F.col("reference")), F.col("body"))
-    return rows.withColumn("audience", who).select("framework", "reference", "audience", (F.col("audience") == "entity").alias("auditable"))
+    return rows.withColumn("audience", who).select("doc_id", "framework", "reference", "audience", (F.col("audience") == "entity").alias("auditable"))
+
+
+@C.add(
+    "facts_coerced",
+    """WITH f AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '12' WHEN 1 THEN 'true' WHEN 2 THEN '"12"' WHEN 3 THEN '1.5' WHEN 4 THEN 'null' ELSE CAST(c_custkey AS VARCHAR) END AS raw FROM customer)
+SELECT c_custkey, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS BIGINT) END AS headcount, CASE raw WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS risk FROM f""",
+)
+def facts_coerced(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    raw = F.when(key % 6 == 0, "12").when(key % 6 == 1, "true").when(key % 6 == 2, '"12"').when(key % 6 == 3, "1.5").when(key % 6 == 4, "null").otherwise(key.cast("string"))
+    facts = F.try_parse_json(F.concat(F.lit('{"x": '), raw, F.lit("}")))
+    return table(spark, sf, "customer").select("c_custkey", R.strict_int(facts, "$.x").alias("headcount"), R.strict_bool(facts, "$.x").alias("risk"))
 
 
 #: Nullable profiles from customers.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.catalog.base import Catalog, Literal, table
+from attestra.catalog.base import Catalog, table
 from attestra.functions import dates as D
 from attestra.functions import rules as R
 from attestra.functions import text as T
@@ -44,32 +44,53 @@ def active_organizations(spark: SparkSession, sf: str) -> DataFrame:
     return orders.join(memberships(spark, sf), "user_id").select("org_id").distinct()
 
 
-EDGES = Literal("edge_id INTEGER, source_id INTEGER, target_id INTEGER, coverage DOUBLE", ((1, 1, 3, 0.6), (2, 4, 1, 0.5), (3, 2, 3, 0.35), (4, 5, 1, 0.45), (5, 1, 6, 0.4), (6, 3, 4, 0.5)))
-REQUIREMENTS = Literal("requirement_id INTEGER, code VARCHAR, reference VARCHAR, is_current BOOLEAN", ((1, "rgpd", "Article 32", True), (2, "rgpd", "Article 32", False), (3, "nis2", "Article 21", True), (4, "dora", "Article 9", True), (5, "csrd", "Article 19 bis", True), (6, "nis2", "Article 23", False)))
+#: Parts stand for requirements of five frameworks, line items for edges between them.
+_CODES = ("rgpd", "nis2", "dora", "csrd", "ai_act")
+_REQUIREMENTS = "(SELECT p_partkey AS requirement_id, CASE p_partkey % 5 WHEN 0 THEN 'rgpd' WHEN 1 THEN 'nis2' WHEN 2 THEN 'dora' WHEN 3 THEN 'csrd' ELSE 'ai_act' END AS code, 'Article ' || p_partkey AS reference, p_size % 4 <> 0 AS is_current FROM part)"
+_EDGES = "(SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey AS source_id, l_suppkey * 5 + 1 AS target_id, l_discount AS coverage FROM lineitem)"
+
+
+def _requirements(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").select(key.alias("requirement_id"), F.get(F.array(*map(F.lit, _CODES)), (key % 5).cast("int")).alias("code"), F.concat(F.lit("Article "), key.cast("string")).alias("reference"), (F.col("p_size") % 4 != 0).alias("is_current"))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("source_id"), (F.col("l_suppkey") * 5 + 1).alias("target_id"), F.col("l_discount").alias("coverage"))
 
 
 @C.add(
     "crosswalk_bidirectional",
-    f"""WITH e AS {EDGES.sql()}, r AS (SELECT * FROM {REQUIREMENTS.sql()} WHERE is_current)
-SELECT edge_id, a.reference AS own, b.code AS other_code, b.reference AS other, coverage FROM e JOIN r a ON a.requirement_id = source_id JOIN r b ON b.requirement_id = target_id WHERE a.code = 'rgpd'
-UNION SELECT edge_id, a.reference, b.code, b.reference, coverage FROM e JOIN r a ON a.requirement_id = target_id JOIN r b ON b.requirement_id = source_id WHERE a.code = 'rgpd'""",
+    f"""WITH e AS {_EDGES}, r AS (SELECT * FROM {_REQUIREMENTS} WHERE is_current)
+SELECT edge_id, a.reference AS own, b.code AS other_code, b.reference AS other, coverage FROM e JOIN r a ON a.requirement_id = source_id JOIN r b ON b.requirement_id = target_id WHERE a.code = 'nis2'
+UNION ALL SELECT edge_id, a.reference, b.code, b.reference, coverage FROM e JOIN r a ON a.requirement_id = target_id JOIN r b ON b.requirement_id = source_id WHERE a.code = 'nis2' AND b.code <> 'nis2'""",
 )
 def crosswalk_bidirectional(spark: SparkSession, sf: str) -> DataFrame:
-    return records.crosswalks(EDGES.df(spark), REQUIREMENTS.df(spark), "rgpd")
+    return records.crosswalks(_edges(spark, sf), _requirements(spark, sf), "nis2")
+
 
+#: Seeds from line items: every third known already, some whose sides aren't there.
+_SEEDS = """(SELECT DISTINCT source_code, source_ref, target_code, target_ref FROM (SELECT CASE l_partkey % 5 WHEN 0 THEN 'rgpd' WHEN 1 THEN 'nis2' WHEN 2 THEN 'dora' WHEN 3 THEN 'csrd' ELSE 'ai_act' END AS source_code, 'Article ' || l_partkey AS source_ref,
+  'nis2' AS target_code, 'Article ' || (l_suppkey * 5 + 1) AS target_ref FROM lineitem))"""
 
-SEEDS = Literal("source_code VARCHAR, source_ref VARCHAR, target_code VARCHAR, target_ref VARCHAR, coverage DOUBLE", (("rgpd", "Article 32", "nis2", "Article 21", 0.6), ("rgpd", "Article 32", "dora", "Article 9", 0.5), ("rgpd", "Article 99", "nis2", "Article 21", 0.1), ("nis2", "Article 21", "dora", "Article 77", 0.2), ("rgpd", "Article 98", "dora", "Article 77", 0.3)))
+
+def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.col("l_partkey")
+    codes = F.get(F.array(*map(F.lit, _CODES)), (part % 5).cast("int"))
+    rows = table(spark, sf, "lineitem").select(codes.alias("source_code"), F.concat(F.lit("Article "), part.cast("string")).alias("source_ref"), F.lit("nis2").alias("target_code"), F.concat(F.lit("Article "), (F.col("l_suppkey") * 5 + 1).cast("string")).alias("target_ref"))
+    return rows.distinct()
 
 
 @C.add(
     "crosswalk_seed",
-    f"""WITH r AS (SELECT * FROM {REQUIREMENTS.sql()} WHERE is_current), s AS {SEEDS.sql()}, k AS {EDGES.sql()}
+    f"""WITH r AS (SELECT * FROM {_REQUIREMENTS} WHERE is_current), s AS {_SEEDS}, k AS (SELECT DISTINCT source_id, target_id, 1 AS edge_id FROM {_EDGES} WHERE edge_id % 3 = 0)
 SELECT source_code, source_ref, target_code, target_ref, CASE WHEN a.requirement_id IS NULL THEN 'ignored: ' || source_code || ' ' || source_ref WHEN b.requirement_id IS NULL THEN 'ignored: ' || target_code || ' ' || target_ref
   WHEN k.edge_id IS NOT NULL THEN 'updated' ELSE 'created' END AS status
 FROM s LEFT JOIN r a ON a.code = source_code AND a.reference = source_ref LEFT JOIN r b ON b.code = target_code AND b.reference = target_ref LEFT JOIN k ON k.source_id = a.requirement_id AND k.target_id = b.requirement_id""",
 )
 def crosswalk_seed(spark: SparkSession, sf: str) -> DataFrame:
-    return records.seed_crosswalks(SEEDS.df(spark), REQUIREMENTS.df(spark), EDGES.df(spark)).select("source_code", "source_ref", "target_code", "target_ref", "status")
+    known = _edges(spark, sf).filter("edge_id % 3 = 0").select("source_id", "target_id").distinct()
+    return records.seed_crosswalks(_seeds(spark, sf), _requirements(spark, sf), known).select("source_code", "source_ref", "target_code", "target_ref", "status")
 
 
 @C.add("feed_page", "SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200 OFFSET 50")
@@ -180,9 +201,10 @@ def notification_recipients(spark: SparkSession, sf: str) -> DataFrame:
     return records.recipients(users(spark, sf).drop("org_id"), memberships(spark, sf).select("org_id", "user_id"))
 
 
-@C.add("account_anonymised", f"WITH {_USERS} SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'deleted-' || user_id || '@invalid' ELSE email END AS email, CASE WHEN user_id % 4 = 0 THEN 'deleted account' ELSE name END AS name, is_active AND user_id % 4 <> 0 AS is_active FROM u")
+@C.add("account_anonymised", f"WITH {_USERS} SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'deleted-' || user_id || '@invalid' ELSE email END AS email, CASE WHEN user_id % 4 = 0 THEN 'deleted account' ELSE name END AS name, CASE WHEN user_id % 4 = 0 THEN '!' ELSE 'hash' END AS password_hash, is_active AND user_id % 4 <> 0 AS is_active FROM u")
 def account_anonymised(spark: SparkSession, sf: str) -> DataFrame:
-    return records.anonymise(users(spark, sf), F.col("user_id") % 4 == 0, now()).select("user_id", "email", "name", "is_active")
+    accounts = users(spark, sf).withColumn("password_hash", F.lit("hash"))
+    return records.anonymise(accounts, F.col("user_id") % 4 == 0, now()).select("user_id", "email", "name", "password_hash", "is_active")
 
 
 _SESSIONS = "s AS (SELECT event_id AS session_id, user_id, CAST(event_id % 7 AS INTEGER) AS family, CASE WHEN event_id % 3 = 0 THEN ts END AS revoked_at FROM events)"
@@ -239,13 +261,17 @@ def schedules_unlinked(spark: SparkSession, sf: str) -> DataFrame:
     return records.delete_cascading(sources, schedules, F.col("c_mktsegment") == "BUILDING", "source_id", set_null=True)[1].select("schedule_id", "source_id")
 
 
-OLD = Literal("code VARCHAR, name VARCHAR, url VARCHAR, license VARCHAR, authority VARCHAR", (("a", "Old", "u1", "l1", "x"), ("b", "Bee", "u2", "l2", "y")))
-NEW = Literal("code VARCHAR, name VARCHAR, url VARCHAR, license VARCHAR, authority VARCHAR", (("a", "New", "u9", "l9", "z"), ("c", "Cee", "u3", "l3", "w")))
-
-
-@C.add("framework_upsert", f"WITH o AS {OLD.sql()}, n AS {NEW.sql()} SELECT code, coalesce(n.name, o.name) AS name, coalesce(n.url, o.url) AS url, coalesce(n.license, o.license) AS license, coalesce(o.authority, n.authority) AS authority FROM o FULL JOIN n USING (code)")
+@C.add(
+    "framework_upsert",
+    """WITH o AS (SELECT n_name AS code, 'old ' || n_name AS name, 'u' || n_nationkey AS url, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'l' END AS license, 'x' AS authority FROM nation WHERE n_nationkey % 3 <> 0),
+n AS (SELECT n_name AS code, n_name AS name, 'v' || n_nationkey AS url, 'm' AS license, 'y' AS authority FROM nation WHERE n_nationkey % 2 = 0)
+SELECT code, coalesce(n.name, o.name) AS name, coalesce(n.url, o.url) AS url, coalesce(n.license, o.license) AS license, coalesce(o.authority, n.authority) AS authority FROM o FULL JOIN n USING (code)""",
+)
 def framework_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return ingestion.upsert_frameworks(OLD.df(spark), NEW.df(spark))
+    key, nations = F.col("n_nationkey"), table(spark, sf, "nation")
+    old = nations.filter(key % 3 != 0).select(F.col("n_name").alias("code"), F.concat(F.lit("old "), "n_name").alias("name"), F.concat(F.lit("u"), key.cast("string")).alias("url"), F.when(key % 4 != 0, "l").alias("license"), F.lit("x").alias("authority"))
+    new = nations.filter(key % 2 == 0).select(F.col("n_name").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("v"), key.cast("string")).alias("url"), F.lit("m").alias("license"), F.lit("y").alias("authority"))
+    return ingestion.upsert_frameworks(old, new)
 
 
 @C.add("embedding_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS text, 'sec' || label AS section FROM embeddings UNION ALL SELECT vec_id + 1000000, 'new', 'none' FROM embeddings WHERE vec_id % 5 = 0")

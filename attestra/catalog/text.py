@@ -135,42 +135,41 @@ def html_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
-#: A small regulation: chapters, articles, one article's header repeated by a later quotation.
-REGULATION = Literal(
-    "source VARCHAR, line_no INTEGER, line VARCHAR",
-    tuple(
-        ("rgpd", i, x)
-        for i, x in enumerate(
-            ["Preamble line", "CHAPITRE I", "Article premier", "Subject matter", "Subject matter", "This act sets rules.", "CHAPITRE II", "Article 5", "Principles",
-             "Data are processed lawfully.", "They are kept accurate.", "Article 30", "Records", "Le responsable du traitement keeps records.", "TITRE 3", "Article 32 bis",
-             "Security", "Les entreprises protect systems.", "Article 5", "Quoted header", "Quoted body.", "Article 68", "Article 69", "Last", "La commission reports."],
-            1,
-        )
-    ),
-)
+#: Documents read as regulations: every sixth line is an article's header (numbers come again), some others a chapter's.
+_LINES_OF = """(SELECT CAST(doc_id AS VARCHAR) AS source, CAST(i AS INTEGER) AS line_no,
+  CASE WHEN i % 24 = 2 THEN 'CHAPITRE II' WHEN i % 24 = 14 THEN 'Titre ' || (i // 24 + 1) WHEN i % 6 = 3 THEN CASE (i // 6) % 5 WHEN 0 THEN 'Article premier' WHEN 3 THEN 'ARTICLE 4 bis' ELSE ' article ' || ((i // 6) % 5 * 7) END ELSE l[i] END AS line
+  FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))"""
+
+
+def _regulations(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    i = F.col("i") + 1
+    nth = F.floor(i / 6) % 5
+    header = F.when(nth == 0, "Article premier").when(nth == 3, "ARTICLE 4 bis").otherwise(F.concat(F.lit(" article "), (nth * 7).cast("string")))
+    line = F.when(i % 24 == 2, "CHAPITRE II").when(i % 24 == 14, F.concat(F.lit("Titre "), (F.floor(i / 24) + 1).cast("string"))).when(i % 6 == 3, header).otherwise(F.col("line"))
+    return lines.select("source", i.alias("line_no"), line.alias("line"))
 
 
 _PARSE = rf"""
 WITH l AS (SELECT *, regexp_matches(line, '(?i)^\s*(CHAPITRE|TITRE)\s+([IVXLC]+|\d+)\s*$') AS chap,
-    regexp_matches(line, '(?i)^\s*Article\s+(premier|\d+(\s*(bis|ter|quater))?)\s*$') AS head FROM {REGULATION.sql()}),
+    regexp_matches(line, '(?i)^\s*Article\s+(premier|\d+(\s*(bis|ter|quater))?)\s*$') AS head FROM {_LINES_OF}),
 m AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER w AS art,
     last_value(CASE WHEN chap THEN upper(left(trim(line), 1)) || lower(regexp_extract(line, '(?i)(CHAPITRE|TITRE)', 1)[2:]) || ' ' || regexp_extract(line, '(?i)(CHAPITRE|TITRE)\s+([IVXLC]+|\d+)', 2) END IGNORE NULLS) OVER w AS chapter,
     lead(line) OVER (PARTITION BY source ORDER BY line_no) AS nxt, lead(head) OVER (PARTITION BY source ORDER BY line_no) AS nxt_head
   FROM l WINDOW w AS (PARTITION BY source ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT source, art, CASE WHEN lower(regexp_extract(line, '(?i)Article\s+(.*\S)', 1)) = 'premier' THEN 'Article 1' ELSE 'Article ' || regexp_extract(line, '(?i)Article\s+(.*\S)', 1) END AS reference,
+h AS (SELECT source, art, chapter, CASE WHEN lower(regexp_extract(line, '(?i)Article\s+(.*\S)', 1)) = 'premier' THEN 'Article 1' ELSE 'Article ' || regexp_extract(line, '(?i)Article\s+(.*\S)', 1) END AS reference,
     CASE WHEN nxt IS NULL OR nxt_head THEN NULL ELSE nxt END AS title FROM m WHERE head),
-c AS (SELECT source, art, last(chapter ORDER BY line_no) AS chapter FROM m WHERE art > 0 AND NOT chap GROUP BY source, art),
 b AS (SELECT m.source, m.art, string_agg(line, chr(10) ORDER BY line_no) AS body FROM m JOIN h USING (source, art)
   WHERE NOT head AND NOT chap AND line <> coalesce(h.title, h.reference) GROUP BY ALL),
-a AS (SELECT h.source, h.art, h.reference, coalesce(h.title, h.reference) AS title, coalesce(nullif(trim(b.body), ''), h.title, h.reference) AS body
+a AS (SELECT h.source, h.art, h.chapter, h.reference, coalesce(h.title, h.reference) AS title, coalesce(nullif(trim(b.body), ''), h.title, h.reference) AS body
   FROM h LEFT JOIN b USING (source, art)),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, reference ORDER BY art) AS nth FROM a)
-SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY art) AS INTEGER) AS ordering, reference, left(title, 400) AS title, body FROM f WHERE nth = 1"""
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY art) AS INTEGER) AS ordering, reference, left(title, 400) AS title, body, chapter FROM f WHERE nth = 1"""
 
 
 @C.add("article_parse", _PARSE)
 def article_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return ingestion.articles(REGULATION.df(spark)).select("source", "ordering", "reference", "title", "body")
+    return ingestion.articles(_regulations(spark, sf)).select("source", "ordering", "reference", "title", "body", "chapter")
 
 
 @C.add(
@@ -181,34 +180,46 @@ def source_registry(spark: SparkSession, sf: str) -> DataFrame:
     return ingestion.registry(spark)
 
 
-#: Versions known so far, and what a fetch brings.
-VERSIONS = Literal("code VARCHAR, version_label VARCHAR, digest VARCHAR, is_current BOOLEAN", (("a", "2016/1", "d0", False), ("a", "2016/1-v2", "d1", True), ("b", "2020/2", "e1", True), ("d", "2001/4", "g1", True)))
-FETCHED = Literal("code VARCHAR, version_label VARCHAR, digest VARCHAR, fetched DATE", (("a", "2016/1", "d9", "2024-03-01"), ("b", "2020/2", "e1", "2024-03-01"), ("c", "2024/3", "f1", "2024-03-01")))
+#: Versions known so far (suppliers stand for regulations, most with an older version), and what a fetch brings.
+_VERSIONS = """(SELECT CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_suppkey % 4 = 0 THEN '2020/1-v2' ELSE '2020/1' END AS version_label, md5(s_name) AS digest, TRUE AS is_current FROM supplier WHERE s_suppkey % 5 <> 0
+  UNION ALL SELECT CAST(s_suppkey AS VARCHAR), '2019/9', 'old', FALSE FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 3 = 0)"""
+_FETCHED = """(SELECT CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_suppkey % 3 = 0 THEN '2019/9' ELSE '2020/1' END AS version_label, CASE WHEN s_suppkey % 2 = 0 THEN md5(s_name) ELSE md5(s_name || 'x') END AS digest, DATE '2024-03-01' AS fetched FROM supplier WHERE s_suppkey % 7 <> 0)"""
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    key, rows = F.col("s_suppkey"), table(spark, sf, "supplier")
+    digest = F.md5(F.col("s_name").cast("binary"))
+    current = rows.filter(key % 5 != 0).select(key.cast("string").alias("code"), F.when(key % 4 == 0, "2020/1-v2").otherwise("2020/1").alias("version_label"), digest.alias("digest"), F.lit(True).alias("is_current"))
+    older = rows.filter((key % 5 != 0) & (key % 3 == 0)).select(key.cast("string").alias("code"), F.lit("2019/9").alias("version_label"), F.lit("old").alias("digest"), F.lit(False).alias("is_current"))
+    changed = F.when(key % 2 == 0, digest).otherwise(F.md5(F.concat("s_name", F.lit("x")).cast("binary")))
+    fetched = rows.filter(key % 7 != 0).select(key.cast("string").alias("code"), F.when(key % 3 == 0, "2019/9").otherwise("2020/1").alias("version_label"), changed.alias("digest"), F.lit("2024-03-01").cast("date").alias("fetched"))
+    return current.unionByName(older), fetched
 
 
 @C.add(
     "change_detect",
     f"""
-WITH v AS {VERSIONS.sql()}, f AS {FETCHED.sql()}, cur AS (SELECT * FROM v WHERE is_current),
+WITH v AS {_VERSIONS}, f AS {_FETCHED}, cur AS (SELECT * FROM v WHERE is_current),
 s AS (SELECT f.*, CASE WHEN cur.code IS NULL THEN 'created' WHEN cur.digest = f.digest THEN 'unchanged' ELSE 'updated' END AS status FROM f LEFT JOIN cur USING (code)),
 l AS (SELECT s.*, version_label || ' (' || strftime(fetched, '%Y-%m-%d') || ')' AS dated FROM s WHERE status <> 'unchanged'),
 n AS (SELECT code, CASE WHEN NOT EXISTS (SELECT 1 FROM v WHERE v.code = l.code AND v.version_label = l.version_label) THEN version_label ELSE dated END AS version_label, digest, TRUE AS is_current FROM l)
 SELECT code, version_label, digest, is_current AND code NOT IN (SELECT code FROM n) AS is_current FROM v UNION ALL SELECT * FROM n""",
 )
 def change_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return ingestion.next_versions(VERSIONS.df(spark), ingestion.status(VERSIONS.df(spark), FETCHED.df(spark)))
+    versions, fetched = _versions(spark, sf)
+    return ingestion.next_versions(versions, ingestion.status(versions, fetched))
 
 
 @C.add(
     "ingest_counts",
     f"""
-WITH v AS {VERSIONS.sql()}, f AS {FETCHED.sql()}, cur AS (SELECT * FROM v WHERE is_current),
+WITH v AS {_VERSIONS}, f AS {_FETCHED}, cur AS (SELECT * FROM v WHERE is_current),
 s AS (SELECT CASE WHEN cur.code IS NULL THEN 'created' WHEN cur.digest = f.digest THEN 'unchanged' ELSE 'updated' END AS status FROM f LEFT JOIN cur USING (code))
 SELECT count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged FROM s""",
 )
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("status")
-    return ingestion.status(VERSIONS.df(spark), FETCHED.df(spark)).agg(*[F.count_if(s == x).alias(x) for x in ("created", "updated", "unchanged")])
+    return ingestion.status(*_versions(spark, sf)).agg(*[F.count_if(s == x).alias(x) for x in ("created", "updated", "unchanged")])
 
 
 @C.add(
@@ -222,6 +233,21 @@ def dry_run_preview(spark: SparkSession, sf: str) -> DataFrame:
     return ingestion.preview(article_parse(spark, sf))
 
 
+@C.add(
+    "ingest_all",
+    f"""
+WITH a AS ({_PARSE}), w AS (SELECT source, count(*) AS n, sha256(string_agg(body, chr(10) ORDER BY ordering)) AS digest, count(*) FILTER (TRY_CAST(nullif(regexp_extract(reference, '(?i)Article\s+(\d+)', 1), '') AS INTEGER) BETWEEN 5 AND 49) AS auditable FROM a GROUP BY source),
+s AS (SELECT *, CASE WHEN CAST(source AS BIGINT) % 3 = 0 THEN 'created' WHEN CAST(source AS BIGINT) % 3 = 1 THEN 'unchanged' ELSE 'updated' END AS status FROM w)
+SELECT status, count(*) AS sources, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(auditable) AS BIGINT) AS auditable FROM s GROUP BY status""",
+)
+def ingest_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the sources, every third is new, one in three known with the same text, the others with another one."""
+    found = ingestion.articles(_regulations(spark, sf))
+    key = F.col("source").cast("long")
+    known = ingestion.preview(found).filter(key % 3 != 0).select(F.col("source").alias("code"), F.lit("1").alias("version_label"), F.when(key % 3 == 1, F.col("digest")).otherwise("other").alias("digest"), F.lit(True).alias("is_current"))
+    return ingestion.ingest_all(found, known, F.lit("rgpd")).groupBy("status").agg(F.count("*").alias("sources"), F.sum("n_articles").alias("articles"), F.sum("auditable").alias("auditable"))
+
+
 @C.add(
     "json_tolerant",
     r"""

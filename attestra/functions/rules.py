@@ -26,6 +26,21 @@ def lookup(key: Column, table: dict, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def _typed(facts: Column, path: str, kinds: tuple[str, ...], to: str) -> Column:
+    value = F.try_variant_get(facts, path, "variant")
+    return F.when(F.schema_of_variant(value).isin(*kinds), F.try_variant_get(facts, path, to))
+
+
+def strict_int(facts: Column, path: str) -> Column:
+    """A whole number of a raw fact; truth values, strings and fractions aren't one."""
+    return _typed(facts, path, ("BIGINT",), "bigint")
+
+
+def strict_bool(facts: Column, path: str) -> Column:
+    """A truth value of a raw fact; nothing else is one."""
+    return _typed(facts, path, ("BOOLEAN",), "boolean")
+
+
 def severity_rank(severity: Column) -> Column:
     return lookup(severity, {s: i for i, s in enumerate(SEVERITIES)})
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import text as T
 from attestra.functions.literal import Literal
+from attestra.operators import verdicts
 
 # How a regulation's pages mark an article and a chapter, and where they are.
 HEADER = r"(?i)^\s*Article\s+(premier|\d+(?:\s*(?:bis|ter|quater))?)\s*$"
@@ -99,6 +101,18 @@ def preview(found: DataFrame) -> DataFrame:
     return out.select("source", "n_articles", "text_length", digest.alias("digest"), F.slice(F.transform("o", lambda x: x["reference"]), 1, 5).alias("first_references"))
 
 
+def ingest_all(found: DataFrame, versions: DataFrame, framework: Column, codes: list[str] | None = None) -> DataFrame:
+    """code, n_articles, auditable, digest, status of every source whose articles are in ``found``, or of those named.
+
+    All sources are one plan: nothing is looped over.
+    """
+    rows = found if codes is None else found.filter(F.col("source").isin(*codes))
+    who = verdicts.audience(framework, F.col("reference"), T.article_number(F.col("reference")), F.col("body"))
+    auditable = rows.groupBy("source").agg(F.count_if(who == "entity").alias("auditable"))
+    fetched = preview(rows).join(auditable, "source").withColumnRenamed("source", "code")
+    return status(versions, fetched).select("code", "n_articles", "auditable", "digest", "status")
+
+
 def upsert_frameworks(known: DataFrame, fetched: DataFrame) -> DataFrame:
     """By code: new rows come in, known ones get the fetched name, url and license and keep the rest."""
     joined = known.alias("k").join(fetched.alias("f"), "code", "full")

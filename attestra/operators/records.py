@@ -41,7 +41,9 @@ def crosswalks(edges: DataFrame, requirements: DataFrame, code: str) -> DataFram
     def direction(a: str, b: str) -> DataFrame:
         return edges.join(own, F.col(a) == F.col("own_id")).join(other, F.col(b) == F.col("other_id")).select("edge_id", "own", "other_code", "other", "coverage")
 
-    return direction("source_id", "target_id").unionByName(direction("target_id", "source_id")).dropDuplicates(["edge_id"])
+    # an edge between two of the framework's own requirements is told from its source
+    back = direction("target_id", "source_id").filter(F.col("other_code") != code)
+    return direction("source_id", "target_id").unionByName(back)
 
 
 def seed_crosswalks(seeds: DataFrame, requirements: DataFrame, known: DataFrame) -> DataFrame:
