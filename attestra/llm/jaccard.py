@@ -20,8 +20,9 @@ across components in tiles of two blocks, again by bitmaps, then exactly.
 Comparing only across components loses no component, and a group of any number
 of edited copies of one original is done after the leaders.
 
-Scale: keys travel packed (about ten bytes); a key that a map task sees in two
-nodes is known to matter there and sent once.  Only texts of nodes that share a
+Scale: keys are rows that Spark shuffles and sorts (and spills), in partitions
+whose number follows the data; a key that a map task sees in two nodes is known
+to matter there and looked up once.  Only texts of nodes that share a
 key are shuffled.  Pairs that become rows are nodes times leaders; those of a
 tile are bit counts within a task.
 """
@@ -32,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,7 @@ FLUSH = 1 << 19
 #: Nodes, and bytes of their texts, in a block of a tile.
 BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 LED = 256
+KEYS_A_PARTITION = 1 << 21
 #: A shingle in so many sets of one task's share is common; of these the most frequent are known everywhere.
 OFTEN, COMMON = 3, 200_000
 _LIMITS = [1]
@@ -179,17 +180,21 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.
     return np.concatenate(keys), np.concatenate(owners), need
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+_KEYS = ["key", "s1", "s2", "need", "known"]
 
 
-def _emit(n: int, percent: int, buckets: int, common):
-    """bucket, kind, blobs of keys and nodes; kind 1: keys known to be shared, 0: to be looked up."""
+def _emit(n: int, percent: int, common):
+    """key, s1, s2, need, known: the keys of all sets.
 
-    def flush(keys, owners, s1, s2, needs) -> Iterator[tuple]:
+    A key that several sets of one task's share have is known to be shared:
+    all its rows say so, and one of them is sent once more for the look-up, so
+    that what other tasks have finds it.  A key is looked up once a share, then,
+    however many sets have it.
+    """
+
+    def flush(keys, owners, s1, s2, needs) -> pa.RecordBatch:
         key, owner, s1, s2, need = map(np.concatenate, (keys, owners, s1, s2, needs))
-        both = np.stack([s1, s2, need], 1)
-        nodes, node = np.unique(both, axis=0, return_inverse=True)
+        nodes, node = np.unique(np.stack([s1, s2, need], 1), axis=0, return_inverse=True)
         owner = node.reshape(-1)[owner]
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
@@ -200,29 +205,13 @@ def _emit(n: int, percent: int, buckets: int, common):
         first[1:] = key[1:] != key[:-1]
         shared = ~first
         shared[:-1] |= ~first[1:]
-        known = np.flatnonzero(shared)
-        yield from out(1, key[known], owner[known], nodes)
-        yield from out(0, key[first], owner[first], nodes)
-
-    def out(kind: int, key: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> Iterator[tuple]:
-        bucket = ((key >> H.U(40)) % H.U(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        key, owner, bucket = key[order], owner[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.unique(bucket).tolist():
-            a, z = cuts[b], cuts[b + 1]
-            used, local = np.unique(owner[a:z], return_inverse=True)
-            yield b, kind, z - a, _pack(np.array([len(used)], "<i8"), nodes[used], key[a:z], np.diff(local, prepend=0).astype("<u4"))
+        rows = np.concatenate([np.flatnonzero(shared), np.flatnonzero(first)])
+        of = nodes[owner[rows]]
+        known = np.arange(len(rows)) < int(shared.sum())
+        return pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(of[:, 0]), pa.array(of[:, 1]), pa.array(of[:, 2].astype(np.int32)), pa.array(known)], _KEYS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, base = ([], [], [], [], []), 0, 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for row in flush(*held):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.int32()), pa.array([row[3]], pa.binary())], ["bucket", "kind", "n", "blob"])
-            for x in held:
-                x.clear()
-
         for part in chunks(batches):
             values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
             s1, s2 = _sums(values, offsets)
@@ -231,46 +220,47 @@ def _emit(n: int, percent: int, buckets: int, common):
                 x.append(y)
             count, base = count + len(key), base + len(s1)
             if count >= FLUSH:
-                yield from send()
+                yield flush(*held)
+                for x in held:
+                    x.clear()
                 count = base = 0
         if count:
-            yield from send()
+            yield flush(*held)
 
     return emit
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """key, s1, s2, need of every key that two nodes at least have."""
-    keys, known, places, nodes, base = [], [], [], [], 0
-    for kind, n, blob in zip(*(table.column(c) for c in ("kind", "n", "blob")), strict=True):
-        raw, n = zstandard.ZstdDecompressor().decompress(blob.as_py()), n.as_py()
-        m = int(np.frombuffer(raw, "<i8", 1)[0])
-        nodes.append(np.frombuffer(raw, "<i8", 3 * m, 8).reshape(m, 3))
-        keys.append(np.frombuffer(raw, H.U, n, 8 + 24 * m).copy())
-        places.append(np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 24 * m + 8 * n), dtype=np.int32) + np.int32(base))
-        known.append(np.full(n, kind.as_py() == 1))
-        base += m
-    key, known, place, nodes = map(np.concatenate, (keys, known, places, nodes))
-    del keys, places
-    # nodes that several tasks have sent are one
-    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (nodes[order[1:], :2] != nodes[order[:-1], :2]).any(1)
-    one = np.empty(len(order), np.int32)
-    one[order] = np.cumsum(new, dtype=np.int32) - 1
-    nodes = nodes[order[new]]
-    node = one[place]
-    open_ = np.flatnonzero(~known)
-    open_ = open_[np.lexsort((node[open_], key[open_]))]
-    first = np.ones(len(open_), bool)
-    first[1:] = key[open_[1:]] != key[open_[:-1]]
-    new = first.copy()
-    new[1:] |= node[open_[1:]] != node[open_[:-1]]
-    group = np.cumsum(first, dtype=np.int32) - 1
-    shared = new & (np.bincount(group, new)[group] > 1) if len(open_) else new
-    picked = np.concatenate([np.flatnonzero(known), open_[shared]])
-    of = nodes[node[picked]]
-    return pa.table({"key": pa.array(key[picked].view(np.int64)), "s1": pa.array(of[:, 0]), "s2": pa.array(of[:, 1]), "need": pa.array(of[:, 2])})
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by known, key and set: those whose key is known to be shared, or is by what the stream says.
+
+    Only one row is held from batch to batch: the first of the last key while
+    no other set has come with it.
+    """
+    held, key_before, open_before = None, None, False
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _KEYS]
+        if columns[4].any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[columns[4]]) for c in columns[:4]], _KEYS[:4])
+            columns = [c[~columns[4]] for c in columns]
+        if not len(columns[0]):
+            continue
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+        key, s1, s2 = columns[:3]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        new = first.copy()
+        new[1:] |= (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        run = np.cumsum(first) - 1
+        shared = np.bincount(run, new) > 1
+        if open_before and key[0] == key_before:
+            shared[0] = True
+        keep = new & shared[run]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:4]], _KEYS[:4])
+        key_before, open_before = key[-1], bool(shared[-1])
+        at = np.flatnonzero(first)[-1]
+        held = None if open_before else [c[at : at + 1] for c in columns]
 
 
 def _bitmap(values: np.ndarray, width: int) -> np.ndarray:
@@ -297,6 +287,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int, maps: dict[int, np.ndarr
     return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
 
+def _partitions(rows: DataFrame, percent: int) -> int:
+    """How many partitions the keys of these rows are dealt to: by their number, estimated from the sets' sizes."""
+    shingles = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
+    keys = shingles * 5 * (100 - percent) // (100 + percent)  # two tiles a set at most, parts and spares in each
+    return max(shuffle_partitions(rows.sparkSession), -(-keys // KEYS_A_PARTITION))
+
+
 def _leaders(members: DataFrame) -> DataFrame:
     """key, leader: the node of each key that meets most others over all its keys; the original of a group of edited copies, say."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
@@ -475,9 +472,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = rows.filter("_r is not null").drop("common")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
-    buckets = 2 * shuffle_partitions(spark)
-    sent = docs.select("text").mapInArrow(_emit(n, percent, buckets, common), "bucket int, kind int, n int, blob binary")
-    shared = sent.groupBy("bucket").applyInArrow(_judge, "key long, s1 long, s2 long, need long").distinct()
+    sent = docs.select("text").mapInArrow(_emit(n, percent, common), "key long, s1 long, s2 long, need int, known boolean")
+    # what is known already is dealt evenly; the rest meets by key, one row a share, and is read as a sorted stream
+    dealt = sent.repartition(_partitions(rows, percent), F.when(F.col("known"), F.xxhash64("key", "s1")).otherwise(F.col("key")))
+    shared = dealt.sortWithinPartitions("known", "key", "s1", "s2").mapInArrow(_judge, "key long, s1 long, s2 long, need int").distinct()
     members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node", "need"), "shared")
     for _ in range(2):  # what shares too few keys is linked with nothing; keys that one node is left of go as well
         enough = members.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")

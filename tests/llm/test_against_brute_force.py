@@ -312,3 +312,55 @@ def test_topk(spark):
             scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
             expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
     assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()} == expected
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_with_boilerplate_against_all_pairs(spark, n, percent):
+    """Documents with a passage that others repeat, beside copies that lack one to four words, or have others: no link is lost."""
+    r, rows = random.Random(31), []
+    licence = [[f"l{k}x{j}" for j in range(r.randint(6, 30))] for k in range(6)]
+    for i in range(500):
+        own = [f"w{i}x{j}" for j in range(r.randint(4, 40))]
+        body = [*own, *r.choice(licence)] if r.random() < 0.8 else own
+        rows.append(body)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            cut = r.randint(1, 4)
+            rows.append(r.choice([body[:-cut], body[cut:], [*body, *(f"y{i}x{j}" for j in range(cut))], [*body[:2], f"z{i}", *body[3:]]]))
+    texts = [" ".join(x) for x in rows]
+    sets = [{tuple(x[i : i + n]) for i in range(len(x) - n + 1)} or ({tuple(x)} if x else set()) for x in rows]
+    holders = collections.defaultdict(list)
+    for i, own in enumerate(sets):
+        for s in own:
+            holders[s].append(i)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for a, b in {(min(p), max(p)) for own in holders.values() for i, x in enumerate(own) for y in own[i + 1 :] for p in [(x, y)]}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            links += 1
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert links > 200
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {q.doc_id: q.component_id for q in jaccard.join(frame, n, percent).collect()} == {i: root(i) for i in range(len(rows))}
+
+
+def test_keys_are_judged_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    rows = sorted((False, r.randrange(60), r.randrange(6), 0) for _ in range(400)) + [(True, 7, 1, 0), (True, 7, 2, 0)]
+    rows = sorted(rows)
+    expected = {(k, s) for _, k, s, _ in rows if len({x[2] for x in rows if x[1] == k and not x[0]}) > 1} | {(7, 1), (7, 2)}
+    for size in (1, 2, 3, 7, 1000):
+        batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+        made = (pa.RecordBatch.from_arrays([pa.array([x[1] for x in b]), pa.array([x[2] for x in b]), pa.array([x[3] for x in b]), pa.array(np.ones(len(b), np.int32)), pa.array([x[0] for x in b])], jaccard._KEYS) for b in batches)
+        got = {(k, s) for b in jaccard._judge(made) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert got == expected
