@@ -364,3 +364,67 @@ def test_keys_are_judged_across_batches():
         made = (pa.RecordBatch.from_arrays([pa.array([x[1] for x in b]), pa.array([x[2] for x in b]), pa.array([x[3] for x in b]), pa.array(np.ones(len(b), np.int32)), pa.array([x[0] for x in b])], jaccard._KEYS) for b in batches)
         got = {(k, s) for b in jaccard._judge(made) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
         assert got == expected
+
+
+def _bootstrap_twin(rows):
+    """Spans of the method in plain Python, for texts with phones and secrets only."""
+    mentions = []
+    for d, t in rows:
+        base = [m.span() for m in re.finditer(BASE["phone"], t) if passes("phone", m[0])]
+        cut = {"phone": [(m.span(), False) for m in re.finditer(pii.SHAPES["phone"], t)], "secret": [(m.span(), bool(re.match(pii.SECRET_SEED, m[0]))) for m in re.finditer(pii.SHAPES["secret"], t)]}
+        free = {k: [(s, seed) for s, seed in found if all(s[1] <= a or b <= s[0] for a, b in base)] for k, found in cut.items()}
+        for kind, found, edges in (("phone", [(s, True) for s in base], base), ("phone", free["phone"], [s for s, _ in cut["phone"]]), ("secret", free["secret"], [s for s, _ in cut["secret"]])):
+            for (a, b), seed in found:
+                before, after = max([0, *(y for _, y in edges if y <= a)]), min([len(t), *(x for x, _ in edges if x >= b)])
+                left, right = ([w for w in re.split(r"[\W_]+", x.lower()) if w] for x in (t[before:a], t[b:after]))
+                at = {(f"{left[-1]} _", left[-1])} if left else set()
+                if len(left) > 1:
+                    at |= {(f"{left[-2]} {left[-1]} _", f"{left[-2]} {left[-1]}"), (f"{left[-2]} * _", left[-2])}
+                if right:
+                    at.add((f"_ {right[0]}", right[0]))
+                mentions.append((d, kind, a, b, t[a:b], seed, at))
+    total = collections.Counter()
+    for _, t in rows:
+        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        total.update(w)
+        total.update(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
+    edges, seeds = collections.Counter(), {}
+    for _, kind, _, _, value, seed, at in mentions:
+        seeds[kind, value] = seeds.get((kind, value), False) or seed
+        for p in at:
+            edges[kind, p, value] += 1
+    sides = collections.defaultdict(list)
+    for (kind, p, value), n in edges.items():
+        sides[kind, p].append((value, n))
+    usable = {p: v for p, v in sides.items() if len(v) >= pii.SUPPORT and sum(n for _, n in v) >= pii.SPECIFIC * total[p[1][1]]}
+    score = {k: float(s) for k, s in seeds.items()}
+    while True:
+        confidence = {p: min(0.999, sum(n * score[p[0], x] for x, n in v) / sum(n for _, n in v)) for p, v in usable.items() if sum(score[p[0], x] > 0 for x, _ in v) >= pii.SUPPORT}
+        chance = {k: 1 - math.prod(1 - c for p, c in confidence.items() if p[0] == k[0] and any(x == k[1] for x, _ in usable[p])) for k in seeds}
+        new = {k: 1.0 if seeds[k] else chance[k] if chance[k] >= pii.TRUST else 0.0 for k in seeds}
+        done = {k for k in new if chance[k] >= pii.TRUST} == {k for k in score if score[k] > 0 and not seeds[k]} | {k for k in new if chance[k] >= pii.TRUST and seeds[k]}
+        score = new
+        if done:
+            break
+    spans = collections.defaultdict(set)
+    for d, kind, a, b, value, seed, _ in mentions:
+        if kind == "phone" and seed or chance[kind, value] >= pii.TRUST:
+            spans[d].add((kind, a, b))
+    return {d: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans[d])) for d, _ in rows}
+
+
+def test_pii_graph_against_plain_python(spark):
+    r, rows = random.Random(8), []
+    filler = [f"w{chr(97 + i)}" for i in range(20)]
+    number = lambda: f"{r.randrange(100, 999)} 0{r.randrange(100, 999)} {r.randrange(1000, 9999)}"
+    for i in range(300):
+        some = lambda: " ".join(r.choice(filler) for _ in range(r.randint(0, 5)))
+        secret = r.choice(["".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("0123456789ABCxyz") for _ in range(20))])
+        piece = r.choice([f"call me: +1 555 {number()[:8]}", f"call me {number()}", f"ring her {number()} anytime", f"{number()} extension", f'token = "{secret}"', f"commit {secret[:24]}", f"the key xx {secret} end", "the key of it"])
+        rows.append((i, f"{some()} {piece} {some()} {piece if r.random() < 0.3 else ''} {some()}"))
+    rows += [(900, "about 500 0100 2000 people"), (901, "a1" * 20), (902, "")]
+    expected = _bootstrap_twin(rows)
+    got = {x.doc_id: x for x in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()}
+    assert {d: x.spans for d, x in got.items()} == expected
+    assert sum("secret" in x.spans for x in got.values()) > 20 and got[901].spans == "" and got[900].spans == ""
+    assert all(x.n_added == x.n_spans - x.n_phone for x in got.values())
