@@ -275,17 +275,60 @@ def test_attention_model_sums_to_one_and_scores_each_place_once():
     assert np.allclose(two[:49], whole, atol=1e-4) and np.allclose(two[49:], whole, atol=1e-4)
 
 
-def test_attention_reads_ids_and_not_classes_alone():
+def test_attention_reads_all_ids_of_a_word():
     import numpy as np
     from attestra.llm import attention as A
 
     r = np.random.default_rng(2)
-    ids = [np.append(np.stack([first := r.integers(0, 2, 24), first + 2], 1).ravel(), 4) for _ in range(40)]  # 0 is followed by 2, 1 by 3
-    streams = [np.array([0, 0, 1, 2, 3])[x] for x in ids]  # 0 and 1 are of one class
-    m = A.train(streams, 3, steps=200, ids=ids, size=4)
-    assert A.score(m, streams[0], np.array([0, 49]), ids[0])[1:48:2].mean() > -0.1  # a coin's, by class alone: -0.3
-    long = b"internationalisation" * 20 + b"xq"
-    assert lmscore.leading_ids([long], lmscore.RANKS)[0] == lmscore._encoding(lmscore.RANKS).encode_ordinary(" " + long.decode())[0]
+    # words 0 and 1 are of one class and begin with the same id: only the second id tells that 2 or 3 follows
+    words = [np.append(np.stack([first := r.integers(0, 2, 24), first + 2], 1).ravel(), 4) for _ in range(40)]
+    streams = [np.array([0, 0, 1, 2, 3])[x] for x in words]
+    pieces, lens = np.array([5, 0, 5, 1, 2, 3]), np.array([2, 2, 1, 1])
+    m = A.train(streams, 3, steps=200, words=words, pieces=pieces, lens=lens, ids=6)
+    vectors = A.word_vectors(m.f, pieces, lens)
+    assert A.score(m, streams[0], np.array([0, 49]), words[0], vectors)[1:48:2].mean() > -0.1  # a coin's, by class alone: -0.3
+    long = "internationalisation" * 20 + "xq"
+    found, n = lmscore.pieces_of([long.encode(), b"a"], lmscore.RANKS)
+    assert found[: n[0]].tolist() == lmscore._encoding(lmscore.RANKS).encode_ordinary(" " + long) and n[0] > 32 and n[1] == 1
+
+
+def test_language_model_score_against_plain_numpy(spark, sf_dir):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("doc_id < 60").unionByName(spark.createDataFrame([(90001, None), (90002, "one"), (90003, "ab " * 700)], "doc_id long, text string"))
+    training = lmscore.is_training()
+    classes, m = lmscore.fit(docs, training)
+    got = {r.doc_id: r.score for r in lmscore.score(docs).collect()}
+    encode = lmscore._encoding(lmscore.RANKS).encode_ordinary
+    tokens = {r.doc_id: words((r.text or "").translate(LOWER)) for r in docs.collect()}
+    ids = {w: encode(" " + w) for ws in tokens.values() for w in ws}
+    kind = lambda w: 64 if w is None else int(classes[ids[w][0]])
+    count = collections.Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in [*ws, None])
+    of_class, distinct = collections.Counter(), collections.Counter()
+    for w, n in count.items():
+        of_class[kind(w)] += n
+        distinct[kind(w)] += 1
+    for d, ws in tokens.items():
+        stream, total = [*ws, None], 0.0
+        before = [m.e[65], *(m.e[kind(w)] + m.f[ids[w]].sum(0) for w in ws)]  # "begin", then what was predicted
+        for i, w in enumerate(stream):
+            low = (i // 16 - 1) * 16  # windows of 32 that overlap by half
+            at = range(max(0, low), i + 1)
+            h = np.stack([before[j] + m.p[j - low] for j in at])
+            q = (h[-1] @ m.q) / 4
+            weight = np.exp(h @ m.k @ q - (h @ m.k @ q).max())
+            out = (h[-1] + (weight / weight.sum()) @ (h @ m.v) @ m.o) @ m.u + m.b
+            p_class = np.exp(out[kind(w)] - out.max()) / np.exp(out - out.max()).sum()
+            total += math.log10(p_class) + math.log10((count[w] + 1) / (of_class[kind(w)] + distinct[kind(w)] + 1))
+        assert got[d] == pytest.approx(total, rel=1e-4), d
+
+
+def test_language_model_is_fitted_on_everything_without_bounds(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(50)], "doc_id long, text string")
+    few, _ = lmscore.fit(docs, lmscore.is_training(), sample=3)
+    every, model = lmscore.fit(docs, lmscore.is_training(), sample=None, sample_words=None)
+    assert model.f.any() and len(few) == len(every)
+    assert lmscore.score(docs, sample=None, sample_words=None).count() == 50
 
 
 def test_language_id(spark, sf_dir):
