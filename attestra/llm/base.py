@@ -18,11 +18,14 @@ CHUNK_BYTES = 1 << 19
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a temporary
-    folder chosen and set as the checkpoint folder.
+    Only where the session names none, and all runs on one machine (as in
+    tests), is a temporary folder chosen and set as the checkpoint folder; on a
+    cluster, executors would write to disks of their own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="attestra-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()

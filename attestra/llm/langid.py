@@ -6,6 +6,9 @@ the language whose dictionary gives the smallest total is chosen.  The margin
 is the second smallest total less the smallest, over the smallest; a text with
 a narrow margin is rejected.
 
+Every dictionary sees every text, so the number of languages that labels name
+should be small: work grows with it.
+
 Scale: the dictionaries are the only thing learned, ``SAMPLE`` documents a
 language at most, chosen by a hash of doc_id (the per-language limit is taken
 before the shuffle), ``DICTIONARY_BYTES`` each.  Scoring is one pass over the

@@ -8,9 +8,11 @@ add (Cauchy-Schwarz on the remaining mass) is below the query's k-th best
 score, and the survivors are compacted.
 
 Scale: queries are a stated set, met with all rows block against block; a
-pair of blocks is one task-sized unit, its working set bounded by the block
-sizes, and the k best of each query and candidate block are all that is
-shuffled on.
+pair of blocks is one record, its working set bounded by the block sizes, and
+the k best of each query and task are all that is shuffled on.  Blocks hold the
+smallest whole numbers that fit.  Candidate blocks are dealt over as many parts
+as ``BLOCKS_A_PART`` of them ask for, and the queries' blocks copied once for
+each part: a part's first block finds the floors that prune its others.
 """
 
 from __future__ import annotations
@@ -18,35 +20,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.base import shuffle_partitions
+from attestra.llm.base import written
 
 BLOCK = 1024
 QUERY_BLOCK = 256
 DIMENSIONS = 16
+BLOCKS_A_PART = 64
+_WHOLE = tuple(np.dtype(t) for t in ("<i2", "<i4", "<i8"))
 
 
-def _pack(size: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+def _pack(size: int, names: list[str]):
+    """dim, bytes a number, ids and vectors (dimension by dimension) of up to ``size`` rows of one length."""
 
-        def out(dim: int, rows: list) -> pd.DataFrame:
-            ids = np.array([r[0] for r in rows], np.int64)
-            table = np.stack([r[1] for r in rows])
-            return pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "vectors": [np.ascontiguousarray(table.T).tobytes()]})
+    def block(dim: int, ids: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        low, high = int(table.min(initial=0)), int(table.max(initial=0))
+        kind = next(t for t in _WHOLE if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        values = [dim, kind.itemsize, ids.astype("<i8").tobytes(), np.ascontiguousarray(table.T.astype(kind)).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for i, v in zip(batch["id"], batch["v"], strict=True):
-                rows = held.setdefault(len(v), [])
-                rows.append((i, np.asarray(v, np.int64)))
-                if len(rows) == size:
-                    yield out(len(v), held.pop(len(v)))
-        for dim, rows in held.items():
-            yield out(dim, rows)
+            ids, lens = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            flat, starts = batch.column(1).flatten().to_numpy(), np.cumsum(lens) - lens
+            for dim in np.unique(lens).tolist():
+                at = np.flatnonzero(lens == dim)
+                own, table = ids[at], flat[starts[at][:, None] + np.arange(dim)]
+                if dim in held:
+                    own, table = np.concatenate([held[dim][0], own]), np.concatenate([held[dim][1], table])
+                whole = len(own) // size * size
+                for low in range(0, whole, size):
+                    yield block(dim, own[low : low + size], table[low : low + size])
+                held[dim] = own[whole:], table[whole:]
+        for dim, (own, table) in held.items():
+            if len(own):
+                yield block(dim, own, table)
 
     return pack
 
@@ -56,7 +68,7 @@ def _search(k: int):
         """q, c: dimension x row.  best: query -> (scores, ids) so far, k at most."""
         dim = len(q)
         exact = np.int64
-        if dim and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim < 2**52:
+        if dim and float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * dim < 2**52:
             exact = np.float64  # products and sums stay whole numbers there
         q, c = q.astype(exact), c.astype(exact)
         cuts = [*range(0, dim, DIMENSIONS), dim] if dim else [0, 0]
@@ -89,11 +101,13 @@ def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q_vectors"], np.int64).reshape(r["dim"], -1)
-                c = np.frombuffer(r["vectors"], np.int64).reshape(r["dim"], -1)
-                one(q_ids, q, ids, c, best)
+            dims, q_bytes, c_bytes = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("dim", "q_bytes", "bytes"))
+            q_ids, q_vectors, ids, vectors = (batch.column(batch.schema.get_field_index(n)) for n in ("q_ids", "q_vectors", "ids", "vectors"))
+            for r in range(batch.num_rows):  # a pair of blocks each
+                asked, own = np.frombuffer(q_ids[r].as_buffer(), "<i8"), np.frombuffer(ids[r].as_buffer(), "<i8")
+                q = np.frombuffer(q_vectors[r].as_buffer(), f"<i{q_bytes[r]}").reshape(dims[r], len(asked))
+                c = np.frombuffer(vectors[r].as_buffer(), f"<i{c_bytes[r]}").reshape(dims[r], len(own))
+                one(asked, q, own, c, best)
                 if len(best) > 64 * QUERY_BLOCK:
                     yield flush(best)
         if best:
@@ -129,15 +143,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    packed = "dim int, ids binary, vectors binary"
-    blocks = rows.select("id", "v").mapInPandas(_pack(BLOCK), packed)
-    asked = rows.filter("asks").select("id", "v").mapInPandas(_pack(QUERY_BLOCK), packed)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # each part of the candidates meets every query block; dealing by part keeps one dimension from being one task
-    parts = shuffle_partitions(vectors.sparkSession)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    met = asked.join(blocks, ["dim", "part"])
+    names, asking = ["dim", "bytes", "ids", "vectors"], ["dim", "q_bytes", "q_ids", "q_vectors"]
+    packed = lambda n: ", ".join(f"{c} {t}" for c, t in zip(n, ("int", "int", "binary", "binary"), strict=True))
+    blocks = written(rows.select("id", "v").mapInArrow(_pack(BLOCK, names), packed(names)), "blocks")
+    asked = written(rows.filter("asks").select("id", "v").mapInArrow(_pack(QUERY_BLOCK, asking), packed(asking)), "queries")
+    parts = blocks.groupBy("dim").agg(F.ceil(F.count("*") / BLOCKS_A_PART).cast("int").alias("parts"))
+    dealt = blocks.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts")
+    copies = asked.join(parts, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # a pair of blocks is a record
+    met = copies.join(dealt, ["dim", "part"])
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
