@@ -197,3 +197,78 @@ def test_partitions_are_replaced(spark, tmp_path):
     verdict = spark.createDataFrame([("doc", "5", "breach")], "document string, article string, verdict string")
     report = sinks.json_report(spark.createDataFrame([(0.5,)], "recall double"), verdict).first().report
     assert json.loads(report)["verdicts"] == [{"article": "5", "verdict": "breach"}]
+
+
+def test_every_place_of_a_piece_is_tried(spark):
+    quote = "alpha beta gamma delta epsilon zeta eta theta iota"
+    decoy = "alpha beta gamma wrong words follow here in this part "
+    odd = "".join(c if i % 9 else "#" for i, c in enumerate(quote, 1))  # no twelve characters are whole
+    assert verification.closest_window(quote, decoy * 50 + quote.replace("delta", "delto") + " end")[0] >= 0.9
+    assert verification.closest_window(quote, "x " * 300 + odd + " end")[0] >= 0.85
+    assert verification.closest_window(quote, "1234567890 " * 40)[0] < 0.3 and verification.closest_window("", "a") == (0.0, -1)
+    assert verification.closest_window(quote, "start " + quote.replace("delta", "delto") + " and much more follows here", "parity")[0] < 0.9  # margins keep it down
+    rows = [(0, "the quick brown fox jumps over the lazy dog, twice", ["the quick brown fox jumps over", "the quick brawn fox jumps over", "short", " ", "nothing of the kind is in the text"])]
+    df = spark.createDataFrame(rows, "i int, d string, q array<string>")
+    found = verification.checked(df, F.col("q"), F.col("d"), tolerance="fixed").first().checks
+    assert [c.reason for c in found] == ["exact", "approximate", "too short", "empty", "not found"] and [c.valid for c in found] == [True, True, False, False, False]
+    assert [c.reason for c in verification.checked(df, F.col("q"), F.col("d")).first().checks] == ["exact", "not found", "too short", "empty", "not found"]
+
+
+def test_grid_has_18_articles(spark):
+    from attestra.operators import grid
+
+    known = grid.grid(spark)
+    rows = {r.article: r for r in grid.summary(known).collect()}
+    assert len(rows) == 18 and (rows["13"].n_elements, rows["13"].n_blocking) == (8, 6) and (rows["9"].n_exemptions, rows["9"].n_ex_ante) == (10, 10)
+    assert (rows["34"].n_exemptions, rows["34"].n_ex_ante) == (3, 0) and known.filter("not needs_proof").first().article == "37"
+    with pytest.raises(Exception, match="article not in the grid: 99"):
+        grid.looked_up(spark.createDataFrame([("99",)], "article string"), known).collect()
+
+
+def test_grid_from_a_file(spark, tmp_path):
+    from attestra.operators import grid
+
+    own = [{"ordering": 1, "article": "1", "title": "t", "criticality": 2, "needs_proof": True, "elements": [{"element": "a", "blocking": True, "hints": ["x"]}], "exemptions": []}]
+    (tmp_path / "grid.json").write_text(json.dumps(own))
+    assert grid.summary(grid.load(spark, str(tmp_path / "grid.json"))).first().asDict() == {"article": "1", "criticality": 2, "n_elements": 1, "n_blocking": 1, "n_exemptions": 0, "n_ex_ante": 0}
+
+
+def test_client_waits_refuses_and_remembers(spark):
+    prompts = spark.createDataFrame([("s", "a"), ("s", "b")], "system string, user string").coalesce(1)
+
+    def client(system, user):
+        if user == "a":
+            raise readers.Refused("no")
+        return user * 2
+
+    found = {r.answer: r for r in readers.evaluate(prompts, client, "m", 0.0).collect()}
+    assert found[None].error.startswith("Refused") and found["bb"].cached is False
+    cache = spark.createDataFrame([(found["bb"].prompt_hash, "known")], "prompt_hash string, answer string")
+    again = {r.answer: r.cached for r in readers.evaluate(prompts, client, "m", 0.0, cache=cache).collect()}
+    assert again == {None: False, "known": True}
+    assert not readers.evaluate(prompts, client, "m", 0.5, cache=cache).filter("cached").count()  # another temperature is another prompt
+    late = [r.error for r in readers.evaluate(prompts, client, deadline=-1.0).collect()]
+    assert late == ["not asked: deadline"] * 2
+
+
+def test_prompts_quote_the_document(spark):
+    from attestra.operators import grid, prompts
+
+    docs = spark.createDataFrame([(1, "[p1 · s]\ntext")], "doc_id int, excerpts string")
+    rows = prompts.prompts(docs, grid.grid(spark)).collect()
+    kinds = {k: sum(r.kind == k for r in rows) for k in prompts.SYSTEM}
+    assert kinds == {"applicability": 18, "evidence": 18, "exemption": 2}
+    asked = next(r.user for r in rows if r.kind == "evidence" and r.article == "5")
+    assert "- finalites (blocking)\n- minimisation\n" in asked and spark.createDataFrame([(asked,)], "p string").select(T.quoted_body(F.col("p"))).first()[0] == "[p1 · s]\ntext"
+
+
+def test_lockouts_count_in_event_order(spark, tmp_path):
+    from attestra.streaming import limits
+
+    base = [(7, f"2024-01-01 00:0{i}:00", i, True) for i in range(6)] + [(8, "2024-01-01 00:00:30", 20, False)]
+    path = str(tmp_path / "events")
+    for part in (base[3:], base[:3], [(9, "2024-02-01 00:00:00", 99, False)]):  # the later ones come first
+        spark.createDataFrame(part, "user_id long, ts string, event_id long, failed boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
+    stream = limits.event_stream(spark, path, spark.read.parquet(path).schema)
+    found = limits.drain(limits.lockouts(stream, failures=5, late="2 days")).collect()
+    assert [(r.user_id, str(r.locked_at)) for r in found] == [(7, "2024-01-01 00:04:00")]
