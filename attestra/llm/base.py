@@ -44,6 +44,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, text_bytes_each: int = 16 << 20) -> int:
+    """How many parts what is gathered from these texts is dealt to: their number follows the texts' bytes, whatever the session's is."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    return max(shuffle_partitions(docs.sparkSession), -(-total // text_bytes_each))
+
+
 def with_identity(docs: DataFrame) -> DataFrame:
     """Add ``_d`` (doc_id; nulls sort last) and ``_t`` (hash of the text).
 

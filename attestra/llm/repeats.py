@@ -21,7 +21,7 @@ lists of every level are joined in place.  Keys travel packed, some 17 bytes a
 run.  What repeats within a map task is decided there and sent once a task, so
 a passage, or a copy, that a third of all rows hold is no larger for a bucket
 than there are tasks.  Buckets are dealt by hash and sorted one at a time;
-their number follows spark.sql.shuffle.partitions.
+their number follows the bytes of the texts, so that none grows with them.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import hashing as H
-from attestra.llm.base import chunks, scratch_dir, shuffle_partitions, text_bytes, written
+from attestra.llm.base import chunks, parts_for, scratch_dir, text_bytes, written
 
 #: Runs that a map task holds before it sends them on.
 FLUSH = 1 << 19
@@ -49,7 +49,7 @@ _RUN = np.dtype([("doc", "<u4"), ("lo", "<u4"), ("span", "<u2")])
 def homed(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row, with a row number ``_r``, in a table bucketed by it."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = parts_for(docs)
     name = f"attestra_{uuid.uuid4().hex}"
     rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     writer = rows.repartition(n, "_r").write.option("compression", "zstd").option("path", f"{scratch_dir(spark)}/attestra/{name}")
@@ -283,14 +283,14 @@ def find(home: DataFrame, units: Callable, width: int, levels: Sequence[int], fi
     ``first_stays``: the first occurrence (by doc_id, nulls last, then row, then
     place) of a window isn't covered by it; else all occurrences are.
     """
-    buckets = shuffle_partitions(home.sparkSession)
+    buckets = parts_for(home)
     undecided, lists = None, []
     for length in levels:
         first, last = undecided is None, length == width
         rows = home if first else home.join(undecided, "_r")
         sent = rows.mapInArrow(_emit(units, length, width, buckets, first, not first_stays), "bucket int, home long, kind int, n int, blob binary")
-        judged = sent.groupBy("bucket").applyInArrow(_judge(not first_stays, last), "home long, kind int, n int, blob binary")
-        level = written(judged.groupBy("home").applyInArrow(_merge(width), "_r long, hits binary, open binary"), f"level{length}")
+        judged = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_judge(not first_stays, last), "home long, kind int, n int, blob binary")
+        level = written(judged.repartition(buckets, "home").groupBy("home").applyInArrow(_merge(width), "_r long, hits binary, open binary"), f"level{length}")
         lists.append(level.filter("hits is not null").select("_r", "hits"))
         undecided = level.filter("open is not null").select("_r", "open")
         if last or undecided.isEmpty():
