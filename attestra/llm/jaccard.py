@@ -180,22 +180,36 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, percent: int, common: np.
     return np.concatenate(keys), np.concatenate(owners), need
 
 
-_KEYS = ["key", "s1", "s2", "need", "known"]
+_KEYS = ["key", "s1", "need", "known"]
 
 
-def _emit(n: int, percent: int, common):
-    """key, s1, s2, need, known: the keys of all sets.
+def _emit(n: int, percent: int, parts: int, common):
+    """part, s1, need, known, keys: the keys of all sets, those of one set and part together.
 
     A key that several sets of one task's share have is known to be shared:
-    all its rows say so, and one of them is sent once more for the look-up, so
-    that what other tasks have finds it.  A key is looked up once a share, then,
-    however many sets have it.
+    all its rows say so and go anywhere, and one of them is sent once more for
+    the look-up, in the key's part, so that what other tasks have finds it.  A
+    key is looked up once a share, then, however many sets have it.
+
+    Half a set's hash names it here: two sets that agree in it are taken for
+    each other when keys are counted, and told apart again by the join that
+    follows, which only adds candidates.
     """
 
-    def flush(keys, owners, s1, s2, needs) -> pa.RecordBatch:
-        key, owner, s1, s2, need = map(np.concatenate, (keys, owners, s1, s2, needs))
-        nodes, node = np.unique(np.stack([s1, s2, need], 1), axis=0, return_inverse=True)
-        owner = node.reshape(-1)[owner]
+    def rows(key: np.ndarray, owner: np.ndarray, part: np.ndarray, s1: np.ndarray, need: np.ndarray, known: bool) -> pa.RecordBatch:
+        order = np.lexsort((key, part, owner))
+        key, owner, part = key[order], owner[order], part[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(new)
+        keys = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
+        of = owner[at]
+        return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(s1[of]), pa.array(need[of].astype(np.int32)), pa.array(np.full(len(at), known)), keys], ["part", "s1", "need", "known", "keys"])
+
+    def flush(keys, owners, s1, needs) -> Iterator[pa.RecordBatch]:
+        key, owner, s1, need = map(np.concatenate, (keys, owners, s1, needs))
+        _, first, node = np.unique(s1, return_index=True, return_inverse=True)
+        owner, s1, need = node[owner], s1[first], need[first]
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.ones(len(key), bool)
@@ -205,27 +219,27 @@ def _emit(n: int, percent: int, common):
         first[1:] = key[1:] != key[:-1]
         shared = ~first
         shared[:-1] |= ~first[1:]
-        rows = np.concatenate([np.flatnonzero(shared), np.flatnonzero(first)])
-        of = nodes[owner[rows]]
-        known = np.arange(len(rows)) < int(shared.sum())
-        return pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(of[:, 0]), pa.array(of[:, 1]), pa.array(of[:, 2].astype(np.int32)), pa.array(known)], _KEYS)
+        yield rows(key[first], owner[first], ((key[first] >> H.U(40)) % H.U(parts)).astype(np.int64), s1, need, False)
+        if shared.any():
+            anywhere = (s1.view(H.U)[owner[shared]] % H.U(parts)).astype(np.int64)
+            yield rows(key[shared], owner[shared], anywhere, s1, need, True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, base = ([], [], [], [], []), 0, 0
+        held, count, base = ([], [], [], []), 0, 0
         for part in chunks(batches):
             values, offsets = shingle_sets(part.column(part.schema.get_field_index("text")), n)
-            s1, s2 = _sums(values, offsets)
+            s1, _ = _sums(values, offsets)
             key, owner, need = part_keys(values, offsets, percent, common.value)
-            for x, y in zip(held, (key, owner + base, s1, s2, need), strict=True):
+            for x, y in zip(held, (key, owner + base, s1, need), strict=True):
                 x.append(y)
             count, base = count + len(key), base + len(s1)
             if count >= FLUSH:
-                yield flush(*held)
+                yield from flush(*held)
                 for x in held:
                     x.clear()
                 count = base = 0
         if count:
-            yield flush(*held)
+            yield from flush(*held)
 
     return emit
 
@@ -239,25 +253,26 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, key_before, open_before = None, None, False
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _KEYS]
-        if columns[4].any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[columns[4]]) for c in columns[:4]], _KEYS[:4])
-            columns = [c[~columns[4]] for c in columns]
+        known = columns[3].astype(bool)
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in columns[:3]], _KEYS[:3])
+            columns = [c[~known] for c in columns]
         if not len(columns[0]):
             continue
         if held is not None:
             columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-        key, s1, s2 = columns[:3]
+        key, s1 = columns[:2]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         new = first.copy()
-        new[1:] |= (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+        new[1:] |= s1[1:] != s1[:-1]
         run = np.cumsum(first) - 1
         shared = np.bincount(run, new) > 1
         if open_before and key[0] == key_before:
             shared[0] = True
         keep = new & shared[run]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:4]], _KEYS[:4])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:3]], _KEYS[:3])
         key_before, open_before = key[-1], bool(shared[-1])
         at = np.flatnonzero(first)[-1]
         held = None if open_before else [c[at : at + 1] for c in columns]
@@ -472,11 +487,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = rows.filter("_r is not null").drop("common")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
-    sent = docs.select("text").mapInArrow(_emit(n, percent, common), "key long, s1 long, s2 long, need int, known boolean")
+    parts = _partitions(rows, percent)
+    sent = docs.select("text").mapInArrow(_emit(n, percent, parts, common), "part int, s1 long, need int, known boolean, keys array<long>")
     # what is known already is dealt evenly; the rest meets by key, one row a share, and is read as a sorted stream
-    dealt = sent.repartition(_partitions(rows, percent), F.when(F.col("known"), F.xxhash64("key", "s1")).otherwise(F.col("key")))
-    shared = dealt.sortWithinPartitions("known", "key", "s1", "s2").mapInArrow(_judge, "key long, s1 long, s2 long, need int").distinct()
-    members = written(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "node", "need"), "shared")
+    dealt = sent.repartition(parts, "part").select(F.explode("keys").alias("key"), "s1", "need", "known")
+    shared = dealt.sortWithinPartitions("known", "key", "s1").mapInArrow(_judge, "key long, s1 long, need int").distinct()
+    members = written(shared.join(classes.select("s1", "node"), "s1").select("key", "node", "need"), "shared")
     for _ in range(2):  # what shares too few keys is linked with nothing; keys that one node is left of go as well
         enough = members.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("node")
         left = members.join(enough, "node", "left_semi")

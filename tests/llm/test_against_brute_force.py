@@ -404,7 +404,7 @@ def test_keys_are_judged_across_batches():
     expected = {(k, s) for _, k, s, _ in rows if len({x[2] for x in rows if x[1] == k and not x[0]}) > 1} | {(7, 1), (7, 2)}
     for size in (1, 2, 3, 7, 1000):
         batches = [rows[i : i + size] for i in range(0, len(rows), size)]
-        made = (pa.RecordBatch.from_arrays([pa.array([x[1] for x in b]), pa.array([x[2] for x in b]), pa.array([x[3] for x in b]), pa.array(np.ones(len(b), np.int32)), pa.array([x[0] for x in b])], jaccard._KEYS) for b in batches)
+        made = (pa.RecordBatch.from_arrays([pa.array([x[1] for x in b]), pa.array([x[2] for x in b]), pa.array(np.ones(len(b), np.int32)), pa.array([x[0] for x in b])], jaccard._KEYS) for b in batches)
         got = {(k, s) for b in jaccard._judge(made) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
         assert got == expected
 
