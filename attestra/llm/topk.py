@@ -29,7 +29,7 @@ from attestra.llm.base import written
 BLOCK = 1024
 QUERY_BLOCK = 256
 DIMENSIONS = 16
-BLOCKS_A_PART = 64
+BLOCKS_A_PART = 8
 _WHOLE = tuple(np.dtype(t) for t in ("<i2", "<i4", "<i8"))
 
 
@@ -150,8 +150,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     parts = blocks.groupBy("dim").agg(F.ceil(F.count("*") / BLOCKS_A_PART).cast("int").alias("parts"))
     dealt = blocks.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts")
     copies = asked.join(parts, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    # a pair of blocks is a record
-    met = copies.join(dealt, ["dim", "part"])
+    # a pair of blocks is a record; small as blocks are, parts stay tasks of their own
+    tasks = 2 * (parts.agg(F.sum("parts").alias("n")).first().n or 1)
+    met = copies.repartition(tasks, "dim", "part").join(dealt.repartition(tasks, "dim", "part"), ["dim", "part"])
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
