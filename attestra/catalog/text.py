@@ -235,7 +235,7 @@ def dry_run_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add(
     "ingest_all",
-    f"""
+    rf"""
 WITH a AS ({_PARSE}), w AS (SELECT source, count(*) AS n, sha256(string_agg(body, chr(10) ORDER BY ordering)) AS digest, count(*) FILTER (TRY_CAST(nullif(regexp_extract(reference, '(?i)Article\s+(\d+)', 1), '') AS INTEGER) BETWEEN 5 AND 49) AS auditable FROM a GROUP BY source),
 s AS (SELECT *, CASE WHEN CAST(source AS BIGINT) % 3 = 0 THEN 'created' WHEN CAST(source AS BIGINT) % 3 = 1 THEN 'unchanged' ELSE 'updated' END AS status FROM w)
 SELECT status, count(*) AS sources, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(auditable) AS BIGINT) AS auditable FROM s GROUP BY status""",
