@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, jaccard, langid, lmscore, mixing, pii, substring, suffixes, topk
+from attestra.llm import chat, decontaminate, divergence, jaccard, langid, lmscore, mixing, periodic, pii, substring, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.domain_of_source(F.col("source")), mixing.SHARE, mixing.MAX_EPOCHS, mixing.WEIGHTS, mixing.SEED).drop("_t")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, training = table(spark, sf_dir, "documents"), langid.is_training(5)
+    model = toxicity.fit(toxicity.sampled(docs, table(spark, sf_dir, "labels"), training))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", (~training).alias("held_out"), "score", "predicted")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.find(periodic.planted(docs)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_score": op2_lm_score,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_topk_search": op10_topk_search,
+    "op11_toxicity": op11_toxicity,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -233,5 +251,69 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), k AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL
+), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * CAST(coalesce(c.n, 0) + 1 AS HUGEINT) // CAST(g.total + v.v AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), l AS (
+  SELECT lang, term, 1 + 1000000000 * CAST(sum(n) + 1 AS HUGEINT) // CAST(sum(sum(n)) OVER (PARTITION BY lang) + any_value(v) AS HUGEINT) AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term
+), a AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source LEFT JOIN p b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term
+  WHERE a.term IS NULL OR b.term IS NOT NULL GROUP BY ALL
+), t AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (FROM a UNION ALL FROM t)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 200
+""",
+    "op13_periodic_runs": r"""
+WITH b AS (
+  SELECT r, doc_id, CAST(doc_id AS VARCHAR) AS s, w FROM (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), h AS (
+  SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(generate_series(1, len(s)), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)))) AS h
+  FROM b
+), e AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM h
+), d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(generate_series(0, n - 1), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM e
+), t AS (
+  SELECT r, n, i, word FROM (SELECT r, n, unnest(generate_series(0, n - 1)) AS i, unnest(w) AS word FROM d WHERE n > 0)
+), m AS (
+  SELECT x.r, x.i - y.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n
+), s AS (
+  SELECT r, q, min(i) - q AS a, max(i) + 1 AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM m) GROUP BY r, q, k
+  HAVING max(i) + 1 - min(i) + q >= greatest(6, 4 * q)
+), u AS (
+  SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.q < s.q AND o.a <= s.a AND o.z >= s.z)
+), f AS (
+  SELECT r, count(*) AS n_runs, string_agg(a || ',' || (z - a) || ',' || q || chr(10), '' ORDER BY a, q) AS lines,
+         first({'start': a, 'length': z - a, 'period': q} ORDER BY z - a DESC, a, q) AS best
+  FROM u GROUP BY r
+), c AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM t
+  ANTI JOIN (SELECT DISTINCT r, unnest(generate_series(a + q, z - 1)) AS i FROM u) USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (r) LEFT JOIN c USING (r)
 """,
 }
