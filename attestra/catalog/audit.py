@@ -9,7 +9,7 @@ from attestra.catalog.base import Catalog, Literal, table
 from attestra.catalog.text import NORMAL, chunk_fixed
 from attestra.functions import rules as R
 from attestra.functions import text as T
-from attestra.operators import metrics, retrieval, scoring, verdicts, verification
+from attestra.operators import metrics, quotations, retrieval, scoring, verdicts, verification
 from attestra.plans import document_audit as plan
 
 C = Catalog()
@@ -136,10 +136,12 @@ def quote_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add("quote_tiers")
 def quote_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotations from the middle of every document: as they are, with letters changed every 20 and every 9 characters, and from elsewhere."""
-    d = table(spark, sf, "documents").filter("length(text) >= 200").select("doc_id", "text", F.substr("text", (F.length("text") / 2).cast("int") + 1, F.lit(90)).alias("q"))
-    quotes = F.array(F.col("q"), F.regexp_replace("q", "(?s)(.{19}).", "$1#"), F.regexp_replace("q", "(?s)(.{8}).", "$1#"), F.lit("nothing of this kind stands in any of the texts at all"))
-    found = verification.checked(d, quotes, F.col("text"), tolerance="fixed")
+    """Quotations from the start, the middle and the end of every document: with letters changed every 20 and every 9 characters, with a letter put in or left out every 25, and from elsewhere."""
+    text, n = F.col("text"), F.length("text")
+    piece = lambda part: F.substr(text, F.greatest(F.lit(1), ((n - 90) * part).cast("int") + 1), F.lit(90))
+    changes = ((r"(?s)(.{19}).", "$1z"), (r"(?s)(.{8}).", "$1z"), (r"(?s)(.{25})", "$1z"), (r"(?s)(.{24}).", "$1"))
+    quotes = F.array(*[F.regexp_replace(piece(F.lit(part)), *change) for part in (0.0, 0.5, 1.0) for change in changes], F.lit("nothing of this kind stands in any of the texts at all"))
+    found = verification.checked(table(spark, sf, "documents").select("doc_id", "text"), quotes, F.col("text"), tolerance="edits")
     return found.select("doc_id", F.posexplode("checks").alias("kind", "c")).select("doc_id", "kind", "c.valid", "c.reason", F.round("c.similarity", 4).alias("similarity"), "c.position")
 
 
@@ -165,10 +167,11 @@ def sentence_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add("fuzzy_quotes")
 def fuzzy_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("d"))
-    at = (F.length("d") / 2).cast("int")
-    quote = F.concat(F.substr("d", at + 1, F.lit(40)), F.lit("x"), F.substr("d", at + 42, F.lit(40)))
-    return d.select("doc_id", F.round(verification.fuzzy_similarity("fixed")(quote, F.col("d")), 4).alias("similarity"))
+    """Every item of the benchmark, looked for in every document: where it stands with a tenth of its characters edited at most."""
+    items = table(spark, sf, "benchmark").select("item_id", T.normalize(F.col("text")).alias("quote"))
+    docs = table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
+    found = quotations.join(items, docs, key="item_id")
+    return found.select("item_id", "doc_id", F.round("similarity", 4).alias("similarity"), "position")
 
 
 #: Answers of a model about each document: elements of articles, claimed or not, with quotations from the text or from nowhere.
@@ -176,7 +179,7 @@ ELEMENTS = Literal(
     "idx INTEGER, article VARCHAR, criticality INTEGER, element VARCHAR, blocking BOOLEAN",
     ((0, "30", 4, "register", True), (1, "30", 4, "purposes", True), (2, "30", 4, "extra", False), (3, "32", 5, "encryption", True), (4, "32", 5, "tests", True), (5, "37", 4, "officer", True), (6, "9", 5, "basis", True), (7, "14", 2, "notice", True), (8, "22", 4, "none", False)),
 )
-KNOWN = Literal("article VARCHAR, reference VARCHAR, effect VARCHAR", (("9", "9(2)(h)", "compliant"), ("14", "14(5)(b)", "out_of_scope"), ("30", "30(5)", "out_of_scope")))
+KNOWN = Literal("article VARCHAR, reference VARCHAR, effect VARCHAR, ex_ante BOOLEAN", (("9", "9(2)(h)", "compliant", True), ("14", "14(5)(b)", "out_of_scope", True), ("30", "30(5)", "out_of_scope", False)))
 INVENTED = "Invented quotation that is nowhere in any document of the tables"
 
 _EV = f"""a AS (SELECT doc_id, coalesce(text, '') AS document, article, criticality, element, blocking, (doc_id + idx) % 5 <> 0 AS claimed,
@@ -217,14 +220,15 @@ def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
 
 _CLAIMED = f"""(SELECT doc_id, '9' AS article, '9(2)(h)' AS reference, substring(text, 11, 60) AS quote FROM documents WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id, '14', CASE WHEN doc_id % 2 = 0 THEN '14(5)(b)' ELSE '14(5)(z)' END, substring(text, 11, 60) FROM documents
-  UNION ALL SELECT doc_id, '30', '30(5)', CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '{INVENTED}' END FROM documents)"""
-_VERDICTS = f"""{_EV}, x AS (SELECT c.doc_id, c.article, k2.effect FROM {_CLAIMED} c JOIN {KNOWN.sql()} k2 USING (article, reference) JOIN n USING (doc_id)
-  WHERE c.quote IS NOT NULL AND trim(c.quote) <> '' AND len({NORMAL.format('c.quote')}) >= 15 AND contains(n.dn, {NORMAL.format('c.quote')})),
+  UNION ALL SELECT doc_id, '30', '30(5)', CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substring(text, 11, 60) END FROM documents)"""
+_VERDICTS = f"""{_EV}, x AS (SELECT c.doc_id, c.article, c.reference, k2.effect, CASE WHEN k2.effect IS NULL THEN 'unknown exemption' WHEN coalesce(trim(c.quote), '') = '' THEN 'exemption without quotation'
+  WHEN NOT (len({NORMAL.format('c.quote')}) >= 15 AND contains(n.dn, {NORMAL.format('c.quote')})) THEN 'exemption quotation not found' END AS diagnostic
+  FROM {_CLAIMED} c LEFT JOIN {KNOWN.sql()} k2 ON k2.article = c.article AND k2.reference = c.reference AND k2.ex_ante JOIN n ON n.doc_id = c.doc_id WHERE c.article IN (SELECT article FROM {KNOWN.sql()} WHERE ex_ante)),
 g AS (SELECT doc_id, article, criticality, count(*) FILTER (blocking) AS blocking, count(*) FILTER (blocking AND claimed AND verified) AS proven, count(*) FILTER (claimed AND NOT verified) AS unverified,
   count(*) FILTER (NOT blocking AND NOT (claimed AND verified)) AS missing_minor FROM e GROUP BY ALL),
-w AS (SELECT g.*, CASE WHEN blocking > 0 AND proven = blocking THEN 'compliant' WHEN f.effect = 'compliant' THEN 'compliant' WHEN f.effect IS NOT NULL THEN 'out_of_scope' ELSE 'breach' END AS verdict
-  FROM g LEFT JOIN (SELECT doc_id, article, min(effect) AS effect FROM x GROUP BY doc_id, article) f USING (doc_id, article)),
-z AS (SELECT *, greatest(0, least(1, 0.9::DOUBLE - 0.2::DOUBLE * least(unverified, 3) - 0.1::DOUBLE * least(unverified, 3) - CASE WHEN verdict = 'compliant' THEN 0.05::DOUBLE * missing_minor ELSE 0 END)) AS c0 FROM w),
+w AS (SELECT g.*, unverified + CASE WHEN blocking > 0 AND proven = blocking THEN 0 ELSE coalesce(unheld, 0) END AS diagnostics, CASE WHEN blocking > 0 AND proven = blocking THEN 'compliant' WHEN f.effect = 'compliant' THEN 'compliant' WHEN f.effect IS NOT NULL THEN 'out_of_scope' ELSE 'breach' END AS verdict
+  FROM g LEFT JOIN (SELECT doc_id, article, min_by(effect, reference) FILTER (diagnostic IS NULL) AS effect, count(diagnostic) AS unheld FROM x GROUP BY doc_id, article) f USING (doc_id, article)),
+z AS (SELECT *, greatest(0, least(1, 0.9::DOUBLE - 0.2::DOUBLE * least(unverified, 3) - 0.1::DOUBLE * least(diagnostics, 3) - CASE WHEN verdict = 'compliant' THEN 0.05::DOUBLE * missing_minor ELSE 0 END)) AS c0 FROM w),
 u AS (SELECT *, round(CASE WHEN article IN ('37', '35', '22') THEN least(c0, 0.6::DOUBLE) ELSE c0 END, 4) AS confidence,
   CASE WHEN verdict = 'compliant' THEN 1.0::DOUBLE WHEN verdict = 'breach' AND blocking > 0 THEN least(0.5::DOUBLE, proven / blocking) ELSE 0.0::DOUBLE END AS credit FROM z)"""
 
@@ -235,14 +239,14 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     made = F.array(
         F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("9").alias("article"), F.lit("9(2)(h)").alias("reference"), quote.alias("quote"))),
         F.struct(F.lit("14").alias("article"), F.when(odd, "14(5)(z)").otherwise("14(5)(b)").alias("reference"), quote.alias("quote")),
-        F.struct(F.lit("30").alias("article"), F.lit("30(5)").alias("reference"), F.when(F.col("doc_id") % 4 != 0, INVENTED).alias("quote")),
+        F.struct(F.lit("30").alias("article"), F.lit("30(5)").alias("reference"), F.when(F.col("doc_id") % 4 != 0, quote).alias("quote")),
     )
     claims = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("document"), F.inline(F.filter(made, lambda x: x.isNotNull())))
     diagnostics = found.filter("rejected").groupBy("doc_id", "article").agg(F.count("*").alias("n"))
     return verdicts.article_verdicts(found, verdicts.exemptions(claims, KNOWN.df(spark), by=("doc_id",)), diagnostics, by=("doc_id",))
 
 
-@C.add("article_verdicts", f"WITH {_VERDICTS} SELECT doc_id, article, criticality, blocking, proven, verdict, credit, confidence, CASE WHEN confidence < 0.70 THEN 'low confidence' WHEN unverified > 0 THEN 'diagnostics' END AS review FROM u")
+@C.add("article_verdicts", f"WITH {_VERDICTS} SELECT doc_id, article, criticality, blocking, proven, verdict, credit, confidence, CASE WHEN confidence < 0.70 THEN 'low confidence' WHEN diagnostics > 0 THEN 'diagnostics' END AS review FROM u")
 def article_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(spark, sf).select("doc_id", "article", "criticality", "blocking", "proven", "verdict", "credit", "confidence", "review")
 
@@ -507,9 +511,30 @@ def prf_evidence_engine(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rates(metrics.counters(_truth(spark, sf)), 1.0)
 
 
-@C.add("prf_tolerant", _rates_sql("0.0").replace("LEFT JOIN o USING (doc_id))", "LEFT JOIN o USING (doc_id) WHERE doc_id % 11 <> 0)"))
+#: The second engine: documents without a finding were found compliant, and every eleventh annotation is tolerated, which is compliant but not counted.
+_JUDGED = """j AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'compliant' ELSE expected END AS expected, coalesce(obtained, 'compliant') AS obtained, doc_id % 11 = 0 AS tolerated FROM r)"""
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _truth(spark, sf)
+    expected = rows.select("doc_id", F.when(F.col("doc_id") % 11 == 0, "tolerated").otherwise(F.col("expected")).alias("expected"), "never_exclude")
+    return metrics.judged(expected, rows.filter("obtained is not null").select("doc_id", "obtained"), ["doc_id"])
+
+
+@C.add(
+    "prf_tolerant",
+    f"""WITH {_TRUTH}, {_JUDGED}, k AS (SELECT count(*) AS total, count(*) FILTER (expected = obtained) AS correct, count(*) FILTER (expected = 'breach' AND obtained = 'breach') AS tp, count(*) FILTER (expected <> 'breach' AND obtained = 'breach') AS fp,
+  count(*) FILTER (expected = 'breach' AND obtained <> 'breach') AS fn FROM j WHERE NOT tolerated),
+q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rc FROM k)
+SELECT round(p, 4) AS precision, round(rc, 4) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 4) AS f1, round(correct / total, 4) AS accuracy FROM q""",
+)
 def prf_tolerant(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.rates(metrics.counters(_truth(spark, sf).filter("doc_id % 11 <> 0")), 0.0)  # tolerated rows don't count
+    return metrics.rates(metrics.counters(metrics.counted(_judged(spark, sf))), 0.0)
+
+
+@C.add("tolerated_verdicts", f"WITH {_TRUTH}, {_JUDGED} SELECT expected, obtained, tolerated, tolerated OR expected = obtained AS correct, count(*) AS n FROM j GROUP BY ALL")
+def tolerated_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).groupBy("expected", "obtained", "tolerated", "correct").agg(F.count("*").alias("n"))
 
 
 @C.add(
@@ -526,9 +551,9 @@ def wilson_interval(spark: SparkSession, sf: str) -> DataFrame:
 _KINDS = ["compliant", "breach", "out_of_scope", "undetermined"]
 
 
-@C.add("confusion_matrix", f"WITH {_TRUTH} SELECT expected, " + ", ".join(f"count(*) FILTER (obtained = '{k}') AS {k}" for k in _KINDS) + " FROM r GROUP BY expected")
+@C.add("confusion_matrix", f"WITH {_TRUTH}, {_JUDGED} SELECT expected, " + ", ".join(f"count(*) FILTER (obtained = '{k}') AS {k}" for k in _KINDS) + " FROM j WHERE NOT tolerated GROUP BY expected")
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.confusion_matrix(_truth(spark, sf), _KINDS)
+    return metrics.confusion_matrix(metrics.counted(_judged(spark, sf)), _KINDS)
 
 
 @C.add("common_confusions", f"WITH {_TRUTH} SELECT expected, obtained, count(*) AS n FROM r WHERE expected <> obtained GROUP BY ALL ORDER BY n DESC, expected, obtained LIMIT 5")
@@ -576,9 +601,10 @@ def score_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add(
     "ci_gates",
-    f"""WITH {_COUNTS}, q AS (SELECT tp / (tp + fn) AS recall, tp / (tp + fp) AS precision, correct / total AS accuracy, wrongful_exclusions, undetermined / total AS u FROM k),
+    f"""WITH {_RUNS}, {_COUNTS}, q AS (SELECT tp / (tp + fn) AS recall, tp / (tp + fp) AS precision, correct / total AS accuracy, wrongful_exclusions, undetermined / total AS u FROM k),
+m AS (SELECT document, avg(score) AS score FROM s GROUP BY document), y AS (SELECT document, article, count(DISTINCT verdict) > 1 AS unstable FROM v GROUP BY ALL),
 g(gate, value, bound, at_least) AS (SELECT 'recall', round(recall, 4), 0.90::DOUBLE, TRUE FROM q UNION ALL SELECT 'precision', round(precision, 4), 0.95::DOUBLE, TRUE FROM q UNION ALL SELECT 'accuracy', round(accuracy, 4), 0.90::DOUBLE, TRUE FROM q
-  UNION ALL SELECT 'wrongful_exclusions', wrongful_exclusions, 0.0, FALSE FROM q UNION ALL SELECT 'out_of_range', 0.0, 1.0, FALSE UNION ALL SELECT 'unstable_share', 0.0, 0.0, FALSE UNION ALL SELECT 'undetermined_share', round(u, 4), 0.05::DOUBLE, FALSE FROM q),
+  UNION ALL SELECT 'wrongful_exclusions', wrongful_exclusions, 0.0, FALSE FROM q UNION ALL SELECT 'out_of_range', count(*) FILTER (NOT coalesce(score BETWEEN 40 AND 60, FALSE)), 1.0, FALSE FROM m UNION ALL SELECT 'unstable_share', round(count(*) FILTER (unstable) / count(*), 4), 0.0, FALSE FROM y UNION ALL SELECT 'undetermined_share', round(u, 4), 0.05::DOUBLE, FALSE FROM q),
 h AS (SELECT gate, CAST(value AS DOUBLE) AS value, CAST(bound AS DOUBLE) AS bound, at_least, CASE WHEN at_least THEN value >= bound ELSE value <= bound END AS passed FROM g)
 SELECT *, bool_and(passed) OVER () AS all_passed FROM h""",
 )
@@ -586,7 +612,8 @@ def ci_gates(spark: SparkSession, sf: str) -> DataFrame:
     counts = metrics.counters(_truth(spark, sf))
     rates = metrics.rates(counts, 1.0)
     one = rates.crossJoin(counts.select("wrongful_exclusions", F.round(F.col("undetermined") / F.col("total"), 4).alias("undetermined_share")))
-    return metrics.gates(one.withColumns({"out_of_range": F.lit(0.0), "unstable_share": F.lit(0.0)}))
+    gaps = score_gaps(spark, sf).agg(F.count_if(~F.col("in_range")).cast("double").alias("out_of_range"))
+    return metrics.gates(one.crossJoin(gaps).crossJoin(metrics.unstable_share(_runs(spark, sf)[1], "document")))  # one row each
 
 
 @C.add(

@@ -93,6 +93,28 @@ def crosswalk_seed(spark: SparkSession, sf: str) -> DataFrame:
     return records.seed_crosswalks(_seeds(spark, sf), _requirements(spark, sf), known).select("source_code", "source_ref", "target_code", "target_ref", "status")
 
 
+#: The five frameworks' articles 1 to 40 in the versions of the parts, a fifth of them not current.
+_GRID40 = "(SELECT p_partkey AS requirement_id, CASE p_partkey % 5 WHEN 0 THEN 'rgpd' WHEN 1 THEN 'nis2' WHEN 2 THEN 'dora' WHEN 3 THEN 'csrd' ELSE 'ai_act' END AS code, 'Article ' || (p_partkey // 5 % 40) AS reference, p_partkey < 200 AND p_partkey <> 106 AS is_current FROM part)"
+
+
+@C.add(
+    "crosswalk_seeded",
+    f"""WITH r AS (SELECT * FROM {_GRID40} WHERE is_current), k AS (SELECT source_id, target_id, max(coverage) AS coverage FROM {_EDGES} WHERE source_id < 200 AND target_id < 200 GROUP BY ALL
+  UNION SELECT a.requirement_id, b.requirement_id, 0.1 FROM r a, r b WHERE a.code = 'rgpd' AND a.reference = 'Article 28' AND b.code = 'dora' AND b.reference = 'Article 28'),
+s AS (SELECT a.requirement_id AS source_id, b.requirement_id AS target_id, coverage AS fresh FROM {records.SEEDS.sql()} JOIN r a ON a.code = source_code AND a.reference = source_ref JOIN r b ON b.code = target_code AND b.reference = target_ref)
+SELECT source_id, target_id, CAST(coalesce(fresh, coverage) AS DOUBLE) AS coverage FROM k FULL JOIN s USING (source_id, target_id)""",
+)
+def crosswalk_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixed seeds, of which one is known with another coverage and one has a side that isn't current, put into the line items' edges."""
+    key = F.col("p_partkey")
+    grid = table(spark, sf, "part").select(key.alias("requirement_id"), F.get(F.array(*map(F.lit, _CODES)), (key % 5).cast("int")).alias("code"), F.concat(F.lit("Article "), (F.floor(key / 5) % 40).cast("string")).alias("reference"), ((key < 200) & (key != 106)).alias("is_current"))
+    edges = _edges(spark, sf).filter("source_id < 200 and target_id < 200").groupBy("source_id", "target_id").agg(F.max("coverage").alias("coverage"))
+    article = grid.filter("is_current and reference = 'Article 28'")
+    old = article.filter("code = 'rgpd'").select(F.col("requirement_id").alias("source_id"), F.lit(1).alias("_")).join(article.filter("code = 'dora'").select(F.col("requirement_id").alias("target_id"), F.lit(1).alias("_")), "_")
+    known = edges.unionByName(old.select("source_id", "target_id", F.lit(0.1).alias("coverage"))).distinct()
+    return records.seeded_crosswalks(known, records.seed_crosswalks(records.SEEDS.df(spark), grid, known))
+
+
 @C.add("feed_page", "SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200 OFFSET 50")
 def feed_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = records.optional(table(spark, sf, "events"), event_type="error", user_id=None)
@@ -283,11 +305,14 @@ def embedding_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return records.upsert(known, changed.unionByName(fresh), ["id"], ["text"])
 
 
-@C.add("activity_log", r"SELECT event_id, '[REDACTED]' AS token, event_type AS kind, CASE WHEN user_id % 2 = 0 THEN '10.0.0.' || user_id % 250 END AS ip, left(repeat(event_type, 100), 400) AS agent FROM events")
+@C.add("activity_log", r"SELECT event_id, 5 AS n_redacted, props AS near, event_type AS kind, CASE WHEN user_id % 2 = 0 THEN '10.0.0.' || user_id % 250 END AS ip, left(repeat(event_type, 100), 400) AS agent FROM events")
 def activity_log(spark: SparkSession, sf: str) -> DataFrame:
     ip = F.concat(F.when(F.col("user_id") % 2 == 0, "10.0.0.").otherwise("10.0.x."), (F.col("user_id") % 250).cast("string"))
-    rows = table(spark, sf, "events").select("event_id", F.create_map(F.lit("token"), F.col("props"), F.lit("kind"), F.col("event_type")).alias("payload"), ip.alias("ip"), F.repeat("event_type", 100).alias("agent"))
-    return records.activity(rows).select("event_id", F.col("payload")["token"].alias("token"), F.col("payload")["kind"].alias("kind"), "ip", "agent")
+    rows = table(spark, sf, "events").select("event_id", F.create_map(*[x for k in (*T.SECRET_KEYS, "Token", "refresh_token", "token_id") for x in (F.lit(k), F.col("props"))], F.lit("kind"), F.col("event_type")).alias("payload"), ip.alias("ip"), F.repeat("event_type", 100).alias("agent"))
+    logged = records.activity(rows)
+    hidden = F.size(F.map_filter("payload", lambda k, v: v == "[REDACTED]"))
+    near = F.when((F.col("payload")["Token"] == F.col("payload")["refresh_token"]) & (F.col("payload")["refresh_token"] == F.col("payload")["token_id"]), F.col("payload")["token_id"])
+    return logged.select("event_id", hidden.alias("n_redacted"), near.alias("near"), F.col("payload")["kind"].alias("kind"), "ip", "agent")
 
 
 @C.add("personal_export", "SELECT c_custkey AS user_id, count(o_orderkey) AS sessions, c_name AS name FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")

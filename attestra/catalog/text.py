@@ -174,10 +174,14 @@ def article_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add(
     "source_registry",
-    "SELECT code, name, pillar, celex, 'https://eur-lex.europa.eu/legal-content/FR/TXT/HTML/?uri=CELEX:' || celex AS url, version_label, CAST(effective_date AS VARCHAR) AS effective_date FROM " + ingestion.REGISTRY.sql(),
+    f"""WITH p AS (SELECT CASE page_id % 7 WHEN 0 THEN 'rgpd' WHEN 1 THEN 'nis2' WHEN 2 THEN 'csrd' WHEN 3 THEN 'ai_act' WHEN 4 THEN 'dora' ELSE 'unknown' END AS code, count(*) AS n_pages FROM pages GROUP BY ALL)
+SELECT code, n_pages, name, pillar, celex, authority, 'https://eur-lex.europa.eu/legal-content/FR/TXT/HTML/?uri=CELEX:' || celex AS url, version_label, CAST(effective_date AS VARCHAR) AS effective_date FROM p LEFT JOIN {ingestion.REGISTRY.sql()} USING (code)""",
 )
 def source_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return ingestion.registry(spark)
+    """What is registered of the sources that landed pages name; pages stand for deliveries of five regulations and an unknown one."""
+    codes = F.array(*map(F.lit, ("rgpd", "nis2", "csrd", "ai_act", "dora")))
+    code = F.coalesce(F.get(codes, (F.col("page_id") % 7).cast("int")), F.lit("unknown"))
+    return ingestion.registered(table(spark, sf, "pages"), code).withColumn("effective_date", F.col("effective_date").cast("string"))
 
 
 #: Versions known so far (suppliers stand for regulations, most with an older version), and what a fetch brings.
@@ -278,16 +282,20 @@ def prompt_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     "escape_and_redact",
     r"""
 SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
-  trim(regexp_replace('Subject' || chr(13) || chr(10) || url, '[\r\n]+', ' ', 'g')) AS header, '[REDACTED]' AS password, url AS kept,
-  CASE page_id % 3 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN NULL ELSE '2001:db8::1' END AS ip
+  trim(regexp_replace('Subject' || chr(13) || chr(10) || url, '[\r\n]+', ' ', 'g')) AS header,
+  'access_token=[REDACTED],current_password=[REDACTED],new_password=[REDACTED],page=' || url || ',password=[REDACTED],passwords=' || url || ',refresh_token=' || url || ',token=[REDACTED]' AS payload,
+  CASE page_id % 9 WHEN 0 THEN '10.0.0.1' WHEN 1 THEN '2001:db8::1' WHEN 2 THEN '::ffff:1.2.3.4' WHEN 3 THEN '::' WHEN 4 THEN '1:2:3:4:5:6:7:8' END AS ip
 FROM pages""",
 )
 def escape_and_redact(spark: SparkSession, sf: str) -> DataFrame:
-    payload = T.redact(F.create_map(F.lit("password"), F.col("url"), F.lit("page"), F.col("url")))
-    raw = F.when(F.col("page_id") % 3 == 0, "10.0.0.1, 10.9.9.9").when(F.col("page_id") % 3 == 1, "300.1.1.1").otherwise("2001:db8::1")
+    """The payload has all secret keys and two that only look like it; of the addresses five are right and four aren't."""
+    keys = ("access_token", "current_password", "new_password", "page", "password", "passwords", "refresh_token", "token")
+    payload = T.redact(F.create_map(*[x for k in keys for x in (F.lit(k), F.col("url"))]))
+    hops = ("10.0.0.1, 10.9.9.9", "2001:db8::1", " ::ffff:1.2.3.4", "::", "1:2:3:4:5:6:7:8", "300.1.1.1", "1:2:3:4:5:6:7:8:9", "1::2::3", "::ffff:1.2.3.256")
+    raw = F.get(F.array(*map(F.lit, hops)), (F.col("page_id") % 9).cast("int"))
     return table(spark, sf, "pages").select(
         "page_id", T.html_escape(F.col("html")).alias("escaped"), T.header_safe(F.concat(F.lit("Subject\r\n"), "url")).alias("header"),
-        payload["password"].alias("password"), payload["page"].alias("kept"), T.valid_ip(raw).alias("ip"),
+        F.array_join(F.transform(F.map_entries(payload), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("payload"), T.valid_ip(raw).alias("ip"),
     )
 
 

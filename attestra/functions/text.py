@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def _folding() -> tuple[str, str]:
     """Characters whose canonical decomposition is one character and marks, and that character; then the marks, to drop."""
     source, target = [], []
-    for code in range(0xC0, min(0x2000, sys.maxunicode)):
+    marks = []
+    for code in (c for c in range(0xC0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000):
         char = chr(code)
+        if unicodedata.category(char) == "Mn":
+            marks.append(char)
+            continue
         plain = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
         if plain != char and len(plain) == 1:
             source.append(char)
             target.append(plain)
-    marks = [chr(c) for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn"]
     return "".join(source + marks), "".join(target)
 
 
@@ -26,7 +29,7 @@ _SOURCE, _TARGET = _folding()
 
 
 def fold_accents(text: Column) -> Column:
-    """Letters without their marks (Latin, Greek and Cyrillic scripts)."""
+    """Letters without their marks, whatever the script."""
     return F.translate(text, _SOURCE, _TARGET)
 
 
@@ -132,20 +135,27 @@ def quoted_body(prompt: Column) -> Column:
 
 
 def valid_ip(value: Column) -> Column:
-    """A dotted IPv4 or a plain IPv6 address, else null; of a forwarding chain the first hop."""
+    """An IPv4 or IPv6 address, else null; of a forwarding chain the first hop.
+
+    An IPv6 address is eight groups, or fewer around one "::"; its last two may
+    be written as an IPv4 address, and a zone may follow.
+    """
     first = F.trim(F.split_part(value, F.lit(","), F.lit(1)))
-    v4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(?!$)|$)){4}$"
-    v6 = r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?::(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?)$"
-    return F.when(first.rlike(v4) | first.rlike(v6), first)
+    v4 = r"((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+    groups = F.regexp_replace(F.regexp_replace(first, "%[^%]+$", ""), "(?<=:)" + v4, "0:0")
+    shaped = groups.rlike(r"^(::|[0-9A-Fa-f]{1,4}(:|$))") & groups.rlike(r"^(:{0,2}[0-9A-Fa-f]{1,4})*(::)?$") & (F.regexp_count(groups, F.lit("::")) <= 1)
+    n = F.regexp_count(groups, F.lit("[0-9A-Fa-f]+"))
+    v6 = shaped & F.contains(groups, F.lit(":")) & F.when(F.contains(groups, F.lit("::")), n <= 7).otherwise(n == 8)
+    return F.when(first.rlike("^" + v4) | v6, first)
 
 
 # Payload keys that are never logged.
-SECRET_KEYS = ("password", "token", "secret", "authorization", "refresh_token")
+SECRET_KEYS = ("password", "new_password", "current_password", "token", "access_token")
 
 
 def redact(payload: Column) -> Column:
     """A string map with the values of secret keys blanked."""
-    return F.transform_values(payload, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("[REDACTED]")).otherwise(v))
+    return F.transform_values(payload, lambda k, v: F.when(k.isin(*SECRET_KEYS), F.lit("[REDACTED]")).otherwise(v))
 
 
 # Passwords that are never taken, bounds of the length, and the classes of which three must be there.

@@ -11,6 +11,22 @@ def compared(expected: DataFrame, obtained: DataFrame, keys: list[str]) -> DataF
     return expected.join(obtained, keys, "left")
 
 
+def judged(expected: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The same where only findings are written down: what has none was found compliant.
+
+    An expectation "tolerated" is taken as compliant, flagged, correct whatever
+    was found, and for :func:`counted` no part of the counts.
+    """
+    rows = compared(expected, findings, keys).withColumn("obtained", F.coalesce("obtained", F.lit("compliant")))
+    rows = rows.withColumn("tolerated", F.coalesce(F.col("expected") == "tolerated", F.lit(False)))
+    rows = rows.withColumn("expected", F.when(F.col("tolerated"), "compliant").otherwise(F.col("expected")))
+    return rows.withColumn("correct", F.col("tolerated") | (F.col("expected") == F.col("obtained")))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("tolerated"))
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """One row of counts over (expected, obtained, never_exclude).
 
@@ -80,6 +96,12 @@ def first_run_stability(verdicts: DataFrame, by: str) -> DataFrame:
     return same.groupBy(by).agg(F.round(F.avg(F.col("same").cast("double")), 4).alias("stability"))
 
 
+def unstable_share(verdicts: DataFrame, by: str) -> DataFrame:
+    """One row: the share of (by, article) whose verdict isn't the same in all runs; 0 without any."""
+    each = verdicts.groupBy(by, "article").agg((F.count_distinct("verdict") > 1).alias("unstable"))
+    return each.agg(F.coalesce(F.round(F.count_if("unstable") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)).alias("unstable_share"))
+
+
 # Name, bound and direction of the release gates.
 GATES = (("recall", 0.90, True), ("precision", 0.95, True), ("accuracy", 0.90, True), ("wrongful_exclusions", 0.0, False), ("out_of_range", 1.0, False), ("unstable_share", 0.0, False), ("undetermined_share", 0.05, False))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import dates as D
 from attestra.functions import rules as R
+from attestra.functions.literal import Literal
 from attestra.functions import text as T
 
 
@@ -46,6 +47,20 @@ def crosswalks(edges: DataFrame, requirements: DataFrame, code: str) -> DataFram
     return direction("source_id", "target_id").unionByName(back)
 
 
+# Which article of a framework covers how much of another one's.
+SEEDS = Literal(
+    "source_code VARCHAR, source_ref VARCHAR, target_code VARCHAR, target_ref VARCHAR, coverage DOUBLE",
+    (
+        ("rgpd", "Article 32", "nis2", "Article 21", 0.6),
+        ("rgpd", "Article 33", "nis2", "Article 23", 0.5),
+        ("rgpd", "Article 30", "dora", "Article 8", 0.35),
+        ("rgpd", "Article 35", "ai_act", "Article 27", 0.45),
+        ("rgpd", "Article 28", "dora", "Article 28", 0.4),
+        ("nis2", "Article 21", "dora", "Article 9", 0.5),
+    ),
+)
+
+
 def seed_crosswalks(seeds: DataFrame, requirements: DataFrame, known: DataFrame) -> DataFrame:
     """Seeds with status: created, updated, or ignored and which side is missing, the source named first."""
     current = requirements.filter("is_current").select("requirement_id", "code", "reference")
@@ -58,6 +73,13 @@ def seed_crosswalks(seeds: DataFrame, requirements: DataFrame, known: DataFrame)
     return rows.withColumn("status", status.when(F.col("_known"), "updated").otherwise("created")).drop("_known")
 
 
+def seeded_crosswalks(known: DataFrame, seeded: DataFrame) -> DataFrame:
+    """The edges (source_id, target_id, coverage) after seeding: a known edge takes the seed's coverage, a new one comes in, ignored seeds do nothing."""
+    placed = seeded.filter(F.col("status").isin("created", "updated")).select("source_id", "target_id", F.col("coverage").alias("_fresh"))
+    rows = known.select("source_id", "target_id", "coverage").join(placed, ["source_id", "target_id"], "full")
+    return rows.select("source_id", "target_id", F.coalesce("_fresh", "coverage").alias("coverage"))
+
+
 def role_gate(requests: DataFrame, memberships: DataFrame) -> DataFrame:
     """requests (user_id, org_id, minimum) with outcome: allowed, forbidden, or not_found for strangers."""
     rows = requests.join(memberships.select("user_id", "org_id", "role"), ["user_id", "org_id"], "left")

@@ -78,33 +78,54 @@ def applicability(answers: DataFrame, tolerance: str | None = None) -> DataFrame
     exclusion whose quotation isn't found, unless the article needs no proof.
     """
     answers = Q.checked(answers, F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof")
-    proof = F.get("_proof", 0)["valid"]
-    said = F.coalesce("applicable_said", F.lit(True))
+    said, diagnostic = gate(*(F.col(c) for c in ("failed", "condition_met", "applicable_said", "needs_proof", "quote")), F.get("_proof", 0)["valid"])
+    return answers.withColumns({"diagnostic": diagnostic, "applicable": said | diagnostic.isNotNull()}).drop("_proof")
+
+
+def gate(failed: Column, condition_met: Column, said: Column, needs_proof: Column, quote: Column, proof: Column) -> tuple[Column, Column]:
+    """What the answer says, and why it isn't followed (null if it is)."""
+    said = F.coalesce(said, F.lit(True))
     diagnostic = (
-        F.when(F.col("failed"), "no answer")
-        .when(F.col("condition_met") != said, "contradiction")
+        F.when(failed, "no answer")
+        .when(condition_met != said, "contradiction")
         .when(said, None)
-        .when(~F.col("needs_proof"), None)
-        .when(F.coalesce(F.trim("quote"), F.lit("")) == "", "exclusion without quotation")
+        .when(~needs_proof, None)
+        .when(F.coalesce(F.trim(quote), F.lit("")) == "", "exclusion without quotation")
         .when(~proof, "exclusion quotation not found")
     )
-    return answers.withColumns({"diagnostic": diagnostic, "applicable": said | diagnostic.isNotNull()}).drop("_proof")
+    return said, diagnostic
 
 
 def exemptions(claims: DataFrame, known: DataFrame, tolerance: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, article, reference, effect of the claims (article, reference, quote, document) that the catalogue knows and a verified quotation proves."""
-    proven = Q.checked(claims, F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof").filter(F.get("_proof", 0)["valid"])
-    return proven.join(known, ["article", "reference"]).select(*by, "article", "reference", "effect")
+    """by, article, reference, effect, diagnostic of the claims (article, reference, quote, document) of exemptions.
+
+    Only articles with exemptions that can be judged beforehand are asked about;
+    claims about others are nothing, and so are claims without a reference.  A
+    claim has an effect if the catalogue knows its reference and a verified
+    quotation proves it, otherwise a diagnostic.
+    """
+    beforehand = known.filter("ex_ante").select("article", "reference", "effect")
+    asked = claims.filter(F.coalesce(F.trim("reference"), F.lit("")) != "").join(beforehand.select("article").distinct(), "article", "left_semi")
+    rows = Q.checked(asked.join(beforehand, ["article", "reference"], "left"), F.array("quote"), F.col("document"), Q.SHORTEST_EXCLUSION, tolerance, "_proof")
+    rows = rows.withColumn("diagnostic", exemption_diagnostic(F.col("effect"), F.col("quote"), F.get("_proof", 0)["valid"]))
+    return rows.select(*by, "article", "reference", F.when(F.col("diagnostic").isNull(), F.col("effect")).alias("effect"), "diagnostic")
+
+
+def exemption_diagnostic(effect: Column, quote: Column, valid: Column) -> Column:
+    """Why an exemption doesn't hold; null if it does."""
+    return F.when(effect.isNull(), "unknown exemption").when(F.coalesce(F.trim(quote), F.lit("")) == "", "exemption without quotation").when(~valid, "exemption quotation not found")
 
 
 def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row an article (of each ``by``: a document, say): verdict, credit, confidence, review.
 
     evidence: article, criticality, blocking, claimed, verified, retained.
-    exemptions: article, effect of exemptions known to the catalogue and proven
-    by a verified quotation.  diagnostics: article, n.
+    exemptions: article, reference, effect, diagnostic of :func:`exemptions`.
+    diagnostics: article, n.
     Compliant only if there are blocking elements and all are retained; an
-    exemption turns a breach into compliant or out of scope.
+    exemption turns a breach into compliant or out of scope, the first
+    reference's if several hold.  What is no breach isn't asked for exemptions,
+    so their diagnostics don't count there.
     """
     keys = [*by, "article"]
     n = evidence.groupBy(*keys, "criticality").agg(
@@ -113,20 +134,33 @@ def article_verdicts(evidence: DataFrame, exemptions: DataFrame, diagnostics: Da
         F.count_if(F.col("claimed") & ~F.col("verified")).alias("unverified"),
         F.count_if(~F.col("blocking") & ~F.col("retained")).alias("missing_minor"),
     )
-    first = exemptions.groupBy(*keys).agg(F.min("effect").alias("effect"))
+    first = exemptions.groupBy(*keys).agg(F.expr("min_by(effect, reference) FILTER (WHERE effect IS NOT NULL)").alias("effect"), F.count("diagnostic").alias("_unheld"))
     rows = n.join(first, keys, "left").join(diagnostics, keys, "left")
-    proven = (F.col("blocking") > 0) & (F.col("proven") == F.col("blocking"))
-    verdict = F.when(proven, "compliant").when(F.col("effect") == "compliant", "compliant").when(F.col("effect").isNotNull(), "out_of_scope").otherwise("breach")
-    diag = F.coalesce("n", F.lit(0))
-    confidence = 0.9 - 0.2 * F.least("unverified", F.lit(3)) - 0.1 * F.least(diag, F.lit(3))
-    rows = rows.withColumn("verdict", verdict)
-    confidence = confidence - F.when(F.col("verdict") == "compliant", 0.05 * F.col("missing_minor")).otherwise(0.0)
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
-    always = F.col("article").isin(*R.ALWAYS_REVIEWED)
-    confidence = F.when(always, F.least(confidence, F.lit(0.6))).otherwise(confidence)
-    rows = rows.withColumn("confidence", F.round(confidence, 4))
-    review = F.when(F.col("confidence") < 0.70, "low confidence").when(diag > 0, "diagnostics")
-    return rows.withColumns({"credit": credit(F.col("verdict"), F.col("proven"), F.col("blocking")), "review": review}).drop("effect", "n")
+    proven = all_proven(F.col("blocking"), F.col("proven"))
+    rows = rows.withColumn("verdict", verdict(proven, F.col("effect")))
+    rows = rows.withColumn("_diagnostics", F.coalesce("n", F.lit(0)) + F.when(~proven, F.coalesce("_unheld", F.lit(0))).otherwise(0))
+    rows = rows.withColumn("confidence", confidence(F.col("article"), F.col("verdict"), F.col("unverified"), F.col("_diagnostics"), F.col("missing_minor")))
+    return rows.withColumns({"credit": credit(F.col("verdict"), F.col("proven"), F.col("blocking")), "review": review(F.col("confidence"), F.col("_diagnostics"))}).drop("effect", "n", "_unheld", "_diagnostics")
+
+
+def all_proven(blocking: Column, proven: Column) -> Column:
+    return (blocking > 0) & (proven == blocking)
+
+
+def verdict(proven: Column, effect: Column) -> Column:
+    return F.when(proven | (effect == "compliant"), "compliant").when(effect.isNotNull(), "out_of_scope").otherwise("breach")
+
+
+def confidence(article: Column, verdict: Column, unverified: Column, diagnostics: Column, missing_minor: Column) -> Column:
+    found = 0.9 - 0.2 * F.least(unverified, F.lit(3)) - 0.1 * F.least(diagnostics, F.lit(3))
+    found = found - F.when(verdict == "compliant", 0.05 * missing_minor).otherwise(0.0)
+    found = F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+    return F.round(F.when(article.isin(*R.ALWAYS_REVIEWED), F.least(found, F.lit(0.6))).otherwise(found), 4)
+
+
+def review(confidence: Column, diagnostics: Column) -> Column:
+    """Why a person has to look at a verdict; null if nobody has to."""
+    return F.when(confidence < 0.70, "low confidence").when(diagnostics > 0, "diagnostics")
 
 
 def credit(verdict: Column, proven: Column, blocking: Column) -> Column:

@@ -10,25 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
+from attestra.operators import quotations as near
+from attestra.operators.quotations import SIMILAR
 
-# Shortest normalised quotation for evidence, and for exclusions and exemptions; fuzzy threshold.
-SHORTEST, SHORTEST_EXCLUSION, SIMILAR = 25, 15, 0.90
+# Shortest normalised quotation for evidence, and for exclusions and exemptions.
+SHORTEST, SHORTEST_EXCLUSION = 25, 15
 
 
-CHECK = "struct<valid:boolean,reason:string,similarity:double,position:int>"
-
-
-CHECK = "struct<valid:boolean,reason:string,similarity:double,position:int>"
-
-
-def _placed(quotes: Column, document: Column, shortest: int) -> Column:
-    """The normalised document (d) and of each quotation (m) what it is normalised (n), why it is rejected unseen (reason), and its place in d (at)."""
+def _placed(quotes: Column, normal: Column, shortest: int) -> Column:
+    """Of each quotation what it is normalised (n), why it is rejected unseen (reason), and its place in the normalised document (at)."""
     plain = F.transform(quotes, lambda q: F.struct(q.alias("q"), T.normalize(q).alias("n")))
     marked = F.transform(plain, lambda x: F.struct(x["n"].alias("n"), F.when(F.coalesce(F.trim(x["q"]), F.lit("")) == "", "empty").when(F.length(x["n"]) < shortest, "too short").alias("reason")))
     place = lambda d: lambda x: F.struct(x["n"].alias("n"), x["reason"].alias("reason"), F.when(x["reason"].isNull(), F.instr(d, x["n"]) - 1).alias("at"))
     # through a one-element array: what lambdas refer to is computed once
-    made = F.array(F.struct(T.normalize(document).alias("d"), marked.alias("m")))
-    return F.get(F.transform(made, lambda r: F.struct(r["d"].alias("d"), F.transform(r["m"], place(r["d"])).alias("m"))), 0)
+    return F.get(F.transform(F.array(F.struct(normal.alias("d"), marked.alias("m"))), lambda r: F.transform(r["m"], place(r["d"]))), 0)
 
 
 def _exact(x: Column) -> Column:
@@ -37,6 +32,13 @@ def _exact(x: Column) -> Column:
     return F.struct(found.alias("valid"), reason.alias("reason"), F.when(found, 1.0).otherwise(0.0).alias("similarity"), F.when(found, x["at"]).otherwise(-1).cast("int").alias("position"))
 
 
+def _near(x: Column, c: Column) -> Column:
+    """The exact check of a quotation, or the fuzzy one where it isn't found and there is one."""
+    similar = c["similarity"] >= SIMILAR
+    fuzzy = F.struct(similar.alias("valid"), F.when(similar, "approximate").otherwise("not found").alias("reason"), c["similarity"].alias("similarity"), F.when(similar, c["position"]).otherwise(-1).cast("int").alias("position"))
+    return F.when(c.isNull(), _exact(x)).otherwise(fuzzy)
+
+
 def verify(quote: Column, document: Column, shortest: int = SHORTEST) -> Column:
     """valid, reason, similarity, position (in the normalised document, from 0) of one quotation, the exact tier."""
     return F.get(verify_each(F.array(quote), document, shortest), 0)
@@ -44,22 +46,30 @@ def verify(quote: Column, document: Column, shortest: int = SHORTEST) -> Column:
 
 def verify_each(quotes: Column, document: Column, shortest: int = SHORTEST) -> Column:
     """The same for an array of quotations; the document is normalised once for all of them."""
-    return F.transform(_placed(quotes, document, shortest)["m"], _exact)
+    return verify_in(quotes, T.normalize(document), shortest)
+
+
+def verify_in(quotes: Column, normal: Column, shortest: int = SHORTEST) -> Column:
+    """The same in a document that is normalised already."""
+    return F.transform(_placed(quotes, normal, shortest), _exact)
 
 
 def checked(rows: DataFrame, quotes: Column, document: Column, shortest: int = SHORTEST, tolerance: str | None = None, name: str = "checks") -> DataFrame:
     """``rows`` with the checks of an array of quotations, as the column ``name``.
 
     Tiers, strictest first: blank and short quotations are rejected, exact ones
-    (after normalising) accepted; with ``tolerance`` ("fixed" or "parity", see
-    :func:`_windows`) one that isn't found is accepted as "approximate" if a
-    window is similar enough, and tells its similarity if not.
+    (after normalising) accepted.  With ``tolerance`` one that isn't found is
+    accepted as "approximate" if a stretch of the document is similar enough:
+    by edits, wherever it is ("edits", see :mod:`quotations`; the similarity of
+    what is farther away is 0), or by fixed windows ("parity").
     """
     if tolerance is None:
         return rows.withColumn(name, verify_each(quotes, document, shortest))
     # a Python function takes no lambdas' results directly: they are a column first
-    placed = rows.withColumn("_placed", _placed(quotes, document, shortest))
-    return placed.withColumn(name, graded(tolerance)(F.col("_placed.m"), F.col("_placed.d"))).drop("_placed")
+    rows = rows.withColumn("_normal", T.normalize(document)).withColumn("_placed", _placed(quotes, F.col("_normal"), shortest))
+    rows = rows.withColumn("_asked", F.transform("_placed", lambda x: F.when(x["at"] < 0, x["n"])))
+    found = rows.withColumn("_found", (near.closest() if tolerance == "edits" else _parity())(F.col("_asked"), F.col("_normal")))
+    return found.withColumn(name, F.zip_with("_placed", "_found", _near)).drop("_normal", "_placed", "_asked", "_found")
 
 
 def quotations(many: Column, single: Column) -> Column:
@@ -112,45 +122,31 @@ def best_sentences(rows: DataFrame, by: str) -> DataFrame:
     return best.filter("b.n >= 2").select(by, "b.n", F.col("b.s").alias("sentence"))
 
 
-def _windows(q: str, d: str, mode: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the stretches of d that may be q: around every place of a piece of q, or all along d if there is none.
-
-    "fixed": windows are as long as q.  If q and a window are SIMILAR, less than
-    one character in ten is changed, so a piece of q of a certain length is
-    whole; every place of every such piece counts.  "parity" (fixed values):
-    pieces of 12 characters, 40 places and some 400 steps of the scan at most, and margins
-    of 20 characters or a fifth on both sides.
-    """
+def _windows(q: str, d: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the stretches of d that the fixed windows look at (fixed values): around 40 places of pieces of 12 characters at most, or some 400 steps along d if there are none, with margins of 20 characters or a fifth on both sides."""
     n = len(q)
-    if mode == "parity":
-        size, step, most, margin = 12, max(12, n // 8), 40, max(20, n // 5)
-        offsets = range(0, max(1, n - size), step)
-    else:
-        changed = int(n * (1 - SIMILAR) + 1e-9)
-        size, most, margin = max(1, (n - changed) // (changed + 1)), None, 0
-        offsets = range(0, n - size + 1)
+    margin = max(20, n // 5)
     places: dict[int, None] = {}
     seen = 0
-    for i in offsets:
-        piece, at = q[i : i + size], -1
-        while (at := d.find(piece, at + 1)) >= 0 and (most is None or seen < most):
+    for i in range(0, max(1, n - 12), max(12, n // 8)):
+        at = -1
+        while seen < 40 and (at := d.find(q[i : i + 12], at + 1)) >= 0:
             places[max(0, at - i)] = None
             seen += 1
-    starts = sorted(places) or range(0, max(1, len(d) - n + 1), max(1, (len(d) - n) // 400))
-    for at in starts:
+    for at in sorted(places) or range(0, max(1, len(d) - n + 1), max(1, (len(d) - n) // 400)):
         low = max(0, at - margin)
         yield low, min(len(d), low + n + 2 * margin)
 
 
-def closest_window(q: str | None, d: str | None, mode: str = "fixed") -> tuple[float, int] | None:
-    """(similarity, start) of the window of d that is most similar to q, the first of equals; None without a quotation."""
+def closest_window(q: str | None, d: str | None) -> tuple[float, int] | None:
+    """(similarity, start) of the fixed window of d that is most similar to q, the first of equals; None without a quotation."""
     if q is None or d is None:
         return None
     if not q or not d:
         return 0.0, -1
     best = (0.0, -1)
-    for low, high in _windows(q, d, mode):
-        own = difflib.SequenceMatcher(None, q, d[low:high], autojunk=mode == "parity")
+    for low, high in _windows(q, d):
+        own = difflib.SequenceMatcher(None, q, d[low:high])
         if own.real_quick_ratio() <= best[0] or own.quick_ratio() <= best[0]:
             continue
         if (found := own.ratio()) > best[0]:
@@ -160,33 +156,13 @@ def closest_window(q: str | None, d: str | None, mode: str = "fixed") -> tuple[f
     return best
 
 
-def graded(mode: str = "fixed"):
-    """A column function of (array of quotations: n, reason, at; normalised document): the checks of :func:`checked`, with the fuzzy tier."""
-
-    def check(x: dict, d: str) -> dict:
-        if x["reason"] is not None:
-            return {"valid": False, "reason": x["reason"], "similarity": 0.0, "position": -1}
-        if x["at"] is None or x["at"] >= 0:
-            found = x["at"] is not None
-            return {"valid": found, "reason": "exact" if found else "not found", "similarity": float(found), "position": x["at"] if found else -1}
-        similarity, at = closest_window(x["n"], d, mode)
-        similar = similarity >= SIMILAR
-        return {"valid": similar, "reason": "approximate" if similar else "not found", "similarity": similarity, "position": at if similar else -1}
-
-    @F.pandas_udf(f"array<{CHECK}>")
-    def checks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for quotes, documents in batches:
-            yield pd.Series([None if many is None else [check(x, d) for x in many] for many, d in zip(quotes, documents, strict=True)])
-
-    return checks.asNondeterministic()  # so that the optimiser neither repeats it nor moves it into a filter
-
-
-def fuzzy_similarity(mode: str = "fixed"):
-    """A column function of (quotation, document), both normalised: the best similarity of a window to the quotation."""
+def _parity():
+    """A column function like :func:`quotations.closest`, with the fixed windows."""
 
-    @F.pandas_udf("double")
-    def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<struct<similarity:double,position:int>>")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for quotes, documents in batches:
-            yield pd.Series([(closest_window(q, d, mode) or (0.0, -1))[0] for q, d in zip(quotes, documents, strict=True)])
+            rows = [None if many is None else [closest_window(q, d) for q in many] for many, d in zip(quotes, documents, strict=True)]
+            yield pd.Series([None if r is None else [None if x is None else {"similarity": x[0], "position": x[1]} for x in r] for r in rows])
 
-    return similarity
+    return found.asNondeterministic()  # so that the optimiser neither repeats it nor moves it into a filter

@@ -5,7 +5,7 @@ import json
 import pytest
 from attestra.functions import rules as R
 from attestra.functions import text as T
-from attestra.operators import chunking, lifecycle, records, retrieval, verdicts, verification
+from attestra.operators import chunking, lifecycle, quotations, records, retrieval, verdicts, verification
 from attestra.operators.tenancy import TenantScope
 from attestra.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -73,13 +73,6 @@ def test_verification_tiers(spark):
     assert [r.v.position for r in found] == [0, -1, -1, -1, -1]
 
 
-def test_fuzzy_windows(spark):
-    quote = "one two three four five six seven eight nine ten"
-    rows = spark.createDataFrame([(quote, "start " + quote.replace("five", "fiv3") + " end"), (quote, "something else"), ("", "x")], "q string, d string")
-    found = [r[0] for r in rows.select(verification.fuzzy_similarity("fixed")("q", "d")).collect()]
-    assert found[0] >= 0.9 > found[1] and found[2] == 0.0
-
-
 def test_quotations_and_answers(spark):
     row = spark.createDataFrame([(["a", " ", "b"], "c"), (["a"], "a"), (None, "z"), (None, None)], "m array<string>, s string")
     assert [r[0] for r in row.select(verification.quotations(F.col("m"), F.col("s"))).collect()] == [["c", "a", "b"], ["a"], ["z"], []]
@@ -203,13 +196,13 @@ def test_every_place_of_a_piece_is_tried(spark):
     quote = "alpha beta gamma delta epsilon zeta eta theta iota"
     decoy = "alpha beta gamma wrong words follow here in this part "
     odd = "".join(c if i % 9 else "#" for i, c in enumerate(quote, 1))  # no twelve characters are whole
-    assert verification.closest_window(quote, decoy * 50 + quote.replace("delta", "delto") + " end")[0] >= 0.9
-    assert verification.closest_window(quote, "x " * 300 + odd + " end")[0] >= 0.85
+    assert quotations.Document(decoy * 50 + quote.replace("delta", "delto") + " end").find(quote) == (1 - 1 / len(quote), len(decoy) * 50)
+    assert quotations.Document("x " * 300 + odd + " end").find(quote) == (1 - 5 / len(quote), 600)
     assert verification.closest_window(quote, "1234567890 " * 40)[0] < 0.3 and verification.closest_window("", "a") == (0.0, -1)
-    assert verification.closest_window(quote, "start " + quote.replace("delta", "delto") + " and much more follows here", "parity")[0] < 0.9  # margins keep it down
+    assert verification.closest_window(quote, "start " + quote.replace("delta", "delto") + " and much more follows here")[0] < 0.9  # margins keep it down
     rows = [(0, "the quick brown fox jumps over the lazy dog, twice", ["the quick brown fox jumps over", "the quick brawn fox jumps over", "short", " ", "nothing of the kind is in the text"])]
     df = spark.createDataFrame(rows, "i int, d string, q array<string>")
-    found = verification.checked(df, F.col("q"), F.col("d"), tolerance="fixed").first().checks
+    found = verification.checked(df, F.col("q"), F.col("d"), tolerance="edits").first().checks
     assert [c.reason for c in found] == ["exact", "approximate", "too short", "empty", "not found"] and [c.valid for c in found] == [True, True, False, False, False]
     assert [c.reason for c in verification.checked(df, F.col("q"), F.col("d")).first().checks] == ["exact", "not found", "too short", "empty", "not found"]
 
