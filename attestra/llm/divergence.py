@@ -25,10 +25,12 @@ A source without any word is compared too; a language that keeps no word has
 value 0 for every pair, and no terms.  Terms and items are ordered by their
 UTF-8 bytes.  Texts are equal if 128 bits of their hashes are.
 
-Scale: texts are shuffled once, one of each (a map task sends one copy); copies
-travel as hashes and counts.  A row of the term table holds one word's counts,
-one number a source.  Pair sums leave a task as one row a pair and million
-comparisons.  Nothing is broadcast that Spark hasn't measured.
+Scale: copies travel as hashes and counts.  A text that stands alone is tokenised
+where it is read; of repeated ones a map task sends one copy.  Which are repeated
+is broadcast as hashes if they are few enough by count (``BROADCAST_BYTES``);
+beyond that all texts are shuffled, once.  A row of the term table holds one
+word's counts, one number a source.  Pair sums leave a task as one row a pair and
+million comparisons.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ LEAST = 3
 TERMS = 200
 ONE = 1_000_000_000
 WORD = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
+#: Most bytes of the hashes of repeated texts that are broadcast, and bytes that one takes there.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 64
 #: Comparisons of two sources that a task makes before it sends sums.
 COMPARISONS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,10 +79,17 @@ def terms_of(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     rows = docs.select(*plain).withColumns({"_h": F.xxhash64("text"), "_i": F.xxhash64(F.lit(11), "text")})
     copies = written(rows.groupBy(*key, "source").agg(F.count("*").alias("n")), "copies")
     held = copies.groupBy(*key).agg(F.collect_list(F.struct("source", "n")).alias("held"), F.sum("n").alias("n"))  # a row a source at most
-    texts = rows.filter(F.col("text") != "").groupBy(*key).agg(F.first("text").alias("text"))
+    texts = rows.filter(F.col("text") != "")
+    repeated, alone = written(held.filter(F.col("n") > 1), "repeated"), None
+    if repeated.count() * KEY_BYTES <= BROADCAST_BYTES:
+        marks = F.broadcast(repeated.select(*key))
+        alone = texts.join(marks, key, "left_anti").select("lang", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("held"), F.lit(1).cast("long").alias("n"), "text")
+        texts, held = texts.join(marks, key, "left_semi"), repeated
+    texts = texts.groupBy(*key).agg(F.first("text").alias("text")).join(held, key).select("lang", "held", "n", "text")
+    texts = texts if alone is None else alone.unionByName(texts)
     words = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(WORD), 1)
     # each word as often as it stands there, for every source; and once, for the text
-    both = texts.join(held, key).select("lang", "held", "n", words.alias("w")).select("lang", "held", "n", F.posexplode(F.array("w", F.array_distinct("w"))).alias("once", "w"))
+    both = texts.select("lang", "held", "n", words.alias("w")).select("lang", "held", "n", F.posexplode(F.array("w", F.array_distinct("w"))).alias("once", "w"))
     whole = F.array(F.struct(F.col("held")[0]["source"].alias("source"), F.col("n").alias("n")))
     each = both.select("lang", "once", "w", F.explode(F.when(F.col("once") == 0, F.col("held")).otherwise(whole)).alias("h"))
     each = each.select("lang", "h.source", "once", "h.n", F.explode("w").alias("term"))
