@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.catalog.base import Catalog, Literal, table
-from attestra.catalog.text import NORMAL, chunk_fixed
+from attestra.catalog.base import Catalog, Literal, documents, table
+from attestra.catalog.text import NORMAL
 from attestra.functions import rules as R
 from attestra.functions import text as T
 from attestra.operators import metrics, quotations, retrieval, scoring, verdicts, verification
@@ -30,8 +30,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, requirement ORDER BY sco
 
 @C.add("lexical_topk", f"WITH {_LEXICAL} SELECT doc_id, requirement, CAST(rank AS INTEGER) AS rank, CAST(position AS INTEGER) AS position, score FROM t WHERE rank <= greatest(5, least(12, 3 + elements)) AND (score > 0 OR best <= 0)")
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
-    bodies = plan.bodies(chunk_fixed(spark, sf))
-    found = retrieval.lexical_topk(bodies, GRID.df(spark), retrieval.evidence_k(F.col("elements")))
+    found = retrieval.lexical_best(plan.documents(documents(spark, sf, "doc_id", "text")), GRID.df(spark), retrieval.evidence_k(F.col("elements")))
     return found.select("doc_id", "requirement", "rank", "position", "score")
 
 
@@ -44,7 +43,7 @@ f AS (SELECT doc_id, round(100.0::DOUBLE * sum(w * credit) / sum(w), 1) AS score
 SELECT doc_id, score, n_scored, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'satisfactory' WHEN score >= 50 THEN 'partial' WHEN score >= 30 THEN 'low' ELSE 'critical' END AS level FROM f""",
 )
 def document_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.audit(table(spark, sf, "documents"), GRID.df(spark))
+    return plan.audit(documents(spark, sf, "doc_id", "text"), GRID.df(spark))
 
 
 _VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings)"
@@ -119,7 +118,7 @@ v AS (SELECT doc_id, md5(quote) AS quote_key, CASE WHEN blank THEN 'empty' WHEN
 
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, text and all quotations that are looked for in it, as an array."""
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, items = documents(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark")
     n = items.agg(F.count("*").alias("n"))
     keyed = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))  # one row
     middle = F.substr("text", (F.length("text") / 3).cast("int") + 1, F.lit(60))
@@ -141,7 +140,7 @@ def quote_tiers(spark: SparkSession, sf: str) -> DataFrame:
     piece = lambda part: F.substr(text, F.greatest(F.lit(1), ((n - 90) * part).cast("int") + 1), F.lit(90))
     changes = ((r"(?s)(.{19}).", "$1z"), (r"(?s)(.{8}).", "$1z"), (r"(?s)(.{25})", "$1z"), (r"(?s)(.{24}).", "$1"))
     quotes = F.array(*[F.regexp_replace(piece(F.lit(part)), *change) for part in (0.0, 0.5, 1.0) for change in changes], F.lit("nothing of this kind stands in any of the texts at all"))
-    found = verification.checked(table(spark, sf, "documents").select("doc_id", "text"), quotes, F.col("text"), tolerance="edits")
+    found = verification.checked(documents(spark, sf, "doc_id", "text"), quotes, F.col("text"), tolerance="edits")
     return found.select("doc_id", F.posexplode("checks").alias("kind", "c")).select("doc_id", "kind", "c.valid", "c.reason", F.round("c.similarity", 4).alias("similarity"), "c.position")
 
 
@@ -161,7 +160,7 @@ y AS (SELECT doc_id, i, s, len(list_intersect(words, string_split({NORMAL.format
 SELECT doc_id, CAST(n AS INTEGER) AS overlap, s AS sentence FROM y WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1""",
 )
 def sentence_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 21, 300).alias("title"), F.col("text").alias("document"))
+    rows = documents(spark, sf, "doc_id", "text").select("doc_id", F.substring("text", 21, 300).alias("title"), F.col("text").alias("document"))
     return verification.best_sentences(rows, "doc_id").select("doc_id", F.col("n").alias("overlap"), "sentence")
 
 
@@ -169,7 +168,7 @@ def sentence_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def fuzzy_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Every item of the benchmark, looked for in every document: where it stands with a tenth of its characters edited at most."""
     items = table(spark, sf, "benchmark").select("item_id", T.normalize(F.col("text")).alias("quote"))
-    docs = table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", T.normalize(F.col("text")).alias("text"))
     found = quotations.join(items, docs, key="item_id")
     return found.select("item_id", "doc_id", F.round("similarity", 4).alias("similarity"), "position")
 

@@ -30,3 +30,14 @@ class Catalog:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all cores if their files give fewer splits than there are cores; of larger tables, as read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The columns wanted of the documents, for work that takes long a row."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.catalog.base import Catalog, Literal, table
+from attestra.catalog.base import Catalog, Literal, documents, table
 from attestra.functions import text as T
 from attestra.operators import chunking, ingestion
 
@@ -16,7 +16,7 @@ NORMAL = r"""trim(regexp_replace(regexp_replace(replace(replace(lower(strip_acce
 
 @C.add("text_normalize", f"SELECT doc_id, {NORMAL.format('text')} AS norm FROM documents")
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
 @C.add(
@@ -72,7 +72,7 @@ FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM ({_GREEDY})
 )
 def chunk_greedy(spark: SparkSession, sf: str) -> DataFrame:
     # the tables' texts have single line ends: three of each make paragraphs of them
-    return chunking.chunk_rows(table(spark, sf, "documents"), chunking.greedy_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n\n"))))
+    return chunking.chunk_rows(documents(spark, sf, "doc_id", "text"), chunking.greedy_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n\n"))))
 
 
 @C.add(
@@ -95,7 +95,7 @@ def section_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add("section_passages")
 def section_passages(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.section_passages(table(spark, sf, "documents"))
+    return chunking.section_passages(documents(spark, sf, "doc_id", "text"))
 
 
 @C.add(

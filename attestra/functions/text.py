@@ -29,14 +29,18 @@ _SOURCE, _TARGET = _folding()
 
 
 def fold_accents(text: Column) -> Column:
-    """Letters without their marks, whatever the script."""
-    return F.translate(text, _SOURCE, _TARGET)
+    """Letters without their marks, whatever the script.  Plain ASCII isn't looked up letter by letter."""
+    return _translated(text, _SOURCE, _TARGET)
+
+
+def _translated(text: Column, source: str, target: str) -> Column:
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, source, target)).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
     """Accents folded, lower case, typographic quotes plain, everything but word characters and apostrophes one space."""
-    plain = F.translate(F.lower(fold_accents(text)), "’‘", "''")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s']", " "), r"(?U)\s+", " "))
+    plain = _translated(text, "’‘" + _SOURCE, "''" + _TARGET)
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_']+", " "))
 
 
 def token_estimate(text: Column) -> Column:
@@ -110,8 +114,9 @@ def article_number(reference: Column) -> Column:
 
 
 def occurrences(text: Column, term: Column) -> Column:
-    """Non-overlapping occurrences of a plain string."""
-    return F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
+    """Non-overlapping occurrences of a plain string; where there is none, nothing is copied."""
+    counted = F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
+    return F.when(F.contains(text, term), counted).otherwise(0)
 
 
 def json_object(answer: Column) -> Column:

@@ -50,22 +50,41 @@ EXEMPTION_ROWS = Literal("article VARCHAR, reference VARCHAR, effect VARCHAR, ex
 
 
 def grid(spark: SparkSession) -> DataFrame:
-    """ordering, article, criticality, needs_proof, elements (element, blocking), exemptions (reference, effect, ex_ante): one row an article."""
+    """One row an article, of :data:`SHAPE`, without texts: :func:`described` puts them in, :func:`load` reads whole grids."""
     elements = ELEMENT_ROWS.df(spark).groupBy("article").agg(F.array_sort(F.collect_list(F.struct("position", "element", "blocking"))).alias("elements"))
     exemptions = EXEMPTION_ROWS.df(spark).groupBy("article").agg(F.array_sort(F.collect_list(F.struct("reference", "effect", "ex_ante"))).alias("exemptions"))
-    none = F.array().cast("array<struct<reference:string,effect:string,ex_ante:boolean>>")
     rows = ARTICLES.df(spark).join(elements, "article").join(exemptions, "article", "left")
-    return rows.select("ordering", "article", "criticality", "needs_proof", F.transform("elements", lambda e: F.struct(e["element"].alias("element"), e["blocking"].alias("blocking"))).alias("elements"), F.coalesce("exemptions", none).alias("exemptions"))
+    nothing = F.lit(None).cast("string")
+    element = lambda e: F.struct(e["element"].alias("element"), nothing.alias("title"), F.array().cast("array<string>").alias("hints"), e["blocking"].alias("blocking"))
+    exemption = lambda e: F.struct(e["reference"].alias("reference"), nothing.alias("title"), nothing.alias("condition"), e["effect"].alias("effect"), e["ex_ante"].alias("ex_ante"))
+    listed = F.coalesce(F.transform("exemptions", exemption), F.array())
+    return rows.select("ordering", "article", nothing.alias("title"), "criticality", nothing.alias("condition"), "needs_proof", nothing.alias("note"), F.transform("elements", element).alias("elements"), listed.alias("exemptions"))
+
+
+#: A grid's columns, with titles, conditions, hints and notes.
+SHAPE = (
+    "ordering int, article string, title string, criticality int, condition string, needs_proof boolean, note string,"
+    "elements array<struct<element:string,title:string,hints:array<string>,blocking:boolean>>,"
+    "exemptions array<struct<reference:string,title:string,condition:string,effect:string,ex_ante:boolean>>"
+)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A grid of one's own, from JSON: the columns of :func:`grid`, and titles, conditions, hints and notes if the file has them."""
-    shape = (
-        "ordering int, article string, title string, criticality int, condition string, needs_proof boolean, note string,"
-        "elements array<struct<element:string,title:string,hints:array<string>,blocking:boolean>>,"
-        "exemptions array<struct<reference:string,title:string,condition:string,effect:string,ex_ante:boolean>>"
-    )
-    return spark.read.schema(shape).json(path, multiLine=True)
+    """A grid of one's own, from JSON in :data:`SHAPE`."""
+    return spark.read.schema(SHAPE).json(path, multiLine=True)
+
+
+def described(known: DataFrame, articles: DataFrame, elements: DataFrame) -> DataFrame:
+    """``known`` with the texts of articles (article, title, condition, note) and elements (article, element, title, hints); what they lack stays as it was."""
+    texts = elements.groupBy("article").agg(F.map_from_entries(F.collect_list(F.struct("element", F.struct("title", "hints")))).alias("_texts"))
+    rows = known.join(articles.select("article", *[F.col(c).alias(f"_{c}") for c in ("title", "condition", "note")]), "article", "left").join(texts, "article", "left")
+
+    def told(e: Column) -> Column:
+        text = F.try_element_at("_texts", e["element"])
+        return F.struct(e["element"].alias("element"), F.coalesce(text["title"], e["title"]).alias("title"), F.coalesce(text["hints"], e["hints"]).alias("hints"), e["blocking"].alias("blocking"))
+
+    fresh = {c: F.coalesce(f"_{c}", c) for c in ("title", "condition", "note")} | {"elements": F.transform("elements", told)}
+    return rows.withColumns(fresh).select(*known.columns)
 
 
 def blocking(elements: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
+from attestra.operators.catalogue import paired
 
 RRF = 60  # fixed value of reciprocal rank fusion
 #: Vectors in a block of queries and of candidates, and candidate blocks that one copy of the queries meets.
@@ -27,9 +28,10 @@ def lexical_score(words: Column, body: Column) -> Column:
     return hits / (1 + F.length(body) / 800)
 
 
-def widened(k: Column, n: Column) -> Column:
-    """How many of n a ranker gives to the fusion."""
-    return F.least(n, F.greatest(2 * k, F.lit(10)))
+def widened(k: Column, n: Column | None = None) -> Column:
+    """How many (of n, if that is known) a ranker gives to the fusion."""
+    wide = F.greatest(2 * k, F.lit(10))
+    return wide if n is None else F.least(n, wide)
 
 
 def evidence_k(elements: Column, k: int = 5) -> Column:
@@ -43,13 +45,36 @@ def lexical_topk(passages: DataFrame, requirements: DataFrame, k: Column, by: st
     a few dozen rows (requirement, query, ..), which goes to every passage.
     """
     asked = requirements.withColumn("words", terms(F.col("query")))
-    scored = passages.crossJoin(F.broadcast(asked)).withColumn("score", F.round(lexical_score(F.col("words"), F.col("body")), 6))
+    scored = paired(passages, asked).withColumn("score", F.round(lexical_score(F.col("words"), F.col("body")), 6))
     order = Window.partitionBy(by, "requirement").orderBy(F.desc("score"), "position")
     best = F.max("score").over(Window.partitionBy(by, "requirement"))
     ranked = scored.withColumns({"rank": F.row_number().over(order), "best": best})
     return ranked.filter((F.col("rank") <= k) & ((F.col("score") > 0) | (F.col("best") <= 0))).drop("words", "body", "best")
 
 
+def best_of(words: Column, bodies: Column, k: Column) -> Column:
+    """(position, score) of the k best of a document's (normalised) bodies, best first; where none scores, the first k.
+
+    All in one row: nothing is shuffled, and what leaves the row is k entries.
+    """
+    scored = F.transform(bodies, lambda b, i: F.struct((-F.round(lexical_score(words, b), 6)).alias("less"), i.alias("position")))
+    first = F.slice(F.array_sort(scored), F.lit(1), F.greatest(k, F.lit(0)))
+    told = F.transform(first, lambda x: F.struct(x["position"].alias("position"), (-x["less"]).alias("score")))
+    # bound to a name, so that it is computed once
+    kept = F.transform(F.array(told), lambda t: F.filter(t, lambda x: (x["score"] > 0) | (F.get(t, 0)["score"] <= 0)))
+    return F.get(kept, 0)
+
+
+def lexical_best(documents: DataFrame, requirements: DataFrame, k: Column, by: str = "doc_id") -> DataFrame:
+    """The rows of :func:`lexical_topk` for documents (by, bodies: an array) that hold their passages themselves.
+
+    requirements: a catalogue of a few dozen rows (requirement, query, ..).
+    """
+    asked = requirements.withColumn("words", terms(F.col("query")))
+    rows = paired(documents.select(by, "bodies"), asked).withColumn("_best", best_of(F.col("words"), F.col("bodies"), k)).drop("words", "bodies")
+    return rows.select("*", F.posexplode("_best").alias("_n", "_b")).select(*[c for c in rows.columns if c != "_best"], (F.col("_n") + 1).alias("rank"), "_b.position", "_b.score")
+
+
 def _packed(rows: DataFrame, key: str, on: list[str], size: int, prefix: str) -> DataFrame:
     """Blocks of up to ``size`` vectors of one length and one value of ``on``: numbers, and unit vectors as a matrix, in bytes.
 

@@ -12,6 +12,11 @@ from attestra.operators import verdicts as credits
 PASSAGES = 3
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id, bodies: the normalised slices of every document that has text."""
+    return docs.filter(F.length("text") > 0).select("doc_id", F.transform(chunking.hard_split(F.col("text")), T.normalize).alias("bodies"))
+
+
 def bodies(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", F.col("chunk_index").alias("position"), T.normalize(F.col("chunk")).alias("body"))
 
@@ -25,8 +30,7 @@ def verdicts_of(best: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, grid: DataFrame) -> DataFrame:
     """A requirement is met if its three best passages all score 1 or more."""
-    chunks = chunking.chunk_rows(docs, chunking.hard_split(F.col("text")))
-    return verdicts_of(retrieval.lexical_topk(bodies(chunks), grid, F.lit(PASSAGES)))
+    return verdicts_of(retrieval.lexical_best(documents(docs), grid, F.lit(PASSAGES)))
 
 
 def audit(docs: DataFrame, grid: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.vectors import cosine_distance, hashing_embedder
 from attestra.operators import chunking, metrics, retrieval, scoring
+from attestra.operators.catalogue import paired
 from attestra.plans import document_audit as plan
 
 SIGNIFICANT = 0.02  # fixed value: a smaller gain than two points says nothing
@@ -40,11 +41,12 @@ def rankings(docs: DataFrame, grid: DataFrame, k: int) -> dict[str, DataFrame]:
     """doc_id, requirement, position, rank of the k best passages by words, by vectors, and by both."""
     chunks = chunking.chunk_rows(docs, chunking.hard_split(F.col("text")))
     bodies = plan.bodies(chunks)
-    wide = 10
-    lexical = retrieval.lexical_topk(bodies, grid, F.lit(wide)).select("doc_id", "requirement", "position", "rank")
+    wide = retrieval.widened(F.lit(k))
+    lexical = retrieval.lexical_topk(bodies, grid, wide).select("doc_id", "requirement", "position", "rank")
     embed = hashing_embedder()
     asked = grid.select("requirement", embed(F.lower("query")).alias("_q"))
-    near = chunks.select("doc_id", F.col("chunk_index").alias("position"), embed(F.lower("chunk")).alias("_c")).crossJoin(F.broadcast(asked))  # a grid is a few rows
+    near = chunks.select("doc_id", F.col("chunk_index").alias("position"), embed(F.lower("chunk")).alias("_c"))
+    near = paired(near, asked)
     order = Window.partitionBy("doc_id", "requirement").orderBy("distance", "position")
     semantic = near.withColumn("distance", F.round(cosine_distance(F.col("_q"), F.col("_c")), 6)).filter("distance is not null")
     semantic = semantic.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wide).select("doc_id", "requirement", "position", "rank")
@@ -61,7 +63,7 @@ def compared_retrievers(docs: DataFrame, grid: DataFrame, truth: DataFrame, k: i
     bodies = plan.bodies(chunking.chunk_rows(docs, chunking.hard_split(F.col("text"))))
     out = None
     for name, ranked in rankings(docs, grid, k).items():
-        hits = ranked.join(bodies, ["doc_id", "position"]).join(F.broadcast(grid), "requirement")
+        hits = ranked.join(bodies, ["doc_id", "position"]).join(grid, "requirement")
         proven = hits.groupBy("doc_id", "requirement").agg(F.count_if(retrieval.lexical_score(retrieval.terms(F.col("query")), F.col("body")) >= 1).alias("proven"))
         verdict = F.when(F.col("proven") == k, "compliant").otherwise("breach")
         rows = truth.join(proven.select("doc_id", "requirement", verdict.alias("obtained")), "doc_id").withColumn("never_exclude", F.lit(False))

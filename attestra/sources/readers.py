@@ -101,6 +101,11 @@ class Refused(Exception):
     """What a client raises when asking again is no use (a request that isn't accepted)."""
 
 
+def prompt_hash(model: str = "", temperature: float = 0.0) -> Column:
+    """What an answer is remembered by: a hash of model, temperature, system and user."""
+    return F.sha2(F.concat_ws("\x00", F.lit(model), F.lit(str(temperature)), "system", "user"), 256)
+
+
 def evaluate(
     prompts: DataFrame, client: Callable[[str, str], str], model: str = "", temperature: float = 0.0,
     attempts: int = 4, failures: int = 3, wait: float = 0.0, deadline: float | None = None, cache: DataFrame | None = None,
@@ -144,8 +149,7 @@ def evaluate(
                 out.append((key, answer, error))
             yield pd.DataFrame(out, columns=["prompt_hash", "answer", "error"])
 
-    parts = F.concat_ws("\x00", F.lit(model), F.lit(str(temperature)), "system", "user")
-    keyed = prompts.select(F.sha2(parts, 256).alias("prompt_hash"), "system", "user").dropDuplicates(["prompt_hash"])
+    keyed = prompts.select(prompt_hash(model, temperature).alias("prompt_hash"), "system", "user").dropDuplicates(["prompt_hash"])
     if cache is None:
         return keyed.mapInPandas(ask, "prompt_hash string, answer string, error string").withColumn("cached", F.lit(False))
     known = keyed.select("prompt_hash").join(cache.select("prompt_hash", "answer"), "prompt_hash").select("prompt_hash", "answer", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
