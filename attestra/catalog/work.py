@@ -191,6 +191,10 @@ t AS (SELECT DISTINCT o_custkey % 10 AS org_id, n_name AS code FROM orders JOIN
 SELECT org_id, code AS framework, 'framework.updated' AS kind FROM t""",
 )
 def scheduler_tick(spark: SparkSession, sf: str) -> DataFrame:
+    return _tick(spark, sf)["watch_notifications"]
+
+
+def _tick(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Of the nations that stand for frameworks, the stale ones (not every fourth) whose text has changed (every even one; every third can't be fetched)."""
     key = F.col("n_nationkey")
     nations = table(spark, sf, "nation")
@@ -200,7 +204,38 @@ def scheduler_tick(spark: SparkSession, sf: str) -> DataFrame:
     audits = table(spark, sf, "orders").join(nations, key == F.col("o_orderkey") % 25).select((F.col("o_custkey") % 10).alias("org_id"), F.col("n_name").alias("framework"), F.col("o_orderkey").alias("audit_id"))
     schedules = _schedules(spark, sf).withColumns({"org_id": F.col("schedule_id") % 25, "title": F.lit("Review")})
     documents = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("audit_id"), F.lit("x").alias("storage_key"))
-    return lifecycle.tick(frameworks, fetched, versions, audits, schedules, documents, now())["watch_notifications"]
+    return lifecycle.tick(frameworks, fetched, versions, audits, schedules, documents, now())
+
+
+@C.add(
+    "scheduler_tick_outputs",
+    f"""WITH f AS (SELECT n_nationkey AS k, n_name AS code FROM nation), u AS (SELECT code FROM f WHERE k % 4 <> 0 AND k % 3 <> 1 AND k % 2 = 0), {_SCHED},
+d AS (SELECT *, is_active AND next_run_at <= TIMESTAMP '{NOW}' AS due, coalesce(source_audit_id IN (SELECT o_orderkey FROM orders), FALSE) AS there FROM s), c AS (SELECT schedule_id || '@2024-01-20' AS audit_id, source_audit_id AS src FROM d WHERE due AND there)
+SELECT 'frameworks' AS output, code AS key, '{NOW}' AS value FROM f
+UNION ALL SELECT 'versions', code || ' 1', CASE WHEN code IN (FROM u) THEN 'old' ELSE 'current' END FROM f UNION ALL SELECT 'versions', code || ' 1 (2024-01-20)', 'current' FROM u
+UNION ALL SELECT DISTINCT 'watch', CAST(o_custkey % 10 AS VARCHAR), n_name FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 WHERE n_name IN (FROM u)
+UNION ALL SELECT 'audits', audit_id, CAST(src AS VARCHAR) FROM c
+UNION ALL SELECT 'documents', audit_id, CAST(count(*) AS VARCHAR) FROM c JOIN lineitem ON l_orderkey = src GROUP BY audit_id
+UNION ALL SELECT 'schedules', CAST(schedule_id AS VARCHAR), CASE WHEN is_active AND NOT (due AND NOT there) THEN strftime(CASE WHEN due THEN TIMESTAMP '{NOW}' + CASE cadence WHEN 'weekly' THEN INTERVAL 7 DAY WHEN 'monthly' THEN INTERVAL 30 DAY ELSE INTERVAL 91 DAY END ELSE next_run_at END, '%Y-%m-%d %H:%M:%S') ELSE 'off' END FROM d
+UNION ALL SELECT 'notifications', CAST(schedule_id AS VARCHAR), CASE WHEN there THEN 'audit_schedule.completed' ELSE 'audit_schedule.disabled' END FROM d WHERE due""",
+)
+def scheduler_tick_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that one tick leaves behind."""
+    out = _tick(spark, sf)
+    told = lambda name, key, value, rows: rows.select(F.lit(name).alias("output"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    parts = [
+        told("frameworks", F.col("code"), stamp("checked_at"), out["frameworks"]),
+        told("versions", F.concat_ws(" ", "code", "version_label"), F.when(F.col("is_current"), "current").otherwise("old"), out["versions"]),
+        told("watch", F.col("org_id"), F.col("framework"), out["watch_notifications"]),
+        told("audits", F.col("audit_id"), F.col("source_audit_id"), out["audits"]),
+        told("documents", F.col("audit_id"), F.col("n"), out["documents"].groupBy("audit_id").agg(F.count("*").alias("n"))),
+        told("schedules", F.col("schedule_id"), F.when(F.col("is_active"), stamp("next_run_at")).otherwise("off"), out["schedules"]),
+        told("notifications", F.col("schedule_id"), F.col("kind"), out["notifications"]),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 @C.add(

@@ -56,18 +56,25 @@ def rerun(schedules: DataFrame, audits: DataFrame, documents: DataFrame, now: Co
 def tick(frameworks: DataFrame, fetched: DataFrame, versions: DataFrame, audits: DataFrame, schedules: DataFrame, documents: DataFrame, now: Column) -> dict[str, DataFrame]:
     """One turn of the scheduler: first the watch over regulations, then the schedules that are due.
 
+    An exception of one part is that part's: both are separate results, written
+    by themselves.
+    """
+    return watch(frameworks, fetched, versions, audits, now) | rerun(schedules, audits, documents, now)
+
+
+def watch(frameworks: DataFrame, fetched: DataFrame, versions: DataFrame, audits: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Frameworks and versions after a look at what was fetched, and who is told.
+
     frameworks: code, is_active, checked_at.  Those that are stale are compared
     with what was fetched (a fetch that failed has a null digest: it counts as
     checked, and stops nothing else); every organisation that has audited a
-    changed one is told.  An exception of one part is that part's: both are
-    separate results, written by themselves.
+    changed one is told.
     """
     checked = stale(frameworks.filter("is_active"), now).select("code")
     found = ingestion.status(versions, fetched.join(checked, "code", "left_semi").filter("digest is not null"))
     told = audits.join(found.filter("status = 'updated'").select(F.col("code").alias("framework")), "framework").select("org_id", "framework").distinct().withColumn("kind", F.lit("framework.updated"))
     seen = frameworks.join(checked.withColumn("_due", F.lit(True)), "code", "left").withColumn("checked_at", F.when(F.col("_due"), now).otherwise(F.col("checked_at"))).drop("_due")
-    runs = rerun(schedules, audits, documents, now)
-    return {"frameworks": seen, "versions": ingestion.next_versions(versions, found), "watch_notifications": told} | runs
+    return {"frameworks": seen, "versions": ingestion.next_versions(versions, found), "watch_notifications": told}
 
 
 def purge(passages: DataFrame, now: Column, record: str = "document") -> DataFrame:
