@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,6 +254,26 @@ def ingest_all(spark: SparkSession, sf: str) -> DataFrame:
     return ingestion.ingest_all(found, known, F.lit("rgpd")).groupBy("status").agg(F.count("*").alias("sources"), F.sum("n_articles").alias("articles"), F.sum("auditable").alias("auditable"))
 
 
+@C.add(
+    "regulation_pages",
+    """WITH p AS (SELECT page_id % 12 AS k, string_agg(html, chr(10) ORDER BY page_id) || chr(10) AS html FROM pages WHERE page_id % 12 <> 10 GROUP BY ALL), w AS (SELECT k, CASE WHEN k = 11 THEN left(html, 99) || chr(10) ELSE html END AS html FROM p)
+SELECT 's' || k AS code, len(html) AS n_chars, sha256(html) AS sha256, 1 AS attempts, 0 AS failed FROM w WHERE len(html) >= 1000 UNION ALL SELECT 's' || k, NULL, NULL, 1, 1 FROM w WHERE len(html) < 1000 UNION ALL SELECT 's10', NULL, NULL, 1, 1""",
+)
+def regulation_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages landed as twelve sources, of which one is cut short and one is missing, read through the format."""
+    from attestra.sources import regulation_source
+    from attestra.sources.landing import shared_dir, uri
+
+    key = F.col("page_id") % 12
+    joined = table(spark, sf, "pages").filter(key != 10).groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("p"))
+    html = F.array_join(F.transform("p", lambda x: x["html"]), "\n")
+    path = f"{shared_dir(spark)}/pages/{uuid.uuid4().hex}"
+    joined.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("code"), F.when(F.col("k") == 11, F.left(html, F.lit(99))).otherwise(html).alias("value")).repartition("code").write.partitionBy("code").text(path)
+    regulation_source.register(spark)
+    found = spark.read.format("regulation").options(at=f"{uri(path)}/code={{code}}", codes=",".join(f"s{i}" for i in range(12)), least="1000").load()
+    return found.select("code", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("sha256"), "attempts", F.when(F.col("problem").isNull(), 0).otherwise(1).alias("failed"))
+
+
 @C.add(
     "json_tolerant",
     r"""

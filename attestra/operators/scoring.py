@@ -63,18 +63,19 @@ def html_report(findings: DataFrame, by: str, version: Column | None = None) ->
     is what the page shows.  A page is a row, so its size is that of its findings.
     """
     kind = R.lookup(F.col("kind"), {k: i for i, (k, _) in enumerate(GROUPS)})
-    safe = lambda c: T.html_escape(F.coalesce(F.col(c), F.lit("")))
-    wrap = lambda tag, c: F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")))
-    evidence = T.html_escape(F.left(F.coalesce("evidence", F.lit("")), F.lit(EVIDENCE_CHARS)))
-    card = F.concat(F.lit('<article class="'), F.col("severity"), F.lit('"><span>'), safe("reference"), F.lit("</span>"), wrap("h3", safe("title")), wrap("p", safe("description")), wrap("blockquote", evidence), wrap("aside", safe("recommendation")), wrap("small", safe("model_used")), F.lit("</article>"))
-    key = F.struct(kind.alias("kind"), R.severity_rank(F.col("severity")).alias("rank"), "reference", F.col("title").alias("by_title"), card.alias("card"))
+    safe = lambda c: T.html_escape(F.coalesce(c, F.lit("")))
+    wrap = lambda tag, c: F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"<{tag}>"), T.html_escape(c), F.lit(f"</{tag}>")))
+    # fields travel and are sorted; pages are written where they arrive
+    evidence = F.left("evidence", F.lit(EVIDENCE_CHARS)).alias("evidence")
+    key = F.struct(kind.alias("kind"), R.severity_rank(F.col("severity")).alias("rank"), "reference", "title", "severity", "description", evidence, "recommendation", "model_used")
+    card = lambda x: F.concat(F.lit('<article class="'), x["severity"], F.lit('"><span>'), safe(x["reference"]), F.lit("</span>"), wrap("h3", x["title"]), wrap("p", x["description"]), wrap("blockquote", x["evidence"]), wrap("aside", x["recommendation"]), wrap("small", x["model_used"]), F.lit("</article>"))
     counts = [F.count_if((F.col("status") != "not_applicable") & (F.col("severity") == s)).alias(f"_{s}") for s in R.SEVERITIES]
     rows = findings.groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("rows"), *counts)
     pills = F.concat(*[F.when(F.col(f"_{s}") > 0, F.concat(F.lit(f'<b class="{s}">{s} '), F.col(f"_{s}").cast("string"), F.lit("</b>"))).otherwise("") for s in R.SEVERITIES])
 
     def group(i: int, heading: str) -> Column:
         own = F.filter("rows", lambda x: x["kind"] == i)
-        body = F.when(F.size(own) == 0, "<p>Nothing to report.</p>").otherwise(F.array_join(F.transform(own, lambda x: x["card"]), ""))
+        body = F.when(F.size(own) == 0, "<p>Nothing to report.</p>").otherwise(F.array_join(F.transform(own, card), ""))
         return F.concat(F.lit(f"<h2>{heading} ("), F.size(own).cast("string"), F.lit(")</h2>"), body)
 
     number = F.lit(1) if version is None else version

@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def uri(path: str) -> str:
+    """A path as file systems outside Spark take it, with its scheme."""
+    if "://" in path:
+        return path
+    return "file://" + path.removeprefix("file:")
+
+
 def land(rows: DataFrame, files: int = 4, order: str = "ts") -> str:
     """Write ``rows`` as ``files`` Parquet files, ranged by ``order``, to a new folder; its path."""
     path = f"{shared_dir(rows.sparkSession)}/landed/{uuid.uuid4().hex}"
