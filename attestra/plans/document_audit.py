@@ -12,18 +12,18 @@ from attestra.operators import verdicts as credits
 PASSAGES = 3
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, bodies: the normalised slices of every document that has text."""
-    return docs.filter(F.length("text") > 0).select("doc_id", F.transform(chunking.hard_split(F.col("text")), T.normalize).alias("bodies"))
+def documents(docs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, bodies: the normalised slices of every document that has text."""
+    return docs.filter(F.length("text") > 0).select(by, F.transform(chunking.hard_split(F.col("text")), T.normalize).alias("bodies"))
 
 
 def bodies(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", F.col("chunk_index").alias("position"), T.normalize(F.col("chunk")).alias("body"))
 
 
-def verdicts_of(best: DataFrame) -> DataFrame:
-    """doc_id, requirement, criticality, verdict, credit from ranked passages (score)."""
-    proven = best.groupBy("doc_id", "requirement").agg(F.first("criticality").alias("criticality"), F.count_if(F.col("score") >= 1).alias("proven"))
+def verdicts_of(best: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, requirement, criticality, verdict, credit from ranked passages (score)."""
+    proven = best.groupBy(by, "requirement").agg(F.first("criticality").alias("criticality"), F.count_if(F.col("score") >= 1).alias("proven"))
     verdict = F.when(F.col("proven") == PASSAGES, "compliant").otherwise("breach")
     return proven.withColumn("verdict", verdict).withColumn("credit", credits.credit(F.col("verdict"), F.col("proven"), F.lit(PASSAGES)))
 

@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions import text as T
 from attestra.functions.vectors import cosine_distance, hashing_embedder
 from attestra.operators import chunking, metrics, retrieval, scoring
 from attestra.operators.catalogue import paired
-from attestra.plans import document_audit as plan
+from attestra.sources.landing import kept
+from attestra.sources.snapshots import Table
 
 SIGNIFICANT = 0.02  # fixed value: a smaller gain than two points says nothing
 
 
-def run(evaluated: DataFrame, passes: int, by: str) -> DataFrame:
-    """``evaluated`` findings (by, article_ref, ..) for each of ``passes`` passes, keyed by the article's number: the word "Article" is left out."""
-    number = F.trim(F.replace("article_ref", F.lit("Article"), F.lit("")))
-    return evaluated.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(passes)))).withColumn("article", number).drop("article_ref")
+Evaluate = Callable[[DataFrame], DataFrame]
+
+
+def requests(documents: DataFrame, passes: int, by: str, done: DataFrame | None = None) -> DataFrame:
+    """Every document in every pass (``run``, from 1) that ``done`` (by, run, ..) has nothing of."""
+    wanted = documents.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+    return wanted if done is None else wanted.join(done.select(by, "run").distinct(), [by, "run"], "left_anti")
+
+
+def run(documents: DataFrame, passes: int, evaluate: Evaluate, by: str, done: DataFrame | None = None) -> DataFrame:
+    """Findings of every pass, each evaluated anew, keyed by the article's number: the word "Article" is left out.
+
+    ``evaluate`` takes requests (the documents' columns and run) and gives by,
+    run, article_ref and what it found; the pass is part of what it is asked, so
+    a client's cache of one pass answers no other one (:func:`pass_prompts`).
+    """
+    found = evaluate(requests(documents, passes, by, done))
+    found = found.withColumn("article", F.trim(F.replace("article_ref", F.lit("Article"), F.lit("")))).drop("article_ref")
+    return found if done is None else done.unionByName(found)
+
+
+def resume(table: Table, documents: DataFrame, passes: int, evaluate: Evaluate, by: str, batches: int = 1) -> DataFrame:
+    """The same, kept in a table by (by, run, article): what an earlier run has committed isn't asked again.
+
+    Documents are committed in ``batches``, by a hash; a run that dies loses the
+    batch under way.
+    """
+    for batch in range(batches):
+        part = documents.filter(F.pmod(F.xxhash64(by), F.lit(batches)) == batch)
+        done = table.read() if table.version() is not None else None
+        if not requests(part, passes, by, done).isEmpty():
+            fresh = run(part, passes, evaluate, by, done)
+            table.upsert(fresh if done is None else fresh.join(done.select(by, "run").distinct(), [by, "run"], "left_anti"))
+    return table.read()
+
+
+def pass_prompts(prompts: DataFrame) -> DataFrame:
+    """Prompts (system, user, run) whose system text names the pass, so that equal questions of two passes are two."""
+    return prompts.withColumn("system", F.concat("system", F.lit("\n(pass "), F.col("run").cast("string"), F.lit(")")))
 
 
 def scores(rows: DataFrame, by: str) -> DataFrame:
@@ -37,38 +76,43 @@ def totals(passages: DataFrame, by: str, text: str, section: str, articles: Colu
     return passages.groupBy(by).agg(F.count("*").alias("passages"), F.count_distinct(section).alias("sections"), F.max(articles).cast("long").alias("articles_evaluated"), F.sum(size).alias("tokens"))
 
 
-def rankings(docs: DataFrame, grid: DataFrame, k: int) -> dict[str, DataFrame]:
-    """doc_id, requirement, position, rank of the k best passages by words, by vectors, and by both."""
-    chunks = chunking.chunk_rows(docs, chunking.hard_split(F.col("text")))
-    bodies = plan.bodies(chunks)
-    wide = retrieval.widened(F.lit(k))
-    lexical = retrieval.lexical_topk(bodies, grid, wide).select("doc_id", "requirement", "position", "rank")
-    embed = hashing_embedder()
-    asked = grid.select("requirement", embed(F.lower("query")).alias("_q"))
-    near = chunks.select("doc_id", F.col("chunk_index").alias("position"), embed(F.lower("chunk")).alias("_c"))
-    near = paired(near, asked)
+def rankings(docs: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """retriever, doc_id, requirement, position, rank, hit: the k best passages by words ("lexical"), by vectors ("semantic"), and by both ("fused"), and whether they hold the query's words.
+
+    Both rankings come from one row a document: nothing is shuffled before
+    ranks are, and lists and hits are written once.
+    """
+    embed, wide = hashing_embedder(), retrieval.widened(F.lit(k))
+    pieces = docs.filter(F.length("text") > 0).select("doc_id", chunking.hard_split(F.col("text")).alias("pieces"))
+    bodies = pieces.select("doc_id", F.transform("pieces", T.normalize).alias("bodies"))
+    asked = grid.select("requirement", retrieval.terms(F.col("query")).alias("words"), embed(F.lower("query")).alias("q"))
+    lexical = paired(bodies, asked.drop("q")).select("doc_id", "requirement", F.lit("lexical").alias("by"), F.posexplode(retrieval.best_of(F.col("words"), F.col("bodies"), wide)).alias("n", "b")).select("doc_id", "requirement", "by", (F.col("n") + 1).alias("rank"), "b.position")
+    near = paired(pieces.select("doc_id", F.posexplode("pieces").alias("position", "piece")).select("doc_id", "position", embed(F.lower("piece")).alias("c")), asked.drop("words"))
     order = Window.partitionBy("doc_id", "requirement").orderBy("distance", "position")
-    semantic = near.withColumn("distance", F.round(cosine_distance(F.col("_q"), F.col("_c")), 6)).filter("distance is not null")
-    semantic = semantic.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wide).select("doc_id", "requirement", "position", "rank")
-    key = lambda df: df.select(F.struct("doc_id", "requirement").alias("query_id"), F.col("position").alias("id"), "rank")
-    fused = retrieval.fuse([key(lexical), key(semantic)], k).select("query_id.*", F.col("id").alias("position"), "rank")
-    return {"lexical": lexical.filter(F.col("rank") <= k), "semantic": semantic.filter(F.col("rank") <= k), "fused": fused}
+    semantic = near.withColumn("distance", F.round(cosine_distance(F.col("q"), F.col("c")), 6)).filter("distance is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wide)
+    lists = kept(lexical.unionByName(semantic.select("doc_id", "requirement", F.lit("semantic").alias("by"), "rank", "position")))
+    key = lists.select(F.struct("doc_id", "requirement").alias("query_id"), F.col("position").alias("id"), "rank")
+    fused = retrieval.fuse([key], k).select(F.lit("fused").alias("retriever"), "query_id.*", F.col("id").alias("position"), "rank")
+    each = lists.filter(F.col("rank") <= k).select(F.col("by").alias("retriever"), "doc_id", "requirement", "position", "rank").unionByName(fused)
+    said = paired(bodies, asked.drop("q")).select("doc_id", "requirement", F.posexplode(F.transform("bodies", lambda b: retrieval.lexical_score(F.col("words"), b) >= 1)).alias("position", "hit"))
+    return each.join(said.filter("hit"), ["doc_id", "requirement", "position"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def compared_retrievers(docs: DataFrame, grid: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """retriever, accuracy, precision, recall, f1, gain over the lexical one, significant: the same corpus audited with each.
+    """retriever, accuracy, precision, recall, f1, excluded, gain over the lexical one, significant: the same corpus audited with each.
 
-    An article is compliant if all k passages hold its words.  truth: doc_id, expected.
+    An article is compliant if all k passages hold its words; ``excluded`` is
+    how many articles an audit left out of scope.  truth: doc_id, expected.
     """
-    bodies = plan.bodies(chunking.chunk_rows(docs, chunking.hard_split(F.col("text"))))
+    proven = rankings(docs, grid, k).groupBy("retriever", "doc_id", "requirement").agg(F.count_if("hit").alias("proven"))
+    verdict = F.when(F.col("proven") == k, "compliant").otherwise("breach")
+    rows = kept(truth.join(proven.select("retriever", "doc_id", verdict.alias("obtained")), "doc_id").withColumn("never_exclude", F.lit(False)))
     out = None
-    for name, ranked in rankings(docs, grid, k).items():
-        hits = ranked.join(bodies, ["doc_id", "position"]).join(grid, "requirement")
-        proven = hits.groupBy("doc_id", "requirement").agg(F.count_if(retrieval.lexical_score(retrieval.terms(F.col("query")), F.col("body")) >= 1).alias("proven"))
-        verdict = F.when(F.col("proven") == k, "compliant").otherwise("breach")
-        rows = truth.join(proven.select("doc_id", "requirement", verdict.alias("obtained")), "doc_id").withColumn("never_exclude", F.lit(False))
-        rates = metrics.rates(metrics.counters(rows), 1.0).withColumn("retriever", F.lit(name))
+    for name in ("lexical", "semantic", "fused"):
+        counts = metrics.counters(rows.filter(F.col("retriever") == name))
+        excluded = counts.select((F.col("wrongful_exclusions") + F.col("excluded_breaches")).alias("excluded"))
+        rates = metrics.rates(counts, 1.0).crossJoin(excluded).withColumn("retriever", F.lit(name))
         out = rates if out is None else out.unionByName(rates)
     base = out.filter("retriever = 'lexical'").select(F.col("accuracy").alias("_base"))
     gain = F.round(F.col("accuracy") - F.col("_base"), 4)
-    return out.crossJoin(F.broadcast(base)).select("retriever", "accuracy", "precision", "recall", "f1", gain.alias("gain"), (F.abs(gain) >= SIGNIFICANT).alias("significant"))
+    return out.crossJoin(F.broadcast(base)).select("retriever", "accuracy", "precision", "recall", "f1", "excluded", gain.alias("gain"), (F.abs(gain) >= SIGNIFICANT).alias("significant"))

@@ -26,6 +26,13 @@ def uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back: computed once, however often they are used."""
+    path = f"{shared_dir(rows.sparkSession)}/kept/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def land(rows: DataFrame, files: int = 4, order: str = "ts") -> str:
     """Write ``rows`` as ``files`` Parquet files, ranged by ``order``, to a new folder; its path."""
     path = f"{shared_dir(rows.sparkSession)}/landed/{uuid.uuid4().hex}"
