@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestra.catalog.base import Catalog, documents, table
 from attestra.catalog.work import GRID
 from attestra.functions import text as T
-from attestra.operators import prompts, retrieval, verification
+from attestra.operators import prompts, retrieval, vector_index, verification
 from attestra.operators.tenancy import TenantScope
 from attestra.sources import readers, sinks
 from attestra.sources.landing import shared_dir
@@ -236,3 +236,16 @@ def context_passages(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunking.chunk_rows(documents(spark, sf, "doc_id", "text").filter("length(text) > 0"), chunking.hard_split(F.col("text"))).select("doc_id", F.col("chunk_index").alias("position"))
     found = retrieval.context(chunks.filter("position % 2 = 0"), chunks.filter("position % 3 = 0"))
     return found.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+
+
+@C.add(
+    "knn_tenant_index",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(1 - list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 6) AS distance FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.label = c.label WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM p QUALIFY rank <= 3""",
+)
+def knn_tenant_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours within a label from an index on disk."""
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("tenant"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vector_index.build(rows, _folder(spark, "index"), 64)
+    return vector_index.search(index, rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 3)[0]

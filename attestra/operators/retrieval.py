@@ -147,6 +147,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, on: list[str] | N
     copies = asked.join(many.withColumnRenamed("n_dim", "q_dim"), ["q_dim", *on]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     pairs = copies.join(salted.withColumnRenamed("c_dim", "q_dim"), ["q_dim", *on, "salt"])
     found = pairs.select("q_ids", "q_unit", "c_ids", "c_unit").mapInArrow(_best(k), "query_id long, id long, distance double")
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query among (query_id, id, distance), ties by id."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
