@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.catalog.audit import _LEXICAL, GRID
 from attestra.catalog.base import Catalog, documents, table
-from attestra.catalog.work import GRID
 from attestra.functions import text as T
-from attestra.operators import prompts, retrieval, vector_index, verification
+from attestra.operators import prompts, retrieval, term_index, vector_index, verification
 from attestra.operators.tenancy import TenantScope
+from attestra.plans import document_audit as plan
 from attestra.sources import readers, sinks
 from attestra.sources.landing import shared_dir
 
@@ -249,3 +250,11 @@ def knn_tenant_index(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("label").alias("tenant"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     index = vector_index.build(rows, _folder(spark, "index"), 64)
     return vector_index.search(index, rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 3)[0]
+
+
+@C.add("lexical_indexed", f"WITH {_LEXICAL} SELECT doc_id, requirement, CAST(rank AS INTEGER) AS rank, CAST(position AS INTEGER) AS position, score FROM t WHERE rank <= greatest(5, least(12, 3 + elements)) AND (score > 0 OR best <= 0)")
+def lexical_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of lexical_topk from an index of grams."""
+    bodies = plan.documents(documents(spark, sf, "doc_id", "text")).select("doc_id", F.posexplode("bodies").alias("position", "body"))
+    index = term_index.build(bodies, _folder(spark, "terms"))
+    return term_index.search(index, GRID.df(spark), retrieval.evidence_k(F.col("elements")))[0].select("doc_id", "requirement", "rank", "position", "score")

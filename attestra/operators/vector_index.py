@@ -66,7 +66,7 @@ def build(rows: DataFrame, path: str, dimension: int, cells: int = CELLS) -> Ind
     near = retrieval.nearest(rows.withColumnRenamed("id", "query_id"), chosen.select("tenant", (-F.col("cell") - 1).alias("id"), F.col("centre").alias("vector")), 1, on=["tenant"])
     placed = near.select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("cell"), "distance")
     spark = rows.sparkSession
-    rows.join(placed, "id").repartition("tenant", "cell").write.partitionBy("tenant", "cell").parquet(f"{path}/vectors")
+    rows.join(placed, "id").hint("rebalance", "tenant", "cell").write.partitionBy("tenant", "cell").parquet(f"{path}/vectors")
     kept = spark.read.parquet(f"{path}/vectors").withColumn("tenant", F.col("tenant").cast(rows.schema["tenant"].dataType))
     radii = kept.groupBy("tenant", "cell").agg(F.max(_angle(F.col("distance") + ROUNDING)).alias("radius"), F.count("*").alias("n"))
     chosen.join(radii, ["tenant", "cell"]).write.parquet(f"{path}/cells")

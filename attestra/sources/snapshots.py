@@ -123,7 +123,7 @@ class Table:
         if entry and not whole:
             made = made.select(*StructType.fromJson(entry["schema"]).fieldNames())
         folder = uuid.uuid4().hex
-        self._dealt(made).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        self._dealt(made).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         written = {f.getPath().getName().split("=")[1] for f in self._files.listStatus(self._at("data", folder)) if "=" in f.getPath().getName()}
         kept = {} if touched is None else {b: f for b, f in entry["parts"].items() if b not in touched}
         # a log without end of tokens would grow with the table's age: the newest thousand are remembered
