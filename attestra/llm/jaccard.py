@@ -44,7 +44,7 @@ FLUSH = 1 << 19
 #: Nodes, and bytes of their texts, in a block of a tile.
 BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 LED = 256
-KEYS_A_PARTITION = 1 << 21
+KEYS_A_PARTITION = 1 << 19
 #: A shingle in so many sets of one task's share is common; of these the most frequent are known everywhere.
 OFTEN, COMMON = 3, 200_000
 _LIMITS = [1]
