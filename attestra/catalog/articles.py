@@ -26,7 +26,8 @@ def known(spark: SparkSession, sf: str) -> DataFrame:
     words = common.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), lambda x: x["w"]).alias("words"))
     piece = lambda start, size: F.array_join(F.slice("words", start + 1, F.lit(size)), " ")
     numbered = grid.ELEMENT_ROWS.df(spark).join(grid.ARTICLES.df(spark).select("article", "ordering"), "article").crossJoin(words)
-    before = {a: sum(1 for r in grid.ELEMENT_ROWS.rows if order[r[0]] < order[a]) for order in [{r[1]: r[0] for r in grid.ARTICLES.rows}] for a in order}
+    order = {article: ordering for ordering, article, *_ in grid.ARTICLES.rows}
+    before = {article: sum(order[r[0]] < order[article] for r in grid.ELEMENT_ROWS.rows) for article in order}
     offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     e = (F.element_at(offset, F.col("article")) + F.col("position")) * EACH
     elements = numbered.select("article", "element", piece(e, 4).alias("title"), F.array(piece(e + 4, 2), piece(e + 6, 2)).alias("hints"))

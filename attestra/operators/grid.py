@@ -16,27 +16,27 @@ ARTICLES = Literal(
         (13, "32", 5, True), (14, "33", 4, True), (15, "34", 2, True), (16, "35", 4, True), (17, "37", 3, False), (18, "44-49", 5, True),
     ),
 )
-# The elements that prove each article; those with a question mark aren't blocking.
-ELEMENTS = {
-    "5": "finalites minimisation? duree_conservation exactitude?",
-    "6": "base_identifiee adequation? interet_legitime_balance?",
-    "7": "preuve_consentement retrait libre_specifique?",
-    "9": "fondement_derogatoire garanties_renforcees",
-    "12": "canal_exercice delai_reponse procedure_interne gratuite? verification_identite?",
-    "13": "identite_responsable coordonnees_dpo? finalites_et_base destinataires duree_conservation liste_droits droit_reclamation transferts_hors_ue?",
-    "14": "source_donnees categories_donnees delai_information mentions_communes",
-    "15-22": "acces_portabilite effacement opposition tracabilite_demandes?",
-    "22": "fondement_autorise intervention_humaine logique_sous_jacente",
-    "25": "by_design by_default",
-    "28": "contrat_ecrit mentions_obligatoires sous_traitance_ulterieure? liste_sous_traitants?",
-    "30": "existence_support liste_traitements mentions_par_traitement mesures_securite? mise_a_jour",
-    "32": "controle_acces chiffrement sauvegardes tracabilite revue_securite?",
-    "33": "procedure_ecrite delai_72h destinataire_cnil registre_violations role_responsable?",
-    "34": "critere_risque_eleve modalite_communication",
-    "35": "aipd_realisee contenu_aipd avis_dpo?",
-    "37": "designation coordonnees_publiees independance_moyens?",
-    "44-49": "identification_transferts outil_transfert mesures_supplementaires?",
-}
+# The elements that prove each article, and whether they are blocking.
+ELEMENTS = (
+    ("5", "finalites", True), ("5", "minimisation", False), ("5", "duree_conservation", True), ("5", "exactitude", False),
+    ("6", "base_identifiee", True), ("6", "adequation", False), ("6", "interet_legitime_balance", False),
+    ("7", "preuve_consentement", True), ("7", "retrait", True), ("7", "libre_specifique", False),
+    ("9", "fondement_derogatoire", True), ("9", "garanties_renforcees", True),
+    ("12", "canal_exercice", True), ("12", "delai_reponse", True), ("12", "procedure_interne", True), ("12", "gratuite", False), ("12", "verification_identite", False),
+    ("13", "identite_responsable", True), ("13", "coordonnees_dpo", False), ("13", "finalites_et_base", True), ("13", "destinataires", True), ("13", "duree_conservation", True), ("13", "liste_droits", True), ("13", "droit_reclamation", True), ("13", "transferts_hors_ue", False),
+    ("14", "source_donnees", True), ("14", "categories_donnees", True), ("14", "delai_information", True), ("14", "mentions_communes", True),
+    ("15-22", "acces_portabilite", True), ("15-22", "effacement", True), ("15-22", "opposition", True), ("15-22", "tracabilite_demandes", False),
+    ("22", "fondement_autorise", True), ("22", "intervention_humaine", True), ("22", "logique_sous_jacente", True),
+    ("25", "by_design", True), ("25", "by_default", True),
+    ("28", "contrat_ecrit", True), ("28", "mentions_obligatoires", True), ("28", "sous_traitance_ulterieure", False), ("28", "liste_sous_traitants", False),
+    ("30", "existence_support", True), ("30", "liste_traitements", True), ("30", "mentions_par_traitement", True), ("30", "mesures_securite", False), ("30", "mise_a_jour", True),
+    ("32", "controle_acces", True), ("32", "chiffrement", True), ("32", "sauvegardes", True), ("32", "tracabilite", True), ("32", "revue_securite", False),
+    ("33", "procedure_ecrite", True), ("33", "delai_72h", True), ("33", "destinataire_cnil", True), ("33", "registre_violations", True), ("33", "role_responsable", False),
+    ("34", "critere_risque_eleve", True), ("34", "modalite_communication", True),
+    ("35", "aipd_realisee", True), ("35", "contenu_aipd", True), ("35", "avis_dpo", False),
+    ("37", "designation", True), ("37", "coordonnees_publiees", True), ("37", "independance_moyens", False),
+    ("44-49", "identification_transferts", True), ("44-49", "outil_transfert", True), ("44-49", "mesures_supplementaires", False),
+)
 # Exemptions by article: references, what they do, and whether they can be judged before an incident.
 EXEMPTIONS = {
     "9": ([f"9(2)({x})" for x in "abcdefghij"], "compliant", True),
@@ -45,7 +45,10 @@ EXEMPTIONS = {
     "34": ([f"34(3)({x})" for x in "abc"], "out_of_scope", False),
 }
 
-ELEMENT_ROWS = Literal("article VARCHAR, position INTEGER, element VARCHAR, blocking BOOLEAN", tuple((a, i, e.rstrip("?"), not e.endswith("?")) for a, es in ELEMENTS.items() for i, e in enumerate(es.split())))
+ELEMENT_ROWS = Literal(
+    "article VARCHAR, position INTEGER, element VARCHAR, blocking BOOLEAN",
+    tuple((article, sum(x[0] == article for x in ELEMENTS[:i]), element, blocking) for i, (article, element, blocking) in enumerate(ELEMENTS)),
+)
 EXEMPTION_ROWS = Literal("article VARCHAR, reference VARCHAR, effect VARCHAR, ex_ante BOOLEAN", tuple((a, r, effect, ex_ante) for a, (refs, effect, ex_ante) in EXEMPTIONS.items() for r in refs))
 
 
