@@ -44,7 +44,8 @@ FLUSH = 1 << 19
 #: Nodes, and bytes of their texts, in a block of a tile.
 BLOCK_NODES, BLOCK_BYTES = 512, 16 << 20
 LED = 256
-KEYS_A_PARTITION = 1 << 19
+#: Keys of a partition; and partitions at least, so that the keys of a set are packed alike in small tables and large ones.
+KEYS_A_PARTITION, LEAST_PARTITIONS = 1 << 19, 128
 #: A shingle in so many sets of one task's share is common; of these the most frequent are known everywhere.
 OFTEN, COMMON = 3, 200_000
 _LIMITS = [1]
@@ -306,7 +307,7 @@ def _partitions(rows: DataFrame, percent: int) -> int:
     """How many partitions the keys of these rows are dealt to: by their number, estimated from the sets' sizes."""
     shingles = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
     keys = shingles * 5 * (100 - percent) // (100 + percent)  # two tiles a set at most, parts and spares in each
-    return max(shuffle_partitions(rows.sparkSession), -(-keys // KEYS_A_PARTITION))
+    return max(shuffle_partitions(rows.sparkSession), LEAST_PARTITIONS, -(-keys // KEYS_A_PARTITION))
 
 
 def _leaders(members: DataFrame) -> DataFrame:
