@@ -81,6 +81,22 @@ def score_gap(score: Column, low: Column, high: Column) -> Column:
     return F.when(score.isNull(), 100.0).when(score.between(low, high), 0.0).otherwise(F.least(F.abs(score - low), F.abs(score - high)))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half away from zero as SQL engines do, on the scaled number: 12.249999999999998 is 122.5 tenths, thus 12.3; ``F.round`` goes by its decimal digits."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
+def totalled(rows: DataFrame, by: list[str], value: Column, order: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` so far, the group's rows added in their order.
+
+    Sums of doubles end in digits that the order of adding decides, and a score
+    that is just between two roundings goes by them.  The last row's sum
+    (``max_by`` of ``order``) is the same however the table is split.
+    """
+    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.sum(value).over(so_far))
+
+
 def reproducibility(scores: DataFrame, verdicts: DataFrame, by: str) -> DataFrame:
     """By document over runs: population deviation and range of scores, unstable articles, stability."""
     spread = scores.groupBy(by).agg(F.count("*").alias("runs"), F.round(F.stddev_pop("score"), 3).alias("deviation"), F.round(F.max("score") - F.min("score"), 3).alias("range"))
