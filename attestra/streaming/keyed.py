@@ -2,24 +2,26 @@
 
 Events wait until the watermark is past them, then count in the order of their
 times and numbers, whatever batches they came in; what is later than that is
-dropped.  A timer wakes a key for its next waiting event, and once more when
-``forget`` has passed since its last one: then its state goes.
+dropped.  A key has one timer: for its first waiting event, when all that the
+watermark has passed count in one go, or, if none waits, for when ``forget`` has
+passed since its last one: then its state goes.  A key's state comes and goes
+with its rows, so that it costs one call a batch, however many events it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
-#: What state stores that have timers need.
+#: State that needn't fit in memory.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_WAITING = "last long, ts array<long>, event_id array<long>, what array<string>"
 
 
-class InOrder(StatefulProcessor):
+class InOrder:
     """Events of a key one after the other; what follows from each is up to :meth:`step`.
 
     An event is (ts in microseconds, event_id, what).  ``memory`` is what a key
@@ -33,56 +35,34 @@ class InOrder(StatefulProcessor):
     def __init__(self, by: str, forget_ms: int):
         self.by, self.forget = by, forget_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, event_id long, what string")
-        self.memory = handle.getValueState("memory", self.shape)
-        self.last = handle.getValueState("last", "ts long")
-
     def step(self, memory: tuple, event: tuple) -> tuple[tuple, tuple | None]:
         """What the key remembers after an event, and the row that follows from it, if one does."""
         raise NotImplementedError
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, ids, whats, *memory = state.get if state.exists else (None, [], [], [], *self.start)
+        events, mark = list(zip(at, ids, whats, strict=True)), state.getCurrentWatermarkMs()
+        forgotten = lambda: last is not None and mark >= last // 1000 + self.forget
+        if not events and forgotten():
+            last, memory = None, self.start
+        for batch in batches:
             at = batch["ts"].astype("datetime64[us]").astype("int64")
-            fresh = [e for e in zip(at.tolist(), batch["event_id"].tolist(), batch["what"].tolist(), strict=True) if e[0] // 1000 >= mark]
-            if fresh:
-                self.waiting.appendList(fresh)
-                for moment in {e[0] // 1000 + 1 for e in fresh}:
-                    self.handle.registerTimer(moment)
-        yield self._rows(key, [])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = expiredTimerInfo.getExpiryTimeInMs()
-        events = sorted(tuple(e) for e in self.waiting.get()) if self.waiting.exists() else []
+            events += [e for e in zip(at.tolist(), batch["event_id"].tolist(), batch["what"].tolist(), strict=True) if e[0] // 1000 >= mark]
+        events.sort()
         ready = [e for e in events if e[0] // 1000 < mark]
-        found = []
-        if ready:
-            memory = tuple(self.memory.get()) if self.memory.exists() else self.start
-            for event in ready:
-                memory, row = self.step(memory, event)
-                if row is not None:
-                    found.append(row)
-            self.memory.update(memory)
-            self.last.update((ready[-1][0],))
-            self.handle.registerTimer(ready[-1][0] // 1000 + self.forget)
-            if len(ready) < len(events):
-                self.waiting.put(events[len(ready) :])
-            else:
-                self.waiting.clear()
-        elif not events and self.last.exists() and mark >= self.last.get()[0] // 1000 + self.forget:
-            self.memory.clear()
-            self.last.clear()
-        yield self._rows(key, found)
-
-    def _rows(self, key: Any, found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *row) for row in found], columns=[self.by, *self.output])
-        return out.astype({self.by: "int64"} if not found else {})
-
-    def close(self) -> None:
-        pass
+        events, found = events[len(ready) :], []
+        for event in ready:
+            memory, row = self.step(tuple(memory), event)
+            last = event[0]
+            if row is not None:
+                found.append(row)
+        if events or last is not None and not forgotten():
+            state.update((last, *([e[i] for e in events] for i in range(3)), *memory))
+            state.setTimeoutTimestamp(max(events[0][0] // 1000 if events else last // 1000 + self.forget, mark) + 1)
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame([(key[0], *row) for row in found], columns=[self.by, *self.output])
 
 
 class TokenFamilies(InOrder):
@@ -121,7 +101,7 @@ def _started(events: DataFrame, processor: InOrder, output: str, late: str) -> D
     """events: the key (long), ts, event_id, what."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = events.select(processor.by, "ts", "event_id", "what").withWatermark("ts", late)
-    return timed.groupBy(processor.by).transformWithStateInPandas(processor, f"{processor.by} long, {output}", "Append", "EventTime")
+    return timed.groupBy(processor.by).applyInPandasWithState(processor.__call__, f"{processor.by} long, {output}", f"{_WAITING}, {processor.shape}", "append", "EventTimeTimeout")
 
 
 def token_families(events: DataFrame, by: str = "family", late: str = "10 minutes", forget_ms: int = 30 * 86_400_000) -> DataFrame:

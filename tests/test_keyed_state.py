@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from attestra.streaming import keyed, limits
 
@@ -50,3 +51,36 @@ def test_an_audit_has_a_budget(spark, tmp_path):
     rows = [(1, at(0), 1, "failed"), (1, at(1), 2, "failed"), (1, at(2), 3, "failed"), (1, at(3), 4, "answered"), (2, at(0), 5, "failed"), (2, at(100), 6, "answered"), (2, at(240), 7, "failed"), (2, at(241), 8, "answered")]
     found = {r.event_id: (r.asked, r.reason) for r in limits.drain(keyed.audit_budget(landed(spark, tmp_path, [rows[::2], rows[1::2]]), "key", "1 day")).collect()}
     assert [found[i] for i in range(1, 9)] == [(True, None)] * 3 + [(False, "breaker open")] + [(True, None)] * 3 + [(False, "deadline")]
+
+
+class OneState:
+    """A key's state, as it is handed to a processor; counts what is asked of it."""
+
+    def __init__(self):
+        self.get, self.exists, self.mark, self.calls = None, False, 0, []
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+        self.calls.append("update")
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+        self.calls.append("timer")
+
+    def remove(self):
+        self.get, self.exists = None, False
+        self.calls.append("remove")
+
+
+def test_a_batch_costs_one_call_however_many_events():
+    processor, state = keyed.TokenFamilies("key", forget_ms=10_000_000), OneState()
+    rows = pd.DataFrame({"ts": pd.to_datetime(range(1000, 6000), unit="s"), "event_id": range(5000), "what": [str(i % 4999) for i in range(5000)]})
+    assert list(processor((7,), iter([rows.sample(frac=1.0, random_state=1)]), state)) == []
+    state.mark = 6_500_000
+    (found,) = processor((7,), iter([]), state)
+    assert found["event_id"].tolist() == list(range(5000)) and found["replay"].sum() == 1 and state.calls == ["update", "timer"] * 2
+    state.mark = 5_999_000 + 10_000_000
+    assert list(processor((7,), iter([]), state)) == [] and state.calls[4:] == ["remove"]
