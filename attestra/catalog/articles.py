@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.catalog.audit import INVENTED
-from attestra.catalog.base import Catalog, documents, table
+from attestra.catalog.base import Catalog, documents
 from attestra.catalog.text import NORMAL
 from attestra.functions import text as T
 from attestra.operators import grid
@@ -21,8 +21,10 @@ _N_ELEMENTS = len(grid.ELEMENT_ROWS.rows)
 
 def known(spark: SparkSession, sf: str) -> DataFrame:
     """The grid with texts made of the documents' most common long words: eight an element, two a title, two a condition."""
-    normal = table(spark, sf, "documents").filter("length(text) > 0").select(F.explode(F.array_distinct(F.split(T.normalize(F.col("text")), " "))).alias("w"))
-    common = normal.filter(F.col("w").rlike("^[a-z]{6,}$")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(WORDS)
+    # long words are cut out at once: neither all words nor a test of each
+    long = F.regexp_extract_all(T.normalize(F.col("text")), F.lit("(?<![^ ])[a-z]{6,}+(?![^ ])"), F.lit(0))
+    words = documents(spark, sf, "doc_id", "text").filter("length(text) > 0").select(F.explode(F.array_distinct(long)).alias("w"))
+    common = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(WORDS)
     words = common.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), lambda x: x["w"]).alias("words"))
     piece = lambda start, size: F.array_join(F.slice("words", start + 1, F.lit(size)), " ")
     numbered = grid.ELEMENT_ROWS.df(spark).join(grid.ARTICLES.df(spark).select("article", "ordering"), "article").crossJoin(words)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from attestra.functions import text as T
-from attestra.operators.catalogue import paired
+from attestra.operators.catalogue import held, paired
 
 RRF = 60  # fixed value of reciprocal rank fusion
 #: Vectors in a block of queries and of candidates, and candidate blocks that one copy of the queries meets.
@@ -65,13 +69,103 @@ def best_of(words: Column, bodies: Column, k: Column) -> Column:
     return F.get(kept, 0)
 
 
+#: Words whose terms a Python worker remembers, and how long they may be.
+KNOWN_WORDS, KNOWN_LENGTH = 1 << 17, 64
+
+
+@lru_cache(1 << 16)
+def _damped(hits: int, length: int) -> float:
+    """The score of :func:`lexical_score`, rounded as Spark's round does: halves of the shortest decimal go up."""
+    return float(Decimal(repr(hits / (1 + length / 800))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def term_hits(queries: list[list[str]]) -> Callable[[str], dict[int, int]]:
+    """A function of a body: how often the terms of each query occur in it, queries without any left out.
+
+    Terms hold no space, so an occurrence lies within a word of the body, and
+    what a word holds is looked up once: by its stretches of the terms' lengths.
+    """
+    asked: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for q, words in enumerate(queries):
+        for term, times in Counter(words).items():
+            asked[term].append((q, times))
+    lengths = sorted({len(t) for t in asked})
+    known: dict[str, tuple] = {}
+
+    def of_word(word: str) -> tuple:
+        n = len(word)
+        terms = {word[i : i + size] for size in lengths if size <= n for i in range(n - size + 1)} & asked.keys()
+        return tuple((q, times * word.count(t)) for t in terms for q, times in asked[t])
+
+    def of_body(body: str) -> dict[int, int]:
+        hits: dict[int, int] = {}
+        for word in body.split(" "):
+            found = known.get(word)
+            if found is None:
+                found = of_word(word)
+                if len(word) <= KNOWN_LENGTH:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    known[word] = found
+            for q, n in found:
+                hits[q] = hits.get(q, 0) + n
+        return hits
+
+    return of_body
+
+
+def _ranker(queries: list[list[str]], most: list[int]):
+    def rank(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of_body = term_hits(queries)
+        for batch in batches:
+            positions, scores, lists, rows = [], [], [0], [0]
+            for bodies in (x.as_py() for x in batch):  # one document at a time
+                if bodies is not None:
+                    found: list[list[tuple[float, int]]] = [[] for _ in queries]
+                    for at, body in enumerate(bodies):
+                        for q, n in of_body(body or "").items():
+                            score = _damped(n, len(body))
+                            if score > 0:
+                                found[q].append((-score, at))
+                    for own, k in zip(found, most, strict=True):
+                        own.sort()
+                        best = own[: max(k, 0)] if own else [(-0.0, at) for at in range(min(max(k, 0), len(bodies)))]
+                        positions.extend(at for _, at in best)
+                        scores.extend(0.0 - less for less, _ in best)
+                        lists.append(len(positions))
+                rows.append(len(lists) - 1)
+            each = pa.StructArray.from_arrays([pa.array(positions, pa.int32()), pa.array(scores, pa.float64())], ["position", "score"])
+            inner = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), each)
+            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), inner)
+
+    return rank
+
+
+def ranked_bodies(documents: DataFrame, bodies: str, asked: DataFrame, queries: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Every document with every row of ``asked`` (a catalogue), and for each name of ``queries`` ({name: (words, k)}) the result of :func:`best_of`.
+
+    The catalogue's words are looked for in one go over a document's bodies, so
+    that the work is that of reading them, however many words are asked for;
+    only a catalogue that is too large to be sent is ranked pair by pair.
+    """
+    asked, rows = held(asked.withColumns({f"_k_{name}": k.cast("int") for name, (_, k) in queries.items()}))
+    if rows is None:
+        found = paired(documents, asked)
+        return found.withColumns({name: best_of(F.col(words), F.col(bodies), F.col(f"_k_{name}")) for name, (words, _) in queries.items()}).drop(*[f"_k_{name}" for name in queries])
+    words, most = [list(r[w] or ()) for w, _ in queries.values() for r in rows], [r[f"_k_{name}"] or 0 for name in queries for r in rows]
+    rank = F.arrow_udf(_ranker(words, most), "array<array<struct<position:int,score:double>>>")
+    numbered = asked.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], StructType([*asked.schema.fields, StructField("_n", IntegerType())]))
+    found = paired(documents.withColumn("_ranked", rank.asNondeterministic()(F.col(bodies))), numbered)  # neither repeated nor moved
+    return found.withColumns({name: F.get("_ranked", F.col("_n") + i * len(rows)) for i, name in enumerate(queries)}).drop("_ranked", "_n", *[f"_k_{name}" for name in queries])
+
+
 def lexical_best(documents: DataFrame, requirements: DataFrame, k: Column, by: str = "doc_id") -> DataFrame:
     """The rows of :func:`lexical_topk` for documents (by, bodies: an array) that hold their passages themselves.
 
     requirements: a catalogue of a few dozen rows (requirement, query, ..).
     """
     asked = requirements.withColumn("words", terms(F.col("query")))
-    rows = paired(documents.select(by, "bodies"), asked).withColumn("_best", best_of(F.col("words"), F.col("bodies"), k)).drop("words", "bodies")
+    rows = ranked_bodies(documents.select(by, "bodies"), "bodies", asked, {"_best": ("words", k)}).drop("words", "bodies")
     return rows.select("*", F.posexplode("_best").alias("_n", "_b")).select(*[c for c in rows.columns if c != "_best"], (F.col("_n") + 1).alias("rank"), "_b.position", "_b.score")
 
 

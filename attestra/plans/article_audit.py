@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 from attestra.operators import chunking, grid, prompts, retrieval, scoring, verdicts
 from attestra.operators import verification as Q
-from attestra.operators.catalogue import paired
 from attestra.sources import readers
 
 PASSAGES = 5  # fixed value: passages of a question, evidence_k may ask for more
@@ -59,9 +58,8 @@ def contexts(documents: DataFrame, known: DataFrame, by: str = "doc_id") -> Data
     ``context`` is ``consulted`` and then what only the condition finds.
     """
     normal = documents.select(by, "text", T.normalize(F.col("text")).alias("normal"), "passages", F.transform("passages", lambda p: T.normalize(p["text"])).alias("bodies"), F.transform("passages", lambda p: _sentences(_shown(p))).alias("sentences"))
-    rows = paired(normal, _asked(known))
-    place = lambda words, k: F.transform(retrieval.best_of(F.col(words), F.col("bodies"), k), lambda x: x["position"])
-    rows = rows.withColumns({"consulted": place("_evidence", F.col("_k")), "_more": place("_condition", F.lit(PASSAGES))})
+    rows = retrieval.ranked_bodies(normal, "bodies", _asked(known), {"consulted": ("_evidence", F.col("_k")), "_more": ("_condition", F.lit(PASSAGES))})
+    rows = rows.withColumns({c: F.col(f"{c}.position") for c in ("consulted", "_more")})
     return rows.withColumn("context", F.concat("consulted", F.array_except("_more", "consulted"))).drop("_evidence", "_condition", "_k", "_more", "bodies")
 
 
@@ -89,9 +87,13 @@ def offline(question: str, rows: DataFrame, wanted: Column) -> DataFrame:
 
     def best(title: Column, sentences: Column) -> Column:
         words = F.array_distinct(F.filter(F.split(T.normalize(title), " "), lambda w: F.length(w) > 5))
-        shared = F.transform(sentences, lambda x, i: F.struct(F.size(F.array_intersect(words, x["own"])).alias("n"), (-i).alias("first"), x["s"].alias("s")))
-        top = F.array_max(F.filter(shared, lambda x: x["n"] >= 2))
-        return F.when(F.size(words) >= 2, top["s"])
+
+        def of(words: Column) -> Column:
+            shared = F.transform(sentences, lambda x, i: F.struct(F.size(F.array_intersect(words, x["own"])).alias("n"), (-i).alias("first"), x["s"].alias("s")))
+            top = F.array_max(F.filter(shared, lambda x: x["n"] >= 2))
+            return F.when(F.size(words) >= 2, top["s"])
+
+        return F.transform(F.array(words), of)[0]  # bound to a name, so that a title is cut once, not at every sentence
 
     def answer(e: Column, sentences: Column) -> Column:
         return F.transform(F.array(best(e["title"], sentences)), lambda s: F.struct(e["element"].alias("element"), s.isNotNull().alias("claimed"), F.filter(F.array(s), lambda x: x.isNotNull()).alias("quotes")))[0]
