@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.functions.vectors import cosine_distance, hashing_embedder
+from attestra.functions.vectors import hashing_embedder, nearest_texts
 from attestra.operators import chunking, metrics, retrieval, scoring
-from attestra.operators.catalogue import paired
+from attestra.operators.catalogue import held
 from attestra.sources.landing import kept
 from attestra.sources.snapshots import Table
 
@@ -77,25 +78,26 @@ def totals(passages: DataFrame, by: str, text: str, section: str, articles: Colu
 
 
 def rankings(docs: DataFrame, grid: DataFrame, k: int) -> DataFrame:
-    """retriever, doc_id, requirement, position, rank, hit: the k best passages by words ("lexical"), by vectors ("semantic"), and by both ("fused"), and whether they hold the query's words.
+    """retriever, doc_id, requirement, best: the k best passages (position, hit) by words ("lexical"), by vectors ("semantic"), and by both ("fused"); hit: whether a passage holds the query's words.
 
-    Both rankings come from one row a document: nothing is shuffled before
-    ranks are, and lists and hits are written once.
+    A document stays in its row: nothing is shuffled, and all queries of the
+    grid (a catalogue) are asked in one go.
     """
-    embed, wide = hashing_embedder(), retrieval.widened(F.lit(k))
+    wide = max(2 * k, 10)  # retrieval.widened
+    asked, rows = held(grid.select("requirement", retrieval.terms(F.col("query")).alias("words"), hashing_embedder()(F.lower("query")).alias("q")))
+    if rows is None:
+        raise ValueError("too many requirements for a catalogue that every document is asked about")
+    vectors, place = [np.array(r.q, np.float32) for r in rows], F.create_map(*[F.lit(x) for i, r in enumerate(rows) for x in (r.requirement, i)])
     pieces = docs.filter(F.length("text") > 0).select("doc_id", chunking.hard_split(F.col("text")).alias("pieces"))
-    bodies = pieces.select("doc_id", F.transform("pieces", T.normalize).alias("bodies"))
-    asked = grid.select("requirement", retrieval.terms(F.col("query")).alias("words"), embed(F.lower("query")).alias("q"))
-    lexical = paired(bodies, asked.drop("q")).select("doc_id", "requirement", F.lit("lexical").alias("by"), F.posexplode(retrieval.best_of(F.col("words"), F.col("bodies"), wide)).alias("n", "b")).select("doc_id", "requirement", "by", (F.col("n") + 1).alias("rank"), "b.position")
-    near = paired(pieces.select("doc_id", F.posexplode("pieces").alias("position", "piece")).select("doc_id", "position", embed(F.lower("piece")).alias("c")), asked.drop("words"))
-    order = Window.partitionBy("doc_id", "requirement").orderBy("distance", "position")
-    semantic = near.withColumn("distance", F.round(cosine_distance(F.col("q"), F.col("c")), 6)).filter("distance is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wide)
-    lists = kept(lexical.unionByName(semantic.select("doc_id", "requirement", F.lit("semantic").alias("by"), "rank", "position")))
-    key = lists.select(F.struct("doc_id", "requirement").alias("query_id"), F.col("position").alias("id"), "rank")
-    fused = retrieval.fuse([key], k).select(F.lit("fused").alias("retriever"), "query_id.*", F.col("id").alias("position"), "rank")
-    each = lists.filter(F.col("rank") <= k).select(F.col("by").alias("retriever"), "doc_id", "requirement", "position", "rank").unionByName(fused)
-    said = paired(bodies, asked.drop("q")).select("doc_id", "requirement", F.posexplode(F.transform("bodies", lambda b: retrieval.lexical_score(F.col("words"), b) >= 1)).alias("position", "hit"))
-    return each.join(said.filter("hit"), ["doc_id", "requirement", "position"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    texts = pieces.select("doc_id", F.transform("pieces", T.normalize).alias("bodies"), nearest_texts(vectors, wide)(F.transform("pieces", F.lower)).alias("_near"))
+    found = retrieval.ranked_bodies(texts, "bodies", asked.drop("q"), {"_scored": ("words", F.lit((1 << 31) - 1))})
+    found = found.select("doc_id", "requirement", F.slice("_scored.position", 1, wide).alias("lexical"), F.get("_near", F.element_at(place, F.col("requirement"))).alias("semantic"), F.transform(F.filter("_scored", lambda x: x["score"] >= 1), lambda x: x["position"]).alias("hits"))
+    share = lambda places, x: F.when(F.array_contains(places, x), 1.0 / (retrieval.RRF + F.array_position(places, x))).otherwise(0.0)
+    every = F.array_distinct(F.concat("lexical", "semantic"))
+    fused = F.array_sort(F.transform(every, lambda x: F.struct((-F.round(share(F.col("lexical"), x) + share(F.col("semantic"), x), 6)).alias("less"), x.alias("position"))))["position"]
+    lists = F.array(*[F.struct(F.lit(name).alias("retriever"), F.slice(places, 1, k).alias("places")) for name, places in (("lexical", F.col("lexical")), ("semantic", F.col("semantic")), ("fused", fused))])
+    each = found.select("doc_id", "requirement", "hits", F.inline(lists)).filter(F.size("places") > 0)
+    return each.select("retriever", "doc_id", "requirement", F.transform("places", lambda x: F.struct(x.alias("position"), F.array_contains("hits", x).alias("hit"))).alias("best"))
 
 
 def compared_retrievers(docs: DataFrame, grid: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -104,7 +106,7 @@ def compared_retrievers(docs: DataFrame, grid: DataFrame, truth: DataFrame, k: i
     An article is compliant if all k passages hold its words; ``excluded`` is
     how many articles an audit left out of scope.  truth: doc_id, expected.
     """
-    proven = rankings(docs, grid, k).groupBy("retriever", "doc_id", "requirement").agg(F.count_if("hit").alias("proven"))
+    proven = rankings(docs, grid, k).withColumn("proven", F.size(F.filter("best", lambda x: x["hit"])))
     verdict = F.when(F.col("proven") == k, "compliant").otherwise("breach")
     rows = kept(truth.join(proven.select("retriever", "doc_id", verdict.alias("obtained")), "doc_id").withColumn("never_exclude", F.lit(False)))
     out = None
