@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled by one numpy call; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 19
+#: Bytes that a task gathers before it writes them to a scratch table; bounds an executor's heap.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the scratch folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/attestra/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,9 +21,11 @@ def _row(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart clearly; a missing language is filled in."""
-    found = langid.identify(_row(docs), langid.dictionaries(docs, langid.is_training(5))).filter(~F.col("rejected"))
+    # text once: rows wait for the Python workers in memory
+    rest = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+    found = langid.identify(rest, langid.dictionaries(docs, langid.is_training(5))).filter(~F.col("rejected"))
     known = F.coalesce(F.col("_row.lang"), F.col("lang_pred"))
-    return found.select(*[(known if c == "lang" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[(known if c == "lang" else F.col("text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
