@@ -41,6 +41,14 @@ class Model:
     def weights(self) -> list[np.ndarray]:
         return [self.e, self.f, self.p, self.q, self.k, self.v, self.o, self.u, self.b]
 
+    def plus(self, moved: np.ndarray, f: np.ndarray) -> Model:
+        """This model moved by what :meth:`Pass.moved` gives."""
+        out, at = [], 0
+        for i, w in enumerate(self.weights()):
+            out.append(w + f if i == 1 else w + moved[at : at + w.size].reshape(w.shape))
+            at += 0 if i == 1 else w.size
+        return Model(*[x.astype(np.float32) for x in out])
+
 
 #: place S + j may look at places up to itself
 MASK = np.where(np.arange(2 * SPAN)[None, :] <= SPAN + np.arange(SPAN)[:, None], np.float32(0), _FAR)
@@ -55,7 +63,7 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start + nth * SPAN, start
 
 
-def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """start, start + 1, .. of every range, one after the other."""
     return np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
 
@@ -68,11 +76,16 @@ def word_vectors(f: np.ndarray, pieces: np.ndarray, lens: np.ndarray) -> np.ndar
     return out
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix product of each matrix of ``a`` with ``b``, as one product."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+
 def _forward(m: Model, x: np.ndarray, read: np.ndarray, first: np.ndarray):
     """x, read: windows x 2 SPAN symbols, and what their subword ids add; first: windows without anything in their first half."""
     h = m.e[x] + read + m.p
     tail = h[:, SPAN:]
-    q, k, v = (tail @ m.q) * np.float32(1 / np.sqrt(WIDTH)), h @ m.k, h @ m.v
+    q, k, v = _times(tail, m.q * np.float32(1 / np.sqrt(WIDTH))), _times(h, m.k), _times(h, m.v)
     s = np.matmul(q, k.transpose(0, 2, 1))
     s += MASK
     if first.any():
@@ -81,8 +94,10 @@ def _forward(m: Model, x: np.ndarray, read: np.ndarray, first: np.ndarray):
     a = np.exp(s, out=s)
     a /= a.sum(2, keepdims=True)
     c = np.matmul(a, v)
-    y = tail + c @ m.o
-    return h, q, k, v, a, c, y, y @ m.u + m.b
+    y = tail + _times(c, m.o)
+    logits = _times(y, m.u)
+    logits += m.b
+    return h, q, k, v, a, c, y, logits
 
 
 def _before(values: np.ndarray | None, n: int, starts: np.ndarray, none: int) -> np.ndarray:
@@ -148,47 +163,95 @@ def train(
     m.b[:] = np.log((np.bincount(stream, minlength=classes + 1) + 1.0) / (len(stream) + classes + 1))
     at, start = windows(offsets)
     end = np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))
-    first_moment, second = [np.zeros_like(w) for w in m.weights()], [np.zeros_like(w) for w in m.weights()]
-    scale = np.float32(1 / np.sqrt(WIDTH))
+    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in m.weights()]
     for step in range(1, steps + 1):
         pick = r.integers(0, len(at), batch)
-        w = at[pick]
-        seen = np.clip(w[:, None] + np.arange(-SPAN, SPAN), 0, len(stream) - 1)
-        x = inputs[seen]
-        own, place = np.unique(known[seen], return_inverse=True)
-        own, place = own[own < len(lens)], place.reshape(seen.shape)  # no word is the last number
-        at_piece = pieces[_ranges(begins[own], lens[own])]
-        h, q, k, v, a, c, y, logits = _forward(m, x, word_vectors(m.f, at_piece, lens[own])[place], w == start[pick])
-        scored = w[:, None] + np.arange(SPAN)
-        inside = (scored < end[pick, None]).astype(np.float32)
-        target = stream[np.minimum(scored, len(stream) - 1)]
-        logits -= logits.max(2, keepdims=True)
-        g = np.exp(logits)
-        g /= g.sum(2, keepdims=True)
-        np.put_along_axis(g, target[:, :, None], np.take_along_axis(g, target[:, :, None], 2) - 1, 2)
-        g *= (inside / max(1.0, inside.sum()))[:, :, None]
-        d_u, d_b = np.einsum("bsd,bsc->dc", y, g), g.sum((0, 1))
-        d_y = g @ m.u.T
-        d_o = np.einsum("bsd,bse->de", c, d_y)
-        d_c = d_y @ m.o.T
-        d_a = np.matmul(d_c, v.transpose(0, 2, 1))
-        d_v = np.matmul(a.transpose(0, 2, 1), d_c)
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
-        d_q = np.matmul(d_s, k) * scale
-        d_k = np.matmul(d_s.transpose(0, 2, 1), q)
-        d_h = d_k @ m.k.T + d_v @ m.v.T
-        d_h[:, SPAN:] += d_y + d_q @ m.q.T
-        tail = h[:, SPAN:]
-        d_e = np.zeros_like(m.e)
-        np.add.at(d_e, x, d_h)
-        d_word = np.zeros((len(own) + 1, WIDTH), np.float32)
-        np.add.at(d_word, place, d_h)
-        d_f = np.zeros_like(m.f)
-        np.add.at(d_f, at_piece, np.repeat(d_word[: len(own)], lens[own], axis=0))
-        grads = [d_e, d_f, d_h.sum(0), np.einsum("bsd,bse->de", tail, d_q), np.einsum("bsd,bse->de", h, d_k), np.einsum("bsd,bse->de", h, d_v), d_o, d_u, d_b]
-        slow = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
-        for weight, g1, f, s2 in zip(m.weights(), grads, first_moment, second, strict=True):
-            f += 0.1 * (g1 - f)
-            s2 += 0.01 * (g1 * g1 - s2)
-            weight -= (slow * (f / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        grads = _gradients(m, stream, inputs, known, at[pick], at[pick] == start[pick], end[pick], pieces, begins, lens)
+        _adam(m.weights(), grads, moments, step, rate * min(1.0, step / 20) * (1 - step / (steps + 1)))
     return m
+
+
+def _gradients(m: Model, stream: np.ndarray, inputs: np.ndarray, known: np.ndarray, w: np.ndarray, first: np.ndarray, end: np.ndarray, pieces: np.ndarray, begins: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
+    """Of the mean loss over the windows whose second halves begin at ``w``, in the order of the weights."""
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    seen = np.clip(w[:, None] + np.arange(-SPAN, SPAN), 0, len(stream) - 1)
+    x = inputs[seen]
+    own, place = np.unique(known[seen], return_inverse=True)
+    own, place = own[own < len(lens)], place.reshape(seen.shape)  # no word is the last number
+    at_piece = pieces[ranges(begins[own], lens[own])]
+    h, q, k, v, a, c, y, logits = _forward(m, x, word_vectors(m.f, at_piece, lens[own])[place], first)
+    scored = w[:, None] + np.arange(SPAN)
+    inside = (scored < end[:, None]).astype(np.float32)
+    target = stream[np.minimum(scored, len(stream) - 1)]
+    logits -= logits.max(2, keepdims=True)
+    g = np.exp(logits, out=logits)
+    g /= g.sum(2, keepdims=True)
+    np.put_along_axis(g, target[:, :, None], np.take_along_axis(g, target[:, :, None], 2) - 1, 2)
+    g *= (inside / max(1.0, inside.sum()))[:, :, None]
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    d_u, d_b = flat(y).T @ flat(g), g.sum((0, 1))
+    d_y = _times(g, m.u.T)
+    d_o = flat(c).T @ flat(d_y)
+    d_c = _times(d_y, m.o.T)
+    d_a = np.matmul(d_c, v.transpose(0, 2, 1))
+    d_v = np.matmul(a.transpose(0, 2, 1), d_c)
+    d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
+    d_q = np.matmul(d_s, k) * scale
+    d_k = np.matmul(d_s.transpose(0, 2, 1), q)
+    d_h = _times(d_k, m.k.T) + _times(d_v, m.v.T)
+    tail = h[:, SPAN:]
+    d_h[:, SPAN:] += d_y + _times(d_q, m.q.T)
+    d_e, d_word, d_f = np.zeros_like(m.e), np.zeros((len(own) + 1, WIDTH), np.float32), np.zeros_like(m.f)
+    for j in range(WIDTH):
+        column = d_h[:, :, j].ravel()
+        d_e[:, j] = np.bincount(x.ravel(), column, len(d_e))
+        d_word[:, j] = np.bincount(place.ravel(), column, len(d_word))
+    np.add.at(d_f, at_piece, np.repeat(d_word[: len(own)], lens[own], axis=0))
+    return [d_e, d_f, d_h.sum(0), flat(tail).T @ flat(d_q), flat(h).T @ flat(d_k), flat(h).T @ flat(d_v), d_o, d_u, d_b]
+
+
+def _adam(weights: list[np.ndarray], grads: list[np.ndarray], moments: list[tuple[np.ndarray, np.ndarray]], step: int, rate: float) -> None:
+    for weight, g, (first, second) in zip(weights, grads, moments, strict=True):
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        weight -= (rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
+class Pass:
+    """One pass of Adam from a trained model over parts of a corpus: every place is a target once."""
+
+    def __init__(self, model: Model, rate: float = 0.003, batch: int = 512, seed: int = 2):
+        self.start, self.model = model, Model(*[w.copy() for w in model.weights()])
+        self.rate, self.batch, self.random, self.steps = rate, batch, np.random.default_rng(seed), 0
+        self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
+        #: Places learned from, and how many of them each subword id stood in front of or at.
+        self.places, self.counts = 0, np.zeros(len(model.f), np.int64)
+
+    def learn(self, stream: np.ndarray, offsets: np.ndarray, words: np.ndarray, pieces: np.ndarray, lens: np.ndarray) -> None:
+        """As :func:`train`, streams one after the other; Adam's numbers of subword ids that aren't here stand still."""
+        if not len(stream):
+            return
+        m, classes = self.model, len(self.model.e) - 2
+        offsets = np.append(offsets[:-1][np.diff(offsets) > 0], offsets[-1])
+        ids, own = np.unique(pieces, return_inverse=True)
+        here = Model(m.e, m.f[ids], *m.weights()[2:])  # all but f are shared and change in place
+        moments = [self.moments[0], tuple(x[ids] for x in self.moments[1]), *self.moments[2:]]
+        inputs, known = _before(stream, len(stream), offsets[:-1], classes + 1), _before(words, len(stream), offsets[:-1], len(lens))
+        at, start = windows(offsets)
+        end = np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))
+        begins, order = np.cumsum(lens) - lens, self.random.permutation(len(at))
+        for low in range(0, len(at), self.batch):
+            pick = order[low : low + self.batch]
+            self.steps += 1
+            grads = _gradients(here, stream, inputs, known, at[pick], at[pick] == start[pick], end[pick], own, begins, lens)
+            _adam(here.weights(), grads, moments, self.steps, self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 200))
+        m.f[ids] = here.f
+        for whole, part in zip(self.moments[1], moments[1], strict=True):
+            whole[ids] = part
+        self.places += len(stream)
+        self.counts += np.bincount(pieces, np.repeat(np.bincount(words, minlength=len(lens) + 1)[:-1], lens), len(self.counts)).astype(np.int64)
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """How far the pass has moved the weights: of all but f in a row, and of f."""
+        by = [a - b for a, b in zip(self.model.weights(), self.start.weights(), strict=True)]
+        return np.concatenate([x.ravel() for i, x in enumerate(by) if i != 1]), by[1]

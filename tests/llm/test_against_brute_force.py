@@ -471,3 +471,13 @@ def test_pii_graph_against_plain_python(spark):
     assert {d: x.spans for d, x in got.items()} == expected
     assert sum("secret" in x.spans for x in got.values()) > 20 and got[901].spans == "" and got[900].spans == ""
     assert all(x.n_added == x.n_spans - x.n_phone for x in got.values())
+
+
+def test_language_model_learns_from_training_documents_outside_the_start(spark):
+    docs = spark.createDataFrame([(i, f"cat dog house tree number{i} " * 8) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id")
+    _, model = lmscore.fit(docs, lmscore.is_training(), sample=2, sample_words=50)
+    moved = model.f.any(1)
+    for i in range(60):
+        ids, _ = lmscore.pieces_of([f"number{i}".encode()], lmscore.RANKS)
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            assert moved[ids].all(), i
