@@ -84,3 +84,23 @@ def test_a_batch_costs_one_call_however_many_events():
     assert found["event_id"].tolist() == list(range(5000)) and found["replay"].sum() == 1 and state.calls == ["update", "timer"] * 2
     state.mark = 5_999_000 + 10_000_000
     assert list(processor((7,), iter([]), state)) == [] and state.calls[4:] == ["remove"]
+
+
+def test_lockouts_keep_one_state_a_bucket(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(r.choice([None, *range(40)]), BEGIN + dt.timedelta(seconds=r.randrange(2000)), i, r.random() < 0.8) for i in range(1500)]
+    schema = "user_id long, ts timestamp, event_id long, failed boolean"
+    for part in (rows[::2], rows[1::2], [(-1, BEGIN + dt.timedelta(days=400), -1, True)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed"))
+    query = limits.lockouts(stream, late="1 day", buckets=8).writeStream.format("memory").queryName("locked").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 8
+    expected, count = [], {}
+    for user, ts, _, failed in sorted(rows, key=lambda e: (e[1], e[2])):
+        count[user] = count.get(user, 0) + 1 if failed else 0
+        if count[user] == 5:
+            count[user] = 0
+            expected.append((user, ts))
+    found = [(x.user_id, x.locked_at) for x in spark.table("locked").collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str) and any(u is None for u, _ in found)
