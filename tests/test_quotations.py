@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from attestra.operators import quotations as Q
 from pyspark.sql import functions as F
@@ -87,3 +89,35 @@ def test_quotations_of_a_row(spark):
     found = [r.c for r in df.select(Q.closest()("q", "d").alias("c")).collect()]
     assert found[0][0].position >= 4 and found[0][0].similarity > 0.9 and found[0][1] is None and found[0][2].position == -1
     assert found[1] is None and found[2][0].asDict() == {"similarity": 0.0, "position": -1}
+
+
+def test_the_start_of_a_stretch_takes_one_pass(monkeypatch):
+    r = random.Random(9)
+    quote = "".join(r.choice("abcdefgh ") for _ in range(90))
+    text = "xyz" * 20 + altered(r, quote, "abx", 7) + "zyx" * 20
+    expected, passes, places = closest(quote, text), [], Q._places
+    monkeypatch.setattr(Q, "_places", lambda q: passes.append(q) or places(q))
+    assert Q._told(quote, Q.closest_stretch(quote, text)) == expected and expected[1] >= 0
+    assert len(passes) == 2  # one for where it ends, one for where it starts
+    assert list(Q.distances("abc", "abcd")) == [3, 2, 1, 0, 1] and list(Q.distances("", "ab")) == [0, 1, 2]
+
+
+def test_grams_of_many_documents_are_cut_at_once():
+    texts = [None, "", "short", *(f"some text number {i} of a few" for i in range(300))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = list(Q.cut_grams(iter([batch]), {8: np.ones(1 << Q.FILTER_BITS, bool)}))
+    assert len(found) == 1 and found[0].schema.names == ["doc_id", "gram", "hash", "place"]
+    expected = [(d, 8, int(h), at) for d, t in enumerate(texts) for at, h in enumerate(Q.gram_hashes(t or "", 8).view(np.int64))]
+    assert list(zip(*(c.to_pylist() for c in found[0].columns), strict=True)) == expected
+    assert len(list(Q.cut_grams(iter([batch]), {8: np.ones(1 << Q.FILTER_BITS, bool)}, characters=100))) > 50
+    assert not list(Q.cut_grams(iter([batch]), {})) and not list(Q.cut_grams(iter([batch]), {6: np.zeros(1 << Q.FILTER_BITS, bool)}))
+
+
+def test_join_normalises_again_only_what_it_verifies(spark, cases):
+    quotes, texts = cases
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    d = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string")
+    plain, upper = Q.join(q, d), Q.join(q, d.withColumn("text", F.upper("text")), normal=F.lower)
+    assert plain.count() > 0 and sorted(map(tuple, upper.collect())) == sorted(map(tuple, plain.collect()))
+    plan = upper._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("lower(") < plan.index("Join Inner")  # above the join with the few that are left
