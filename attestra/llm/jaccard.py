@@ -483,8 +483,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     rows = written(identified.mapInArrow(_nodes(n), "_r long, doc_id long, _d long, _t long, n_shingles long, s1 long, s2 long, common binary"), "rows")
     often = rows.filter("common is not null").select("common").mapInArrow(_each_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    often = [r.shingle for r in often.orderBy(F.desc("n"), "shingle").select("shingle").limit(COMMON).collect()]
-    common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(H.U)))  # COMMON numbers at most; they only save work
+    often = often.orderBy(F.desc("n"), "shingle").select("shingle").limit(COMMON).toArrow().column("shingle").to_numpy()  # 8 bytes each, not a Python row
+    common = spark.sparkContext.broadcast(np.sort(often.astype(np.int64).view(H.U)))  # COMMON numbers at most; they only save work
     rows = rows.filter("_r is not null").drop("common")
     classes = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("_r").alias("node"), F.min("doc_id").alias("first_id"), F.min(F.struct("_r", "_d", "_t")).alias("_at"))
     classes = written(classes.select("s1", "s2", "node", "first_id", F.col("_at._d").alias("_d"), F.col("_at._t").alias("_t")), "classes")
