@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 SPAN, WIDTH = 16, 16
-BATCH = 512
-_FAR = np.float32(-1e9)
+BATCH, MICRO = 128, 128
+_FAR, _LARGE = np.float32(-1e9), 60
 
 
 @dataclass
@@ -68,12 +68,29 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
 
 
+def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Adds rows of WIDTH numbers to those of ``out`` at ``at``, however often a place is named."""
+    np.add.at(out.reshape(-1), (at.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), rows.ravel())
+    return out
+
+
+def numbered(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of these numbers below n, in order, and which of them each is."""
+    place = np.zeros(n, np.int64)
+    place[values] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place[values]
+
+
 def word_vectors(f: np.ndarray, pieces: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """For each word the sum of its pieces' rows, and a last row of zeros for what isn't a word; every word has a piece."""
     out = np.zeros((len(lens) + 1, f.shape[1]), np.float32)
-    if len(lens):
-        out[:-1] = np.add.reduceat(f[pieces], np.cumsum(lens) - lens)
-    return out
+    begins = np.cumsum(lens) - lens
+    f.take(pieces[begins], 0, out[:-1], "clip")
+    longer = np.flatnonzero(lens > 1)
+    rest = lens[longer] - 1
+    return _add(out, np.repeat(longer, rest), f.take(pieces[ranges(begins[longer] + 1, rest)], 0))
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,32 +98,68 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
 
 
-def _forward(m: Model, x: np.ndarray, read: np.ndarray, first: np.ndarray):
-    """x, read: windows x 2 SPAN symbols, and what their subword ids add; first: windows without anything in their first half."""
-    h = m.e[x] + read + m.p
-    tail = h[:, SPAN:]
-    q, k, v = _times(tail, m.q * np.float32(1 / np.sqrt(WIDTH))), _times(h, m.k), _times(h, m.v)
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += MASK
+def _exp(s: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp, in place, and each row's sum; large numbers less the row's greatest, which no quotient of the two shows."""
+    large = s.size and max(s.max(), -s.min()) > _LARGE
+    if mask is not None:
+        s += mask
+    if large:
+        s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    return s, _times(s, np.ones((s.shape[-1], 1), np.float32))
+
+
+class Blocks:
+    """Streams in blocks of SPAN places: what each place reads (a row of a table of inputs, of which the last is "begin") and has to predict.
+
+    A window is a block and the one before it; ``rows`` begins with a block of nothing.
+    """
+
+    def __init__(self, stream: np.ndarray, offsets: np.ndarray, read: np.ndarray, begin: int):
+        n = len(stream)
+        before = np.full(n, begin, np.int64)
+        before[1:] = read[:-1]
+        before[offsets[:-1][np.diff(offsets) > 0]] = begin
+        at, start = windows(offsets)
+        self.first = at == start
+        place = at[:, None] + np.arange(SPAN)
+        self.inside = place < np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))[:, None]
+        self.place = np.minimum(place, n - 1)
+        self.target = stream[self.place]
+        self.rows = np.full((len(at) + 1, SPAN), begin, np.int64)
+        self.rows[1:] = np.where(self.inside, before[self.place], begin)
+
+
+def _inputs(stream: np.ndarray, words: np.ndarray | None, n: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every place's row of a table of inputs, and the rows' symbols: a row for each of n words, one for what is none, and "begin"; without words, a row for each symbol."""
+    if words is None:
+        return stream, np.arange(classes + 2)
+    symbols = np.full(n + 2, classes)
+    symbols[words] = stream
+    symbols[-1] = classes + 1
+    return words, symbols
+
+
+def _forward(m: Model, h: np.ndarray, first: np.ndarray, prev: slice, cur: slice):
+    """h: blocks of inputs, of which ``cur`` are scored and ``prev`` are those before them; first: blocks that have none."""
+    both = np.concatenate([m.q * np.float32(1 / np.sqrt(WIDTH)), m.k, m.v], 1)
+    z, at = _times(h, both), m.p @ both
+    q = z[cur, :, :WIDTH] + at[SPAN:, :WIDTH]
+    kv = np.empty((len(q), 2 * SPAN, 2 * WIDTH), np.float32)
+    np.add(z[prev, :, WIDTH:], at[:SPAN, WIDTH:], out=kv[:, :SPAN])
+    np.add(z[cur, :, WIDTH:], at[SPAN:, WIDTH:], out=kv[:, SPAN:])
+    mask = np.broadcast_to(MASK, (len(q), *MASK.shape))
     if first.any():
-        s[first, :, :SPAN] = _FAR
-    s -= s.max(2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(2, keepdims=True)
-    c = np.matmul(a, v)
-    y = tail + _times(c, m.o)
+        mask = mask.copy()
+        mask[first, :, :SPAN] = _FAR
+    a, total = _exp(np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1)), mask)
+    a /= total
+    c = np.matmul(a, kv[:, :, WIDTH:])
+    y = h[cur] + m.p[SPAN:]
+    y += _times(c, m.o)
     logits = _times(y, m.u)
     logits += m.b
-    return h, q, k, v, a, c, y, logits
-
-
-def _before(values: np.ndarray | None, n: int, starts: np.ndarray, none: int) -> np.ndarray:
-    """What stands in front of each place; ``none`` at starts."""
-    out = np.full(n, none, np.int64)
-    if values is not None:
-        out[1:] = values[:-1]
-        out[starts] = none
-    return out
+    return both, q, kv, a, c, y, logits
 
 
 def score(m: Model, stream: np.ndarray, offsets: np.ndarray, words: np.ndarray | None = None, vectors: np.ndarray | None = None) -> np.ndarray:
@@ -114,29 +167,26 @@ def score(m: Model, stream: np.ndarray, offsets: np.ndarray, words: np.ndarray |
 
     ``stream`` holds the symbols to predict; each stream's input starts with
     "begin" and goes on with what was predicted, and its word's vector: ``words``
-    are rows of ``vectors``, whose last row is for no word.
+    are rows of ``vectors``, whose last row is for no word.  A word has one symbol.
     """
-    n = len(stream)
-    out = np.zeros(n)
-    if not n:
+    out = np.zeros(len(stream))
+    if not len(stream):
         return out
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    table = np.zeros((1, WIDTH), np.float32) if vectors is None else vectors
-    inputs, known = _before(stream, n, starts, len(m.e) - 1), _before(words, n, starts, len(table) - 1)
-    at, start = windows(offsets)
-    end = np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))
-    steps = np.arange(-SPAN, SPAN)
-    for a in range(0, len(at), BATCH):
-        w = at[a : a + BATCH]
-        seen = np.clip(w[:, None] + steps, 0, n - 1)
-        logits = _forward(m, inputs[seen], table[known[seen]], w == start[a : a + BATCH])[-1]
-        place = w[:, None] + np.arange(SPAN)
-        inside = place < end[a : a + BATCH, None]
-        target = stream[np.minimum(place, n - 1)]
-        logits -= logits.max(2, keepdims=True)
-        own = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0]
-        own = own - np.log(np.exp(logits, out=logits).sum(2))
-        out[place[inside]] = own[inside] / np.log(10)
+    read, symbols = _inputs(stream, words, 0 if vectors is None else len(vectors) - 1, len(m.e) - 2)
+    table = m.e[symbols]
+    if words is not None:
+        table[:-1] += vectors
+    blocks = Blocks(stream, offsets, read, len(table) - 1)
+    for a in range(0, len(blocks.first), BATCH):
+        some = slice(a, a + BATCH)
+        logits = _forward(m, table.take(blocks.rows[a : a + BATCH + 1], 0), blocks.first[some], slice(None, -1), slice(1, None))[-1]
+        own = np.take_along_axis(logits, blocks.target[some, :, None], 2)
+        large = max(logits.max(), -logits.min()) > _LARGE
+        if large:
+            own -= logits.max(2, keepdims=True)
+        own = own - np.log(_exp(logits)[1])
+        inside = blocks.inside[some]
+        out[blocks.place[some][inside]] = own[:, :, 0][inside] / np.log(10)
     return out
 
 
@@ -149,65 +199,91 @@ def train(
     ``words``: which word each symbol is, len(lens) for none; word i has the next lens[i] of ``pieces``, numbers below ``ids``.
     """
     m, r = Model.new(classes, seed, ids), np.random.default_rng(seed)
-    if words is None:
-        words, pieces, lens = [np.zeros(len(s), np.int64) for s in streams], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = [w for w in words if len(w)]
-    begins = np.cumsum(lens) - lens
+    lens, pieces = (np.zeros(0, np.int64) if x is None else x for x in (lens, pieces))
+    own = None if words is None else np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64)
     streams = [s for s in streams if len(s)]
     if not streams:
         return m
     stream = np.concatenate(streams)
-    offsets = np.append(0, np.cumsum([len(s) for s in streams]))
-    inputs = _before(stream, len(stream), offsets[:-1], classes + 1)
-    known = _before(np.concatenate(words), len(stream), offsets[:-1], len(lens))
     m.b[:] = np.log((np.bincount(stream, minlength=classes + 1) + 1.0) / (len(stream) + classes + 1))
-    at, start = windows(offsets)
-    end = np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))
+    corpus = Corpus(stream, np.append(0, np.cumsum([len(s) for s in streams])), own, pieces, lens, classes)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in m.weights()]
     for step in range(1, steps + 1):
-        pick = r.integers(0, len(at), batch)
-        grads = _gradients(m, stream, inputs, known, at[pick], at[pick] == start[pick], end[pick], pieces, begins, lens)
-        _adam(m.weights(), grads, moments, step, rate * min(1.0, step / 20) * (1 - step / (steps + 1)))
+        pick = r.integers(0, len(corpus.blocks.first), batch)
+        _adam(m.weights(), corpus.gradients(m, pick), moments, step, rate * min(1.0, step / 20) * (1 - step / (steps + 1)))
     return m
 
 
-def _gradients(m: Model, stream: np.ndarray, inputs: np.ndarray, known: np.ndarray, w: np.ndarray, first: np.ndarray, end: np.ndarray, pieces: np.ndarray, begins: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
-    """Of the mean loss over the windows whose second halves begin at ``w``, in the order of the weights."""
+class Corpus:
+    """Streams to learn from: word i has the next lens[i] of ``pieces``."""
+
+    def __init__(self, stream: np.ndarray, offsets: np.ndarray, words: np.ndarray | None, pieces: np.ndarray, lens: np.ndarray, classes: int):
+        read, self.symbols = _inputs(stream, words, len(lens), classes)
+        self.blocks = Blocks(stream, offsets, read, len(self.symbols) - 1)
+        self.pieces, self.lens, self.begins = pieces, lens, np.cumsum(lens) - lens
+
+    def gradients(self, m: Model, pick: np.ndarray | slice) -> list[np.ndarray]:
+        """Of the mean loss over these blocks, in the order of the weights; a slice is of neighbours, which are computed once."""
+        b = self.blocks
+        if isinstance(pick, slice):
+            low, high = pick.start, min(pick.stop, len(b.first))
+            rows, runs = b.rows[low : high + 1], [(a, min(a + MICRO, high)) for a in range(low, high, MICRO)]
+            cuts = [(slice(a - low, z - low + 1), slice(a, z), slice(None, -1), slice(1, None)) for a, z in runs]
+        else:
+            rows, n = np.concatenate([b.rows[pick], b.rows[pick + 1]]), len(pick)
+            cuts = [(slice(None), pick, slice(None, n), slice(n, None))]
+        own, rows = numbered(rows, len(self.symbols))
+        words = own[own < len(self.lens)] if len(self.lens) else own[:0]
+        lens = self.lens[words]
+        at_piece = self.pieces[ranges(self.begins[words], lens)]
+        table = m.e[self.symbols[own]]
+        table[: len(words)] += word_vectors(m.f, at_piece, lens)[:-1]
+        weight = np.float32(1 / max(1, b.inside[pick].sum()))
+        total, d_table = None, np.zeros_like(table)
+        for held, scored, prev, cur in cuts:
+            *found, d_rows = _gradients(m, table.take(rows[held], 0), b.target[scored], b.inside[scored] * weight, b.first[scored], prev, cur)
+            total = found if total is None else [x + y for x, y in zip(total, found, strict=True)]
+            _add(d_table, rows[held], d_rows)
+        d_e = _add(np.zeros_like(m.e), self.symbols[own], d_table)
+        d_f = _add(np.zeros_like(m.f), at_piece, np.repeat(d_table[: len(words)], lens, axis=0))
+        return [d_e, d_f, *total]
+
+
+def _gradients(m: Model, h: np.ndarray, target: np.ndarray, weight: np.ndarray, first: np.ndarray, prev: slice, cur: slice) -> list[np.ndarray]:
+    """Of the loss, places by their ``weight``: of p, q, k, v, o, u and b, and of the inputs h."""
+    both, q, kv, a, c, y, logits = _forward(m, h, first, prev, cur)
     scale = np.float32(1 / np.sqrt(WIDTH))
-    seen = np.clip(w[:, None] + np.arange(-SPAN, SPAN), 0, len(stream) - 1)
-    x = inputs[seen]
-    own, place = np.unique(known[seen], return_inverse=True)
-    own, place = own[own < len(lens)], place.reshape(seen.shape)  # no word is the last number
-    at_piece = pieces[ranges(begins[own], lens[own])]
-    h, q, k, v, a, c, y, logits = _forward(m, x, word_vectors(m.f, at_piece, lens[own])[place], first)
-    scored = w[:, None] + np.arange(SPAN)
-    inside = (scored < end[:, None]).astype(np.float32)
-    target = stream[np.minimum(scored, len(stream) - 1)]
-    logits -= logits.max(2, keepdims=True)
-    g = np.exp(logits, out=logits)
-    g /= g.sum(2, keepdims=True)
-    np.put_along_axis(g, target[:, :, None], np.take_along_axis(g, target[:, :, None], 2) - 1, 2)
-    g *= (inside / max(1.0, inside.sum()))[:, :, None]
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    d_u, d_b = flat(y).T @ flat(g), g.sum((0, 1))
+    g, total = _exp(logits)
+    g *= weight[:, :, None] / total
+    flat(g)[np.arange(target.size), target.ravel()] -= weight.ravel()
+    d_u, d_b = flat(y).T @ flat(g), np.ones(target.size, np.float32) @ flat(g)
     d_y = _times(g, m.u.T)
     d_o = flat(c).T @ flat(d_y)
     d_c = _times(d_y, m.o.T)
-    d_a = np.matmul(d_c, v.transpose(0, 2, 1))
-    d_v = np.matmul(a.transpose(0, 2, 1), d_c)
-    d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
-    d_q = np.matmul(d_s, k) * scale
-    d_k = np.matmul(d_s.transpose(0, 2, 1), q)
-    d_h = _times(d_k, m.k.T) + _times(d_v, m.v.T)
-    tail = h[:, SPAN:]
-    d_h[:, SPAN:] += d_y + _times(d_q, m.q.T)
-    d_e, d_word, d_f = np.zeros_like(m.e), np.zeros((len(own) + 1, WIDTH), np.float32), np.zeros_like(m.f)
-    for j in range(WIDTH):
-        column = d_h[:, :, j].ravel()
-        d_e[:, j] = np.bincount(x.ravel(), column, len(d_e))
-        d_word[:, j] = np.bincount(place.ravel(), column, len(d_word))
-    np.add.at(d_f, at_piece, np.repeat(d_word[: len(own)], lens[own], axis=0))
-    return [d_e, d_f, d_h.sum(0), flat(tail).T @ flat(d_q), flat(h).T @ flat(d_k), flat(h).T @ flat(d_v), d_o, d_u, d_b]
+    d_s = np.matmul(d_c, kv[:, :, WIDTH:].transpose(0, 2, 1))
+    d_s -= _times(d_c * c, np.ones((WIDTH, 1), np.float32))
+    d_s *= a
+    d_q = np.matmul(d_s, kv[:, :, :WIDTH])
+    d_kv = np.empty_like(kv)
+    np.matmul(d_s.transpose(0, 2, 1), q, out=d_kv[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_c, out=d_kv[:, :, WIDTH:])
+    # of the three products of every block, from the windows that it is in
+    d_z = np.zeros((len(h), SPAN, 3 * WIDTH), np.float32)
+    d_z[cur, :, :WIDTH] = d_q
+    d_z[cur, :, WIDTH:] = d_kv[:, SPAN:]
+    d_z[prev, :, WIDTH:] += d_kv[:, :SPAN]
+    d_h = _times(d_z, both.T)
+    d_h[cur] += d_y
+    # and of the places' own part of them
+    over = lambda z: (np.ones(len(z), np.float32) @ z.reshape(len(z), -1)).reshape(z.shape[1:])
+    d_at = np.zeros((2 * SPAN, 3 * WIDTH), np.float32)
+    d_at[:, WIDTH:] = over(d_kv)
+    d_at[SPAN:, :WIDTH] = over(d_q)
+    d_p = d_at @ both.T
+    d_p[SPAN:] += over(d_y)
+    d_both = flat(h).T @ flat(d_z) + m.p.T @ d_at
+    return [d_p, d_both[:, :WIDTH] * scale, d_both[:, WIDTH : 2 * WIDTH], d_both[:, 2 * WIDTH :], d_o, d_u, d_b, d_h]
 
 
 def _adam(weights: list[np.ndarray], grads: list[np.ndarray], moments: list[tuple[np.ndarray, np.ndarray]], step: int, rate: float) -> None:
@@ -231,19 +307,15 @@ class Pass:
         """As :func:`train`, streams one after the other; Adam's numbers of subword ids that aren't here stand still."""
         if not len(stream):
             return
-        m, classes = self.model, len(self.model.e) - 2
-        offsets = np.append(offsets[:-1][np.diff(offsets) > 0], offsets[-1])
-        ids, own = np.unique(pieces, return_inverse=True)
+        m = self.model
+        ids, own = numbered(pieces, len(m.f))
         here = Model(m.e, m.f[ids], *m.weights()[2:])  # all but f are shared and change in place
         moments = [self.moments[0], tuple(x[ids] for x in self.moments[1]), *self.moments[2:]]
-        inputs, known = _before(stream, len(stream), offsets[:-1], classes + 1), _before(words, len(stream), offsets[:-1], len(lens))
-        at, start = windows(offsets)
-        end = np.repeat(offsets[1:], -(-np.diff(offsets) // SPAN))
-        begins, order = np.cumsum(lens) - lens, self.random.permutation(len(at))
-        for low in range(0, len(at), self.batch):
-            pick = order[low : low + self.batch]
+        corpus = Corpus(stream, offsets, words, own, lens, len(m.e) - 2)
+        starts = np.arange(0, len(corpus.blocks.first), self.batch)
+        for low in self.random.permutation(starts).tolist():
             self.steps += 1
-            grads = _gradients(here, stream, inputs, known, at[pick], at[pick] == start[pick], end[pick], own, begins, lens)
+            grads = corpus.gradients(here, slice(low, low + self.batch))
             _adam(here.weights(), grads, moments, self.steps, self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 200))
         m.f[ids] = here.f
         for whole, part in zip(self.moments[1], moments[1], strict=True):

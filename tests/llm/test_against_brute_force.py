@@ -481,3 +481,51 @@ def test_language_model_learns_from_training_documents_outside_the_start(spark):
         ids, _ = lmscore.pieces_of([f"number{i}".encode()], lmscore.RANKS)
         if zlib.crc32(str(i).encode()) % 7 != 2:
             assert moved[ids].all(), i
+
+
+def test_words_are_encoded_in_one_call(monkeypatch):
+    made, encoding = [], lmscore._encoding(lmscore.RANKS)
+
+    class Counting:
+        n_vocab, decode_single_token_bytes = encoding.n_vocab, encoding.decode_single_token_bytes
+
+        def encode_ordinary(self, text):
+            made.append(text)
+            return encoding.encode_ordinary(text)
+
+    monkeypatch.setattr(lmscore, "_encoding", lambda ranks: Counting())
+    some = [w.encode() for w in ["one", "'s", "don't", "été", "中文", "12ab!!", "'", "internationalisation" * 20, "\U0001f600"]]
+    for list_of, calls in ((some, 1), ([*some, "a b".encode()], len(some) + 1), ([], 1)):  # white space of its own: one by one
+        made.clear()
+        pieces, lens = lmscore.pieces_of(list_of, lmscore.RANKS)
+        assert pieces.tolist() == [i for w in list_of for i in encoding.encode_ordinary(" " + w.decode())]
+        assert lens.tolist() == [len(encoding.encode_ordinary(" " + w.decode())) for w in list_of] and len(made) <= calls
+
+
+def test_attention_gradients_of_neighbours_and_against_differences():
+    import numpy as np
+    from attestra.llm import attention as A
+
+    r = np.random.default_rng(5)
+    offsets = np.array([0, 40, 41, 90, 90, 300])  # short, empty and longer streams
+    words = r.integers(0, 12, 300)
+    ends = np.flatnonzero(np.isin(np.arange(300) + 1, offsets[1:]))
+    words[ends] = 12  # no word
+    stream = np.append(r.integers(0, 4, 12), 4)[words]
+    lens = r.integers(1, 4, 12)
+    m = A.Model.new(4, ids=9)
+    m.f[:] = 0.3 * r.standard_normal(m.f.shape)
+    corpus = A.Corpus(stream, offsets, words, r.integers(0, 9, lens.sum()), lens, 4)
+    n = len(corpus.blocks.first)
+    assert corpus.blocks.place[corpus.blocks.inside].tolist() == list(range(300))  # every place is a target once
+    together, singly = corpus.gradients(m, slice(0, n)), corpus.gradients(m, np.arange(n))
+    loss = lambda: -np.log(10) * A.score(m, stream, offsets, words, A.word_vectors(m.f, corpus.pieces, lens)).mean()
+    for weight, g, other in zip(m.weights(), together, singly, strict=True):
+        assert np.allclose(g, other, atol=1e-6)
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, up = weight[at], 0.0
+        for sign in (1, -1):
+            weight[at] = kept + sign * 0.01
+            up += sign * loss() / 0.02
+        weight[at] = kept
+        assert g[at] == pytest.approx(up, rel=0.02)
