@@ -71,6 +71,8 @@ def best_of(words: Column, bodies: Column, k: Column) -> Column:
 
 #: Words whose terms a Python worker remembers, and how long they may be.
 KNOWN_WORDS, KNOWN_LENGTH = 1 << 17, 64
+#: So many terms are counted in a body one by one, which takes a microsecond each; a body's words take some 170.
+FEW_TERMS = 64
 
 
 @lru_cache(1 << 16)
@@ -84,11 +86,25 @@ def term_hits(queries: list[list[str]]) -> Callable[[str], dict[int, int]]:
 
     Terms hold no space, so an occurrence lies within a word of the body, and
     what a word holds is looked up once: by its stretches of the terms' lengths.
+    A few terms are counted in the whole body.
     """
     asked: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for q, words in enumerate(queries):
         for term, times in Counter(words).items():
             asked[term].append((q, times))
+    if len(asked) <= FEW_TERMS:
+        few = list(asked.items())
+
+        def counted(body: str) -> dict[int, int]:
+            hits: dict[int, int] = {}
+            for term, own in few:
+                found = body.count(term)
+                if found:
+                    for q, times in own:
+                        hits[q] = hits.get(q, 0) + times * found
+            return hits
+
+        return counted
     lengths = sorted({len(t) for t in asked})
     known: dict[str, tuple] = {}
 
@@ -159,6 +175,21 @@ def ranked_bodies(documents: DataFrame, bodies: str, asked: DataFrame, queries:
     return found.withColumns({name: F.get("_ranked", F.col("_n") + i * len(rows)) for i, name in enumerate(queries)}).drop("_ranked", "_n", *[f"_k_{name}" for name in queries])
 
 
+def scored_bodies(documents: DataFrame, bodies: str, asked: DataFrame, k: int) -> DataFrame:
+    """Every document in its row with ``found``: of each row of ``asked`` (a catalogue with a column ``query``) its other columns, and the scores of the k best bodies.
+
+    What :func:`lexical_best` tells, with nothing left of the bodies and no row a passage.
+    """
+    asked, rows = held(asked.withColumn("_words", terms(F.col("query"))).drop("query"))
+    if rows is None:
+        raise ValueError("too many requirements for a catalogue that every document is asked about")
+    rank = F.arrow_udf(_ranker([list(r["_words"] or ()) for r in rows], [k] * len(rows)), "array<array<struct<position:int,score:double>>>")
+    named = [f for f in asked.schema.fields if f.name != "_words"]
+    own = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in named], F.get("_ranked", F.lit(i))["score"].alias("scores")) for i, r in enumerate(rows)]
+    ranked = documents.withColumn("_ranked", rank.asNondeterministic()(F.col(bodies)))  # neither repeated nor moved
+    return ranked.withColumn("found", F.array(*own)).drop("_ranked", bodies)
+
+
 def lexical_best(documents: DataFrame, requirements: DataFrame, k: Column, by: str = "doc_id") -> DataFrame:
     """The rows of :func:`lexical_topk` for documents (by, bodies: an array) that hold their passages themselves.
 

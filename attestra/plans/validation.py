@@ -34,11 +34,14 @@ def run(documents: DataFrame, passes: int, evaluate: Evaluate, by: str, done: Da
     run, article_ref and what it found; the pass is part of what it is asked, so
     a client's cache of one pass answers no other one (:func:`pass_prompts`).
     """
-    found = evaluate(requests(documents, passes, by, done))
-    found = found.withColumn("article", F.trim(F.replace("article_ref", F.lit("Article"), F.lit("")))).drop("article_ref")
+    found = _findings(requests(documents, passes, by, done), evaluate)
     return found if done is None else done.unionByName(found)
 
 
+def _findings(asked: DataFrame, evaluate: Evaluate) -> DataFrame:
+    return evaluate(asked).withColumn("article", F.trim(F.replace("article_ref", F.lit("Article"), F.lit("")))).drop("article_ref")
+
+
 def resume(table: Table, documents: DataFrame, passes: int, evaluate: Evaluate, by: str, batches: int = 1) -> DataFrame:
     """The same, kept in a table by (by, run, article): what an earlier run has committed isn't asked again.
 
@@ -48,9 +51,9 @@ def resume(table: Table, documents: DataFrame, passes: int, evaluate: Evaluate,
     for batch in range(batches):
         part = documents.filter(F.pmod(F.xxhash64(by), F.lit(batches)) == batch)
         done = table.read() if table.version() is not None else None
-        if not requests(part, passes, by, done).isEmpty():
-            fresh = run(part, passes, evaluate, by, done)
-            table.upsert(fresh if done is None else fresh.join(done.select(by, "run").distinct(), [by, "run"], "left_anti"))
+        missing = requests(part, passes, by, done)
+        if not missing.isEmpty():
+            table.upsert(_findings(missing, evaluate))
     return table.read()
 
 

@@ -92,6 +92,12 @@ class Table:
     def _dealt(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
+    def _write(self, rows: DataFrame) -> tuple[str, set[str]]:
+        """A new folder with ``rows``, and its buckets."""
+        folder = uuid.uuid4().hex
+        self._dealt(rows).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        return folder, {f.getPath().getName().split("=")[1] for f in self._files.listStatus(self._at("data", folder)) if "=" in f.getPath().getName()}
+
     def replace(self, rows: DataFrame, token: str | None = None) -> int:
         """The whole table anew."""
         return self._change(rows, lambda old, new: new, token, whole=True)
@@ -113,18 +119,22 @@ class Table:
         entry = self._commit(number) if number is not None else None
         if token is not None and any(token in self._commit(n)["tokens"] for n in self._numbers()[-1:]):
             return number
-        touched = None
+        touched = staged = None
         if not whole:
             if entry is None:
                 entry = {"parts": {}, "schema": rows.schema.jsonValue(), "tokens": []}
-            touched = [str(r[0]) for r in self._dealt(rows).select("_bucket").distinct().collect()]  # a number a bucket
+            # computed once: which buckets a change touches is seen from what it wrote
+            staged, touched = self._write(rows)
+            rows = self._rows({"parts": dict.fromkeys(touched, staged), "schema": rows.schema.jsonValue()}, touched)
         old = self._rows(entry, entry["parts"] if touched is None else touched) if entry else None
         made = how(old, rows)
         if entry and not whole:
             made = made.select(*StructType.fromJson(entry["schema"]).fieldNames())
-        folder = uuid.uuid4().hex
-        self._dealt(made).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
-        written = {f.getPath().getName().split("=")[1] for f in self._files.listStatus(self._at("data", folder)) if "=" in f.getPath().getName()}
+        try:
+            folder, written = self._write(made)
+        finally:
+            if staged is not None:
+                self._files.delete(self._at("data", staged), True)
         kept = {} if touched is None else {b: f for b, f in entry["parts"].items() if b not in touched}
         # a log without end of tokens would grow with the table's age: the newest thousand are remembered
         tokens = ([*entry["tokens"], token] if entry else [token]) if token is not None else (entry["tokens"] if entry else [])

@@ -21,6 +21,29 @@ def test_same_lists_as_query_by_query(spark):
     assert retrieval.ranked_bodies(docs, "bodies", asked.limit(0), {"best": ("words", F.col("k"))}).count() == 0
 
 
+def test_a_document_keeps_the_scores_of_all_requirements(spark):
+    r = random.Random(4)
+    bodies = [[" ".join(r.choices(["data", "register", "xx", "officer"], k=r.randint(0, 40))) for _ in range(r.randint(1, 9))] for _ in range(30)] + [["xx"]]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, bodies array<string>")
+    asked = spark.createDataFrame([("a", "data register data", 3), ("b", "officer", 2), ("c", "nowhere", 1)], "requirement string, query string, criticality int")
+    found = {(d.doc_id, x.requirement, x.criticality): x.scores for d in retrieval.scored_bodies(docs, "bodies", asked, 3).collect() for x in d.found}
+    expected = {}
+    for x in retrieval.lexical_best(docs, asked, F.lit(3)).orderBy("rank").collect():
+        expected.setdefault((x.doc_id, x.requirement, x.criticality), []).append(x.score)
+    assert found == expected and len(found) == 3 * len(bodies)
+
+
+def test_a_few_terms_count_as_many_do(monkeypatch):
+    r = random.Random(5)
+    words = ["abab", "ababab", "dataset", "datadata", "xx", "été1"]
+    queries = [["abab", "data", "data"], ["tada", "été1"], []]
+    few = retrieval.term_hits(queries)
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    many = retrieval.term_hits(queries)
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(200)]
+    assert [few(t) for t in texts] == [many(t) for t in texts] and few.__name__ != many.__name__
+
+
 def test_a_word_is_looked_at_once():
     of_body = retrieval.term_hits([["abab", "data"], ["data", "data"]])
     assert of_body("ababab data datadata") == {0: 4, 1: 6} and of_body("") == {}

@@ -38,6 +38,20 @@ def test_only_touched_buckets_are_written(spark, table, tmp_path):
     assert [len([b for b in f.iterdir() if "=" in b.name]) for f in folders] == [4, 1]
 
 
+def test_a_change_is_computed_once(spark, table, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    table.upsert(spark.range(100).select(counted("id").alias("id"), F.lit("a").alias("v")))
+    table.upsert(spark.range(50, 150).select(counted("id").alias("id"), F.lit("b").alias("v")))
+    assert seen.value == 200 and table.read().count() == 150 and table.read().filter("v = 'b'").count() == 100
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2  # nothing is left of what was staged
+
+
 def test_a_replayed_change_does_nothing(spark, table):
     table.replace(spark.createDataFrame([(1, 0)], "id long, v int"), token="start")
     more = spark.createDataFrame([(2, 0)], "id long, v int")

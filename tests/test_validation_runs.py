@@ -1,6 +1,11 @@
 """Passes of a validation run: evaluated anew each time, resumed without asking again."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pytest
+from attestra.catalog import work
+from attestra.operators import retrieval
 from attestra.plans import validation
 from attestra.sources import readers
 from attestra.sources.snapshots import Table
@@ -52,3 +57,18 @@ def test_a_pass_is_part_of_the_question(spark):
     prompts = spark.createDataFrame([("s", "u", 1), ("s", "u", 2)], "system string, user string, run int")
     told = readers.evaluate(validation.pass_prompts(prompts).select("system", "user"), lambda system, user: system)
     assert sorted(r.answer for r in told.collect()) == ["s\n(pass 1)", "s\n(pass 2)"]
+
+
+def test_a_text_is_ranked_once_for_all_passes(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "that with from hand " * 50 * (i % 3) + "x") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, ranker = spark.sparkContext.accumulator(0), retrieval._ranker
+
+    def counted(*how):
+        def rank(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return ranker(*how)((seen.add(len(b)), b)[1] for b in batches)
+
+        return rank
+
+    monkeypatch.setattr(retrieval, "_ranker", counted)
+    rows = work._evaluated(spark, str(tmp_path)).collect()
+    assert len(rows) == 20 * 3 * 3 and seen.value == 20
