@@ -83,6 +83,24 @@ def test_join_finds_what_every_pair_would(spark, cases):
     assert Q.join(q.limit(0), d).count() == 0 and Q.join(q, d.limit(0)).count() == 0
 
 
+def test_join_finds_short_quotations(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 150))) for _ in range(12)] + ["x", "aaaa", None]
+    quotes = ["a", "x", "ab", "dab", "a ba", "abcda", *(altered(r, t[20:31][:n], "ab", 1) for t in texts[:12] if t and len(t) > 60 for n in (10, 11)), ""]
+    assert {len(q) for q in quotes} >= {1, 2, 3, 4, 5, 10, 11}
+    q, d = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = {(i, j): closest(a, b) for i, a in enumerate(quotes) for j, b in enumerate(texts) if a and b}
+    expected = {(*k, *v) for k, v in pairs.items() if v[1] >= 0}
+    assert {tuple(x) for x in Q.join(q, d).collect()} == expected and any(0 < x[2] < 1 for x in expected)
+    assert {k: Q.Document(texts[k[1]]).find(quotes[k[0]]) for k in pairs} == pairs
+
+
+def test_a_short_gram_of_a_document_travels_once():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["abab", "ba" * 1000])], ["doc_id", "text"])
+    (found,) = Q.cut_grams(iter([batch]), {1: np.ones(1 << Q.FILTER_BITS, bool)})
+    assert list(zip(found.column(0).to_pylist(), found.column(3).to_pylist(), strict=True)) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
 def test_quotations_of_a_row(spark):
     quote = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(["x " + quote[:20] + quote[22:], None, "something else entirely here"], "start " + quote + " end"), (None, "x"), ([quote], None)], "q array<string>, d string")
