@@ -56,3 +56,11 @@ def halves(spark, tmp_path):
 def test_halves_round_as_in_sql(spark, halves, name):
     path, con = halves
     assert_same(catalog.QUERIES[name](spark, path), con, catalog.SQL[name])
+
+
+def test_a_ratio_rounds_as_in_sql(spark, tmp_path):
+    lines = [(i, k, 1 if i < k else 2, 10.0, 0.01, "N", "O") for k in (57, 69, 113, 139, 163) for i in range(800)]
+    spark.createDataFrame(lines, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert_same(catalog.QUERIES["penalty_score"](spark, str(tmp_path)), con, catalog.SQL["penalty_score"])
